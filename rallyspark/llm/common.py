@@ -47,7 +47,8 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
 
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; null counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))  # pure ASCII: lower() is exact and fast
 
 
 def words(text: Column) -> Column:
@@ -55,6 +56,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
 
 
+def count_of(text: Column, chars: str) -> Column:
+    """How many characters of ``text`` are in the regex class body ``chars``; null text has none."""
+    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), f"[^{chars}]+", "")).cast("long")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, where a plain reference might be inlined many times."""
     return F.element_at(F.transform(F.array(value), body), 1)

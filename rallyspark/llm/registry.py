@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, quality, simhash
 
 
 def queries() -> dict:
     return {
         "op2_exact_dedup": exact_dedup.op2,
+        "op4_simhash": simhash.op4,
+        "op5_quality_rules": quality.op5,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": exact_dedup.SQL,
+        "op5_quality_rules": quality.SQL,
     }

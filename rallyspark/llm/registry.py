@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality, simhash
+from . import exact_dedup, mixing, packing, quality, simhash
 
 
 def queries() -> dict:
     return {
         "op2_exact_dedup": exact_dedup.op2,
+        "op3_packing": packing.op3,
         "op4_simhash": simhash.op4,
         "op5_quality_rules": quality.op5,
+        "op9_mixing": mixing.op9,
     }
 
 

@@ -89,7 +89,7 @@ def pack(docs: DataFrame, length=None, capacities: tuple[int, ...] = CAPACITIES,
     shards = max(1, -(-(sized.agg(F.sum("n")).first()[0] or 0) // shard_tokens))
     # A few spare shards keep every executor busy on small inputs without changing how a shard is packed.
     shards = max(shards, 8)
-    pieces = (sized.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / largest))).cast("int"))
+    pieces = (sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / largest).cast("int"))))
               .withColumn("size", F.least(F.lit(largest).cast("long"), F.col("n") - F.col("piece") * F.lit(largest)))
               .withColumn("shard", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(shards))))
 

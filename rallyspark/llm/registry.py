@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality, simhash
+from . import exact_dedup, mixing, packing, quality, simhash, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc_zip": warc.op1,
         "op2_exact_dedup": exact_dedup.op2,
         "op3_packing": packing.op3,
         "op4_simhash": simhash.op4,
@@ -17,6 +18,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc_zip": warc.SQL,
         "op2_exact_dedup": exact_dedup.SQL,
         "op5_quality_rules": quality.SQL,
     }

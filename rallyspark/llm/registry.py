@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality, simhash, warc
+from . import exact_dedup, mixing, packing, quality, simhash, token_io, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_packing": packing.op3,
         "op4_simhash": simhash.op4,
         "op5_quality_rules": quality.op5,
+        "op6_token_ids": token_io.op6,
         "op9_mixing": mixing.op9,
     }
 

@@ -103,8 +103,8 @@ def cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     counted = placed.select(
         "*", F.coalesce(F.sum("good").over(above), F.lit(0)).alias("good_above"), F.coalesce(F.sum("bad").over(above), F.lit(0)).alias("bad_above"),
         F.sum("good").over(whole).alias("n"))
-    n_strata = placed.agg(F.count_distinct("stratum").alias("n_strata"))
-    bounded = counted.join(F.broadcast(n_strata)).withColumn("k", allowed_rejections(F.col("n"), alpha / len(RULES), tests))
+    n_strata = placed.agg(F.count_distinct("stratum").alias("n_strata")).withColumn("one", F.lit(1))
+    bounded = counted.withColumn("one", F.lit(1)).join(F.broadcast(n_strata), "one").withColumn("k", allowed_rejections(F.col("n"), alpha / len(RULES), tests))
     safe = bounded.filter("good_above <= k")  # rejecting what lies above this bin is within the bound
     most = safe.withColumn("best", F.max("bad_above").over(whole)).filter(f"best > 0 and 100 * bad_above >= {power} * best")
     # between this bin and the next one that is in use no document lies: the cutoff may rise to just below it

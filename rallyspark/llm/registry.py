@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality, simhash, token_io, warc
+from . import exact_dedup, mixing, packing, pii, quality, simhash, token_io, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_simhash": simhash.op4,
         "op5_quality_rules": quality.op5,
         "op6_token_ids": token_io.op6,
+        "op7_personal_data": pii.op7,
         "op9_mixing": mixing.op9,
     }
 

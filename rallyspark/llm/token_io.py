@@ -11,6 +11,7 @@ ignored. A text is tokenized whole, whatever its length.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -46,6 +47,7 @@ class Tokenize:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.library, self.seen = Tokenizer.from_file(path), {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, pii, quality, simhash, token_io, warc
+from . import exact_dedup, html_extract, mixing, packing, pii, quality, simhash, token_io, url_filter, warc
 
 
 def queries() -> dict:
@@ -14,7 +14,9 @@ def queries() -> dict:
         "op5_quality_rules": quality.op5,
         "op6_token_ids": token_io.op6,
         "op7_personal_data": pii.op7,
+        "op8_url_filter": url_filter.op8,
         "op9_mixing": mixing.op9,
+        "op10_html_text": html_extract.op10,
     }
 
 

@@ -149,6 +149,7 @@ def label_of(path) -> int | None:
 
 #: Furniture around an article, as (html before, html after); {0}..{2} are short texts of the sample, {3} is a whole one.
 LAYOUTS = (
+    ("", ""),
     ('<header><h1>{0}</h1><p>{1}</p></header>', '<aside><p>{3}</p></aside><div class="comments"><p>{3}</p><p>{2}</p></div>'),
     ('<header class="masthead"><h2>{0}</h2></header><nav class="navbar"><a href="/">{1}</a></nav>', '<section id="comments"><h2>{0}</h2><article class="comment"><p>{3}</p></article></section><footer><p>{2}</p></footer>'),
     ('<div class="notice"><p>{3}</p></div><div class="sidebar"><h3>{0}</h3><p>{3}</p></div>', '<div class="reply"><p>{3}</p></div><div class="footer"><p>{1}</p></div>'),
@@ -163,6 +164,10 @@ LAYOUTS = (
 #: How the article itself stands in those pages.
 SHELLS = ("<article>{0}</article>", "<main>{0}</main>", "<div>{0}</div>", '<div id="main">{0}</div>', "{0}", '<div class="article-body" role="main">{0}</div>', "<section>{0}</section>", '<div class="content">{0}</div>', '<div id="post"><div class="entry">{0}</div></div>', '<main><div class="story">{0}</div></main>')
 
+#: What an article is made of.
+INNER = ("<p>{0}</p>", "<ul><li>{1}</li><li>{2}</li></ul>", "<blockquote>{1}</blockquote>", "<table><tr><td>{1}</td><td>{2}</td></tr></table>", "<h2>{1}</h2><p>{0}</p>", "<pre>{1}</pre>",
+         "<ol><li><p>{1}</p></li></ol>", "<figure><figcaption>{1}</figcaption></figure>", "{1}<div>{0}</div>")
+
 
 def training_pages(pages: list[str]) -> list[tuple[list, list[int]]]:
     """(blocks, labels) of the sample's pages and of layouts filled with its texts."""
@@ -177,7 +182,8 @@ def training_pages(pages: list[str]) -> list[tuple[list, list[int]]]:
     short = lambda: " ".join(texts[rng.integers(len(texts))].split()[: int(rng.integers(1, 25))])
     for i in range(LAYOUT_PAGES):
         before, after = LAYOUTS[i % len(LAYOUTS)]
-        body = f"<h1>{short()}</h1>" + "".join(f"<p>{texts[rng.integers(len(texts))]}</p>" for _ in range(int(rng.integers(1, 9))))
+        body = f"<h{1 + i % 3}>{short()}</h{1 + i % 3}>" * bool(i % 7) + "".join(
+            INNER[max(0, int(rng.integers(-6, len(INNER))))].format(texts[rng.integers(len(texts))], short(), short()) for _ in range(int(rng.integers(1, 9))))
         if i % 4 == 3:
             body += f'<div class="comments"><h3>{short()}</h3><p>{texts[rng.integers(len(texts))]}</p></div>'
         fill = [short(), short(), short(), texts[rng.integers(len(texts))]]

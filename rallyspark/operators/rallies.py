@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ball import KNOWN, W
+from .ball import KNOWN
 
-CLIP = Window.partitionBy("clip_id")
-ORDER = CLIP.orderBy("frame", "shot_id")
+
+def CLIP():  # noqa: N802
+    return Window.partitionBy("clip_id")
+
+
+def ORDER():  # noqa: N802
+    return CLIP().orderBy("frame", "shot_id")
 
 
 def segment_rallies(shots: DataFrame) -> DataFrame:
     """Every serve starts a rally; shots before a clip's first serve are dropped."""
-    n = F.sum(F.col("is_serve").cast("int")).over(ORDER.rowsBetween(Window.unboundedPreceding, 0))
+    n = F.sum(F.col("is_serve").cast("int")).over(ORDER().rowsBetween(Window.unboundedPreceding, 0))
     return shots.withColumn("rally_id", n - 1).filter("rally_id >= 0")
 
 
@@ -21,7 +26,7 @@ def apply_rally_ends(shots: DataFrame, ends: DataFrame, within: int = 900) -> Da
     """Marks shots strictly after an end, within ``within`` frames, with no serve since that end, as between points."""
     marks = shots.select("clip_id", "frame", "shot_id", "is_serve", F.lit(False).alias("is_end")).unionByName(
         ends.select("clip_id", "frame", F.lit(None).cast("long").alias("shot_id"), F.lit(False).alias("is_serve"), F.lit(True).alias("is_end")))
-    by = CLIP.orderBy("frame")
+    by = CLIP().orderBy("frame")
     end = F.max(F.when(F.col("is_end"), F.col("frame"))).over(by.rangeBetween(Window.unboundedPreceding, -1))
     serve = F.max(F.when(F.col("is_serve"), F.col("frame"))).over(by.rangeBetween(Window.unboundedPreceding, 0))
     out = marks.withColumn("end", end).withColumn("serve", serve).filter("not is_end")
@@ -54,9 +59,9 @@ def rally_stats(rallies: DataFrame) -> DataFrame:
 
 def longest_dead_run(shots: DataFrame, ball: DataFrame) -> DataFrame:
     """Longest run of unknown ball frames strictly between consecutive shots."""
-    spans = shots.select("clip_id", "shot_id", (F.col("frame") + 1).alias("lo"), (F.lead("frame").over(ORDER) - 1).alias("hi")).filter("hi >= lo")
+    spans = shots.select("clip_id", "shot_id", (F.col("frame") + 1).alias("lo"), (F.lead("frame").over(ORDER()) - 1).alias("hi")).filter("hi >= lo")
     frames = spans.select("clip_id", "shot_id", F.explode(F.sequence("lo", "hi")).alias("frame"))
-    dead = ball.filter(~KNOWN).select("clip_id", "frame").join(frames, ["clip_id", "frame"])
+    dead = ball.filter(~KNOWN()).select("clip_id", "frame").join(frames, ["clip_id", "frame"])
     island = F.col("frame") - F.row_number().over(Window.partitionBy("clip_id", "shot_id").orderBy("frame"))
     runs = dead.withColumn("island", island).groupBy("clip_id", "shot_id", "island").agg(F.count("*").alias("n"))
     return runs.groupBy("clip_id", "shot_id").agg(F.max("n").alias("dead_frames"))
@@ -69,7 +74,7 @@ def timeline(rallies: DataFrame, shots: DataFrame, bounces: DataFrame) -> DataFr
     row = lambda df, frame, kind, rank, ref: df.select("clip_id", F.col(frame).alias("frame"), F.lit(kind).alias("event"), F.lit(rank).alias("rank"), F.col(ref).cast("long").alias("ref"))
     rows = (row(rallies, "start_frame", "rally_start", 0, "rally_id").unionByName(row(shots, "frame", "shot", 1, "shot_id"))
             .unionByName(row(bounces, "frame", "bounce", 2, "bounce_id")).unionByName(row(rallies, "end_frame", "rally_end", 3, "rally_id")))
-    return rows.withColumn("place", F.row_number().over(CLIP.orderBy("frame", "rank", "ref")))
+    return rows.withColumn("place", F.row_number().over(CLIP().orderBy("frame", "rank", "ref")))
 
 
 def user_shot_groups(shots: DataFrame, roles: DataFrame) -> DataFrame:

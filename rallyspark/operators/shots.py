@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.geometry import bbox_distance, in_court_call, side_of_net, zone
 from .ball import KNOWN, W, velocity
 
-CLIP = Window.partitionBy("clip_id")
+
+def CLIP():  # noqa: N802
+    return Window.partitionBy("clip_id")
 
 
 def impulse_candidates(ball: DataFrame, turn: float = 45.0, ratio: float = 0.35, floor: float = 5.0) -> DataFrame:
@@ -28,7 +30,7 @@ def associate(events: DataFrame, players: DataFrame, court: DataFrame, least: fl
 
 def renumber(shots: DataFrame) -> DataFrame:
     """Contiguous ids by frame per clip (ties: old id)."""
-    return shots.select("clip_id", "shot_id", "frame", (F.row_number().over(CLIP.orderBy("frame", "shot_id")) - 1).alias("new_id"))
+    return shots.select("clip_id", "shot_id", "frame", (F.row_number().over(CLIP().orderBy("frame", "shot_id")) - 1).alias("new_id"))
 
 
 def shot_stats(shots: DataFrame) -> DataFrame:
@@ -39,7 +41,7 @@ def shot_stats(shots: DataFrame) -> DataFrame:
 def same_side_runs(shots: DataFrame, gap: int = 180, long_run: int = 480) -> DataFrame:
     """Runs of impacts from one side, cut at a side change or a gap: a long run keeps its last shot, others their most
     confident (first on ties)."""
-    w = CLIP.orderBy("frame", "shot_id")
+    w = CLIP().orderBy("frame", "shot_id")
     cut = F.coalesce(((F.col("hitter_side") != F.lag("hitter_side").over(w)) | (F.col("frame") - F.lag("frame").over(w) > gap)).cast("int"), F.lit(0))
     runs = shots.withColumn("cut", cut).withColumn("run", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     r = Window.partitionBy("clip_id", "run")
@@ -50,7 +52,7 @@ def same_side_runs(shots: DataFrame, gap: int = 180, long_run: int = 480) -> Dat
 
 def point_gaps(shots: DataFrame, returned: int = 150, gap: int = 180) -> DataFrame:
     """Whether a shot is returned by the other side in time, whether it could be a serve, whether it could end a point."""
-    w = CLIP.orderBy("frame", "shot_id")
+    w = CLIP().orderBy("frame", "shot_id")
     nxt, ahead = F.lead("hitter_side").over(w), F.lead("frame").over(w) - F.col("frame")
     back = (nxt != F.col("hitter_side")) & (ahead <= returned)
     before = F.col("frame") - F.lag("frame").over(w)
@@ -62,8 +64,8 @@ def point_gaps(shots: DataFrame, returned: int = 150, gap: int = 180) -> DataFra
 
 def bounce_candidates(ball: DataFrame, window: int = 4, prominence: float = 30.0) -> DataFrame:
     """Local lows of the picture's y (largest y), with a descent before and a rebound after, near a known frame."""
-    around = ball.select("clip_id", "frame", "pixel_y", F.count(F.when(KNOWN, 1)).over(W.rowsBetween(-2, 2)).alias("near_known"), F.max("pixel_y").over(W.rowsBetween(-window, window)).alias("top"),
-                         F.min("pixel_y").over(W.rowsBetween(-window, -1)).alias("before"), F.min("pixel_y").over(W.rowsBetween(1, window)).alias("after"))
+    around = ball.select("clip_id", "frame", "pixel_y", F.count(F.when(KNOWN(), 1)).over(W().rowsBetween(-2, 2)).alias("near_known"), F.max("pixel_y").over(W().rowsBetween(-window, window)).alias("top"),
+                         F.min("pixel_y").over(W().rowsBetween(-window, -1)).alias("before"), F.min("pixel_y").over(W().rowsBetween(1, window)).alias("after"))
     fall, rise = F.col("pixel_y") - F.col("before"), F.col("pixel_y") - F.col("after")
     return around.filter((F.col("pixel_y") == F.col("top")) & (fall >= prominence) & (rise >= prominence) & (F.col("near_known") > 0)).select("clip_id", "frame", F.least(fall, rise).alias("score"))
 
@@ -78,7 +80,7 @@ def ground_contact(cands: DataFrame, ball: DataFrame, half: int = 3) -> DataFram
     """Moves a candidate to the largest known y within ``half`` frames; the candidate's own frame wins ties, then the earliest."""
     near = cands.select("clip_id", F.col("frame").alias("detected")).withColumn("frame", F.explode(F.sequence(F.col("detected") - half, F.col("detected") + half)))
     best = F.min(F.struct((-F.col("pixel_y")).alias("y"), (F.col("frame") != F.col("detected")).alias("other"), F.col("frame").alias("frame")))
-    return near.join(ball.filter(KNOWN).select("clip_id", "frame", "pixel_y"), ["clip_id", "frame"]).groupBy("clip_id", "detected").agg(best.alias("b")).select("clip_id", "detected", F.col("b.frame").alias("frame"))
+    return near.join(ball.filter(KNOWN()).select("clip_id", "frame", "pixel_y"), ["clip_id", "frame"]).groupBy("clip_id", "detected").agg(best.alias("b")).select("clip_id", "detected", F.col("b.frame").alias("frame"))
 
 
 def bounce_rows(bounces: DataFrame, most: float = 8.0) -> DataFrame:
@@ -92,7 +94,7 @@ def between_shots(bounces: DataFrame, shots: DataFrame) -> DataFrame:
     events = bounces.select("clip_id", "frame", "bounce_id", F.lit(None).cast("long").alias("shot_id")).unionByName(
         shots.select("clip_id", "frame", F.lit(None).cast("long").alias("bounce_id"), F.col("shot_id").cast("long").alias("shot_id")))
     shot = F.when(F.col("shot_id").isNotNull(), F.struct("frame", "shot_id"))
-    by = CLIP.orderBy("frame")
+    by = CLIP().orderBy("frame")
     at = (events.withColumn("p", F.max(shot).over(by.rangeBetween(Window.unboundedPreceding, -1))).withColumn("n", F.min(shot).over(by.rangeBetween(1, Window.unboundedFollowing))))
     return at.filter("bounce_id is not null").select("clip_id", "bounce_id", "frame", F.col("p.shot_id").alias("prev_shot"), F.col("n.shot_id").alias("next_shot"),
                                                      (F.col("frame") - F.col("p.frame")).alias("frames_since"), (F.col("n.frame") - F.col("frame")).alias("frames_to"))
@@ -113,11 +115,11 @@ def bounce_stats(rows: DataFrame) -> DataFrame:
 def volley_flag(shots: DataFrame, linked: DataFrame) -> DataFrame:
     """Volley if no bounce lies in the interval before the shot; serves never are. Confidence says on what that rests."""
     had = linked.filter("next_shot is not null").groupBy("clip_id", F.col("next_shot").alias("shot_id")).agg(F.count("*").alias("n"))
-    first = F.row_number().over(CLIP.orderBy("frame", "shot_id")) == 1
+    first = F.row_number().over(CLIP().orderBy("frame", "shot_id")) == 1
     fixed = F.col("is_serve") | first
     return shots.withColumn("fixed", fixed).join(had, ["clip_id", "shot_id"], "left").select("clip_id", "shot_id", (~F.col("fixed") & F.col("n").isNull()).alias("volley"), F.when(F.col("fixed"), 0.9).otherwise(0.4).alias("volley_confidence"))
 
 
 def classify_stats(shots: DataFrame) -> DataFrame:
     counts = shots.groupBy("clip_id", "shot_type").agg(F.count("*").alias("n"), F.count_if("is_volley").alias("volleys"), F.count_if(F.col("stroke_side") == "forehand").alias("forehands"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(CLIP))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(CLIP()))

@@ -63,7 +63,7 @@ _W = "PARTITION BY clip_id ORDER BY frame"
 # ---- geometry and scalar expressions
 
 def _geometry(get):
-    b = get("ball").filter(B.KNOWN).join(get("court"), "clip_id")
+    b = get("ball").filter(B.KNOWN()).join(get("court"), "clip_id")
     x, y = geo.project(F.col("pixel_x"), F.col("pixel_y"))
     p = b.select("clip_id", "frame", "pixel_x", "near_px_per_ft", "far_px_per_ft", x.alias("x"), y.alias("y"))
     return p.select("clip_id", "frame", "x", "y", geo.in_rect(F.col("x"), F.col("y"), 5, 15).alias("in_envelope"), geo.zone(F.col("y")).alias("zone"), geo.lateral(F.col("x")).alias("lateral"),
@@ -160,7 +160,7 @@ _add("b19_live_play_rate", lambda get: B.live_play_rate(get("ball"), get("rallie
 _IMP = _VEL + """, im AS (SELECT clip_id, frame, greatest(turn / 180, least(1, speed_ratio)) AS score FROM ve WHERE greatest(speed_in, speed_out) >= 5 AND (turn >= 45 OR speed_ratio >= 0.35))"""
 _add("d1_impulse_candidates", lambda get: D.impulse_candidates(get("ball")).withColumn("score", F.round("score", 3)), _IMP + " SELECT clip_id, frame, round(score, 3) AS score FROM im")
 _add("d2_suppress_neighbours", lambda get: H.suppress_neighbours(D.impulse_candidates(get("ball")).withColumn("score", F.round("score", 4)), 5))
-_add("d3_associate", lambda get: D.associate(get("ball").filter(B.KNOWN), get("players"), get("court")), f"""e AS (SELECT b.clip_id, b.frame, track_id, is_user, bbox_y2 - bbox_y1 AS h, sqrt(dx*dx + dy*dy) AS d FROM (
+_add("d3_associate", lambda get: D.associate(get("ball").filter(B.KNOWN()), get("players"), get("court")), f"""e AS (SELECT b.clip_id, b.frame, track_id, is_user, bbox_y2 - bbox_y1 AS h, sqrt(dx*dx + dy*dy) AS d FROM (
       SELECT b.clip_id, b.frame, p.*, greatest(bbox_x1 - pixel_x, 0, pixel_x - bbox_x2) AS dx, greatest(bbox_y1 - pixel_y, 0, pixel_y - bbox_y2) AS dy
       FROM fx_ball b JOIN fx_players p ON p.clip_id = b.clip_id AND p.frame = b.frame WHERE {KNOWN} AND NOT transient) AS b),
     r AS (SELECT clip_id, frame, min(CASE WHEN d <= least(greatest(0.5 * h, 30), 400) THEN {{'d': d, 'u': NOT is_user, 't': track_id}} END) AS p FROM e GROUP BY ALL) SELECT clip_id, frame, p.t AS track_id, p.d AS distance FROM r""")
@@ -229,9 +229,9 @@ _add("m8_match_span", lambda get: M.match_span(get("shots"), get("bounces"), get
 _add("m9_error_attribution", lambda get: M.error_attribution(get("rallies"), get("shots"), get("roles")), """j AS (SELECT r.clip_id, end_confidence, role, role_confidence, CASE WHEN end_reason = 'serve_fault' THEN 'server' WHEN end_reason IN ('ball_out', 'net', 'kitchen_fault') THEN 'hitter' WHEN end_reason = 'double_bounce' THEN 'receiver' ELSE 'unknown' END AS owner
     FROM fx_rallies r LEFT JOIN fx_shots s ON s.clip_id = r.clip_id AND s.shot_id = r.last_shot LEFT JOIN fx_roles o ON o.clip_id = s.clip_id AND o.track_id = s.track_id)
     SELECT clip_id, owner, coalesce(role, 'unattributed') AS role, count(*) AS n, avg(end_confidence * coalesce(role_confidence, 0)) AS confidence FROM j GROUP BY ALL""")
-_add("m10_confidence_envelope", lambda get: M.confidence_envelope(M.player_block(get("shots"), get("roles")), "serves", "mean_confidence", "shots").select("clip_id", "role", "metric.*").withColumn("confidence", F.round("confidence", 4)),
+_add("m10_confidence_envelope", lambda get: M.confidence_envelope(M.player_block(get("shots"), get("roles")), "serves", "mean_confidence", "shots").select("clip_id", "role", "metric.*").withColumn("confidence", F.round(F.col("confidence") + 1e-7, 5)),
      """p AS (SELECT clip_id, role, count(*) AS n, count_if(is_serve) AS value, avg(CASE WHEN NOT is_serve THEN confidence END) AS c FROM fx_shots JOIN fx_roles USING (clip_id, track_id) GROUP BY ALL)
-    SELECT clip_id, role, value, round(c * n / (n + 8), 4) AS confidence, n, CASE WHEN n < 8 THEN 'sample_size' ELSE 'source' END AS limited_by FROM p""")
+    SELECT clip_id, role, value, round(c * n / (n + 8) + 1e-7, 5) AS confidence, n, CASE WHEN n < 8 THEN 'sample_size' ELSE 'source' END AS limited_by FROM p""")
 _add("m13_in_rally", lambda get: M.in_rally(get("ball").select("clip_id", "frame"), get("rallies")), "SELECT b.clip_id, frame, min(rally_id) AS rally_id FROM fx_ball b JOIN fx_rallies r ON r.clip_id = b.clip_id AND frame BETWEEN start_frame AND end_frame GROUP BY ALL")
 _add("m12_role_positions", lambda get: M.role_positions(get("players"), get("roles")), _POS + " SELECT * FROM po")
 _add("m14_position_summary", lambda get: M.position_summary(M.role_positions(get("players"), get("roles"))), _POS + ", z AS (SELECT *, " + _ZONE.format(y="y") + """ AS zn, CASE WHEN least(greatest(x, 0), 20) < 20.0E0/3 THEN 'left' WHEN least(greatest(x, 0), 20) < 40.0E0/3 THEN 'centre' ELSE 'right' END AS lt,
@@ -248,8 +248,8 @@ _add("m18_heatmap", lambda get: M.heatmap(get("bounces"), "court_x_ft", "court_y
 _add("m19_player_block", lambda get: M.player_block(get("shots"), get("roles")), "SELECT clip_id, role, count(*) AS shots, count_if(is_serve) AS serves, count_if(seq = 2) AS returns, avg(CASE WHEN NOT is_serve THEN confidence END) AS mean_confidence FROM fx_shots JOIN fx_roles USING (clip_id, track_id) GROUP BY ALL")
 _add("m20_reconcile", lambda get: M.reconcile(get("shots"), get("roles")), """SELECT s.clip_id, count(*) AS shots, count(role) AS attributed, count(*) - count(role) AS unattributed, true AS balanced FROM fx_shots s LEFT JOIN (SELECT * FROM fx_roles WHERE role <> 'noise') r ON r.clip_id = s.clip_id AND r.track_id = s.track_id GROUP BY ALL""")
 _add("q2_score_categories", lambda get: M.score_categories(M.shot_mix(get("shots"), get("roles"))), _SCORES + " SELECT * FROM sc")
-_add("q4_overall_rating", lambda get: M.overall_rating(M.score_categories(M.shot_mix(get("shots"), get("roles")))).withColumns({c: F.round(c, 3) for c in ("rating", "low", "high")}), _SCORES + """, r AS (SELECT clip_id, role, sum(level * weight * confidence) / sum(weight * confidence) AS rating, sum(weight * confidence) AS confidence FROM sc GROUP BY ALL)
-    SELECT clip_id, role, round(rating, 3) AS rating, confidence, round_even(rating * 2, 0) / 2 AS band, round(rating - (0.25 + 1.25 * (1 - confidence)), 3) AS low, round(rating + 0.25 + 1.25 * (1 - confidence), 3) AS high, least(5, round_even(rating * 2, 0) / 2 + 0.5) AS next_target FROM r""")
+_add("q4_overall_rating", lambda get: M.overall_rating(M.score_categories(M.shot_mix(get("shots"), get("roles")))).withColumns({c: F.round(F.col(c) + 1e-7, 5) for c in ("rating", "low", "high")}), _SCORES + """, r AS (SELECT clip_id, role, sum(level * weight * confidence) / sum(weight * confidence) AS rating, sum(weight * confidence) AS confidence FROM sc GROUP BY ALL)
+    SELECT clip_id, role, round(rating + 1e-7, 5) AS rating, confidence, round_even(rating * 2, 0) / 2 AS band, round(rating - (0.25 + 1.25 * (1 - confidence)) + 1e-7, 5) AS low, round(rating + (0.25 + 1.25 * (1 - confidence)) + 1e-7, 5) AS high, least(5, round_even(rating * 2, 0) / 2 + 0.5) AS next_target FROM r""")
 _add("l1_focus_areas", lambda get: M.focus_areas(M.score_categories(M.shot_mix(get("shots"), get("roles")))), _SCORES + """, f AS (SELECT clip_id, role, category, round((4.5 - level) * weight * (0.5 + 0.5 * confidence), 6) AS priority FROM sc WHERE level < 4.5)
     SELECT *, row_number() OVER (PARTITION BY clip_id, role ORDER BY priority DESC, category) AS rank FROM f QUALIFY rank <= 2""")
 

@@ -38,16 +38,16 @@ ROUNDS = 15
 
 
 def located(text: Column, pattern: str, before: int = 0) -> Column:
-    """Array of (start, end, word[, before]) of all matches: the pieces between matches give the offsets."""
-    def walk(m: Column, pieces: Column) -> Column:
-        none = F.array().cast("array<struct<start:int,end:int,word:string,before:string>>")
-
-        def step(s: Column, i: Column) -> Column:
-            return let(s["at"] + F.length(F.get(pieces, i)), lambda at: let(at + F.length(F.get(m, i)), lambda end: F.struct(
-                end.alias("at"), F.concat(s["out"], F.array(F.struct(at.alias("start"), end.alias("end"), F.get(m, i).alias("word"),
-                                                                    (F.right(F.get(pieces, i), F.lit(before)) if before else F.lit("")).alias("before")))).alias("out"))))
+    """Array of (start, end, word[, before]) of all matches: the pieces between matches give the offsets.
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+    The running sum of lengths is made by doubling (log k passes), so a text with very many matches stays cheap.
+    """
+    def walk(m: Column, pieces: Column) -> Column:
+        steps = F.filter(F.array(*[F.lit(1 << d) for d in range(31)]), lambda d: d < F.size(m))
+        ends = F.aggregate(steps, F.zip_with(m, F.slice(pieces, F.lit(1), F.size(m)), lambda x, y: F.length(x) + F.length(y)),
+                           lambda a, d: F.transform(a, lambda x, i: x + F.coalesce(F.get(a, i - d), F.lit(0))))
+        return let(ends, lambda e: F.transform(m, lambda w, i: F.struct(
+            (F.get(e, i) - F.length(w)).alias("start"), F.get(e, i).alias("end"), w.alias("word"), (F.right(F.get(pieces, i), F.lit(before)) if before else F.lit("")).alias("before"))))
 
     empty = F.array().cast("array<struct<start:int,end:int,word:string,before:string>>")
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, empty).otherwise(
@@ -99,7 +99,7 @@ def candidates(text: Column) -> Column:
         votes = F.array(
             F.when(w.rlike(r"@[A-Za-z0-9-]+\.|^\+[0-9]|^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), 2).otherwise(1),
             F.when((n_digits >= 6) & w.rlike("[A-Za-z@=]"), 2).when(n_digits <= 2, 0).otherwise(1),
-            F.when(w.rlike(r"^[\"'(\[]*[0-9]+(?:[.,:/-][0-9]+)*[.,;:!?)\]\"']*$"), 0).otherwise(1),
+            F.when(w.rlike(r"^[\"'(\[]*[0-9]++(?:[.,:/-][0-9]++)*+[.,;:!?)\]\"']*$"), 0).otherwise(1),
             F.when(named | w.rlike(r"AKIA[0-9A-Z]{12}"), 2).otherwise(1), F.when(numbered, 0).otherwise(1),
             F.when(n >= 12, 2).when(n <= 4, 0).otherwise(1))
         traits = F.array(

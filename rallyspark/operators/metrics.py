@@ -72,7 +72,7 @@ def in_rally(frames: DataFrame, rallies: DataFrame) -> DataFrame:
 
 
 def role_positions(players: DataFrame, roles: DataFrame) -> DataFrame:
-    return players.filter("not transient").join(roles.filter("role <> 'noise'"), ["clip_id", "track_id"]).groupBy("clip_id", "role", "frame").agg(F.avg("court_x_ft").alias("x"), F.avg("court_y_ft").alias("y"))
+    return players.filter("not transient").join(roles.filter("role <> 'noise'"), ["clip_id", "track_id"]).groupBy("clip_id", "role", "frame").agg((F.round(F.avg("court_x_ft"), 6) + 0.0).alias("x"), (F.round(F.avg("court_y_ft"), 6) + 0.0).alias("y"))  # rounded: a mean on a zone's edge must not depend on the order of its rows
 
 
 def position_summary(positions: DataFrame) -> DataFrame:

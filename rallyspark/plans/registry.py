@@ -50,7 +50,7 @@ _LINKED = """ev AS (SELECT clip_id, frame, bounce_id, NULL AS shot_id FROM fx_bo
 _BROWS = f"""br AS (SELECT clip_id, bounce_id, w <= 0.25 AS is_in, CASE WHEN w <= 0.25 THEN NULL WHEN -court_x_ft = w THEN 'left' WHEN court_x_ft - 20 = w THEN 'right' WHEN -court_y_ft = w THEN 'near' ELSE 'far' END AS out_side,
         {_ZONE.format(y='court_y_ft')} AS zone, CASE WHEN court_y_ft < 22 THEN 'near' ELSE 'far' END AS side
         FROM (SELECT *, greatest(-court_x_ft, court_x_ft - 20, -court_y_ft, court_y_ft - 44) AS w FROM fx_bounces) WHERE w <= 8)"""
-_POS = "po AS (SELECT clip_id, role, frame, avg(court_x_ft) AS x, avg(court_y_ft) AS y FROM fx_players JOIN fx_roles USING (clip_id, track_id) WHERE NOT transient AND role <> 'noise' GROUP BY ALL)"
+_POS = "po AS (SELECT clip_id, role, frame, round(avg(court_x_ft), 6) + 0.0E0 AS x, round(avg(court_y_ft), 6) + 0.0E0 AS y FROM fx_players JOIN fx_roles USING (clip_id, track_id) WHERE NOT transient AND role <> 'noise' GROUP BY ALL)"
 _MIX = """mx AS (SELECT clip_id, role, count(*) AS shots, count_if(shot_type = 'serve') AS serve, count_if(shot_type = 'drive') AS drive, count_if(shot_type = 'dink') AS dink, count_if(shot_type = 'drop') AS "drop", count_if(shot_type = 'lob') AS lob,
         count_if(is_volley) AS volleys, count_if(stroke_side = 'forehand') AS forehands, avg(CAST(is_volley AS INT)) AS volley_rate FROM fx_shots JOIN fx_roles USING (clip_id, track_id) GROUP BY GROUPING SETS ((clip_id), (clip_id, role)))"""
 _SCORES = _MIX + """, sc AS (SELECT clip_id, role, u.category, u.level, shots / (shots + 8) AS confidence, u.weight FROM mx, LATERAL (VALUES
@@ -226,18 +226,18 @@ _add("m7_third_shots", lambda get: M.third_shots(get("shots")), """t AS (SELECT
 _add("m8_bounce_in_out", lambda get: M.bounce_in_out(D.bounce_rows(get("bounces"))), _BROWS + " SELECT clip_id, count_if(is_in) AS n_in, count_if(NOT is_in) AS n_out, avg(CAST(is_in AS INT)) AS in_rate FROM br GROUP BY clip_id")
 _add("m8_match_span", lambda get: M.match_span(get("shots"), get("bounces"), get("court")), """u AS (SELECT clip_id, frame FROM fx_shots UNION ALL SELECT clip_id, frame FROM fx_bounces), f AS (SELECT clip_id, max(frame) - min(frame) AS frames FROM u GROUP BY clip_id)
     SELECT clip_id, frames / fps AS seconds FROM f JOIN fx_court USING (clip_id)""")
-_add("m9_error_attribution", lambda get: M.error_attribution(get("rallies"), get("shots"), get("roles")), """j AS (SELECT r.clip_id, end_confidence, role, role_confidence, CASE WHEN end_reason = 'serve_fault' THEN 'server' WHEN end_reason IN ('ball_out', 'net', 'kitchen_fault') THEN 'hitter' WHEN end_reason = 'double_bounce' THEN 'receiver' ELSE 'unknown' END AS owner
+_add("m9_error_attribution", lambda get: M.error_attribution(get("rallies"), get("shots"), get("roles")).withColumn("confidence", F.round(F.col("confidence") + 1e-7, 5)), """j AS (SELECT r.clip_id, end_confidence, role, role_confidence, CASE WHEN end_reason = 'serve_fault' THEN 'server' WHEN end_reason IN ('ball_out', 'net', 'kitchen_fault') THEN 'hitter' WHEN end_reason = 'double_bounce' THEN 'receiver' ELSE 'unknown' END AS owner
     FROM fx_rallies r LEFT JOIN fx_shots s ON s.clip_id = r.clip_id AND s.shot_id = r.last_shot LEFT JOIN fx_roles o ON o.clip_id = s.clip_id AND o.track_id = s.track_id)
-    SELECT clip_id, owner, coalesce(role, 'unattributed') AS role, count(*) AS n, avg(end_confidence * coalesce(role_confidence, 0)) AS confidence FROM j GROUP BY ALL""")
+    SELECT clip_id, owner, coalesce(role, 'unattributed') AS role, count(*) AS n, round(avg(end_confidence * coalesce(role_confidence, 0)) + 1e-7, 5) AS confidence FROM j GROUP BY ALL""")
 _add("m10_confidence_envelope", lambda get: M.confidence_envelope(M.player_block(get("shots"), get("roles")), "serves", "mean_confidence", "shots").select("clip_id", "role", "metric.*").withColumn("confidence", F.round(F.col("confidence") + 1e-7, 5)),
      """p AS (SELECT clip_id, role, count(*) AS n, count_if(is_serve) AS value, avg(CASE WHEN NOT is_serve THEN confidence END) AS c FROM fx_shots JOIN fx_roles USING (clip_id, track_id) GROUP BY ALL)
     SELECT clip_id, role, value, round(c * n / (n + 8) + 1e-7, 5) AS confidence, n, CASE WHEN n < 8 THEN 'sample_size' ELSE 'source' END AS limited_by FROM p""")
 _add("m13_in_rally", lambda get: M.in_rally(get("ball").select("clip_id", "frame"), get("rallies")), "SELECT b.clip_id, frame, min(rally_id) AS rally_id FROM fx_ball b JOIN fx_rallies r ON r.clip_id = b.clip_id AND frame BETWEEN start_frame AND end_frame GROUP BY ALL")
 _add("m12_role_positions", lambda get: M.role_positions(get("players"), get("roles")), _POS + " SELECT * FROM po")
-_add("m14_position_summary", lambda get: M.position_summary(M.role_positions(get("players"), get("roles"))), _POS + ", z AS (SELECT *, " + _ZONE.format(y="y") + """ AS zn, CASE WHEN least(greatest(x, 0), 20) < 20.0E0/3 THEN 'left' WHEN least(greatest(x, 0), 20) < 40.0E0/3 THEN 'centre' ELSE 'right' END AS lt,
+_add("m14_position_summary", lambda get: M.position_summary(M.role_positions(get("players"), get("roles"))).withColumns({c: F.round(F.col(c) + 1e-7, 5) for c in ("mean_x", "mean_y")}), _POS + ", z AS (SELECT *, " + _ZONE.format(y="y") + """ AS zn, CASE WHEN least(greatest(x, 0), 20) < 20.0E0/3 THEN 'left' WHEN least(greatest(x, 0), 20) < 40.0E0/3 THEN 'centre' ELSE 'right' END AS lt,
     CASE WHEN x BETWEEN 0 AND 20 AND y BETWEEN 0 AND 22 THEN floor(x / 2) * 100 + floor(y / 2) END AS cell FROM po)
     SELECT clip_id, role, count(*) AS frames, """ + ", ".join(f"avg(CAST(zn = '{k}' AS INT)) AS {k}" for k in ("kitchen", "transition", "baseline")) + ", " + ", ".join(f'avg(CAST(lt = \'{k}\' AS INT)) AS "{k}"' for k in ("left", "centre", "right")) +
-     ", avg(x) AS mean_x, avg(y) AS mean_y, count(DISTINCT cell) / 110 AS court_share FROM z GROUP BY clip_id, role")
+     ", round(avg(x) + 1e-7, 5) AS mean_x, round(avg(y) + 1e-7, 5) AS mean_y, count(DISTINCT cell) / 110 AS court_share FROM z GROUP BY clip_id, role")
 _add("m15_movement", lambda get: M.movement(M.role_positions(get("players"), get("roles"))), _POS + """, b AS (SELECT clip_id, role, floor(frame / 12) AS bucket, avg(x) AS x, avg(y) AS y FROM po GROUP BY ALL),
     s AS (SELECT *, CASE WHEN bucket - lag(bucket) OVER w = 1 THEN sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) END AS step FROM b WINDOW w AS (PARTITION BY clip_id, role ORDER BY bucket))
     SELECT clip_id, role, count_if(step BETWEEN 0.3 AND 24) AS steps, coalesce(sum(CASE WHEN step BETWEEN 0.3 AND 24 THEN step END), 0) AS feet FROM s GROUP BY clip_id, role""")
@@ -245,7 +245,7 @@ _add("m16_team_positioning", lambda get: M.team_positioning(M.role_positions(get
       FROM po a JOIN po b ON a.clip_id = b.clip_id AND a.frame = b.frame AND a.role = 'user' AND b.role = 'partner')
     SELECT clip_id, count(*) AS frames, avg(CAST(both_ AS INT)) AS both_kitchen, avg(gap) AS mean_gap, quantile_cont(gap, 0.5) AS median_gap, min(gap) AS min_gap, max(gap) AS max_gap FROM t GROUP BY clip_id""")
 _add("m18_heatmap", lambda get: M.heatmap(get("bounces"), "court_x_ft", "court_y_ft", ["clip_id"]), """SELECT clip_id, floor(court_y_ft / 2)::BIGINT AS "row", floor(court_x_ft / 2)::BIGINT AS col, count(*) AS n FROM fx_bounces WHERE court_x_ft >= 0 AND court_x_ft < 20 AND court_y_ft >= 0 AND court_y_ft < 44 GROUP BY ALL""")
-_add("m19_player_block", lambda get: M.player_block(get("shots"), get("roles")), "SELECT clip_id, role, count(*) AS shots, count_if(is_serve) AS serves, count_if(seq = 2) AS returns, avg(CASE WHEN NOT is_serve THEN confidence END) AS mean_confidence FROM fx_shots JOIN fx_roles USING (clip_id, track_id) GROUP BY ALL")
+_add("m19_player_block", lambda get: M.player_block(get("shots"), get("roles")).withColumn("mean_confidence", F.round(F.col("mean_confidence") + 1e-7, 5)), "SELECT clip_id, role, count(*) AS shots, count_if(is_serve) AS serves, count_if(seq = 2) AS returns, round(avg(CASE WHEN NOT is_serve THEN confidence END) + 1e-7, 5) AS mean_confidence FROM fx_shots JOIN fx_roles USING (clip_id, track_id) GROUP BY ALL")
 _add("m20_reconcile", lambda get: M.reconcile(get("shots"), get("roles")), """SELECT s.clip_id, count(*) AS shots, count(role) AS attributed, count(*) - count(role) AS unattributed, true AS balanced FROM fx_shots s LEFT JOIN (SELECT * FROM fx_roles WHERE role <> 'noise') r ON r.clip_id = s.clip_id AND r.track_id = s.track_id GROUP BY ALL""")
 _add("q2_score_categories", lambda get: M.score_categories(M.shot_mix(get("shots"), get("roles"))), _SCORES + " SELECT * FROM sc")
 _add("q4_overall_rating", lambda get: M.overall_rating(M.score_categories(M.shot_mix(get("shots"), get("roles")))).withColumns({c: F.round(F.col(c) + 1e-7, 5) for c in ("rating", "low", "high")}), _SCORES + """, r AS (SELECT clip_id, role, sum(level * weight * confidence) / sum(weight * confidence) AS rating, sum(weight * confidence) AS confidence FROM sc GROUP BY ALL)

@@ -15,6 +15,22 @@ def project(px: Column, py: Column, h: str = "h") -> tuple[Column, Column]:
     return row(0) / w, row(1) / w
 
 
+def image_of(x: Column, y: Column, h: str = "h") -> tuple[Column, Column]:
+    """Court point to image point: ``project`` backwards, by the adjugate of the same homography columns."""
+    c = lambda i, j: F.col(f"{h}{i % 3}{j % 3}")
+    cofactor = lambda i, j: c(j + 1, i + 1) * c(j + 2, i + 2) - c(j + 1, i + 2) * c(j + 2, i + 1)
+    row = lambda i: cofactor(i, 0) * x + cofactor(i, 1) * y + cofactor(i, 2)
+    w = F.when(F.abs(row(2)) >= 1e-9, row(2))
+    return row(0) / w, row(1) / w
+
+
+def local_px_per_ft(px: Column, py: Column, h: str = "h") -> Column:
+    """Image length of a foot at the ground point of a pixel: geometric mean of a foot along x and one along y."""
+    x, y = project(px, py, h)
+    at, right, ahead = image_of(x, y, h), image_of(x + 1, y, h), image_of(x, y + 1, h)
+    return F.sqrt(F.hypot(right[0] - at[0], right[1] - at[1]) * F.hypot(ahead[0] - at[0], ahead[1] - at[1]))
+
+
 def in_rect(x: Column, y: Column, side: float = 0.0, end: float = 0.0) -> Column:
     """Inside the court grown by ``side`` and ``end`` feet; false where unknown."""
     return F.coalesce(x.between(-side, COURT_W + side) & y.between(-end, COURT_L + end), F.lit(False))

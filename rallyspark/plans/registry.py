@@ -14,6 +14,7 @@ from ..operators import rallies as R
 from ..operators import shots as D
 from ..operators import tracks as P
 from ..sources.adapters import fixture, with_fixtures
+from . import contact_plans
 
 _Q: dict = {}
 _S: dict[str, str] = {}
@@ -287,6 +288,8 @@ _add("e20_detection_confusion", lambda get: E.detection_confusion(get("ball"), g
 _Q["e8_alternation_check"] = lambda spark, sf_dir: E.alternation_check(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 _S["e8_alternation_check"] = _counted("""WITH p AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) SELECT conv_id, count(*) AS turns, count_if(role = b) AS same_team, count_if(role = 'system') AS "unknown" FROM p GROUP BY conv_id""")
 
+contact_plans.register(_add, _LINKED)
+
 
 def flagship(spark, sf_dir: str):
     """Shot mix per clip and role."""

@@ -51,6 +51,23 @@ FIXTURES = {
           CASE rally_no % 6 WHEN 0 THEN 'ball_out' WHEN 1 THEN 'net' WHEN 2 THEN 'double_bounce' WHEN 3 THEN 'serve_fault' WHEN 4 THEN 'kitchen_fault' ELSE 'unknown' END AS end_reason,
           CAST(rally_no % 10 AS DOUBLE) / 10 AS end_confidence
         FROM fx_shots GROUP BY clip_id, rally_no""",
+    "fx_contacts": """
+        SELECT s.clip_id, s.frame, p.track_id, s.shot_id, s.part, p.row_id AS n, p.foot_x, p.foot_y, p.bbox_x1, p.bbox_y1, p.bbox_x2, p.bbox_y2, p.court_x_ft, p.court_y_ft, p.in_court, p.transient, p.is_user,
+          p.foot_x + p.row_id % 60 - 30 AS impact_x, p.bbox_y1 + p.row_id % 90 AS impact_y, CAST(p.row_id * 37 % 400 AS DOUBLE) / 10 AS speed_pre, CAST(p.row_id * 53 % 300 AS DOUBLE) / 10 AS speed_post
+        FROM (SELECT clip_id, frame, shot_id, shot_id AS row_id, 'hitter' AS part, track_id FROM fx_shots
+          UNION ALL SELECT clip_id, frame, shot_id, shot_id + 1 AS row_id, 'receiver' AS part, track_id FROM fx_shots) AS s JOIN fx_players p ON p.clip_id = s.clip_id AND p.row_id = s.row_id
+        WHERE part = 'hitter' OR p.track_id <> s.track_id""",
+    "fx_poses": """
+        SELECT clip_id, frame, track_id, n, foot_x, court_y_ft, foot_x - 14 + n % 5 AS lsx, bbox_y1 + 20 AS lsy, foot_x + 14 - n % 31 AS rsx, bbox_y1 + 21 AS rsy, foot_x - 8 AS lhx, bbox_y1 + 50 AS lhy, foot_x + 8 AS rhx, bbox_y1 + 51 AS rhy,
+          foot_x - 9 - n % 6 AS lkx, bbox_y1 + 65 AS lky, foot_x + 9 + n % 4 AS rkx, bbox_y1 + 66 AS rky, foot_x - 7 + n % 4 AS lax, foot_y - 2 - n % 3 AS lay, foot_x + 7 - n % 5 AS rax, foot_y - n % 4 AS ray,
+          foot_x - 20 + n % 37 AS lwx, bbox_y1 + 40 + n % 11 AS lwy, foot_x + 20 - n % 41 AS rwx, bbox_y1 + 35 + n % 13 AS rwy, CAST(n * 7 % 10 + 1 AS DOUBLE) / 10 AS lsv, CAST(n * 3 % 10 + 1 AS DOUBLE) / 10 AS rsv,
+          CAST(n * 9 % 10 + 1 AS DOUBLE) / 10 AS lhv, CAST(n % 10 + 1 AS DOUBLE) / 10 AS rhv, CAST((n + 3) * 7 % 10 + 1 AS DOUBLE) / 10 AS lkv, CAST((n + 5) * 3 % 10 + 1 AS DOUBLE) / 10 AS rkv,
+          CAST((n + 7) * 9 % 10 + 1 AS DOUBLE) / 10 AS lav, CAST((n + 2) * 7 % 10 + 1 AS DOUBLE) / 10 AS rav, CAST((n + 4) * 3 % 10 + 1 AS DOUBLE) / 10 AS lwv, CAST((n + 6) * 9 % 10 + 1 AS DOUBLE) / 10 AS rwv
+        FROM fx_contacts WHERE part = 'hitter' AND n % 8 <> 3""",
+    "fx_roster": "SELECT role, CASE role WHEN 'partner' THEN 'left' WHEN 'noise' THEN NULL ELSE 'right' END AS hand FROM (SELECT DISTINCT role FROM fx_roles) AS r",
+    "fx_sizes": """
+        SELECT clip_id, frame, CAST(event_id * 31 % 97 + 40 AS DOUBLE) / 10 AS measured_px, CAST(event_id * 17 % 61 + 40 AS DOUBLE) / 10 AS predicted_px, event_id % 4 = 0 AS at_bounce, CAST(event_id * 13 % 260 - 30 AS DOUBLE) / 10 AS ground_x, CAST(event_id * 29 % 520 - 40 AS DOUBLE) / 10 AS ground_y
+        FROM (SELECT user_id % 15 AS clip_id, event_id, row_number() OVER (PARTITION BY user_id % 15 ORDER BY event_id) - 1 AS frame FROM events) AS e""",
     "fx_truth": "SELECT clip_id, shot_id AS truth_id, frame + shot_id % 41 - 20 AS frame, shot_type AS true_type, is_volley AS true_volley FROM fx_shots WHERE shot_id % 5 <> 0",
     "fx_labels": """
         SELECT clip_id, frame, visible AS ball_visible, CASE WHEN visible THEN pixel_x + frame % 30 END AS label_x, CASE WHEN visible THEN pixel_y + frame % 17 END AS label_y

@@ -71,8 +71,9 @@ def px_per_ft(y: Column, near: Column, far: Column) -> Column:
 
 
 def bbox_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """From a point to the edge of a box; 0 inside."""
-    return F.hypot(F.greatest(x1 - px, F.lit(0.0), px - x2), F.greatest(y1 - py, F.lit(0.0), py - y2))
+    """From a point to the edge of a box; 0 inside, null without a point or a box (``greatest`` would skip the nulls)."""
+    known = px.isNotNull() & py.isNotNull() & x1.isNotNull() & x2.isNotNull() & y1.isNotNull() & y2.isNotNull()
+    return F.when(known, F.hypot(F.greatest(x1 - px, F.lit(0.0), px - x2), F.greatest(y1 - py, F.lit(0.0), py - y2)))
 
 
 def turn_degrees(ax: Column, ay: Column, bx: Column, by: Column) -> Column:

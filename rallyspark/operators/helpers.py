@@ -83,3 +83,39 @@ def match_one_to_one(truth: DataFrame, got: DataFrame, tolerance: int) -> DataFr
         return pd.DataFrame(out, columns=["clip_id", "truth_id", "got_id", "distance"])
 
     return chains(both, ["clip_id"], "frame", tolerance).groupBy("clip_id", "chunk").applyInPandas(match, "clip_id long, truth_id long, got_id long, distance long")
+
+
+def dedup_serves(serves: DataFrame, within: int) -> DataFrame:
+    """Of neighbouring serves at most ``within`` frames apart with no impulse between, the one of the shorter run goes (ties:
+    the later); a serve that has gone starts no further pair. ``impulses`` counts the clip's impulses up to each serve."""
+    fields = serves.schema
+
+    def keep(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("frame", ignore_index=True)
+        frames, runs, seen = g["frame"].tolist(), g["run_length"].tolist(), g["impulses"].tolist()
+        gone = set()
+        for i in range(len(g) - 1):
+            if i not in gone and frames[i + 1] - frames[i] <= within and seen[i + 1] == seen[i]:
+                gone.add(i if runs[i] < runs[i + 1] else i + 1)
+        return g.loc[[i not in gone for i in range(len(g))], fields.names]
+
+    return chains(serves, ["clip_id"], "frame", within).groupBy("clip_id", "chunk").applyInPandas(keep, fields)
+
+
+def same_track_repeats(shots: DataFrame, within: int) -> DataFrame:
+    """A player's next shot within ``within`` frames of the shot kept last, with no other player between: a serve that is
+    held stays, else the later one does."""
+    fields = shots.schema
+
+    def keep(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["frame", "shot_id"], ignore_index=True)
+        kept: list[int] = []
+        for i, (frame, track) in enumerate(zip(g["frame"], g["track_id"])):
+            if kept and g["track_id"][kept[-1]] == track and frame - g["frame"][kept[-1]] <= within:
+                if not g["is_serve"][kept[-1]]:
+                    kept[-1] = i
+            else:
+                kept.append(i)
+        return g.loc[kept, fields.names]
+
+    return chains(shots, ["clip_id"], "frame", within).groupBy("clip_id", "chunk").applyInPandas(keep, fields)

@@ -104,11 +104,13 @@ def ready_position(poses: DataFrame, roles: DataFrame, shots: DataFrame, half: i
     """Median height of the hands between hips (0) and shoulders (1) by role and zone, away from the role's own swings.
 
     Zones with fewer than ``per_zone`` rows have no median; roles with fewer than ``total`` rows have no trend.
+    Rows without a measure are left to the aggregates, as a filter on so nested an expression costs the optimizer minutes.
     """
     high = mean_of(*(point(p, floor)[1] for p in ("lw", "rw")))
     hips, shoulders = mean_of(*(point(p, floor)[1] for p in ("lh", "rh"))), mean_of(*(point(p, floor)[1] for p in ("ls", "rs")))
     swings = shots.filter("not is_serve").select("clip_id", "track_id", F.explode(F.sequence(F.col("frame") - half, F.col("frame") + half)).alias("frame")).distinct()
     rows = (poses.join(swings, ["clip_id", "track_id", "frame"], "left_anti").join(roles.filter("role <> 'noise'"), ["clip_id", "track_id"])
-            .withColumn("ready", F.try_divide(hips - high, F.when(hips > shoulders, hips - shoulders))).filter("ready is not null").withColumn("zone", zone(F.col("court_y_ft"))))
-    per = [F.when(F.count(F.when(F.col("zone") == z, 1)) >= per_zone, F.percentile(F.when(F.col("zone") == z, F.col("ready")), F.lit(0.5))).alias(z) for z in ("kitchen", "transition", "baseline")]
-    return rows.groupBy("role").agg(F.count("*").alias("n_rows"), *per).withColumn("rises_at_net", F.when(F.col("n_rows") >= total, F.col("kitchen") > F.col("baseline") + 0.05))
+            .select("role", zone(F.col("court_y_ft")).alias("zone"), F.try_divide(hips - high, F.when(hips > shoulders, hips - shoulders)).alias("ready")))
+    zones = rows.groupBy("role", "zone").agg(F.count("ready").alias("n"), F.percentile("ready", F.lit(0.5)).alias("median"))
+    per = [F.max(F.when((F.col("zone") == z) & (F.col("n") >= per_zone), F.col("median"))).alias(z) for z in ("kitchen", "transition", "baseline")]
+    return zones.groupBy("role").agg(F.sum("n").alias("n_rows"), *per).withColumn("rises_at_net", F.when(F.col("n_rows") >= total, F.col("kitchen") > F.col("baseline") + 0.05))

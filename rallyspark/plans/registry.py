@@ -14,7 +14,7 @@ from ..operators import rallies as R
 from ..operators import shots as D
 from ..operators import tracks as P
 from ..sources.adapters import fixture, with_fixtures
-from . import contact_plans
+from . import contact_plans, review_plans
 
 _Q: dict = {}
 _S: dict[str, str] = {}
@@ -289,6 +289,7 @@ _Q["e8_alternation_check"] = lambda spark, sf_dir: E.alternation_check(spark.rea
 _S["e8_alternation_check"] = _counted("""WITH p AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) SELECT conv_id, count(*) AS turns, count_if(role = b) AS same_team, count_if(role = 'system') AS "unknown" FROM p GROUP BY conv_id""")
 
 contact_plans.register(_add, _LINKED)
+review_plans.register(_add, _SCORES, _SIG)
 
 
 def flagship(spark, sf_dir: str):

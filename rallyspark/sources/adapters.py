@@ -68,6 +68,10 @@ FIXTURES = {
     "fx_sizes": """
         SELECT clip_id, frame, CAST(event_id * 31 % 97 + 40 AS DOUBLE) / 10 AS measured_px, CAST(event_id * 17 % 61 + 40 AS DOUBLE) / 10 AS predicted_px, event_id % 4 = 0 AS at_bounce, CAST(event_id * 13 % 260 - 30 AS DOUBLE) / 10 AS ground_x, CAST(event_id * 29 % 520 - 40 AS DOUBLE) / 10 AS ground_y
         FROM (SELECT user_id % 15 AS clip_id, event_id, row_number() OVER (PARTITION BY user_id % 15 ORDER BY event_id) - 1 AS frame FROM events) AS e""",
+    "fx_tracks": """
+        SELECT clip_id, track_id, n_rows, first_frame, last_frame, height, first_x, first_y, last_x, last_y, signature FROM (
+          SELECT clip_id, track_id, count(*) AS n_rows, min(frame) AS first_frame, max(frame) AS last_frame, max(bbox_y2 - bbox_y1) / 22.0E0 AS height, min(court_x_ft) AS first_x, min(court_y_ft) AS first_y, max(court_x_ft) AS last_x, max(court_y_ft) AS last_y
+          FROM fx_players GROUP BY clip_id, track_id) AS t LEFT JOIN (SELECT vec_id AS sid, embedding AS signature FROM embeddings) AS s ON sid = clip_id * 12 + track_id""",
     "fx_truth": "SELECT clip_id, shot_id AS truth_id, frame + shot_id % 41 - 20 AS frame, shot_type AS true_type, is_volley AS true_volley FROM fx_shots WHERE shot_id % 5 <> 0",
     "fx_labels": """
         SELECT clip_id, frame, visible AS ball_visible, CASE WHEN visible THEN pixel_x + frame % 30 END AS label_x, CASE WHEN visible THEN pixel_y + frame % 17 END AS label_y

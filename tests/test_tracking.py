@@ -89,3 +89,49 @@ def test_queries_match_duckdb(spark, name):
     numbers = [c for c in want.columns if pd.api.types.is_numeric_dtype(want[c])]
     for c in numbers:
         assert want[c].sum() == pytest.approx(got[c].astype(float).sum(), rel=1e-9), c
+
+
+def test_dedup_serves_and_repeats_match_plain_loops(spark):
+    rng = random.Random(8)
+    rows = [(c, i, f, rng.randrange(3), rng.random() < 0.3) for c in range(3) for i, f in enumerate(sorted(rng.sample(range(3000), 150)))]
+    shots_ = spark.createDataFrame(rows, "clip_id long, shot_id long, frame long, track_id long, is_serve boolean")
+    expect = set()
+    for c in range(3):
+        kept = []
+        for r in (r for r in rows if r[0] == c):
+            if kept and kept[-1][3] == r[3] and r[2] - kept[-1][2] <= 30:
+                kept[-1] = kept[-1] if kept[-1][4] else r
+            else:
+                kept.append(r)
+        expect |= {r[:2] for r in kept}
+    assert {(r.clip_id, r.shot_id) for r in helpers.same_track_repeats(shots_, 30).collect()} == expect
+    serves = [(0, 0, 0, 5, 0), (0, 1, 20, 9, 0), (0, 2, 40, 9, 0), (0, 3, 60, 1, 3), (0, 4, 300, 2, 3), (0, 5, 310, 2, 3)]
+    df = spark.createDataFrame(serves, "clip_id long, shot_id long, frame long, run_length long, impulses long")
+    assert {r.shot_id for r in helpers.dedup_serves(df, 50).collect()} == {1, 3, 4}
+
+
+def test_body_measures_of_hidden_and_flat_bodies(spark):
+    from pyspark.sql import functions as F
+
+    from rallyspark.operators import poses
+    names = [s + p + c for s in "lr" for p in "shkaw" for c in "xyv"]
+    straight = {n: {"s": 0.0, "h": 10.0, "k": 20.0, "a": 30.0, "w": 5.0}[n[1]] if n[2] == "y" else (0.0 if n[0] == "l" else 4.0) if n[2] == "x" else 0.9 for n in names}
+    hidden = straight | {n: 0.1 for n in names if n[2] == "v"}
+    flat = straight | {"rsx": 0.0}
+    df = spark.createDataFrame([tuple(r[n] for n in names) for r in (straight, hidden, flat)], ", ".join(f"{n} double" for n in names))
+    side = lambda hand: poses.stroke_side(F.lit(5.0), F.lit(hand).cast("string"), F.lit(False))
+    got = df.select(poses.knee_angle().alias("knee"), poses.contact_height(F.lit(12.0)).alias("height"), side("right").alias("r"), side("left").alias("l"), side(None).alias("none")).collect()
+    assert (got[0].knee, got[0].height, got[0].r.side, got[0].l.side, got[0].none.side) == (180.0, "low", "forehand", "backhand", "unknown")
+    assert (got[1].knee, got[1].height, got[1].r.side, got[1].r.confidence) == (None, "mid", "unknown", 0.0)
+    assert (got[2].r.side, got[2].r.confidence) == ("unknown", 0.0)
+
+
+def test_image_of_undoes_project(spark):
+    from pyspark.sql import functions as F
+
+    from rallyspark.functions import geometry as geo
+    h = {"h00": 0.0125, "h01": 0.001, "h02": -2.0, "h10": 0.0005, "h11": 0.0625, "h12": -4.0, "h20": 0.00001, "h21": 0.0005, "h22": 1.0}
+    df = spark.createDataFrame([(700.0, 300.0, *h.values())], "px double, py double, " + ", ".join(f"{k} double" for k in h))
+    x, y = geo.image_of(*geo.project(F.col("px"), F.col("py")))
+    got = df.select(x.alias("x"), y.alias("y")).first()
+    assert abs(got.x - 700) < 1e-6 and abs(got.y - 300) < 1e-6

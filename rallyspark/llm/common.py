@@ -45,6 +45,11 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder with ``row_``, a number that tells its rows apart whatever their ids."""
+    return materialize(df.withColumn("row_", F.monotonically_increasing_id()))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; null counts as empty."""
     text = F.coalesce(text, F.lit(""))

@@ -189,14 +189,5 @@ def simhash_near_dedup(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE)
         F.coalesce("size", F.lit(1).cast("long")).alias("component_size"))
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE) -> DataFrame:
-    """``docs`` with the smallest doc_id of each component only; all columns stay, of repeated ids all rows."""
-    rows, several = near_components(docs, radius, k)
-    gone = materialize(rows.join(several, "fp").filter("not doc_id <=> component_id").select("doc_id"))
-    held = gone.count()
-    gone = gone.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(F.broadcast(gone) if held <= 200_000 else gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
-
-
 def op4(spark, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(table(spark, sf_dir, "documents"))

@@ -25,17 +25,21 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, materialize, table, words
+from .common import let, materialize, numbered, table, words
 
 WEIGHTS, TOTAL, MAX_EPOCHS = (5, 2, 1), 1.5, 2
 BLOCK_DOCS, FAN, SHARDS, SEED = 64, 1024, 16, 7
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, r), written to the shared folder; ``r`` is the hash that permutes the documents."""
+    """(row_, doc_id, source, size, r), written to the shared folder; ``r`` is the hash that permutes the documents.
+
+    The hash takes the text too, so that null and repeated ids are dealt over the blocks like any others. ``row_`` is
+    that of ``docs`` if it has one."""
+    row = F.col("row_") if "row_" in docs.columns else F.monotonically_increasing_id().alias("row_")
     return materialize(docs.select(
-        F.col("doc_id"), F.col("source").cast("string").alias("source"), F.size(words(F.col("text"))).cast("long").alias("size"),
-        F.xxhash64(F.lit(SEED), F.col("doc_id")).alias("r")))
+        row, F.col("doc_id"), F.col("source").cast("string").alias("source"), F.size(words(F.col("text"))).cast("long").alias("size"),
+        F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")).alias("r")))
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -119,7 +123,7 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, max_epochs: int = MAX_EPOCHS, shards: int = SHARDS, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, and ``draws``, an array of
+    """One row per document: row_, doc_id, source, size, source_size, target, taken, and ``draws``, an array of
     (shard, words): once per whole epoch and once for the part of the last epoch."""
     sizes = sized(docs)
     goals = materialize(targets(sizes, weights, total, max_epochs)
@@ -155,7 +159,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, max_epo
                        .withColumn("pos", F.col("n_before") + F.col("pos") - 1)
                        .select("source_", "no_source", "block", "block_from", F.transform(F.sequence(F.lit(0).cast("long"), F.col("epochs")), lambda e:
                                F.size(F.filter("ends", lambda end: end <= e * F.col("n_blocks") + F.col("pos")))).alias("at")))
-    in_block = Window.partitionBy(*keys, "block").orderBy("r", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    in_block = Window.partitionBy(*keys, "block").orderBy("r", "doc_id", "size", "row_").rowsBetween(Window.unboundedPreceding, -1)
     of_block = (placed.select("*", *keys).withColumn("before", F.coalesce(F.sum("size").over(in_block), F.lit(0)))
                 .join(plan, ["source_", "no_source", "block"]))
     part_words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("block_from") - F.col("before")))
@@ -164,7 +168,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, max_epo
     return (of_block.withColumn("part_words", part_words)
             .withColumn("draws", F.when(F.col("size") > 0, F.concat(whole, F.coalesce(last, F.array().cast("array<struct<shard:int,words:bigint>>")))).otherwise(
                 F.array().cast("array<struct<shard:int,words:bigint>>")))
-            .select("doc_id", "source", "size", "source_size", "target",
+            .select("row_", "doc_id", "source", "size", "source_size", "target",
                     F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("taken"), "draws"))
 
 
@@ -176,11 +180,11 @@ def mixed(docs: DataFrame, **kw) -> DataFrame:
     """The mix itself with the columns of ``docs``: a row per draw, the partial one cut to its first words.
 
     Rows are put in the order of their shard's hash when written with ``sortWithinPartitions``; here they are only
-    drawn. A null doc_id is drawn like any other; of repeated doc_ids each row follows the least plan of that id.
+    drawn. Plans meet their documents by row number: null and repeated doc_ids are documents of their own.
     """
-    plan = materialize(mix(docs, **kw).groupBy("doc_id").agg(F.min("draws").alias("draws_")).filter(F.size("draws_") > 0).select(F.col("doc_id").alias("of"), "draws_"))
-    drawn = (docs.join(F.broadcast(plan) if plan.count() <= 100_000 else plan, F.col("doc_id").eqNullSafe(F.col("of")))
-             .withColumn("draw_", F.explode("draws_")))
+    rows = numbered(docs)
+    plan = materialize(mix(rows, **kw).filter(F.size("draws") > 0).select("row_", F.col("draws").alias("draws_")))
+    drawn = rows.join(plan.hint("shuffle_hash"), "row_").withColumn("draw_", F.explode("draws_"))  # one way at every size
     n = F.size(words(F.col("text")))
     cut = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.greatest(F.lit(1), F.col("draw_.words").cast("int"))), " ")
     text = F.when(F.col("draw_.words") >= n, F.col("text")).otherwise(cut)

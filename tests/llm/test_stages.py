@@ -3,7 +3,7 @@
 import random
 import re
 
-from rallyspark.llm import near_copies
+from rallyspark.llm import mixing, near_copies
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -52,3 +52,30 @@ def test_near_copies_match_brute_force(spark):
     assert got.columns == ["doc_id", "text"] and kept == {rows[i][0] for i in brute_kept(rows)}
     assert len(kept) < len(rows) - 30
     assert near_copies.drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    rng = random.Random(4)
+    texts = copies(2)
+    rows = [(None if i % 3 == 0 else rng.randrange(20), t) for i, t in enumerate(texts)]
+    want = brute_kept(rows)
+    got = [r.text for r in near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()]
+    assert sorted(got) == sorted(rows[i][1] for i in want)
+
+
+def test_mix_keeps_rows_of_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    rows = [(None if i % 3 == 0 else i % 50 if i % 3 == 1 else 1000 + i, f"t{i} " + "w " * rng.choice([0, 3, 40]) if i % 7 else " ", rng.choice(["a", "a", "b", None])) for i in range(900)]
+    docs = mixing.numbered(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    plan = mixing.mix(docs, shards=3, block_docs=8).collect()
+    text = {r.row_: r.text for r in docs.collect()}
+    assert len(plan) == len({r.row_ for r in plan}) == len(rows)
+    want = sorted((str(r.doc_id), str(r.source), " ".join(text[r.row_].split()[: d.words])) for r in plan for d in r.draws)
+    got = sorted((str(r.doc_id), str(r.source), " ".join(r.text.split())) for r in mixing.mixed(docs.drop("row_"), shards=3, block_docs=8).collect())
+    assert got == want
+    assert {w for _, s, w in want if s == "b"} >= {" ".join(t.split()) for _, t, s in rows if s == "b" and t.split()}  # "b" is drawn in full
+
+
+def test_null_ids_are_dealt_over_the_blocks(spark):
+    rows = [(None, f"text {i}", "a") for i in range(2000)]
+    assert mixing.sized(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("r").distinct().count() == 2000

@@ -6,9 +6,10 @@ from order 0 to ``ORDER`` (Witten-Bell: a context is trusted by how often and wi
 was seen). A url's score is the difference of its log-likelihoods divided by its length; the cutoff is calibrated on
 a held-out fifth of the ruled urls, so that blocked and allowed ones are mistaken equally seldom in sum.
 
-N-gram counts cover all ruled urls. They are kept per hash bucket, 2**BITS per order, so the model has at most
-2 classes x (ORDER + 1) x 2**BITS x 2 counts however many urls there are: that bounds what is sent to the driver and
-broadcast.
+Counts are exact and kept as Spark tables that grow with the urls: occurrences of each (context, next character) and
+the true number of different successors of each context, per class. What a character adds to a score depends on the
+five characters that end with it only, so each different 5-gram is valued once, order by order, and a url's score is the
+sum over its 5-grams. The cutoff comes from models without the held-out urls; verdicts from models of all ruled urls.
 
 Defined results: null urls and urls without ``://`` have an empty host and path, fit no rule and are judged by the
 model as empty text (score 0, allowed unless the cutoff is above 0); without ruled urls of both kinds everything is
@@ -17,22 +18,20 @@ allowed; repeated rows are judged each; an empty table gives an empty result; ex
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, table
+from .common import ascii_lower, materialize, numbered, table
 
 #: (verdict, host, path): fixed values of the contract.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 ORDER, BITS, HELD_OUT = 4, 14, 5
 #: Scores are calibrated on a grid of so many steps per unit, from -SPAN to SPAN.
 STEPS, SPAN = 100, 5
-_CHARS = 96  # a url's characters are folded into so many
+#: Valued 5-grams up to this many are broadcast; more are joined with so many salts, since some are in every url.
+BROADCAST_ROWS, SALTS = 200_000, 16
+_CHARS = 96  # a url's characters are folded into so many (by Model only)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -72,22 +71,10 @@ def _grams(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lengths, np.stack(contexts), np.stack(grams)
 
 
-def count_grams(urls: DataFrame) -> DataFrame:
-    """(label, kind, bucket, n) summed over ``urls(url, label)``; kind is order * 2, plus 1 for contexts."""
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            labels = np.array(batch.column(1).to_pylist(), np.int64)
-            lengths, contexts, grams = _grams(batch.column(0).to_pylist())
-            label = np.repeat(labels, lengths)
-            keys = np.concatenate([(((label * (ORDER + 1) + k) * 2 + c) << BITS) + b[k] for k in range(ORDER + 1) for c, b in ((0, grams), (1, contexts))] or [np.zeros(0, np.int64)])
-            key, n = np.unique(keys, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "n"])
-
-    return urls.select("url", "label").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
 class Model:
-    """Both models as arrays of counts: [class, order, gram or context, bucket]."""
+    """Both models as hashed arrays of counts, [class, order, gram or context, bucket]: for small lists of urls in memory.
+
+    judge_urls doesn't use it; its counts are exact tables (gram_values)."""
 
     def __init__(self, keys: np.ndarray, n: np.ndarray):
         self.counts = np.zeros(2 * (ORDER + 1) * 2 << BITS, np.float32)
@@ -110,24 +97,63 @@ class Model:
         return np.bincount(of, logs[0] - logs[1], len(lengths)) / np.maximum(lengths, 1)
 
 
-def judge_urls(spark: SparkSession, pages: DataFrame, rules=RULES) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, score."""
-    known = materialize(ruled(pages, rules))
-    label = (F.col("rule_verdict") == "allow").cast("int")
-    train = known.filter("rule is not null").select("url", label.alias("label"), (F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0).alias("held_out"))
-    counts = count_grams(train.filter("not held_out")).toPandas()  # bounded by the buckets
-    model = spark.sparkContext.broadcast(Model(counts["key"].to_numpy(np.int64), counts["n"].to_numpy(np.float32)))
+MODELS = [f"{c}_{part}" for part in ("part", "all") for c in ("block", "allow")]
+
 
-    def scored(df: DataFrame, keep: list[str], schema: str) -> DataFrame:
-        def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in it:
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), pa.array(model.value.scores(batch.column(0).to_pylist()))], [*keep, "score"])
+def url_grams(rows: DataFrame) -> DataFrame:
+    """(row_, gram, n, ...) of the ORDER + 1 characters that end with each character of ``rows(row_, url, ...)``."""
+    padded = F.concat(F.lit("\n" * ORDER), F.col("url"))
+    grams = F.transform(F.sequence(F.lit(1), F.length("url")), lambda i: F.substring(padded, i, F.lit(ORDER + 1)))
+    return rows.filter(F.length("url") > 0).select("*", F.explode(grams).alias("gram")).groupBy(*[c for c in rows.columns if c != "url"], "gram").agg(F.count("*").alias("n"))
 
-        return df.select(*keep).mapInArrow(score, schema + ", score double")
 
+def gram_values(grams: DataFrame) -> DataFrame:
+    """(gram, part, all): log-likelihood ratio of each gram's last character, by the models of part and of all ruled urls.
+
+    ``grams(gram, n, label, held_out)``: label and held_out are null for urls without a rule."""
+    of = {"block_part": "label = 0 and not held_out", "allow_part": "label = 1 and not held_out", "block_all": "label = 0", "allow_all": "label = 1"}
+    longest = materialize(grams.groupBy("gram").agg(*[F.coalesce(F.sum(F.when(F.expr(of[m]), F.col("n"))), F.lit(0).cast("long")).alias(m) for m in MODELS]))
+    last = None
+    for k in range(ORDER + 1):
+        counts = materialize(longest.groupBy(F.substring("gram", ORDER + 1 - k, k + 1).alias("g")).agg(*[F.sum(m).alias(m) for m in MODELS]))
+        seen = counts.groupBy(F.substring("g", 1, k).alias("context")).agg(
+            *[F.sum(m).alias(f"{m}_c") for m in MODELS], *[F.count_if(F.col(m) > 0).alias(f"{m}_kinds") for m in MODELS], F.count("*").alias("kinds_"))
+        if k:
+            lower = last.select(F.col("g").alias("tail"), *[F.col(f"{m}_p").alias(f"{m}_q") for m in MODELS])
+            wide = (counts.withColumn("context", F.substring("g", 1, k)).withColumn("tail", F.substring("g", 2, k))
+                    .join(seen, "context").join(lower, "tail"))
+        else:
+            wide = counts.join(F.broadcast(seen)).withColumns({f"{m}_q": 1 / (F.col("kinds_") + 1) for m in MODELS})  # one row
+        # Witten-Bell: c / (c + kinds) * n / c + kinds / (c + kinds) * q
+        last = materialize(wide.select("g", *[F.when(F.col(f"{m}_c") > 0, (F.col(m) + F.col(f"{m}_kinds") * F.col(f"{m}_q")) / (F.col(f"{m}_c") + F.col(f"{m}_kinds")))
+                                              .otherwise(F.col(f"{m}_q")).alias(f"{m}_p") for m in MODELS]))
+    return materialize(last.select(F.col("g").alias("gram"), *[(F.log(f"allow_{part}_p") - F.log(f"block_{part}_p")).alias(part) for part in ("part", "all")]))
+
+
+def scores(known: DataFrame) -> DataFrame:
+    """(row_, part_score, score) of ``known(row_, url, label, held_out)``: the ratio per character, 0 of empty urls."""
+    grams = materialize(url_grams(known.select("row_", "url", "label", "held_out")))
+    values = gram_values(grams)
+    if values.count() <= BROADCAST_ROWS:
+        valued = grams.join(F.broadcast(values), "gram")
+    else:
+        salted = values.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        valued = grams.withColumn("salt", F.pmod(F.xxhash64("row_"), F.lit(SALTS)).cast("int")).join(salted, ["gram", "salt"])
+    # Sums of whole billionths don't depend on their order.
+    total = lambda c: F.sum(F.round(F.col(c) * 1e9).cast("long") * F.col("n")) / 1e9 / F.sum("n")
+    return materialize(valued.groupBy("row_").agg(total("part").alias("part_score"), total("all").alias("score")))
+
+
+def judge_urls(spark: SparkSession, pages: DataFrame, rules=RULES) -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict, score."""
+    label = (F.col("rule_verdict") == "allow").cast("int")
+    held_out = F.when(F.col("rule").isNotNull(), F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0)
+    known = numbered(ruled(pages, rules).withColumn("label", label).withColumn("held_out", held_out))
+    zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("part_score", "score")]
+    judged = materialize(known.join(scores(known), "row_", "left").select("page_id", "host", "path", "rule", "rule_verdict", "label", "held_out", *zero))
     edge = SPAN * STEPS
-    held = (scored(train.filter("held_out"), ["url", "label"], "url string, label int")
-            .groupBy("label", F.greatest(F.lit(-edge), F.least(F.lit(edge), F.floor(F.col("score") * STEPS))).alias("bin")).count().toPandas())  # 2 x 1001 rows at most
+    held = (judged.filter("held_out").groupBy("label", F.greatest(F.lit(-edge), F.least(F.lit(edge), F.floor(F.col("part_score") * STEPS))).alias("bin"))
+            .count().toPandas())  # 2 x 1001 rows at most
     cutoff = -np.inf
     if held["label"].nunique() == 2:
         share = np.zeros((2, 2 * edge + 2))
@@ -136,7 +162,6 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules=RULES) -> DataFrame:
         wrong = below[1] + 1 - below[0]
         best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
         cutoff = (best[len(best) // 2] - edge) / STEPS
-    judged = scored(known, ["url", "page_id", "host", "path", "rule", "rule_verdict"], f"url string, page_id {known.schema['page_id'].dataType.simpleString()}, host string, path string, rule string, rule_verdict string")
     verdict = F.when(F.col("score") >= float(cutoff), "allow").otherwise("block") if np.isfinite(cutoff) else F.lit("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", verdict).alias("verdict"), "score")
 

@@ -1,9 +1,11 @@
 """Brute-force versions of the pipeline's stages on small fixtures."""
 
+import math
 import random
 import re
+from collections import Counter, defaultdict
 
-from rallyspark.llm import mixing, near_copies
+from rallyspark.llm import mixing, near_copies, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -79,3 +81,44 @@ def test_mix_keeps_rows_of_null_and_repeated_ids(spark):
 def test_null_ids_are_dealt_over_the_blocks(spark):
     rows = [(None, f"text {i}", "a") for i in range(2000)]
     assert mixing.sized(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("r").distinct().count() == 2000
+
+
+def brute_scores(urls, labels):
+    """Witten-Bell scores by dictionaries of exact counts."""
+    order, count, successors = url_filter.ORDER, Counter(), defaultdict(set)
+    alphabet = {c for u in urls for c in u or ""}
+    for u, y in zip(urls, labels):
+        for i, c in enumerate(u or ""):
+            for k in range(order + 1):
+                context = ("\n" * order + u)[i + order - k: i + order]
+                if y is not None:
+                    count[y, k, context] += 1
+                    count[y, k, context, c] += 1
+                    successors[y, k, context].add(c)
+    out = []
+    for u in urls:
+        total = 0.0
+        for i, c in enumerate(u or ""):
+            for y, sign in ((1, 1), (0, -1)):
+                p = 1 / (len(alphabet) + 1)
+                for k in range(order + 1):
+                    context = ("\n" * order + u)[i + order - k: i + order]
+                    if n := count[y, k, context]:
+                        kinds = len(successors[y, k, context])
+                        p = (count[y, k, context, c] + kinds * p) / (n + kinds)
+                total += sign * math.log(p)
+        out.append(total / max(1, len(u or "")))
+    return out
+
+
+def test_url_scores_match_exact_counts_of_all_ruled_urls(spark, monkeypatch):
+    rng = random.Random(12)
+    urls = [f"http://{''.join(rng.choices('abcdé', k=6))}.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['es', 'en', 'x'])}/{rng.randrange(50)}" for _ in range(150)] + [None, ""]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    label = {r.page_id: {"allow": 1, "block": 0}.get(r.rule_verdict) for r in url_filter.ruled(pages).collect()}
+    assert set(label.values()) == {0, 1, None}
+    want = brute_scores(urls, [label[i] for i in range(len(urls))])
+    for most in (200_000, 0):  # broadcast and salted
+        monkeypatch.setattr(url_filter, "BROADCAST_ROWS", most)
+        got = {r.page_id: r.score for r in url_filter.judge_urls(spark, pages).collect()}
+        assert len(got) == len(urls) and all(abs(got[i] - w) < 1e-6 for i, w in enumerate(want))

@@ -1,11 +1,16 @@
 """Adaptive context-mixing range coder for token ids, vectorised over blocks.
 
 Ids (below 65536) are coded in blocks that start from nothing, so any block can be decoded alone and numpy can code
-thousands side by side, one id of each block per step. For each id three predictions are mixed: the id that last
-followed the same two ids (order 2), the one that last followed the same id (order 1), and the frequencies of the
-block's ids so far (order 0). How far the first two are trusted is learned: the choice between "order 2 is right",
-"order 1 is right" and "neither" is coded with adaptive counts in the context of both predictions' confidences. In
-the last case order 0 codes the id's high byte and then its low byte. Every block carries a CRC-32 of its ids.
+thousands side by side, one id of each block per step. Three predictions are mixed for each id: order 2 says the id that
+last followed the same two ids, order 1 the one that last followed the same id, order 0 the frequencies of the block's
+ids so far, as high byte and low byte. The mixture is
+
+    P(id) = w2 [id = said2] + w1 [id = said1] + w0 P0(high) P0(low)
+
+with weights that the block learns in the context of both predictions' confidences: each order's share of past
+successes there. It drives a range coder twice per id: P(high), then P(low | high), in which only those predictions still
+have weight whose high byte has come true. Order-0 frequencies are brought up to date at steps that grow wider (16,
+32, 64 ... ``REFRESH``). Every block carries a CRC-32 of its ids.
 """
 
 from __future__ import annotations
@@ -18,129 +23,174 @@ import numpy as np
 BLOCK_IDS, LANES = 2048, 2048
 #: log2 of the slots of the order-1 and order-2 tables of a block.
 SLOTS1, SLOTS2 = 9, 10
-#: The order-0 frequency tables are brought up to date once in so many steps.
-REFRESH = 64
-_M48, _TOP, _BOT = np.uint64((1 << 48) - 1), np.uint64(1 << 32), np.uint64(1 << 16)
-_U = np.uint64
-HEAD = struct.Struct("<III")  # ids, 16-bit words, CRC-32
+#: Most steps between two updates of the order-0 frequencies.
+REFRESH = 256
+#: Bits of the mixing weights and of the order-0 frequencies; an id's byte is coded in 2 ** (W + P) parts.
+W, P = 12, 12
+_U, _I = np.uint64, np.int64
+_LEAST, _SHIFT, _PARTS = _U(1 << 32), _U(32), _U(W + P)
+HEAD = struct.Struct("<III")  # ids, 32-bit words, CRC-32
 
 
-class _Range:
-    """Carry-less range coders of many lanes: 48-bit state, 16-bit output words."""
+class _Encoder:
+    """Range coders of many lanes: 64-bit low and width, 32-bit output words; carries go to the word before."""
 
-    def __init__(self, lanes: int):
-        self.low, self.width = np.zeros(lanes, np.uint64), np.full(lanes, _M48)
-
-    def _narrow(self, at, start, freq, step):
-        low, width = (self.low[at] + start * step) & _M48, step * freq
-        left = None  # lanes that still have to put out a word: all are looked at once, then only those
-        while True:
-            lo, wi = (low, width) if left is None else (low[left], width[left])
-            same = ((lo ^ (lo + wi)) & _M48) < _TOP
-            tight = ~same & (wi < _BOT)
-            if tight.any():
-                wi = np.where(tight, (_U(0) - lo) & (_BOT - _U(1)), wi)
-            go = np.flatnonzero(same | tight)
-            if not len(go):
-                break
-            left = go if left is None else left[go]
-            self.shift(at[left], lo[go])
-            low[left] = (lo[go] << _U(16)) & _M48
-            width[left] = wi[go] << _U(16)
-        self.low[at], self.width[at] = low, width
-
-
-class _Encoder(_Range):
     def __init__(self, lanes: int, longest: int):
-        super().__init__(lanes)
-        self.words, self.n = np.zeros((lanes, 3 * longest + 8), np.uint16), np.zeros(lanes, np.int64)
-
-    def shift(self, at, low):
-        self.words[at, self.n[at]] = (low >> _U(32)).astype(np.uint16)
-        self.n[at] += 1
-
-    def put(self, at, start, freq, total):
-        self._narrow(at, start, freq, self.width[at] // total)
-
-    def finish(self):
-        for shift in (32, 16, 0):
-            self.words[np.arange(len(self.n)), self.n] = ((self.low >> _U(shift)) & _U(0xFFFF)).astype(np.uint16)
+        self.low, self.width = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
+        self.stride = 2 * longest + 4
+        self.words, self.n = np.zeros(lanes * self.stride, _U), np.arange(lanes) * self.stride + 1  # a word for the first carry
+
+    def put(self, n: int, start, freq):
+        """Codes parts [start, start + freq) for the first n lanes."""
+        low, width, at = self.low[:n], self.width[:n], self.n[:n]
+        step = width >> _PARTS
+        low += start * step
+        carry = np.flatnonzero(low < start * step)
+        if len(carry):
+            self.words[at[carry] - 1] += _U(1)
+        np.multiply(step, freq, out=width)
+        go = np.flatnonzero(width < _LEAST)
+        if len(go):
+            out = low[go]
+            self.words[at[go]] = out >> _SHIFT
+            at[go] += 1
+            low[go] = out << _SHIFT
+            width[go] <<= _SHIFT
+
+    def finish(self) -> list[bytes]:
+        for shift in (_SHIFT, _U(0)):
+            self.words[self.n] = (self.low >> shift) & _U(0xFFFFFFFF)
             self.n += 1
+        words = self.words.reshape(-1, self.stride)
+        for k in range(self.stride - 1, 0, -1):  # a word that a carry has filled passes it on
+            words[:, k - 1] += words[:, k] >> _SHIFT
+        plain = words.astype("<u4")
+        return [row[1:n].tobytes() for row, n in zip(plain, (self.n % self.stride).tolist())]
 
 
-class _Decoder(_Range):
+class _Decoder:
     def __init__(self, words: np.ndarray):
-        super().__init__(len(words))
-        self.words, self.n = words, np.full(len(words), 3)
-        w = words[:, :3].astype(np.uint64)
-        self.code = w[:, 0] << _U(32) | w[:, 1] << _U(16) | w[:, 2]
-
-    def shift(self, at, low):
-        n = self.n[at]
-        word = np.where(n < self.words.shape[1], self.words[at, np.minimum(n, self.words.shape[1] - 1)], 0)
-        self.code[at] = (self.code[at] << _U(16)) & _M48 | word.astype(np.uint64)
-        self.n[at] += 1
-
-    def target(self, at, total):
-        self.step = self.width[at] // total
-        return np.minimum(((self.code[at] - self.low[at]) & _M48) // self.step, total - _U(1))
-
-    def take(self, at, start, freq):
-        self._narrow(at, start, freq, self.step)
+        self.stride, self.words = words.shape[1], words.ravel()
+        self.n = np.arange(len(words)) * self.stride + 2
+        self.code = words[:, 0].astype(_U) << _SHIFT | words[:, 1]
+        self.width = np.full(len(words), (1 << 64) - 1, _U)
+
+    def target(self, n: int):
+        self.step = self.width[:n] >> _PARTS
+        return np.minimum(self.code[:n] // self.step, _U((1 << W + P) - 1)).astype(_I)
+
+    def take(self, n: int, start, freq):
+        code, width, at = self.code[:n], self.width[:n], self.n[:n]
+        code -= start * self.step
+        np.multiply(self.step, freq, out=width)
+        go = np.flatnonzero(width < _LEAST)
+        if len(go):
+            code[go] = code[go] << _SHIFT | np.take(self.words, at[go], mode="clip")
+            at[go] += 1
+            width[go] <<= _SHIFT
 
 
 class _Model:
-    """Predictions and counts of all lanes; the same for both directions. Tables are flat: lane, then slot."""
+    """Predictions, weights and counts of all lanes; the same for both directions. Tables are flat: lane, then slot."""
 
     def __init__(self, lanes: int):
         lane = np.arange(lanes)
         self.base = [lane << SLOTS1, lane << SLOTS2]
-        self.table = [np.zeros(lanes << s, np.uint32) for s in (SLOTS1, SLOTS2)]  # predicted id << 2 | confidence
-        self.mix = [np.full(lanes << 4, n, np.int64) for n in (2, 2, 4)]
-        self.mix_base = lane << 4
+        self.table = [np.zeros(lanes << s, np.int32) for s in (SLOTS1, SLOTS2)]  # predicted id << 2 | confidence
+        self.won = np.full(lanes << 4, 1 << 40 | 1 << 20 | 3, _I)  # ids that order 2, order 1 and order 0 alone said: 20 bits each
+        self.won_base, self.at256, self.at257 = lane << 4, lane << 8, lane * 257
         self.counts = np.ones((2, lanes, 256), np.uint16)
         self.flat = self.counts.reshape(2, -1)
         self.cum = np.zeros((2, lanes, 257), np.uint16)
         self.cum_flat = self.cum.reshape(2, -1)
-        self.at256, self.at257 = lane << 8, lane * 257
+        self.last = np.zeros((2, lanes), _I)  # the id before, the id before that
+        self.next = 16
         self.refresh()
-        self.last = np.zeros((2, lanes), np.int64)  # the id before, the id before that
 
     def refresh(self):
-        np.cumsum(self.counts, axis=2, out=self.cum[:, :, 1:], dtype=np.uint16)
-        self.total = self.cum[:, :, 256].astype(np.uint64)
+        """Frequencies on 2 ** P parts, one at least for each byte."""
+        upto = np.cumsum(self.counts, axis=2, dtype=np.uint16)
+        share = np.float32((1 << P) - 256) / upto[:, :, -1:].astype(np.float32)
+        self.cum[:, :, 1:] = upto * share
+        self.cum[:, :, 256] = (1 << P) - 256
+        self.cum[:, :, 1:] += np.arange(1, 257, dtype=np.uint16)
 
     def predict(self, n: int):
-        """For the first n lanes: the counts of the three choices."""
         p, q = self.last[0, :n], self.last[1, :n]
         mixed = p * 40503
         self.slot = [self.base[0][:n] + ((mixed >> 4) & (1 << SLOTS1) - 1), self.base[1][:n] + ((mixed + q * 30011 >> 5) & (1 << SLOTS2) - 1)]
-        entries = [np.take(t, s).astype(np.int64) for t, s in zip(self.table, self.slot)]
+        entries = [t.take(s).astype(_I) for t, s in zip(self.table, self.slot)]
         self.said, self.sure = [e >> 2 for e in entries], [e & 3 for e in entries]
-        self.context = self.mix_base[:n] + (self.sure[1] << 2) + self.sure[0]
-        self.f = [np.take(m, self.context) for m in self.mix]
-        upto = self.f[0] + self.f[1]
-        return self.f[0], self.f[1], self.f[2], upto, upto + self.f[2]
-
-    def learn(self, n: int, ids, chosen, total, other, refresh: bool):
-        """``chosen``: by choice, the lanes that made it; ``other``: the lanes that order 0 coded."""
-        big = np.flatnonzero(total > 4000)
-        for f, lanes, mix in zip(self.f, chosen, self.mix):
-            f += 24 * lanes
-            if len(big):
-                f[big] = (f[big] >> 1) | 1
-            mix[self.context] = f
-        for k in (0, 1):
-            sure, said = self.sure[k], self.said[k]
-            right = said == ids
-            swap = sure == 0
-            new = np.where(swap, 1, np.where(right, np.minimum(sure + 1, 3), sure - 1))
-            self.table[k][self.slot[k]] = np.where(swap, ids, said) << 2 | new
-        rest = ids[other]
-        for k, byte in enumerate((rest >> 8, rest & 255)):
-            self.flat[k][self.at256[other] + byte] += 24
+        self.context = self.won_base[:n] + (self.sure[1] << 2) + self.sure[0]
+        self.f = self.won.take(self.context)
+        f2, f1 = self.f >> 40, self.f >> 20 & 0xFFFFF
+        share = (1 << W) / (f2 + f1 + (self.f & 0xFFFFF))
+        # An order that has said nothing yet has no weight.
+        self.some = self.sure[0] > 0, self.sure[1] > 0
+        w2, w1 = (f2 * share).astype(_I) * self.some[1], (f1 * share).astype(_I) * self.some[0]
+        self.w = [w2, w1, (1 << W) - w2 - w1]
+        self.parts = [said >> 8 for said in self.said], [said & 255 for said in self.said]
+
+    def span(self, k: int, n: int, byte, w):
+        """(start, freq) of a byte (0: high, 1: low) in the mixture with weights ``w``."""
+        cell = self.at257[:n] + byte
+        lo, hi = self.cum_flat[k].take(cell), self.cum_flat[k].take(cell + 1)
+        s1, s2 = self.parts[k]
+        start = lo * w[2] + ((w[0] * (byte > s2) + w[1] * (byte > s1)) << P)
+        freq = (hi - lo) * w[2] + ((w[0] * (byte == s2) + w[1] * (byte == s1)) << P)
+        return start.astype(_U), freq.astype(_U)
+
+    def find(self, k: int, n: int, target, w):
+        """The byte whose part of the mixture holds ``target``."""
+        s1, s2 = self.parts[k]
+        base, cum = self.at257[:n], self.cum_flat[k]
+        rest = target.copy()
+        byte = np.full(n, -1, _I)
+        # The spikes of the predictions stand at the start of their bytes' parts, the lower byte first.
+        for s, mine, other, t in ((s2, w[0], w[1], s1), (s1, w[1], w[0], s2)):
+            on = np.flatnonzero(mine)
+            if not len(on):
+                continue
+            s, mine, other, t, goal, w0, cell = s[on], mine[on], other[on], t[on], target[on], w[2][on], base[on] + s[on]
+            lo, hi = cum.take(cell), cum.take(cell + 1)
+            at = lo * w0 + (other * (t < s) << P)
+            end = at + (hi - lo) * w0 + (mine + other * (t == s) << P)
+            byte[on[(goal >= at) & (goal < end)]] = s[(goal >= at) & (goal < end)]
+            rest[on] -= (mine << P) * (goal >= end)
+        left = np.flatnonzero(byte < 0)
+        # Exact: quotients stay below 2 ** P and both sides are whole.
+        rest = (rest[left] / w[2][left]).astype(np.uint16)
+        base = base[left]
+        cell = base.copy()
+        for bit in (128, 64, 32, 16, 8, 4, 2, 1):
+            cell += (cum.take(cell + bit) <= rest).view(np.uint8) * np.uint8(bit)
+        byte[left] = cell - base
+        return byte
+
+    def low_weights(self, n: int, high):
+        """Weights for the low byte: what each order gave the high byte that came."""
+        cell = self.at257[:n] + high
+        p0 = self.cum_flat[0].take(cell + 1) - self.cum_flat[0].take(cell)
+        s1, s2 = self.parts[0]
+        a, b = self.w[0] * (s2 == high), self.w[1] * (s1 == high)
+        share = (1 << W) / (a + b + np.maximum(self.w[2] * p0 >> P, 1))
+        a, b = (a * share).astype(_I), (b * share).astype(_I)
+        return a, b, (1 << W) - a - b
+
+    def learn(self, n: int, t: int, ids, high, low):
+        right = [said == ids for said in self.said]
+        hit2, hit1 = right[1] & self.some[1], right[0] & self.some[0]
+        self.won[self.context] = self.f + (hit2 * _I(1 << 40) + hit1 * _I(1 << 20) + ~(hit2 | hit1))
+        for k, hit in ((0, hit1), (1, hit2)):
+            # A prediction that fails loses confidence; without any, the id that came takes its place.
+            entry = np.where(self.some[k], (self.said[k] << 2 | self.sure[k]) - 1, ids << 2 | 1)
+            entry += hit * (2 - (self.sure[k] == 3))
+            self.table[k][self.slot[k]] = entry
+        for k, byte in enumerate((high, low)):
+            self.flat[k][self.at256[:n] + byte] += 24
         self.last[1, :n], self.last[0, :n] = self.last[0, :n], ids
-        if refresh:
+        if t + 1 == self.next:
+            self.next += min(self.next, REFRESH)
             self.refresh()
 
 
@@ -148,50 +198,31 @@ def _encode_lanes(blocks: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     """``sizes`` must not rise from one lane to the next."""
     lanes, longest = blocks.shape
     model, coder = _Model(lanes), _Encoder(lanes, longest)
-    steps, every = np.ascontiguousarray(blocks.T), np.arange(lanes)
+    steps = np.ascontiguousarray(blocks.T)
     for t in range(longest):
         n = int(np.count_nonzero(sizes > t))
         ids = steps[t, :n]
-        f0, f1, f2, upto, total = model.predict(n)
-        hit2 = (model.said[1] == ids) & (model.sure[1] > 0)
-        hit1 = (model.said[0] == ids) & (model.sure[0] > 0) & ~hit2
-        miss = ~(hit2 | hit1)
-        coder.put(every[:n], np.where(hit2, 0, np.where(hit1, f0, upto)).astype(np.uint64), np.where(hit2, f0, np.where(hit1, f1, f2)).astype(np.uint64), total.astype(np.uint64))
-        other = np.flatnonzero(miss)
-        rest = ids[other]
-        for k, byte in enumerate((rest >> 8, rest & 255)):
-            cell = model.at257[other] + byte
-            lo, hi = np.take(model.cum_flat[k], cell).astype(np.uint64), np.take(model.cum_flat[k], cell + 1).astype(np.uint64)
-            coder.put(other, lo, hi - lo, model.total[k][other])
-        model.learn(n, ids, (hit2, hit1, miss), total, other, t % REFRESH == REFRESH - 1)
-    coder.finish()
-    return [coder.words[i, : coder.n[i]].astype("<u2").tobytes() for i in range(lanes)]
+        high, low = ids >> 8, ids & 255
+        model.predict(n)
+        coder.put(n, *model.span(0, n, high, model.w))
+        coder.put(n, *model.span(1, n, low, model.low_weights(n, high)))
+        model.learn(n, t, ids, high, low)
+    return coder.finish()
 
 
 def _decode_lanes(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     model, coder = _Model(len(sizes)), _Decoder(words)
-    out, every = np.zeros((int(sizes.max(initial=0)), len(sizes)), np.int64), np.arange(len(sizes))
+    out = np.zeros((int(sizes.max(initial=0)), len(sizes)), _I)
     for t in range(len(out)):
         n = int(np.count_nonzero(sizes > t))
-        f0, f1, f2, upto, total = model.predict(n)
-        v = coder.target(every[:n], total.astype(np.uint64)).astype(np.int64)
-        hit2, miss = v < f0, v >= upto
-        hit1 = ~(hit2 | miss)
-        coder.take(every[:n], np.where(hit2, 0, np.where(hit1, f0, upto)).astype(np.uint64), np.where(hit2, f0, np.where(hit1, f1, f2)).astype(np.uint64))
-        ids = np.where(hit2, model.said[1], model.said[0])
-        other = np.flatnonzero(miss)
-        value, base = np.zeros(len(other), np.int64), model.at257[other]
-        for k in (0, 1):
-            v, cum = coder.target(other, model.total[k][other]).astype(np.uint16), model.cum_flat[k]
-            cell = base.copy()
-            for bit in (128, 64, 32, 16, 8, 4, 2, 1):
-                cell += bit * (np.take(cum, cell + bit) <= v)
-            lo, hi = np.take(cum, cell).astype(np.uint64), np.take(cum, cell + 1).astype(np.uint64)
-            coder.take(other, lo, hi - lo)
-            value = value << 8 | cell - base
-        ids[other] = value
-        out[t, :n] = ids
-        model.learn(n, ids, (hit2, hit1, miss), total, other, t % REFRESH == REFRESH - 1)
+        model.predict(n)
+        high = model.find(0, n, coder.target(n), model.w)
+        coder.take(n, *model.span(0, n, high, model.w))
+        w = model.low_weights(n, high)
+        low = model.find(1, n, coder.target(n), w)
+        coder.take(n, *model.span(1, n, low, w))
+        ids = out[t, :n] = high << 8 | low
+        model.learn(n, t, ids, high, low)
     return out.T
 
 
@@ -209,7 +240,7 @@ def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS, lanes: int = LANES) -> l
         blocks[: len(part)] = part
         blocks = blocks.reshape(n, block_ids)
         for row, size, body in zip(blocks, sizes, _encode_lanes(blocks, sizes)):
-            out.append(HEAD.pack(size, len(body) // 2, zlib.crc32(row[:size].astype("<u4").tobytes())) + body)
+            out.append(HEAD.pack(size, len(body) // 4, zlib.crc32(row[:size].astype("<u4").tobytes())) + body)
     return out
 
 
@@ -220,9 +251,9 @@ def decode(blocks: list[bytes], lanes: int = LANES) -> np.ndarray:
         part = blocks[at: at + lanes]
         heads = [HEAD.unpack_from(b) for b in part]
         order = sorted(range(len(part)), key=lambda i: -heads[i][0])
-        words = np.zeros((len(part), max(h[1] for h in heads)), np.uint16)
+        words = np.zeros((len(part), max(h[1] for h in heads)), np.uint32)
         for row, i in zip(words, order):
-            row[: heads[i][1]] = np.frombuffer(part[i], "<u2", heads[i][1], HEAD.size)
+            row[: heads[i][1]] = np.frombuffer(part[i], "<u4", heads[i][1], HEAD.size)
         ids = _decode_lanes(words, np.array([heads[i][0] for i in order]))
         for i, (n, _, crc) in zip(np.argsort(order), heads):
             row = ids[i]

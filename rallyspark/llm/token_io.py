@@ -11,8 +11,10 @@ ignored. A text is tokenized whole, whatever its length.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import json
 import os
-import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,42 +31,149 @@ from .common import materialize, shared_dir, table
 
 MAGIC, FOOT = b"RSIDS\x001\n", np.dtype([("blocks", "<u8"), ("docs", "<u8"), ("ids", "<u8")])
 END_ID = 0
-#: A file is closed at so many ids: a writing task holds them (2 bytes each) and their coded form.
+#: A file is closed at so many ids or soon after: a writing task holds them (2 bytes each) and their coded form.
 FILE_IDS = 4_000_000
-#: Entries of a worker's word cache (about 200 bytes each).
-CACHE_WORDS = 300_000
-#: Texts of these characters only are cut into words here; the classes of all of them are the same in every Unicode version.
-_PLAIN = regex.compile(r"[\t\n\r -~À-ÖØ-öø-ž]*")
-#: How a byte-level BPE vocabulary of this kind cuts text before merging: a fixed pattern of the public vocabulary file.
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Words that a worker remembers (about 150 bytes each), and bytes of text that it cuts at once.
+CACHE_WORDS, SLICE_BYTES = 1_000_000, 4 << 20
+#: Texts of these characters only are cut into words here; their classes are the same in every Unicode version.
+_PLAIN = regex.compile(r"[\t\n\r -~À-ÖØ-öø-ž]*+")
+#: Byte classes of such texts: space, letter, digit, other (bytes above 127 are parts of letters).
+_CLASS = np.array([0 if c in b" \t\n\r" else 1 if c >= 128 or chr(c).isalpha() else 2 if 48 <= c < 58 else 3 for c in range(256)], np.uint8)
+#: Powers of an odd number modulo 2 ** 64 and of its inverse: hashes of words are differences of running sums.
+_ODD = 0x9E3779B97F4A7C15
+_INVERSE = pow(_ODD, -1, 1 << 64)
+_SALT = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)
+
+
+def word_starts(data: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Where the words of plain texts start, in bytes; ``heads`` are the starts of the texts.
+
+    The rule is that of the byte-level vocabularies: contractions ('s 't 're 've 'm 'll 'd) by themselves; runs of
+    letters, of digits and of other characters, each with one space before it; a run of white space without that
+    space or, before anything else, without its last character."""
+    kind, n = _CLASS[data], len(data)
+    head = np.zeros(n + 1, bool)
+    head[heads] = head[n] = True
+    new = np.ones(n, bool)
+    new[1:] = kind[1:] != kind[:-1]
+    new |= head[:n]
+    space = kind == 0
+    last = space & np.append(~space[1:], True) & ~head[1:]  # ends a run of white space that something follows
+    starts = new.copy()
+    starts[1:] &= ~((data[:-1] == 32) & last[:-1])  # the word has the space before it
+    starts |= last
+    quote = np.flatnonzero((data == 39) & new)  # a word starts here unless a space stands before it
+    quote = quote[starts[quote]]
+    if len(quote):
+        end = np.append(np.flatnonzero(head[1:]) + 1, n)
+        room = end[np.searchsorted(end, quote, "right")] - quote
+        at = lambda k: data[np.minimum(quote + k, n - 1)]
+        one = (room > 1) & np.isin(at(1), np.frombuffer(b"stmd", np.uint8))
+        pair = at(1).astype(np.int64) << 8 | at(2)
+        two = (room > 2) & np.isin(pair, [b[0] << 8 | b[1] for b in (b"re", b"ve", b"ll")])
+        size = np.where(two, 3, np.where(one, 2, 0))
+        starts[quote[size > 0] + 1] = False
+        after = (quote + size)[(size > 0) & (size < room)]
+        starts[after] |= ~space[after] | starts[after]
+    return np.flatnonzero(starts)
 
 
 class Tokenize:
     """Ids of whole texts by the tokenizers library; words of plain texts are encoded once and remembered.
 
-    Merges never cross the vocabulary's word boundaries, so a text's ids are its words' ids in a row. Texts with
-    other characters, or with the string of a special token, go through the library whole.
-    """
+    Merges never cross the vocabulary's word boundaries, so a text's ids are its words' ids in a row. The file must say
+    that it cuts words as word_starts does. Texts with other characters, or with the string of a special token, go
+    through the library whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
-        self.library, self.seen = Tokenizer.from_file(path), {}
+        self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        rule = json.loads(self.library.to_str())
+        before = rule["pre_tokenizer"] or {}
+        self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not rule["normalizer"] and rule["model"]["type"] == "BPE"
+        self.forget()
+
+    def forget(self) -> None:
+        self.seen: dict[bytes, int] = {}
+        self.pool, self.from_, self.size, self.used = np.zeros(1 << 20, np.uint16), np.zeros(CACHE_WORDS, np.int64), np.zeros(CACHE_WORDS, np.int64), 0
+
+    def remember(self, words: list[bytes]) -> None:
+        ids = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        sizes, k = np.fromiter(map(len, ids), np.int64, len(ids)), len(self.seen)
+        upto = self.used + np.cumsum(sizes)
+        if len(ids):
+            while upto[-1] > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            self.pool[self.used: upto[-1]] = np.fromiter(itertools.chain.from_iterable(ids), np.uint16, upto[-1] - self.used)
+            self.from_[k: k + len(ids)], self.size[k: k + len(ids)], self.used = upto - sizes, sizes, int(upto[-1])
+            self.seen.update(zip(words, range(k, k + len(ids))))
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [None] * len(texts)
+        plain: list[int] = []
+        held: list[bytes] = []
+        waiting = 0
+
+        def cut() -> None:
+            nonlocal waiting
+            for i, ids in zip(plain, self.plain(held)):
+                out[i] = ids
+            plain.clear()
+            held.clear()
+            waiting = 0
+
+        for i, text in enumerate(texts):
+            text = text or ""
+            if self.cuts and text and _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+                plain.append(i)
+                held.append(text.encode())
+                waiting += len(held[-1])
+                if waiting >= SLICE_BYTES:
+                    cut()
+            else:
+                out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16)
+        if held:
+            cut()
+        return out
+
+    def plain(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of plain texts, none of them empty."""
+        body = b"".join(texts)
+        data, ends = np.frombuffer(body, np.uint8), np.cumsum([len(t) for t in texts])
+        starts = word_starts(data, np.concatenate([[0], ends[:-1]]))
+        stops = np.append(starts[1:], len(data))
+        power = np.full(len(data), _ODD, np.uint64)
+        power[0] = 1
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_SALT[data] * np.cumprod(power))])
+        power[1:] = _INVERSE
+        hashed = (sums[stops] - sums[starts]) * np.cumprod(power)[starts]
+        _, first, which = np.unique(hashed, return_index=True, return_inverse=True)
+        # Equal hashes must be equal words: all bytes are compared with those of the word's first place.
+        sizes = stops - starts
+        if not np.array_equal(sizes, sizes[first][which]) or not np.array_equal(data, data[np.repeat(starts[first][which] - starts, sizes) + np.arange(len(data))]):
+            return [np.array(self.library.encode(t.decode(), add_special_tokens=False).ids, np.uint16) for t in texts]
+        words = [body[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist())]
+        new = [w for w in words if w not in self.seen]
+        if len(self.seen) + len(new) > CACHE_WORDS:
+            self.forget()
+            new = words
+        if len(new) > CACHE_WORDS:
+            return [np.array(self.library.encode(t.decode(), add_special_tokens=False).ids, np.uint16) for t in texts]
+        self.remember(new)
+        place = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))[which]
+        n = self.size[place]
+        upto = np.cumsum(n)
+        ids = self.pool[np.repeat(self.from_[place] - upto + n, n) + np.arange(upto[-1])]
+        return np.split(ids, upto[np.searchsorted(starts, ends[:-1]) - 1])
+
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        text = text or ""
-        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16)
-        found, seen = _WORDS.findall(text), self.seen
-        if new := [w for w in set(found) if w not in seen]:
-            if len(seen) > CACHE_WORDS:
-                seen.clear()
-                new = list(set(found))
-            coded = self.library.encode_batch_fast(new, add_special_tokens=False)
-            seen.update((w, struct.pack(f"<{len(e)}H", *e.ids)) for w, e in zip(new, coded))
-        return np.frombuffer(b"".join(map(seen.__getitem__, found)), "<u2")
+@functools.cache
+def tokenizer_of(path: str) -> Tokenize:
+    """A worker's tokenizer: what it remembers serves all tasks that it runs."""
+    return Tokenize(path)
 
 
 def pack_file(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
@@ -92,36 +201,41 @@ def unpack_file(body: bytes) -> tuple[list[int | None], list[np.ndarray]]:
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, file_ids: int = FILE_IDS) -> DataFrame:
-    """Writes documents in ascending doc_id order; returns the manifest (part, seq, path, docs, ids)."""
+    """Writes documents in ascending doc_id order; returns the manifest (part, seq, path, docs, ids, bytes)."""
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenize, names, ids, held, seq, part = Tokenize(tokenizer), [], [], 0, 0, None
+        tokenize, names, ids, held, seq, part = tokenizer_of(tokenizer), [], [], 0, 0, None
 
         def close() -> pa.RecordBatch:
             nonlocal names, ids, held, seq
             path = f"{folder}/{uuid.uuid4().hex}.ids"
             store, at = fs.FileSystem.from_uri(path)
             store.create_dir(at.rpartition("/")[0], recursive=True)
+            body = pack_file(names, ids)
             with store.open_output_stream(at, compression=None) as out:
-                out.write(pack_file(names, ids))
-            made = pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "path": [path], "docs": [len(names)], "ids": [held]},
-                                              schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
+                out.write(body)
+            made = pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "path": [path], "docs": [len(names)], "ids": [held], "bytes": [len(body)]},
+                                              schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), *[(c, pa.int64()) for c in ("docs", "ids", "bytes")]]))
             names, ids, held, seq = [], [], 0, seq + 1
             return made
 
         for batch in it:
-            for i in range(batch.num_rows):
-                part = batch.column(2)[i].as_py()
-                names.append(batch.column(0)[i].as_py())
-                ids.append(np.append(tokenize(batch.column(1)[i].as_py()), np.uint16(END_ID)))
-                held += len(ids[-1])
-                if held >= file_ids:
-                    yield close()
+            for at in range(0, batch.num_rows, 1024):
+                rows = batch.slice(at, 1024)
+                part = rows.column(2)[0].as_py()
+                for name, of_text in zip(rows.column(0).to_pylist(), tokenize(rows.column(1).to_pylist())):
+                    names.append(name)
+                    ids.append(np.append(of_text, np.uint16(END_ID)))
+                    held += len(ids[-1])
+                    if held >= file_ids:
+                        yield close()
         if names:
             yield close()
 
-    ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(F.asc_nulls_first("doc_id"))
-               .sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text")))
-    return materialize(ordered.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(write, "part int, seq int, path string, docs long, ids long"))
+    # The hash and the row number split what null or repeated doc_ids would put into one task.
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.monotonically_increasing_id().alias("row"))
+    order = [F.asc_nulls_first("doc_id"), F.col("h"), F.col("row")]
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(ordered.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(write, "part int, seq int, path string, docs long, ids long, bytes long"))
 
 
 def read_ids(manifest: DataFrame) -> DataFrame:

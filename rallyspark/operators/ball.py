@@ -40,7 +40,7 @@ def fill_gaps(ball: DataFrame, longest: int = 8) -> DataFrame:
     """One row per frame: visible, linearly interpolated across gaps of 2..``longest`` frames, or missing."""
     seen = lambda: F.when(F.col("visible"), F.struct("frame", "pixel_x", "pixel_y"))
     last = F.last(seen(), ignorenulls=True).over(W().rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.first(seen(), ignorenulls=True).over(W().rowsBetween(0, Window.unboundedFollowing))
+    nxt = F.last(seen(), ignorenulls=True).over(Window.partitionBy("clip_id").orderBy(F.desc("frame")).rowsBetween(Window.unboundedPreceding, 0))  # backwards, so that the frame only grows
     out = ball.select("clip_id", "frame", "visible", "pixel_x", "pixel_y", last.alias("a"), nxt.alias("b"))
     span = F.col("b.frame") - F.col("a.frame")
     fill = ~F.col("visible") & span.between(2, longest)

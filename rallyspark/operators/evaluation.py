@@ -35,11 +35,19 @@ def score_rally_shots(shots: DataFrame, rallies: DataFrame, slack: int = 60) ->
     return rallies.select("clip_id", "rally_id", "n_shots").join(got, ["clip_id", "rally_id"], "left").select("clip_id", "rally_id", F.col("n_shots").alias("truth"), F.coalesce("got", F.lit(0)).alias("got"), (F.coalesce("got", F.lit(0)) - F.col("n_shots")).alias("delta"))
 
 
-def alternation_check(turns: DataFrame) -> DataFrame:
-    """Consecutive turns of one team per sequence; ``turns(conv_id, turn, role)``."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    p = turns.withColumn("before", F.lag("role").over(w))
-    return p.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("role") == F.col("before")).alias("same_team"), F.count_if(F.col("role") == "system").alias("unknown"))
+def alternation_check(shots: DataFrame, roles: DataFrame, court: DataFrame) -> DataFrame:
+    """Per clip, over neighbouring shots of a rally (``shots`` has rally_no): pairs of known teams, those of one team (which
+    the rules forbid), pairs with an unknown team, returns by the serving team, and the median seconds of both kinds."""
+    w = Window.partitionBy("clip_id", "rally_no").orderBy("frame", "shot_id")
+    team = F.when(F.col("role").isin("user", "partner"), "near").when(F.col("role").isin("opp_a", "opp_b"), "far")
+    rows = (shots.join(roles.select("clip_id", "track_id", "role"), ["clip_id", "track_id"], "left").withColumn("team", team)
+            .select("clip_id", "rally_no", "team", F.row_number().over(w).alias("k"), F.lag("team").over(w).alias("before"), (F.col("frame") - F.lag("frame").over(w)).alias("gap")))
+    known, same = F.col("team").isNotNull() & F.col("before").isNotNull(), F.col("team") == F.col("before")
+    seconds = rows.join(court.select("clip_id", "fps"), "clip_id").withColumn("gap", F.col("gap") / F.col("fps"))
+    return seconds.groupBy("clip_id").agg(
+        F.count_distinct("rally_no").alias("rallies"), F.count_if(known).alias("pairs"), F.count_if(known & same).alias("same_team"), F.count_if((F.col("k") > 1) & ~known).alias("unknown_pairs"),
+        F.count_if((F.col("k") == 2) & known).alias("returns"), F.count_if((F.col("k") == 2) & known & same).alias("own_returns"),
+        F.percentile(F.when(known & ~same, F.col("gap")), F.lit(0.5)).alias("legal_gap"), F.percentile(F.when(known & same, F.col("gap")), F.lit(0.5)).alias("same_team_gap"))
 
 
 def detector_validation(ball: DataFrame, labels: DataFrame) -> DataFrame:
@@ -65,14 +73,16 @@ def venue_signals(ball: DataFrame, least: float = 0.30) -> DataFrame:
     return ball.groupBy("clip_id").agg(F.avg(sure.cast("int")).alias("det_rate"), F.avg(F.when(sure, F.col("confidence"))).alias("mean_conf"), F.percentile(F.when(sure, F.col("confidence")), F.lit(0.9)).alias("p90_conf"))
 
 
-def densify_labels(labels: DataFrame, most: int = 8) -> DataFrame:
-    """Linear in-betweens of neighbouring visible labels at most ``most`` frames apart; an unseen label blocks."""
+def densify_labels(labels: DataFrame, most: int = 4) -> DataFrame:
+    """The labels, and linear in-betweens of neighbouring visible ones at most ``most`` frames apart; an unseen label blocks."""
     w = Window.partitionBy("clip_id").orderBy("frame")
     nxt = F.lead(F.struct("frame", "ball_visible", "label_x", "label_y")).over(w)
     pairs = labels.withColumn("n", nxt).filter(F.col("ball_visible") & F.col("n.ball_visible") & (F.col("n.frame") - F.col("frame")).between(2, most))
     t = (F.col("at") - F.col("frame")) / (F.col("n.frame") - F.col("frame"))
-    return pairs.withColumn("at", F.explode(F.sequence(F.col("frame") + 1, F.col("n.frame") - 1))).select(
-        "clip_id", F.col("at").alias("frame"), (F.col("label_x") + (F.col("n.label_x") - F.col("label_x")) * t).alias("x"), (F.col("label_y") + (F.col("n.label_y") - F.col("label_y")) * t).alias("y"))
+    between = pairs.withColumn("at", F.explode(F.sequence(F.col("frame") + 1, F.col("n.frame") - 1))).select(
+        "clip_id", F.col("at").alias("frame"), F.lit(True).alias("ball_visible"), (F.col("label_x") + (F.col("n.label_x") - F.col("label_x")) * t).alias("x"),
+        (F.col("label_y") + (F.col("n.label_y") - F.col("label_y")) * t).alias("y"), F.lit(True).alias("interpolated"))
+    return labels.select("clip_id", "frame", "ball_visible", F.col("label_x").alias("x"), F.col("label_y").alias("y"), F.lit(False).alias("interpolated")).unionByName(between)
 
 
 def label_speed(labels: DataFrame, within: int = 6) -> DataFrame:

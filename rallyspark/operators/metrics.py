@@ -83,12 +83,18 @@ def position_summary(positions: DataFrame) -> DataFrame:
                                                     F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), (F.count_distinct(cell) / 110).alias("court_share"))
 
 
-def movement(positions: DataFrame, window: int = 12, least: float = 0.3, most: float = 24.0) -> DataFrame:
-    """Distance between the mean positions of neighbouring time buckets, steps too small or too fast left out."""
-    b = positions.groupBy("clip_id", "role", F.floor(F.col("frame") / window).alias("bucket")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    w = Window.partitionBy("clip_id", "role").orderBy("bucket")
-    step = F.when(F.col("bucket") - F.lag("bucket").over(w) == 1, F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)))
-    return b.withColumn("step", step).groupBy("clip_id", "role").agg(F.count_if(F.col("step").between(least, most)).alias("steps"), F.coalesce(F.sum(F.when(F.col("step").between(least, most), F.col("step"))), F.lit(0.0)).alias("feet"))
+def movement(positions: DataFrame, rallies: DataFrame, court: DataFrame, seconds: float = 0.2, least: float = 0.3, speed: float = 24.0) -> DataFrame:
+    """Distance between the mean positions of neighbouring time buckets of one rally, in all, per rally present and per
+    minute of frames in rallies; steps below ``least`` feet or faster than ``speed`` feet a second don't count."""
+    rows = in_rally(positions, rallies).join(court.select("clip_id", "fps"), "clip_id").withColumn("win", F.greatest(F.lit(1), F.round(seconds * F.col("fps")).cast("int")))
+    b = rows.groupBy("clip_id", "role", "rally_id", "fps", "win", F.floor(F.col("frame") / F.col("win")).alias("bucket")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
+    w = Window.partitionBy("clip_id", "role").orderBy("bucket", "rally_id")
+    next_to = (F.col("bucket") - F.lag("bucket").over(w) == 1) & (F.col("rally_id") == F.lag("rally_id").over(w))
+    step = F.when(next_to, F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)))
+    counts = F.col("step").between(F.lit(least), speed * F.col("win") / F.col("fps"))
+    total = b.withColumn("step", step).groupBy("clip_id", "role").agg(
+        F.count_if(counts).alias("steps"), F.coalesce(F.sum(F.when(counts, F.col("step"))), F.lit(0.0)).alias("feet"), F.count_distinct("rally_id").alias("rallies"), (F.sum("n") / F.max("fps") / 60).alias("minutes"))
+    return total.select("clip_id", "role", "steps", F.round("feet", 4).alias("feet"), "rallies", F.round(F.col("feet") / F.col("rallies"), 4).alias("feet_per_rally"), F.round(F.col("feet") / F.col("minutes"), 4).alias("feet_per_minute"))
 
 
 def team_positioning(positions: DataFrame) -> DataFrame:

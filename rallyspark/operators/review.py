@@ -140,11 +140,17 @@ def next_target(bands: DataFrame, cap: float = 5.0) -> DataFrame:
 
 # ---- against truth
 
-def recall_census(truth: DataFrame, ball: DataFrame, shots: DataFrame, half: int = 12, least: int = 6) -> DataFrame:
-    """Per known event whether a shot is near, else whether the ball was seen (the rules missed it) or not (the detector did)."""
-    near = truth.select("clip_id", "truth_id", F.explode(F.sequence(F.col("frame") - half, F.col("frame") + half)).alias("frame"))
-    seen = near.join(ball.filter("visible").select("clip_id", "frame", "confidence"), ["clip_id", "frame"]).groupBy("clip_id", "truth_id").agg(F.count("*").alias("visible_frames"), F.max("confidence").alias("best"))
-    hit = near.join(shots.select("clip_id", "frame", "is_serve"), ["clip_id", "frame"]).groupBy("clip_id", "truth_id").agg(F.bool_or("is_serve").alias("serve"))
+def recall_census(truth: DataFrame, ball: DataFrame, shots: DataFrame, half: int = 60, least: int = 6) -> DataFrame:
+    """Per known event whether a shot is near, else whether the ball was seen (the rules missed it) or not (the detector
+    did). ``half`` is one second of frames; events meet frames by clip and second."""
+    bucket = F.floor(F.col("frame") / half)
+    near = truth.select("clip_id", "truth_id", F.col("frame").alias("at"), F.explode(F.sequence(bucket - 1, bucket + 1)).alias("bucket"))
+
+    def within(other: DataFrame) -> DataFrame:
+        return near.join(other.withColumn("bucket", bucket), ["clip_id", "bucket"]).filter(F.abs(F.col("frame") - F.col("at")) <= half).groupBy("clip_id", "truth_id")
+
+    seen = within(ball.filter("visible").select("clip_id", "frame", "confidence")).agg(F.count("*").alias("visible_frames"), F.max("confidence").alias("best"))
+    hit = within(shots.select("clip_id", "frame", "is_serve")).agg(F.bool_or("is_serve").alias("serve"))
     rows = truth.select("clip_id", "truth_id").join(seen, ["clip_id", "truth_id"], "left").join(hit, ["clip_id", "truth_id"], "left")
     n = F.coalesce("visible_frames", F.lit(0))
     return rows.select("clip_id", "truth_id", n.alias("visible_frames"), "best", F.when(F.col("serve").isNotNull(), "ok").when(n >= least, "algorithm").otherwise("detector").alias("cause"))
@@ -181,8 +187,8 @@ def remap_labels(labels: DataFrame, drift: DataFrame) -> DataFrame:
     events = labels.select("clip_id", "frame", "ball_visible", "label_x", "label_y", F.lit(None).cast("long").alias("shift")).unionByName(
         drift.select("clip_id", "frame", F.lit(None).cast("boolean").alias("ball_visible"), F.lit(None).cast("double").alias("label_x"), F.lit(None).cast("double").alias("label_y"), F.col("shift").cast("long").alias("shift")))
     here = F.when(F.col("shift").isNotNull(), F.struct("frame", "shift"))
-    by = CLIP().orderBy("frame")
-    rows = events.withColumn("a", F.max(here).over(by.rangeBetween(Window.unboundedPreceding, 0))).withColumn("b", F.min(here).over(by.rangeBetween(1, Window.unboundedFollowing))).filter("shift is null")
+    upto = lambda order, last: CLIP().orderBy(order).rangeBetween(Window.unboundedPreceding, last)  # noqa: E731  frames that only grow, forwards and backwards
+    rows = events.withColumn("a", F.max(here).over(upto(F.asc("frame"), 0))).withColumn("b", F.min(here).over(upto(F.desc("frame"), -1))).filter("shift is null")
     nearer = F.col("b").isNotNull() & (F.col("a").isNull() | (F.col("b.frame") - F.col("frame") < F.col("frame") - F.col("a.frame")))
     moved = rows.withColumn("old_frame", F.col("frame")).withColumn("frame", F.col("frame") + F.coalesce(F.when(nearer, F.col("b.shift")).otherwise(F.col("a.shift")), F.lit(0)))
     first = F.row_number().over(Window.partitionBy("clip_id", "frame").orderBy("old_frame"))

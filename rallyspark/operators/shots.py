@@ -94,8 +94,8 @@ def between_shots(bounces: DataFrame, shots: DataFrame) -> DataFrame:
     events = bounces.select("clip_id", "frame", "bounce_id", F.lit(None).cast("long").alias("shot_id")).unionByName(
         shots.select("clip_id", "frame", F.lit(None).cast("long").alias("bounce_id"), F.col("shot_id").cast("long").alias("shot_id")))
     shot = F.when(F.col("shot_id").isNotNull(), F.struct("frame", "shot_id"))
-    by = CLIP().orderBy("frame")
-    at = (events.withColumn("p", F.max(shot).over(by.rangeBetween(Window.unboundedPreceding, -1))).withColumn("n", F.min(shot).over(by.rangeBetween(1, Window.unboundedFollowing))))
+    earlier = lambda order: CLIP().orderBy(order).rangeBetween(Window.unboundedPreceding, -1)  # noqa: E731  a growing frame; the next shot is the last one backwards
+    at = events.withColumn("p", F.max(shot).over(earlier(F.asc("frame")))).withColumn("n", F.min(shot).over(earlier(F.desc("frame"))))
     return at.filter("bounce_id is not null").select("clip_id", "bounce_id", "frame", F.col("p.shot_id").alias("prev_shot"), F.col("n.shot_id").alias("next_shot"),
                                                      (F.col("frame") - F.col("p.frame")).alias("frames_since"), (F.col("n.frame") - F.col("frame")).alias("frames_to"))
 

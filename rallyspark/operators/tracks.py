@@ -25,10 +25,10 @@ def flag_transient(players: DataFrame, least: int = 30) -> DataFrame:
         "transient", (F.col("life") < least) | ~F.col("in_zone"))
 
 
-def crowd_warning(players: DataFrame, life: int = 100, share: float = 0.3, most: int = 4) -> DataFrame:
-    """Clips with more than ``most`` long-lived tracks that are mostly in court."""
-    tracks = players.groupBy(*TRACK).agg((F.max("frame") - F.min("frame") + 1).alias("life"), F.avg(F.col("in_court").cast("int")).alias("inside"))
-    return tracks.filter((F.col("life") > life) & (F.col("inside") >= share)).groupBy("clip_id").agg(F.count("*").alias("tracks"), F.array_sort(F.collect_list("track_id")).alias("track_ids")).filter(F.col("tracks") > most)
+def crowd_warning(players: DataFrame, court: DataFrame, seconds: float = 5.0, share: float = 0.8, most: int = 4) -> DataFrame:
+    """Clips with more than ``most`` tracks that live longer than ``seconds`` and are mostly in court."""
+    tracks = players.groupBy(*TRACK).agg((F.max("frame") - F.min("frame") + 1).alias("life"), F.avg(F.col("in_court").cast("int")).alias("inside")).join(court.select("clip_id", "fps"), "clip_id")
+    return tracks.filter((F.col("life") > seconds * F.col("fps")) & (F.col("inside") >= share)).groupBy("clip_id").agg(F.count("*").alias("tracks"), F.array_sort(F.collect_list("track_id")).alias("track_ids")).filter(F.col("tracks") > most)
 
 
 def track_summary(players: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ def camera_ground(contacts: DataFrame, every: int = 4, least: int = 20, height:
     Clips with fewer than ``least`` rows or lines that are all parallel give null.
     """
     hx, hy = (F.col("bbox_x1") + F.col("bbox_x2")) / 2, F.col("bbox_y1")
-    rows = contacts.filter(F.col("in_court") & (F.col("frame") % every == 0)).withColumn("hx", hx + F.col("n") % 7).withColumn("hy", hy)
+    rows = contacts.filter(F.col("in_court") & (F.col("frame") % every == 0)).withColumn("hx", hx).withColumn("hy", hy)
     dx, dy = F.col("hx") - F.col("foot_x"), F.col("hy") - F.col("foot_y")
     length = F.hypot(dx, dy)
     lines = rows.withColumn("ux", dx / length).withColumn("uy", dy / length).filter("ux is not null")

@@ -113,7 +113,7 @@ def register(add, linked: str) -> None:
     add("t6_shot_context", lambda get: T.shot_context(get("shots"), get("contacts"), get("poses"), get("court"), landed(get)), f"{linked}, {_LAND}, {_FEET}, {_context_sql()} SELECT * FROM cx")
     add("t8_classify_type", lambda get: T.typed_shots(get("shots"), get("ball"), get("bounces"), get("contacts"), get("poses"), get("court"), D.between_shots(get("bounces"), get("shots"))),
         f"{_speed_sql(linked)}, {_ARC}, {_BOUNCED}, {_context_sql()}, {_TYPES}")
-    add("b13_camera_ground", lambda get: T.camera_ground(get("contacts")).select("clip_id", "n_rows", *[F.round(c, 3).alias(c) for c in ("ground_x", "ground_y", "k", "camera_ft")]), """l AS (SELECT clip_id, foot_x AS fx, foot_y AS fy, (bbox_x1 + bbox_x2) / 2 + n % 7 AS hx, bbox_y1 AS hy FROM fx_contacts WHERE in_court AND frame % 4 = 0),
+    add("b13_camera_ground", lambda get: T.camera_ground(get("contacts").withColumns({c: F.col(c) + F.col("n") % 7 for c in ("bbox_x1", "bbox_x2")})).select("clip_id", "n_rows", *[F.round(c, 3).alias(c) for c in ("ground_x", "ground_y", "k", "camera_ft")]), """l AS (SELECT clip_id, foot_x AS fx, foot_y AS fy, (bbox_x1 + bbox_x2) / 2 + n % 7 AS hx, bbox_y1 AS hy FROM fx_contacts WHERE in_court AND frame % 4 = 0),
     u AS (SELECT *, (hx - fx) / sqrt((hx-fx)*(hx-fx) + (hy-fy)*(hy-fy)) AS ux, (hy - fy) / sqrt((hx-fx)*(hx-fx) + (hy-fy)*(hy-fy)) AS uy FROM l),
     s AS (SELECT clip_id, count(*) AS n_rows, sum(1 - ux*ux) AS a, sum(-ux*uy) AS b, sum(1 - uy*uy) AS d, sum((1 - ux*ux)*fx - ux*uy*fy) AS p, sum(-ux*uy*fx + (1 - uy*uy)*fy) AS q FROM u GROUP BY clip_id),
     g AS (SELECT clip_id, n_rows, CASE WHEN n_rows >= 20 AND abs(a*d - b*b) > 1e-9 THEN (p*d - q*b) / (a*d - b*b) END AS gx, CASE WHEN n_rows >= 20 AND abs(a*d - b*b) > 1e-9 THEN (q*a - p*b) / (a*d - b*b) END AS gy FROM s),

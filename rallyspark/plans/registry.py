@@ -14,7 +14,7 @@ from ..operators import rallies as R
 from ..operators import shots as D
 from ..operators import tracks as P
 from ..sources.adapters import fixture, with_fixtures
-from . import contact_plans, review_plans
+from . import chain_plans, contact_plans, review_plans
 
 _Q: dict = {}
 _S: dict[str, str] = {}
@@ -87,8 +87,9 @@ _add("p1_smooth_and_project", lambda get: P.smooth_and_project(get("players"), g
 _ZONED = _RECT.format(x="court_x_ft", y="court_y_ft", s=5, e=15)
 _add("p2_flag_transient", lambda get: P.flag_transient(get("players")), f"""
     SELECT clip_id, track_id, max(frame) - min(frame) + 1 AS life, bool_or({_ZONED}) AS in_zone, max(frame) - min(frame) + 1 < 30 OR NOT bool_or({_ZONED}) AS transient FROM fx_players GROUP BY clip_id, track_id""")
-_add("p3_crowd_warning", lambda get: P.crowd_warning(get("players")), """t AS (SELECT clip_id, track_id, max(frame) - min(frame) + 1 AS life, avg(CAST(in_court AS INT)) AS inside FROM fx_players GROUP BY clip_id, track_id)
-    SELECT clip_id, count(*) AS tracks, list(track_id ORDER BY track_id) AS track_ids FROM t WHERE life > 100 AND inside >= 0.3 GROUP BY clip_id HAVING count(*) > 4""")
+# The stand-in tracks have a row in every sixth frame, and seven of them stay in court.
+_add("p3_crowd_warning", lambda get: P.crowd_warning(get("players").withColumns({"frame": F.col("frame") * 6, "in_court": F.col("in_court") | (F.col("track_id") < 7)}), get("court")), """t AS (SELECT clip_id, track_id, max(frame * 6) - min(frame * 6) + 1 AS life, avg(CAST(in_court OR track_id < 7 AS INT)) AS inside FROM fx_players GROUP BY clip_id, track_id)
+    SELECT clip_id, count(*) AS tracks, list(track_id ORDER BY track_id) AS track_ids FROM t JOIN fx_court USING (clip_id) WHERE life > 5 * fps AND inside >= 0.8 GROUP BY clip_id HAVING count(*) > 4""")
 _SUMMARY = f"""su AS (SELECT clip_id, track_id, count(*) AS rows, min(frame) AS first_frame, max(frame) AS last_frame, arg_min(court_x_ft, frame) AS first_x, arg_max(court_x_ft, frame) AS last_x,
     quantile_cont(court_x_ft, 0.5) AS median_x, quantile_cont(court_y_ft, 0.5) AS median_y, quantile_cont(bbox_y2 - bbox_y1, 0.75) AS height_px, avg(CAST(in_court AS INT)) AS in_court_share,
     avg(CAST({_ZONED} AS INT)) AS in_envelope_share, avg(CAST(is_user AS INT)) AS user_share FROM fx_players GROUP BY clip_id, track_id)"""
@@ -142,8 +143,8 @@ _RUNS = f"""kr AS (SELECT clip_id, frame, {KNOWN} AS known FROM fx_ball), ch AS
 _add("b7_known_runs", lambda get: B.known_runs(get("ball")), _RUNS + """, o AS (SELECT clip_id, known, min(frame) AS start_frame, max(frame) AS end_frame, count(*) AS length FROM ru GROUP BY clip_id, run, known)
     SELECT *, lag(length) OVER (PARTITION BY clip_id ORDER BY start_frame) AS gap_before FROM o""")
 _add("b8_jump_into_run", lambda get: B.jump_into_run(get("ball")), f"""k AS (SELECT clip_id, frame, frame - lag(frame) OVER w AS g, {_STEP} AS d FROM fx_ball WHERE {KNOWN} WINDOW w AS ({_W})) SELECT clip_id, frame, d / g AS jump FROM k WHERE g > 1""")
-_add("b9_max_jump", lambda get: B.max_jump(get("ball").filter("frame % 50 = 0"), get("ball")), f"""k AS (SELECT clip_id, frame AS f1, lag(frame) OVER w AS f0, {_STEP} / (frame - lag(frame) OVER w) AS step FROM fx_ball WHERE {KNOWN} WINDOW w AS ({_W}))
-    SELECT e.clip_id, e.frame, max(step) AS max_jump FROM fx_ball e JOIN k ON k.clip_id = e.clip_id AND f0 >= e.frame - 30 AND f1 <= e.frame + 30 WHERE e.frame % 50 = 0 GROUP BY e.clip_id, e.frame""")
+_add("b9_max_jump", lambda get: B.max_jump(get("ball"), get("ball")), f"""k AS (SELECT clip_id, frame AS f1, lag(frame) OVER w AS f0, {_STEP} / (frame - lag(frame) OVER w) AS step FROM fx_ball WHERE {KNOWN} WINDOW w AS ({_W}))
+    SELECT e.clip_id, e.frame, max(step) AS max_jump FROM fx_ball e JOIN k ON k.clip_id = e.clip_id AND f0 >= e.frame - 30 AND f1 <= e.frame + 30 GROUP BY e.clip_id, e.frame""")
 _add("b10_grounded_fraction", lambda get: B.grounded_fraction(get("ball"), get("court")), f"""p AS (SELECT clip_id, frame, {KNOWN} AS known, {_PROJ.format(x='pixel_x', y='pixel_y', a='x', b='y')} FROM fx_ball JOIN fx_court USING (clip_id)),
     g AS (SELECT clip_id, frame, CASE WHEN known THEN CAST({_RECT.format(x='x', y='y', s=8, e=8)} AS INT) END AS near_ FROM p)
     SELECT clip_id, frame, CASE WHEN count(near_) OVER w >= 6 THEN avg(near_) OVER w END AS grounded FROM g WINDOW w AS ({_W} RANGE BETWEEN 15 PRECEDING AND 15 FOLLOWING)""")
@@ -239,9 +240,12 @@ _add("m14_position_summary", lambda get: M.position_summary(M.role_positions(get
     CASE WHEN x BETWEEN 0 AND 20 AND y BETWEEN 0 AND 22 THEN floor(x / 2) * 100 + floor(y / 2) END AS cell FROM po)
     SELECT clip_id, role, count(*) AS frames, """ + ", ".join(f"avg(CAST(zn = '{k}' AS INT)) AS {k}" for k in ("kitchen", "transition", "baseline")) + ", " + ", ".join(f'avg(CAST(lt = \'{k}\' AS INT)) AS "{k}"' for k in ("left", "centre", "right")) +
      ", round(avg(x) + 1e-7, 5) AS mean_x, round(avg(y) + 1e-7, 5) AS mean_y, count(DISTINCT cell) / 110 AS court_share FROM z GROUP BY clip_id, role")
-_add("m15_movement", lambda get: M.movement(M.role_positions(get("players"), get("roles"))), _POS + """, b AS (SELECT clip_id, role, floor(frame / 12) AS bucket, avg(x) AS x, avg(y) AS y FROM po GROUP BY ALL),
-    s AS (SELECT *, CASE WHEN bucket - lag(bucket) OVER w = 1 THEN sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) END AS step FROM b WINDOW w AS (PARTITION BY clip_id, role ORDER BY bucket))
-    SELECT clip_id, role, count_if(step BETWEEN 0.3 AND 24) AS steps, coalesce(sum(CASE WHEN step BETWEEN 0.3 AND 24 THEN step END), 0) AS feet FROM s GROUP BY clip_id, role""")
+# Stand-in players jump over the whole court: an eighth of their way is walked.
+_add("m15_movement", lambda get: M.movement(M.role_positions(get("players"), get("roles")).withColumns({"x": F.col("x") / 8, "y": F.col("y") / 8}), get("rallies"), get("court")), _POS + """, f AS (SELECT p.clip_id, role, frame, min(rally_id) AS rally_id, any_value(x) / 8 AS x, any_value(y) / 8 AS y FROM po p JOIN fx_rallies r ON r.clip_id = p.clip_id AND frame BETWEEN start_frame AND end_frame GROUP BY ALL),
+    b AS (SELECT clip_id, role, rally_id, fps, CAST(round(0.2 * fps) AS INT) AS win, floor(frame / CAST(round(0.2 * fps) AS INT)) AS bucket, avg(x) AS x, avg(y) AS y, count(*) AS n FROM f JOIN fx_court USING (clip_id) GROUP BY ALL),
+    s AS (SELECT *, CASE WHEN bucket - lag(bucket) OVER w = 1 AND rally_id = lag(rally_id) OVER w THEN sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) END AS step FROM b WINDOW w AS (PARTITION BY clip_id, role ORDER BY bucket, rally_id)),
+    t AS (SELECT clip_id, role, count_if(step BETWEEN 0.3 AND 24.0 * win / fps) AS steps, coalesce(sum(CASE WHEN step BETWEEN 0.3 AND 24.0 * win / fps THEN step END), 0) AS feet, count(DISTINCT rally_id) AS rallies, CAST(sum(n) AS DOUBLE) / max(fps) / 60 AS minutes FROM s GROUP BY clip_id, role)
+    SELECT clip_id, role, steps, round(feet, 4) AS feet, rallies, round(feet / rallies, 4) AS feet_per_rally, round(feet / minutes, 4) AS feet_per_minute FROM t""")
 _add("m16_team_positioning", lambda get: M.team_positioning(M.role_positions(get("players"), get("roles"))), _POS + f""", t AS (SELECT a.clip_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS gap, {_ZONE.format(y='a.y')} = 'kitchen' AND {_ZONE.format(y='b.y')} = 'kitchen' AS both_
       FROM po a JOIN po b ON a.clip_id = b.clip_id AND a.frame = b.frame AND a.role = 'user' AND b.role = 'partner')
     SELECT clip_id, count(*) AS frames, avg(CAST(both_ AS INT)) AS both_kitchen, avg(gap) AS mean_gap, quantile_cont(gap, 0.5) AS median_gap, min(gap) AS min_gap, max(gap) AS max_gap FROM t GROUP BY clip_id""")
@@ -280,18 +284,29 @@ _SIG = "si AS (SELECT clip_id, avg(CAST(visible AND confidence >= 0.3 AS INT)) A
 _add("e11_venue_signals", lambda get: E.venue_signals(get("ball")), _SIG + " SELECT * FROM si")
 _add("e12_venue_gate", lambda get: E.venue_gate(E.venue_signals(get("ball"))), _SIG + " SELECT *, CASE WHEN p90_conf < 0.470 THEN 'faint' WHEN det_rate < 0.182 THEN 'rare' ELSE 'ok' END AS gate FROM si")
 _add("e16_densify_labels", lambda get: E.densify_labels(get("labels")), """n AS (SELECT *, lead(frame) OVER w AS nf, lead(ball_visible) OVER w AS nv, lead(label_x) OVER w AS nx, lead(label_y) OVER w AS ny FROM fx_labels WINDOW w AS (PARTITION BY clip_id ORDER BY frame)),
-    e AS (SELECT *, unnest(range(frame + 1, nf)) AS at_ FROM n WHERE ball_visible AND nv AND nf - frame BETWEEN 2 AND 8) SELECT clip_id, at_ AS frame, label_x + (nx - label_x) * ((at_ - frame) / (nf - frame)) AS x, label_y + (ny - label_y) * ((at_ - frame) / (nf - frame)) AS y FROM e""")
+    e AS (SELECT *, unnest(range(frame + 1, nf)) AS at_ FROM n WHERE ball_visible AND nv AND nf - frame BETWEEN 2 AND 4) SELECT clip_id, frame, ball_visible, label_x AS x, label_y AS y, false AS interpolated FROM fx_labels UNION ALL SELECT clip_id, at_ AS frame, true AS ball_visible, label_x + (nx - label_x) * ((at_ - frame) / (nf - frame)) AS x, label_y + (ny - label_y) * ((at_ - frame) / (nf - frame)) AS y, true AS interpolated FROM e""")
 _LS = "CASE WHEN abs({f}(frame) OVER w - frame) <= 6 THEN sqrt(({f}(label_x) OVER w - label_x) * ({f}(label_x) OVER w - label_x) + ({f}(label_y) OVER w - label_y) * ({f}(label_y) OVER w - label_y)) / abs({f}(frame) OVER w - frame) END"
 _add("e18_label_speed", lambda get: E.label_speed(get("labels")), f"SELECT * FROM (SELECT clip_id, frame, greatest({_LS.format(f='lag')}, {_LS.format(f='lead')}) AS speed FROM fx_labels WHERE ball_visible WINDOW w AS (PARTITION BY clip_id ORDER BY frame)) WHERE speed IS NOT NULL")
 _add("e20_detection_confusion", lambda get: E.detection_confusion(get("ball"), get("labels")), """j AS (SELECT l.clip_id, ball_visible AS seen, coalesce(visible AND confidence >= 0.5, false) AS said, coalesce(sqrt((pixel_x - label_x) * (pixel_x - label_x) + (pixel_y - label_y) * (pixel_y - label_y)) <= 25, false) AS near_
     FROM fx_labels l JOIN fx_ball b ON b.clip_id = l.clip_id AND b.frame = l.frame) SELECT clip_id, count_if(seen AND said AND near_) AS tp, count_if(seen AND NOT (said AND near_)) AS fn, count_if(NOT seen AND said) AS fp, count_if(NOT seen AND NOT said) AS tn FROM j GROUP BY clip_id""")
-_Q["e8_alternation_check"] = lambda spark, sf_dir: E.alternation_check(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-_S["e8_alternation_check"] = _counted("""WITH p AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) SELECT conv_id, count(*) AS turns, count_if(role = b) AS same_team, count_if(role = 'system') AS "unknown" FROM p GROUP BY conv_id""")
-
+_add("e8_alternation_check", lambda get: E.alternation_check(get("shots"), get("roles"), get("court")).withColumns({c: F.round(c, 6) for c in ("legal_gap", "same_team_gap")}), """t AS (SELECT s.clip_id, rally_no, frame, shot_id, fps, CASE WHEN role IN ('user', 'partner') THEN 'near' WHEN role IN ('opp_a', 'opp_b') THEN 'far' END AS team
+      FROM fx_shots s JOIN fx_court c ON c.clip_id = s.clip_id LEFT JOIN fx_roles r ON r.clip_id = s.clip_id AND r.track_id = s.track_id),
+    p AS (SELECT *, row_number() OVER w AS k, lag(team) OVER w AS b, (frame - lag(frame) OVER w) / fps AS gap FROM t WINDOW w AS (PARTITION BY clip_id, rally_no ORDER BY frame, shot_id))
+    SELECT clip_id, count(DISTINCT rally_no) AS rallies, count_if(team IS NOT NULL AND b IS NOT NULL) AS pairs, count_if(team = b) AS same_team, count_if(k > 1 AND (team IS NULL OR b IS NULL)) AS unknown_pairs, count_if(k = 2 AND team IS NOT NULL AND b IS NOT NULL) AS returns,
+      count_if(k = 2 AND team = b) AS own_returns, round(quantile_cont(CASE WHEN team <> b THEN gap END, 0.5), 6) AS legal_gap, round(quantile_cont(CASE WHEN team = b THEN gap END, 0.5), 6) AS same_team_gap FROM p GROUP BY clip_id""")
 contact_plans.register(_add, _LINKED)
 review_plans.register(_add, _SCORES, _SIG)
 
 
+def _raw(name: str, run, sql: str) -> None:
+    """``run(spark, get)`` builds a query that writes and reads files on the way."""
+    _Q[name] = lambda spark, sf_dir: run(spark, lambda fx: fixture(spark, sf_dir, f"fx_{fx}"))
+    _S[name] = with_fixtures(_counted(sql))
+
+
+chain_plans.register(_add, _raw)
+
+
 def flagship(spark, sf_dir: str):
     """Shot mix per clip and role."""
     return _Q["m5_shot_mix"](spark, sf_dir)

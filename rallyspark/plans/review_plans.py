@@ -60,8 +60,8 @@ def register(add, scores: str, signals: str) -> None:
     add("m1_rally_shots", lambda get: V.rally_shots(get("shots"), get("rallies").filter("n_shots >= 3 and clip_id % 5 <> 0")), """r AS (SELECT clip_id, rally_id FROM fx_rallies WHERE n_shots >= 3 AND clip_id % 5 <> 0)
     SELECT clip_id, shot_id, rally_no FROM fx_shots s WHERE EXISTS (SELECT 1 FROM r WHERE r.clip_id = s.clip_id AND r.rally_id = s.rally_no) OR s.clip_id NOT IN (SELECT clip_id FROM r)""")
     add("m2_role_maps", lambda get: V.role_maps(get("roles")), "SELECT clip_id, role, count(*) AS tracks, round(avg(role_confidence), 6) AS confidence, round(avg(role_confidence), 6) < 0.55 AS contaminated FROM fx_roles WHERE role <> 'noise' GROUP BY clip_id, role")
-    add("e7_recall_census", lambda get: V.recall_census(get("truth"), get("ball"), get("shots")), """s AS (SELECT t.clip_id, truth_id, count(*) AS n, max(confidence) AS best FROM fx_truth t JOIN fx_ball b ON b.clip_id = t.clip_id AND b.frame BETWEEN t.frame - 12 AND t.frame + 12 WHERE visible GROUP BY ALL),
-    x AS (SELECT DISTINCT clip_id, unnest(range(frame - 12, frame + 13)) AS frame FROM fx_shots) SELECT t.clip_id, t.truth_id, coalesce(n, 0) AS visible_frames, best, CASE WHEN x.frame IS NOT NULL THEN 'ok' WHEN n >= 6 THEN 'algorithm' ELSE 'detector' END AS cause
+    add("e7_recall_census", lambda get: V.recall_census(get("truth"), get("ball"), get("shots")), """s AS (SELECT t.clip_id, truth_id, count(*) AS n, max(confidence) AS best FROM fx_truth t JOIN fx_ball b ON b.clip_id = t.clip_id AND b.frame BETWEEN t.frame - 60 AND t.frame + 60 WHERE visible GROUP BY ALL),
+    x AS (SELECT DISTINCT clip_id, unnest(range(frame - 60, frame + 61)) AS frame FROM fx_shots) SELECT t.clip_id, t.truth_id, coalesce(n, 0) AS visible_frames, best, CASE WHEN x.frame IS NOT NULL THEN 'ok' WHEN n >= 6 THEN 'algorithm' ELSE 'detector' END AS cause
     FROM fx_truth t LEFT JOIN s ON s.clip_id = t.clip_id AND s.truth_id = t.truth_id LEFT JOIN x ON x.clip_id = t.clip_id AND x.frame = t.frame""")
     add("e10_label_audit", lambda get: V.label_audit(get("ball"), get("labels")), """j AS (SELECT l.clip_id, confidence, sqrt(power(pixel_x - label_x, 2) + power(pixel_y - label_y, 2)) * 0.5 AS d FROM fx_labels l JOIN fx_ball b ON b.clip_id = l.clip_id AND b.frame = l.frame WHERE ball_visible AND visible)
     SELECT clip_id, count(*) AS n, quantile_cont(d, 0.5) AS median_px, avg(CAST(d <= 6 AS INT)) AS close_share, avg(CAST(d > 20 AND confidence >= 0.5 AS INT)) AS bad_share FROM j GROUP BY clip_id""")
@@ -82,4 +82,4 @@ def register(add, scores: str, signals: str) -> None:
     cols = ["clip_id", "shot_id", "frame", "track_id", "is_serve"]
     add("d9_same_track_repeats", lambda get: H.same_track_repeats(get("shots").select(*cols), 360))
     count = lambda: F.sum((~F.col("is_serve")).cast("long")).over(Window.partitionBy("clip_id").orderBy("frame"))
-    add("d8_dedup_serves", lambda get: H.dedup_serves(get("shots").withColumn("impulses", count()).filter("is_serve").select("clip_id", "shot_id", "frame", "impulses", (F.col("pk") % 9).cast("long").alias("run_length")), 120))
+    add("d8_dedup_serves", lambda get: H.dedup_serves(get("shots").withColumn("upto", count()).filter("is_serve").select("clip_id", "shot_id", "frame", "upto", F.col("upto").alias("before"), (F.col("pk") % 9).cast("long").alias("run_length")), 120))

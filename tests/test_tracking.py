@@ -99,7 +99,7 @@ def test_dedup_serves_and_repeats_match_plain_loops(spark):
     for c in range(3):
         kept = []
         for r in (r for r in rows if r[0] == c):
-            if kept and kept[-1][3] == r[3] and r[2] - kept[-1][2] <= 30:
+            if kept and kept[-1][3] == r[3] and r[2] - kept[-1][2] < 30:
                 kept[-1] = kept[-1] if kept[-1][4] else r
             else:
                 kept.append(r)
@@ -107,6 +107,7 @@ def test_dedup_serves_and_repeats_match_plain_loops(spark):
     assert {(r.clip_id, r.shot_id) for r in helpers.same_track_repeats(shots_, 30).collect()} == expect
     serves = [(0, 0, 0, 5, 0), (0, 1, 20, 9, 0), (0, 2, 40, 9, 0), (0, 3, 60, 1, 3), (0, 4, 300, 2, 3), (0, 5, 310, 2, 3)]
     df = spark.createDataFrame(serves, "clip_id long, shot_id long, frame long, run_length long, impulses long")
+    df = df.withColumnRenamed("impulses", "upto").selectExpr("*", "upto as before")
     assert {r.shot_id for r in helpers.dedup_serves(df, 50).collect()} == {1, 3, 4}
 
 

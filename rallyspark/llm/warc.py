@@ -31,8 +31,8 @@ from .common import materialize, shared_dir, table
 LEAST = 100
 #: An archive is closed at this size: it is what a writing task holds in memory.
 ARCHIVE_BYTES = 32 << 20
-#: A reading task fetches runs of neighbouring records of about this size at once.
-RUN_BYTES = 4 << 20
+#: A reading task fetches runs of neighbouring records of about this size at once, and about so many of them.
+RUN_BYTES, TASK_RUNS = 4 << 20, 4
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
 
@@ -216,7 +216,8 @@ def read_archives(manifest: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(types))
 
     runs = manifest.select("path", "bytes").mapInArrow(locate, "path string, at long, size long, lengths array<long>")
-    return runs.repartition("path", "at").mapInArrow(
+    tasks = -(-(manifest.agg(F.sum("bytes")).first()[0] or 1) // (TASK_RUNS * run_bytes))
+    return runs.repartition(tasks, "path", "at").mapInArrow(  # a number of tasks by bytes: the rows themselves are tiny
         fetch, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 

@@ -7,18 +7,19 @@ backward sums) and decoded by Viterbi.
 
 Labelled pages: a bounded, documented sample of pages (``SAMPLE`` of them, those with the smallest hash of page_id)
 labels itself where it marks its article (``article``, ``main``) and its furniture; ``LAYOUTS`` adds pages with the kinds of
-furniture that the sample may lack (comments, notices, sidebars, forms), laid out around texts of the sample. Ancestor
-features are dropped at random while training, so that text features learn to stand alone.
+furniture that the sample may lack (comments, notices, sidebars, forms), laid out around texts of the sample, and texts
+without any element. Ancestor features are dropped at random while training, so that text features learn to stand alone.
+Features are the strings that training has seen; others weigh nothing.
 
 Defined results: null and empty html give empty text and 0; character references are decoded; white space inside a
-block becomes one space; nothing is cut off, whatever its length; broken markup is read leniently; repeated rows
-are extracted each; an empty table gives an empty result; extra columns are ignored.
+block becomes one space; nothing is cut off, whatever its length; broken markup is read leniently (a head ends where
+content begins, end tags may be missing, the end of a hidden element ends all that it holds); text without elements is
+an article; repeated rows are extracted each; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -29,11 +30,15 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-SAMPLE, LAYOUT_PAGES, EPOCHS, BITS, DROP = 80, 330, 12, 12, 0.12
+SAMPLE, LAYOUT_PAGES, EPOCHS, DROP = 80, 330, 12, 0.12
+#: Pages longer than this are not trained on (all are extracted): the sample passes through the driver.
+SAMPLE_CHARS = 200_000
 #: Elements whose edges end a block, and elements whose text is never shown. Fixed values of HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                    "head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 HIDDEN = frozenset("script style noscript template head title iframe object svg canvas audio video datalist".split())
+#: What may stand in a head; anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class and id attributes and tags that mark furniture or articles, for labelling the training sample.
 FURNITURE = frozenset("nav aside footer form button select textarea header ad ads advert advertisement banner promo sponsor sponsored sidebar side menu navbar breadcrumb breadcrumbs cookie cookies "
@@ -59,7 +64,14 @@ class _Blocks(HTMLParser):
                 self.blocks.append((tuple(self.stack), text, self.linked))
             self.text, self.linked = [], 0
 
+    def _leave_head(self):
+        """Ends a head whose end tag is missing, unless an element in it is still open."""
+        if self.stack and self.stack[-1][0] == "head":
+            self._cut(len(self.stack) - 1)
+
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self._leave_head()
         if tag in VOID:
             if tag == "br":
                 self.text.append(" ")
@@ -103,10 +115,12 @@ class _Blocks(HTMLParser):
             if self.stack[i][0] == tag:
                 self._cut(i)
                 return
-            if tag not in BLOCKS and self.stack[i][0] in BLOCKS:
+            if tag not in BLOCKS and tag not in HIDDEN and self.stack[i][0] in BLOCKS:
                 return  # an inline end tag doesn't close a block
 
     def handle_data(self, data):
+        if self.hidden == 1 and data.strip():
+            self._leave_head()
         if not self.hidden:
             self.text.append(data)
             if self.links:
@@ -121,21 +135,25 @@ def leaf_blocks(html: str | None) -> list:
     return parser.blocks
 
 
-def features(blocks: list, dropped: np.ndarray | None = None) -> list[list[int]]:
-    """Hashed feature numbers of each block; ``dropped`` marks blocks whose ancestors are hidden while training."""
+_NOT_CAPITAL = bytes(c for c in range(256) if not 65 <= c <= 90)
+
+
+def features(blocks: list, index: dict[str, int], grow: bool = False, dropped: np.ndarray | None = None) -> list[list[int]]:
+    """Feature numbers of each block by ``index``, which grows while training; ``dropped`` marks blocks whose ancestors are hidden."""
     out, memo = [], {}
-    number = lambda s: zlib.crc32(s.encode()) & (1 << BITS) - 1
+    number = (lambda s: index.setdefault(s, len(index))) if grow else (lambda s: index.get(s, -1))
     for i, (path, text, linked) in enumerate(blocks):
         n, found = len(text), []
         if dropped is None or not dropped[i]:
             found = memo.get(path)
             if found is None:
-                found = memo[path] = [number(f"tag {t}") for t in {t for t, _ in path}] + [number(f"mark {m}") for m in {m for _, ms in path for m in ms}] + [number(f"leaf {path[-1][0] if path else ''}")]
+                names = [f"tag {t}" for t in {t for t, _ in path}] + [f"class {m}" for m in {m for _, ms in path for m in ms}] + [f"leaf {path[-1][0] if path else ''}"]
+                found = memo[path] = [k for k in map(number, names) if k >= 0]
         words = text.count(" ") + 1
-        stops, caps = sum(map(text.count, ".,;!?")), sum(map(str.isupper, text[:200]))
+        stops, caps = sum(map(text.count, ".,;!?")), len(text.encode("utf-8", "replace").translate(None, _NOT_CAPITAL))
         shape = [f"words {min(6, words.bit_length())}", f"links {min(4, 4 * linked // max(1, n))}", f"stops {min(4, 20 * stops // words)}", f"end {text[-1] in '.!?…'}",
-                 f"caps {min(4, 8 * caps // min(n, 200))}", f"mark {'©' in text or '|' in text[:40]}", f"place {min(3, 4 * i // len(blocks))}", "bias"]
-        out.append(found + [number(s) for s in shape])
+                 f"caps {min(4, 8 * caps // n)}", f"mark {'©' in text or '|' in text}", f"place {min(3, 4 * i // len(blocks))}", "bias"]
+        out.append(found + [k for k in map(number, shape) if k >= 0])
     return out
 
 
@@ -164,6 +182,8 @@ LAYOUTS = (
 #: How the article itself stands in those pages.
 SHELLS = ("<article>{0}</article>", "<main>{0}</main>", "<div>{0}</div>", '<div id="main">{0}</div>', "{0}", '<div class="article-body" role="main">{0}</div>', "<section>{0}</section>", '<div class="content">{0}</div>', '<div id="post"><div class="entry">{0}</div></div>', '<main><div class="story">{0}</div></main>')
 
+#: How a text stands by itself.
+BARE = ("{0}", "<p>{0}</p>", "<body>{0}</body>", "<body><p>{0}</p></body>", "<div>{0}</div>", "<body><div><p>{0}</p></div></body>", "<p>{0}</p><p>{0}</p>")
 #: What an article is made of.
 INNER = ("<p>{0}</p>", "<ul><li>{1}</li><li>{2}</li></ul>", "<blockquote>{1}</blockquote>", "<table><tr><td>{1}</td><td>{2}</td></tr></table>", "<h2>{1}</h2><p>{0}</p>", "<pre>{1}</pre>",
          "<ol><li><p>{1}</p></li></ol>", "<figure><figcaption>{1}</figcaption></figure>", "{1}<div>{0}</div>")
@@ -177,7 +197,7 @@ def training_pages(pages: list[str]) -> list[tuple[list, list[int]]]:
         marked = [(b, y) for b in blocks if (y := label_of(b[0])) is not None]
         if any(y for _, y in marked):
             out.append(([b for b, _ in marked], [y for _, y in marked]))
-        texts += [b[1].replace("<", "").replace("&", "") for b, _ in marked]
+        texts += [t for b, _ in marked if (t := b[1].replace("<", "").replace("&", "").strip())]
     texts = texts or ["Lorem ipsum dolor sit amet, consectetur.", "Home", "Sed ut perspiciatis unde omnis iste natus error sit."]
     short = lambda: " ".join(texts[rng.integers(len(texts))].split()[: int(rng.integers(1, 25))])
     for i in range(LAYOUT_PAGES):
@@ -190,6 +210,10 @@ def training_pages(pages: list[str]) -> list[tuple[list, list[int]]]:
         parts = [before.format(*fill), SHELLS[i % len(SHELLS)].format(body), after.format(*fill)]
         blocks = leaf_blocks("<body>" + "".join(parts) + "</body>")
         out.append((blocks, [int(label_of(b[0]) != 0) for b in blocks]))
+        if i % 4 == 0:  # a text by itself is an article, long or short
+            alone = [short(), texts[rng.integers(len(texts))], f"{short()} {texts[rng.integers(len(texts))]}"][i // 4 % 3]
+            blocks = leaf_blocks(BARE[i // 4 % len(BARE)].format(alone))
+            out.append((blocks, [1] * len(blocks)))
     return out
 
 
@@ -197,7 +221,8 @@ class Chain:
     """Two-state linear-chain CRF: a weight per feature and state, and per pair of states."""
 
     def __init__(self):
-        self.w, self.pair = np.zeros((1 << BITS, 2)), np.zeros((2, 2))
+        self.index: dict[str, int] = {}
+        self.w, self.pair = np.zeros((0, 2)), np.zeros((2, 2))
 
     def emissions(self, feats: list[list[int]]) -> np.ndarray:
         flat = np.concatenate([np.asarray(f) for f in feats])
@@ -205,11 +230,14 @@ class Chain:
 
     def fit(self, data: list[tuple[list, list[int]]], epochs: int = EPOCHS, rate: float = 0.3) -> Chain:
         rng = np.random.default_rng(5)
+        for blocks, _ in data:
+            features(blocks, self.index, True)
+        self.w = np.zeros((len(self.index), 2))
         gw, gp = np.full_like(self.w, 1e-2), np.full_like(self.pair, 1e-2)
         for _ in range(epochs):
             for k in rng.permutation(len(data)):
                 blocks, labels = data[k]
-                feats, y = features(blocks, rng.random(len(blocks)) < DROP), np.asarray(labels)
+                feats, y = features(blocks, self.index, dropped=rng.random(len(blocks)) < DROP), np.asarray(labels)
                 e, n = self.emissions(feats), len(y)
                 fw, bw = np.zeros((n, 2)), np.zeros((n, 2))
                 fw[0] = e[0]
@@ -258,13 +286,17 @@ def main_text(html: str | None, chain: Chain) -> str:
     blocks = leaf_blocks(html)
     if not blocks:
         return ""
-    return " ".join(b[1] for b, y in zip(blocks, chain.decode(features(blocks))) if y)
+    return " ".join(b[1] for b, y in zip(blocks, chain.decode(features(blocks, chain.index))) if y)
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Chain:
-    """The chain from a bounded sample of ``pages``: those with the smallest hashes of their ids."""
-    rows = pages.filter(F.length("html") > 0).select(F.xxhash64("page_id").alias("h"), "html").orderBy("h", "html").limit(sample).collect()
-    return Chain().fit(training_pages([r.html for r in rows]))
+    """The chain from a bounded sample of ``pages``: those with the smallest hashes of their ids, by ids first."""
+    usable = pages.filter(F.length("html").between(1, SAMPLE_CHARS)).select("page_id", F.col("html").cast("string").alias("html"))
+    # A few times as many rows as pages, since ids may repeat; only these small rows are sorted.
+    least = usable.filter("page_id is not null").select("page_id", F.xxhash64("page_id").alias("h")).orderBy("h", "page_id").limit(8 * sample).collect()
+    ids = list(dict.fromkeys(r.page_id for r in least))[:sample]
+    rows = usable.filter(F.col("page_id").isin(ids)).groupBy("page_id").agg(F.min("html").alias("html")).collect() if ids else usable.agg(F.min("html").alias("html")).collect()
+    return Chain().fit(training_pages(sorted(r.html for r in rows if r.html)))
 
 
 def extract(spark: SparkSession, pages: DataFrame, sample: int = SAMPLE) -> DataFrame:

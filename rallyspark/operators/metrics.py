@@ -122,16 +122,49 @@ def reconcile(shots: DataFrame, roles: DataFrame) -> DataFrame:
 
 # ---- ratings
 
-WEIGHTS = {"third_shot": 0.3, "dink": 0.25, "volley": 0.25, "serve": 0.2}
-
-
-def score_categories(mix: DataFrame) -> DataFrame:
-    """Levels 1..5.5 per category from a player's shot mix; 3.0 without shots of the category."""
-    share = lambda c: F.try_divide(F.col(c), F.col("shots"))
-    level = lambda v, lo, hi: F.coalesce(clamped_linear(v, lo, 1.0, hi, 5.5), F.lit(3.0))
-    rows = {"third_shot": level(F.try_divide(F.col("drop"), F.col("drop") + F.col("drive")), 0.0, 0.8), "dink": level(share("dink"), 0.0, 0.5), "volley": level(F.col("volley_rate"), 0.2, 0.8), "serve": level(share("serve"), 0.0, 0.5)}
+#: The weight of each category.
+WEIGHTS = {"strategy": 0.20, "third_shot": 0.18, "dink": 0.15, "volley": 0.13, "serve_return": 0.12, "forehand": 0.12, "backhand": 0.10}
+#: Knee bends in degrees that are good on a dink and on a drive.
+DINK_KNEE, DRIVE_KNEE = (35, 50), (20, 35)
+
+
+def rating_drivers(shots: DataFrame, roles: DataFrame, positions: DataFrame, moves: DataFrame, rallies: DataFrame) -> DataFrame:
+    """One row per clip and role with what the categories are scored by. ``shots`` have seq, front (contact in front of the
+    hip) and knee (bend in degrees); ``positions`` is role_positions, ``moves`` is movement."""
+    is_ = lambda kind, side=None: (F.col("shot_type") == kind) if side is None else (F.col("shot_type") == kind) & (F.col("stroke_side") == side)
+    good = lambda band, test: F.avg(F.when(test & F.col("knee").isNotNull(), F.col("knee").between(*band).cast("int")))
+    strokes = [c for side in ("forehand", "backhand") for c in (
+        F.count(F.when(F.col("stroke_side") == side, F.col("front"))).alias(f"{side}_n"), F.avg(F.when(F.col("stroke_side") == side, F.col("front"))).alias(f"{side}_front"),
+        F.count(F.when(is_("drive", side), F.col("knee"))).alias(f"{side}_knee_n"), good(DRIVE_KNEE, is_("drive", side)).alias(f"{side}_knee"))]
+    third = (F.col("seq") == 3) & F.col("shot_type").isin("drop", "drive")
+    of_shots = shots.join(roles, ["clip_id", "track_id"]).groupBy("clip_id", "role").agg(
+        F.count("*").alias("shots"), F.avg(is_("dink").cast("int")).alias("dink_share"), F.avg(F.col("is_volley").cast("int")).alias("volley_rate"), F.count_if("is_serve").alias("serves"), F.count_if(third).alias("thirds"),
+        F.avg(F.when(third, is_("drop").cast("int"))).alias("drop_rate"), F.count(F.when(is_("dink"), F.col("knee"))).alias("dink_knee_n"), good(DINK_KNEE, is_("dink")).alias("dink_knee"), *strokes)
+    served = rallies.filter("end_reason = 'serve_fault'").select("clip_id", F.col("first_shot").alias("shot_id")).join(shots.select("clip_id", "shot_id", "track_id"), ["clip_id", "shot_id"]).join(roles, ["clip_id", "track_id"])
+    places = position_summary(positions).select("clip_id", "role", "kitchen", "transition")
+    return (of_shots.join(places, ["clip_id", "role"], "left").join(moves.select("clip_id", "role", "feet_per_minute"), ["clip_id", "role"], "left").join(team_positioning(positions).select("clip_id", "both_kitchen"), "clip_id", "left")
+            .join(rally_length(rallies).select("clip_id", "mean_length"), "clip_id", "left").join(served.groupBy("clip_id", "role").agg(F.count("*").alias("faults")), ["clip_id", "role"], "left").na.fill(0, ["faults"]))
+
+
+def score_categories(drivers: DataFrame) -> DataFrame:
+    """Levels 1..5.5 of the seven categories from rating_drivers; 3.0 where what decides a category is missing or too seldom."""
+    def lin(c: str, *line: float) -> Column:
+        return F.coalesce(clamped_linear(F.col(c), *line), F.lit(0.0))
+
+    def level(known: Column, value: Column) -> Column:
+        return F.round(F.when(F.coalesce(known, F.lit(False)), F.least(F.greatest(value, F.lit(1.0)), F.lit(5.5))).otherwise(3.0), 6)
+
+    def stroke(side: str) -> Column:
+        return level(F.col(f"{side}_n") >= 4, lin(f"{side}_front", 0.0, 3.0, 2.5, 4.2) + F.when(F.col(f"{side}_knee_n") >= 3, lin(f"{side}_knee", 0.0, -0.2, 1.0, 0.3)).otherwise(0.0))
+
+    rows = {
+        "strategy": level(F.col("kitchen").isNotNull(), lin("kitchen", 0.0, 2.5, 0.6, 4.5) + lin("both_kitchen", 0.0, 0.0, 0.5, 0.4) - lin("transition", 0.2, 0.0, 0.6, 0.6) + lin("feet_per_minute", 40.0, 0.0, 200.0, 0.2)),
+        "third_shot": level((F.col("thirds") >= 4) & F.col("drop_rate").isNotNull(), lin("drop_rate", 0.1, 2.8, 0.6, 4.3)),
+        "dink": level(F.col("dink_share").isNotNull(), lin("dink_share", 0.0, 2.8, 0.4, 4.3) + lin("mean_length", 3.0, 0.0, 10.0, 0.3) + F.when(F.col("dink_knee_n") >= 3, lin("dink_knee", 0.0, 0.0, 1.0, 0.5)).otherwise(0.0)),
+        "volley": level(F.col("volley_rate").isNotNull(), lin("volley_rate", 0.0, 2.8, 0.4, 4.2)),
+        "serve_return": level(F.col("serves") > 0, clamped_linear(F.try_divide("faults", "serves"), 0.0, 4.2, 0.3, 2.5)), "forehand": stroke("forehand"), "backhand": stroke("backhand")}
     conf = F.col("shots") / (F.col("shots") + 8)
-    return mix.filter("role is not null").select("clip_id", "role", F.explode(F.array(*[F.struct(F.lit(k).alias("category"), v.alias("level"), conf.alias("confidence"), F.lit(WEIGHTS[k]).alias("weight")) for k, v in rows.items()])).alias("c")).select("clip_id", "role", "c.*")
+    return drivers.select("clip_id", "role", F.explode(F.array(*[F.struct(F.lit(k).alias("category"), v.alias("level"), conf.alias("confidence"), F.lit(WEIGHTS[k]).alias("weight")) for k, v in rows.items()])).alias("c")).select("clip_id", "role", "c.*")
 
 
 def half_step(x: Column) -> Column:
@@ -146,7 +179,7 @@ def overall_rating(scores: DataFrame) -> DataFrame:
     return r.select("clip_id", "role", "rating", "confidence", half_step(F.col("rating")).alias("band"), (F.col("rating") - half).alias("low"), (F.col("rating") + half).alias("high"), F.least(F.lit(5.0), half_step(F.col("rating")) + 0.5).alias("next_target"))
 
 
-def focus_areas(scores: DataFrame, target: float = 4.5, top: int = 2) -> DataFrame:
+def focus_areas(scores: DataFrame, target: float = 4.5, top: int = 6) -> DataFrame:
     gap = (target - F.col("level")) * F.col("weight") * (0.5 + 0.5 * F.col("confidence"))
     w = Window.partitionBy("clip_id", "role").orderBy(F.desc("priority"), "category")
     return scores.filter(F.col("level") < target).withColumn("priority", F.round(gap, 6)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("clip_id", "role", "category", "priority", "rank")

@@ -96,11 +96,12 @@ def role_maps(roles: DataFrame, least: float = 0.55) -> DataFrame:
 
 # ---- ratings in words
 
-def category_confidence(scores: DataFrame, clips: DataFrame, synthetic_factor: float = 0.35, volley_cap: float = 0.30) -> DataFrame:
+def category_confidence(scores: DataFrame, clips: DataFrame, synthetic_factor: float = 0.35, read_cap: float = 0.30, count_cap: float = 0.05) -> DataFrame:
     """Confidence, its limiter (first on ties) and the coverage of each category; on synthetic clips only strategy keeps its confidence."""
-    cap = F.when(F.col("category") == "volley", volley_cap).otherwise(1.0)
+    stroke = F.col("category").isin("forehand", "backhand")  # at most one quality is read; a level of 3 says that none was
+    cap = F.when(stroke & (F.col("level") == 3.0), count_cap).when(stroke, read_cap).otherwise(1.0)
     own = F.when(F.col("synthetic") & (F.col("category") != "strategy"), F.col("confidence") * synthetic_factor).otherwise(F.col("confidence"))
-    least = F.array_min(F.array(F.struct(own.alias("c"), F.lit(0).alias("at"), F.when(F.col("synthetic"), "synthetic ball").otherwise("sample size").alias("why")), F.struct(cap.alias("c"), F.lit(1).alias("at"), F.lit("stroke reads").alias("why"))))
+    least = F.array_min(F.array(F.struct(own.alias("c"), F.lit(0).alias("at"), F.when(F.col("synthetic") & (F.col("category") != "strategy"), "synthetic ball").otherwise("sample size").alias("why")), F.struct(cap.alias("c"), F.lit(1).alias("at"), F.lit("stroke reads").alias("why"))))
     rows = scores.join(clips, "clip_id").withColumn("l", least)
     status = F.when(F.col("l.c") >= 0.5, "real").when(F.col("l.c") >= 0.1, "partial").otherwise("uncovered")
     return rows.select("clip_id", "role", "category", "level", "weight", F.col("l.c").alias("confidence"), F.col("l.why").alias("limiter"), status.alias("coverage"), "synthetic")
@@ -113,9 +114,9 @@ def coverage_summary(rated: DataFrame) -> DataFrame:
     return rated.groupBy("clip_id", "role").agg(weight(F.col("coverage") == "real").alias("real_weight"), weight(F.col("synthetic")).alias("synthetic_weight"), names("real").alias("real_categories"), names("partial").alias("partial_categories"))
 
 
-#: fixed values: a category's drills, from the first to the most advanced
+#: A drill table made up here: category, drill, and the level up to which it helps.
 DRILLS = [("third_shot", "drop_feed", 2.5), ("third_shot", "drop_target", 3.5), ("third_shot", "drop_drive_choice", 4.5), ("dink", "cross_dink", 2.5), ("dink", "dink_ladder", 3.5), ("dink", "dink_speed_up", 4.5),
-          ("volley", "block_volley", 2.5), ("volley", "hands_battle", 3.5), ("volley", "counter", 4.5), ("serve", "deep_serve", 2.5), ("serve", "serve_depth", 3.5), ("serve", "serve_spots", 4.5)]
+          ("volley", "block_volley", 2.5), ("volley", "hands_battle", 3.5), ("volley", "counter", 4.5), ("serve_return", "deep_serve", 2.5), ("serve_return", "serve_depth", 3.5), ("serve_return", "serve_spots", 4.5)]
 
 
 def drills(rated: DataFrame, top: int = 2) -> DataFrame:

@@ -54,10 +54,51 @@ _BROWS = f"""br AS (SELECT clip_id, bounce_id, w <= 0.25 AS is_in, CASE WHEN w <
 _POS = "po AS (SELECT clip_id, role, frame, round(avg(court_x_ft), 6) + 0.0E0 AS x, round(avg(court_y_ft), 6) + 0.0E0 AS y FROM fx_players JOIN fx_roles USING (clip_id, track_id) WHERE NOT transient AND role <> 'noise' GROUP BY ALL)"
 _MIX = """mx AS (SELECT clip_id, role, count(*) AS shots, count_if(shot_type = 'serve') AS serve, count_if(shot_type = 'drive') AS drive, count_if(shot_type = 'dink') AS dink, count_if(shot_type = 'drop') AS "drop", count_if(shot_type = 'lob') AS lob,
         count_if(is_volley) AS volleys, count_if(stroke_side = 'forehand') AS forehands, avg(CAST(is_volley AS INT)) AS volley_rate FROM fx_shots JOIN fx_roles USING (clip_id, track_id) GROUP BY GROUPING SETS ((clip_id), (clip_id, role)))"""
-_SCORES = _MIX + """, sc AS (SELECT clip_id, role, u.category, u.level, shots / (shots + 8) AS confidence, u.weight FROM mx, LATERAL (VALUES
-        ('third_shot', CASE WHEN "drop" + drive = 0 THEN 3.0 ELSE 1.0 + 4.5 * least(greatest("drop" / ("drop" + drive) / 0.8, 0), 1) END, 0.3),
-        ('dink', 1.0 + 4.5 * least(greatest(dink / shots / 0.5, 0), 1), 0.25), ('volley', 1.0 + 4.5 * least(greatest((volley_rate - 0.2) / (0.8 - 0.2), 0), 1), 0.25),
-        ('serve', 1.0 + 4.5 * least(greatest(serve / shots / 0.5, 0), 1), 0.2)) AS u(category, level, weight) WHERE role IS NOT NULL)"""
+# Stand-in players jump over the whole court: an eighth of their way is walked.
+_MOVE = """mf AS (SELECT p.clip_id, role, frame, min(rally_id) AS rally_id, any_value(x) / 8 AS x, any_value(y) / 8 AS y FROM po p JOIN fx_rallies r ON r.clip_id = p.clip_id AND frame BETWEEN start_frame AND end_frame GROUP BY ALL),
+    mb AS (SELECT clip_id, role, rally_id, fps, CAST(round(0.2 * fps) AS INT) AS win, floor(frame / CAST(round(0.2 * fps) AS INT)) AS bucket, avg(x) AS x, avg(y) AS y, count(*) AS n FROM mf JOIN fx_court USING (clip_id) GROUP BY ALL),
+    ms AS (SELECT *, CASE WHEN bucket - lag(bucket) OVER w = 1 AND rally_id = lag(rally_id) OVER w THEN sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) END AS step FROM mb WINDOW w AS (PARTITION BY clip_id, role ORDER BY bucket, rally_id)),
+    mt AS (SELECT clip_id, role, count_if(step BETWEEN 0.3 AND 24.0 * win / fps) AS steps, coalesce(sum(CASE WHEN step BETWEEN 0.3 AND 24.0 * win / fps THEN step END), 0) AS feet, count(DISTINCT rally_id) AS rallies, CAST(sum(n) AS DOUBLE) / max(fps) / 60 AS minutes FROM ms GROUP BY clip_id, role)"""
+
+
+def _moves(get):
+    return M.movement(M.role_positions(get("players"), get("roles")).withColumns({"x": F.col("x") / 8, "y": F.col("y") / 8}), get("rallies"), get("court"))
+
+
+def _scored(get):
+    """Category levels; contact in front of the hip and knee bends are stand-ins."""
+    shots = get("shots").withColumns({"front": F.expr("CASE WHEN pk % 7 <> 0 THEN CAST(pk % 61 - 20 AS DOUBLE) / 20 END"), "knee": F.expr("CASE WHEN pk % 5 <> 0 THEN pk % 60 END")})
+    return M.score_categories(M.rating_drivers(shots, get("roles"), M.role_positions(get("players"), get("roles")), _moves(get), get("rallies")))
+
+
+def _lin(v, x0, y0, x1, y1):
+    return f"coalesce(CASE WHEN {v} IS NOT NULL THEN {y0} + ({y1} - ({y0})) * least(greatest(({v} - {x0}) / ({x1} - {x0}), 0.0E0), 1.0E0) END, 0.0E0)"
+
+
+def _level(known, value):
+    return f"CAST(round(CASE WHEN {known} THEN least(greatest({value}, 1.0E0), 5.5E0) ELSE 3.0E0 END, 6) AS DOUBLE)"
+
+
+def _stroke(side):
+    return _level(f"{side}_n >= 4", _lin(f"{side}_front", 0.0, 3.0, 2.5, 4.2) + f" + CASE WHEN {side}_knee_n >= 3 THEN " + _lin(f"{side}_knee", 0.0, -0.2, 1.0, 0.3) + " ELSE 0.0E0 END")
+
+
+_LEVELS = {
+    "strategy": _level("kitchen IS NOT NULL", " ".join([_lin("kitchen", 0.0, 2.5, 0.6, 4.5), "+", _lin("both_kitchen", 0.0, 0.0, 0.5, 0.4), "-", _lin("transition", 0.2, 0.0, 0.6, 0.6), "+", _lin("per_min", 40.0, 0.0, 200.0, 0.2)])),
+    "third_shot": _level("thirds >= 4 AND drop_rate IS NOT NULL", _lin("drop_rate", 0.1, 2.8, 0.6, 4.3)),
+    "dink": _level("dink_share IS NOT NULL", " ".join([_lin("dink_share", 0.0, 2.8, 0.4, 4.3), "+", _lin("mean_length", 3.0, 0.0, 10.0, 0.3), "+ CASE WHEN dink_knee_n >= 3 THEN", _lin("dink_knee", 0.0, 0.0, 1.0, 0.5), "ELSE 0.0E0 END"])),
+    "volley": _level("volley_rate IS NOT NULL", _lin("volley_rate", 0.0, 2.8, 0.4, 4.2)), "serve_return": _level("serves > 0", _lin("(coalesce(faults, 0) / serves)", 0.0, 4.2, 0.3, 2.5)),
+    "forehand": _stroke("forehand"), "backhand": _stroke("backhand")}
+_SIDES = ", ".join(f"""count(CASE WHEN stroke_side = '{s}' THEN front END) AS {s}_n, avg(CASE WHEN stroke_side = '{s}' THEN front END) AS {s}_front, count(CASE WHEN stroke_side = '{s}' AND shot_type = 'drive' THEN knee END) AS {s}_knee_n,
+      avg(CASE WHEN stroke_side = '{s}' AND shot_type = 'drive' AND knee IS NOT NULL THEN CAST(knee BETWEEN 20 AND 35 AS INT) END) AS {s}_knee""" for s in ("forehand", "backhand"))
+_SCORES = _POS + ", " + _MOVE + f""", sk AS (SELECT s.*, role, CASE WHEN pk % 7 <> 0 THEN CAST(pk % 61 - 20 AS DOUBLE) / 20 END AS front, CASE WHEN pk % 5 <> 0 THEN pk % 60 END AS knee FROM fx_shots s JOIN fx_roles r ON r.clip_id = s.clip_id AND r.track_id = s.track_id),
+    d1 AS (SELECT clip_id, role, count(*) AS shots, avg(CAST(shot_type = 'dink' AS INT)) AS dink_share, avg(CAST(is_volley AS INT)) AS volley_rate, count_if(is_serve) AS serves, count_if(seq = 3 AND shot_type IN ('drop', 'drive')) AS thirds,
+      avg(CASE WHEN seq = 3 AND shot_type IN ('drop', 'drive') THEN CAST(shot_type = 'drop' AS INT) END) AS drop_rate, count(CASE WHEN shot_type = 'dink' THEN knee END) AS dink_knee_n, avg(CASE WHEN shot_type = 'dink' AND knee IS NOT NULL THEN CAST(knee BETWEEN 35 AND 50 AS INT) END) AS dink_knee, {_SIDES} FROM sk GROUP BY clip_id, role),
+    d2 AS (SELECT clip_id, role, avg(CAST(abs(y - 22) <= 9 AS INT)) AS kitchen, avg(CAST(abs(y - 22) > 9 AND abs(y - 22) < 17 AS INT)) AS transition FROM po GROUP BY clip_id, role),
+    d3 AS (SELECT a.clip_id, avg(CAST(abs(a.y - 22) <= 9 AND abs(b.y - 22) <= 9 AS INT)) AS both_kitchen FROM po a JOIN po b ON a.clip_id = b.clip_id AND a.frame = b.frame AND a.role = 'user' AND b.role = 'partner' GROUP BY a.clip_id),
+    d4 AS (SELECT r.clip_id, role, count(*) AS faults FROM fx_rallies r JOIN sk ON sk.clip_id = r.clip_id AND sk.shot_id = first_shot WHERE end_reason = 'serve_fault' GROUP BY r.clip_id, role), d5 AS (SELECT clip_id, avg(n_shots) AS mean_length FROM fx_rallies GROUP BY clip_id),
+    dr AS (SELECT d1.*, kitchen, transition, both_kitchen, round(feet / minutes, 4) AS per_min, mean_length, faults FROM d1 LEFT JOIN d2 USING (clip_id, role) LEFT JOIN mt USING (clip_id, role) LEFT JOIN d3 USING (clip_id) LEFT JOIN d4 USING (clip_id, role) LEFT JOIN d5 USING (clip_id)),
+    sc AS (SELECT clip_id, role, u.category, u.level, shots / (shots + 8) AS confidence, u.weight FROM dr, LATERAL (VALUES """ + ", ".join(f"('{k}', {v}, {M.WEIGHTS[k]}E0)" for k, v in _LEVELS.items()) + ") AS u(category, level, weight))"
 _W = "PARTITION BY clip_id ORDER BY frame"
 
 
@@ -240,23 +281,18 @@ _add("m14_position_summary", lambda get: M.position_summary(M.role_positions(get
     CASE WHEN x BETWEEN 0 AND 20 AND y BETWEEN 0 AND 22 THEN floor(x / 2) * 100 + floor(y / 2) END AS cell FROM po)
     SELECT clip_id, role, count(*) AS frames, """ + ", ".join(f"avg(CAST(zn = '{k}' AS INT)) AS {k}" for k in ("kitchen", "transition", "baseline")) + ", " + ", ".join(f'avg(CAST(lt = \'{k}\' AS INT)) AS "{k}"' for k in ("left", "centre", "right")) +
      ", round(avg(x) + 1e-7, 5) AS mean_x, round(avg(y) + 1e-7, 5) AS mean_y, count(DISTINCT cell) / 110 AS court_share FROM z GROUP BY clip_id, role")
-# Stand-in players jump over the whole court: an eighth of their way is walked.
-_add("m15_movement", lambda get: M.movement(M.role_positions(get("players"), get("roles")).withColumns({"x": F.col("x") / 8, "y": F.col("y") / 8}), get("rallies"), get("court")), _POS + """, f AS (SELECT p.clip_id, role, frame, min(rally_id) AS rally_id, any_value(x) / 8 AS x, any_value(y) / 8 AS y FROM po p JOIN fx_rallies r ON r.clip_id = p.clip_id AND frame BETWEEN start_frame AND end_frame GROUP BY ALL),
-    b AS (SELECT clip_id, role, rally_id, fps, CAST(round(0.2 * fps) AS INT) AS win, floor(frame / CAST(round(0.2 * fps) AS INT)) AS bucket, avg(x) AS x, avg(y) AS y, count(*) AS n FROM f JOIN fx_court USING (clip_id) GROUP BY ALL),
-    s AS (SELECT *, CASE WHEN bucket - lag(bucket) OVER w = 1 AND rally_id = lag(rally_id) OVER w THEN sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) END AS step FROM b WINDOW w AS (PARTITION BY clip_id, role ORDER BY bucket, rally_id)),
-    t AS (SELECT clip_id, role, count_if(step BETWEEN 0.3 AND 24.0 * win / fps) AS steps, coalesce(sum(CASE WHEN step BETWEEN 0.3 AND 24.0 * win / fps THEN step END), 0) AS feet, count(DISTINCT rally_id) AS rallies, CAST(sum(n) AS DOUBLE) / max(fps) / 60 AS minutes FROM s GROUP BY clip_id, role)
-    SELECT clip_id, role, steps, round(feet, 4) AS feet, rallies, round(feet / rallies, 4) AS feet_per_rally, round(feet / minutes, 4) AS feet_per_minute FROM t""")
+_add("m15_movement", _moves, _POS + ", " + _MOVE + " SELECT clip_id, role, steps, round(feet, 4) AS feet, rallies, round(feet / rallies, 4) AS feet_per_rally, round(feet / minutes, 4) AS feet_per_minute FROM mt")
 _add("m16_team_positioning", lambda get: M.team_positioning(M.role_positions(get("players"), get("roles"))), _POS + f""", t AS (SELECT a.clip_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS gap, {_ZONE.format(y='a.y')} = 'kitchen' AND {_ZONE.format(y='b.y')} = 'kitchen' AS both_
       FROM po a JOIN po b ON a.clip_id = b.clip_id AND a.frame = b.frame AND a.role = 'user' AND b.role = 'partner')
     SELECT clip_id, count(*) AS frames, avg(CAST(both_ AS INT)) AS both_kitchen, avg(gap) AS mean_gap, quantile_cont(gap, 0.5) AS median_gap, min(gap) AS min_gap, max(gap) AS max_gap FROM t GROUP BY clip_id""")
 _add("m18_heatmap", lambda get: M.heatmap(get("bounces"), "court_x_ft", "court_y_ft", ["clip_id"]), """SELECT clip_id, floor(court_y_ft / 2)::BIGINT AS "row", floor(court_x_ft / 2)::BIGINT AS col, count(*) AS n FROM fx_bounces WHERE court_x_ft >= 0 AND court_x_ft < 20 AND court_y_ft >= 0 AND court_y_ft < 44 GROUP BY ALL""")
 _add("m19_player_block", lambda get: M.player_block(get("shots"), get("roles")).withColumn("mean_confidence", F.round(F.col("mean_confidence") + 1e-7, 5)), "SELECT clip_id, role, count(*) AS shots, count_if(is_serve) AS serves, count_if(seq = 2) AS returns, round(avg(CASE WHEN NOT is_serve THEN confidence END) + 1e-7, 5) AS mean_confidence FROM fx_shots JOIN fx_roles USING (clip_id, track_id) GROUP BY ALL")
 _add("m20_reconcile", lambda get: M.reconcile(get("shots"), get("roles")), """SELECT s.clip_id, count(*) AS shots, count(role) AS attributed, count(*) - count(role) AS unattributed, true AS balanced FROM fx_shots s LEFT JOIN (SELECT * FROM fx_roles WHERE role <> 'noise') r ON r.clip_id = s.clip_id AND r.track_id = s.track_id GROUP BY ALL""")
-_add("q2_score_categories", lambda get: M.score_categories(M.shot_mix(get("shots"), get("roles"))), _SCORES + " SELECT * FROM sc")
-_add("q4_overall_rating", lambda get: M.overall_rating(M.score_categories(M.shot_mix(get("shots"), get("roles")))).withColumns({c: F.round(F.col(c) + 1e-7, 5) for c in ("rating", "low", "high")}), _SCORES + """, r AS (SELECT clip_id, role, sum(level * weight * confidence) / sum(weight * confidence) AS rating, sum(weight * confidence) AS confidence FROM sc GROUP BY ALL)
+_add("q2_score_categories", lambda get: _scored(get), _SCORES + " SELECT * FROM sc")
+_add("q4_overall_rating", lambda get: M.overall_rating(_scored(get)).withColumns({c: F.round(F.col(c) + 1e-7, 5) for c in ("rating", "low", "high")}), _SCORES + """, r AS (SELECT clip_id, role, sum(level * weight * confidence) / sum(weight * confidence) AS rating, sum(weight * confidence) AS confidence FROM sc GROUP BY ALL)
     SELECT clip_id, role, round(rating + 1e-7, 5) AS rating, confidence, round_even(rating * 2, 0) / 2 AS band, round(rating - (0.25 + 1.25 * (1 - confidence)) + 1e-7, 5) AS low, round(rating + (0.25 + 1.25 * (1 - confidence)) + 1e-7, 5) AS high, least(5, round_even(rating * 2, 0) / 2 + 0.5) AS next_target FROM r""")
-_add("l1_focus_areas", lambda get: M.focus_areas(M.score_categories(M.shot_mix(get("shots"), get("roles")))), _SCORES + """, f AS (SELECT clip_id, role, category, round((4.5 - level) * weight * (0.5 + 0.5 * confidence), 6) AS priority FROM sc WHERE level < 4.5)
-    SELECT *, row_number() OVER (PARTITION BY clip_id, role ORDER BY priority DESC, category) AS rank FROM f QUALIFY rank <= 2""")
+_add("l1_focus_areas", lambda get: M.focus_areas(_scored(get)), _SCORES + """, f AS (SELECT clip_id, role, category, round((4.5 - level) * weight * (0.5 + 0.5 * confidence), 6) AS priority FROM sc WHERE level < 4.5)
+    SELECT *, row_number() OVER (PARTITION BY clip_id, role ORDER BY priority DESC, category) AS rank FROM f QUALIFY rank <= 6""")
 
 # ---- collections
 _OFF = """pe AS (SELECT clip_id, max(shot_id) + 1 AS ns, max(frame) + 1 AS nf, max(track_id) + 1 AS nt FROM fx_shots GROUP BY clip_id), pr AS (SELECT clip_id, count(*) AS nr FROM fx_rallies GROUP BY clip_id),
@@ -295,7 +331,7 @@ _add("e8_alternation_check", lambda get: E.alternation_check(get("shots"), get("
     SELECT clip_id, count(DISTINCT rally_no) AS rallies, count_if(team IS NOT NULL AND b IS NOT NULL) AS pairs, count_if(team = b) AS same_team, count_if(k > 1 AND (team IS NULL OR b IS NULL)) AS unknown_pairs, count_if(k = 2 AND team IS NOT NULL AND b IS NOT NULL) AS returns,
       count_if(k = 2 AND team = b) AS own_returns, round(quantile_cont(CASE WHEN team <> b THEN gap END, 0.5), 6) AS legal_gap, round(quantile_cont(CASE WHEN team = b THEN gap END, 0.5), 6) AS same_team_gap FROM p GROUP BY clip_id""")
 contact_plans.register(_add, _LINKED)
-review_plans.register(_add, _SCORES, _SIG)
+review_plans.register(_add, _SCORES, _SIG, _scored)
 
 
 def _raw(name: str, run, sql: str) -> None:

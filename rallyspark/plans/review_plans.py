@@ -22,12 +22,12 @@ def _near(table: str, extra: str = "") -> str:
     return f"SELECT DISTINCT clip_id, unnest(range(frame - 6, frame + 7)) AS frame, true AS hit FROM {table}{extra}"
 
 
-def register(add, scores: str, signals: str) -> None:
-    """``scores`` and ``signals`` are the CTEs of category scores and of venue signals."""
-    rated = lambda get: V.category_confidence(M.score_categories(M.shot_mix(get("shots"), get("roles"))), get("court").select("clip_id", (F.col("clip_id") % 4 == 0).alias("synthetic")))
-    own = "CASE WHEN clip_id % 4 = 0 THEN confidence * 0.35 ELSE confidence END"
-    cap = "CASE WHEN category = 'volley' THEN 0.30 ELSE 1.0 END"
-    rt = scores + f""", cc AS (SELECT clip_id, role, category, level, weight, CAST(least({own}, {cap}) AS DOUBLE) AS confidence, CASE WHEN {own} <= {cap} THEN CASE WHEN clip_id % 4 = 0 THEN 'synthetic ball' ELSE 'sample size' END ELSE 'stroke reads' END AS limiter, clip_id % 4 = 0 AS synthetic FROM sc),
+def register(add, scores: str, signals: str, scored) -> None:
+    """``scores`` and ``signals`` are the CTEs of category scores and of venue signals; ``scored`` makes the former."""
+    rated = lambda get: V.category_confidence(scored(get), get("court").select("clip_id", (F.col("clip_id") % 4 == 0).alias("synthetic")))
+    own = "CASE WHEN clip_id % 4 = 0 AND category <> 'strategy' THEN confidence * 0.35 ELSE confidence END"
+    cap = "CASE WHEN category NOT IN ('forehand', 'backhand') THEN 1.0E0 WHEN level = 3.0 THEN 0.05E0 ELSE 0.30E0 END"
+    rt = scores + f""", cc AS (SELECT clip_id, role, category, level, weight, CAST(least({own}, {cap}) AS DOUBLE) AS confidence, CASE WHEN {own} <= {cap} THEN CASE WHEN clip_id % 4 = 0 AND category <> 'strategy' THEN 'synthetic ball' ELSE 'sample size' END ELSE 'stroke reads' END AS limiter, clip_id % 4 = 0 AS synthetic FROM sc),
     ra AS (SELECT *, CASE WHEN confidence >= 0.5 THEN 'real' WHEN confidence >= 0.1 THEN 'partial' ELSE 'uncovered' END AS coverage FROM cc)"""
     add("q3_category_confidence", lambda get: rated(get).select("clip_id", "role", "category", "confidence", "limiter", "coverage"), rt + " SELECT clip_id, role, category, confidence, limiter, coverage FROM ra")
     lst = lambda s: f"coalesce(string_agg(DISTINCT CASE WHEN coverage = '{s}' THEN category END, ',' ORDER BY CASE WHEN coverage = '{s}' THEN category END), '')"

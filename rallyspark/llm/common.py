@@ -46,10 +46,53 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder with ``row_``, a number that tells its rows apart whatever their ids."""
+    """``df``, a table of this subpackage, written to the shared folder with ``row_``, a number that tells its rows apart."""
     return materialize(df.withColumn("row_", F.monotonically_increasing_id()))
 
 
+def boxed(docs: DataFrame, **more: Column) -> DataFrame:
+    """``docs`` written to the shared folder as (row_, doc_, ...): ``doc_`` is a struct of all its columns, so none of
+    them can clash with those that a stage adds, and ``row_`` tells rows apart whatever their ids. ``more`` are columns
+    made from ``docs`` in the same pass."""
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row_"), F.struct("*").alias("doc_"), *[c.alias(name) for name, c in more.items()]))
+
+
+def of_box(name: str) -> Column:
+    """A column of the documents in boxed()."""
+    return F.col("doc_").getField(name)
+
+
+def unboxed(rows: DataFrame, **changed: Column) -> DataFrame:
+    """The documents of boxed() again, with some columns changed."""
+    return rows.select(*[(changed[c] if c in changed else of_box(c)).alias(c) for c in rows.schema["doc_"].dataType.names])
+
+
+#: Key tables of at most this many rows (about 80 bytes each in memory) are broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 500_000
+KEY = ["k1", "k2"]
+
+
+def row_key(*columns: Column) -> list[Column]:
+    """k1 and k2: a 128-bit hash of columns, nulls told apart. It finds a row again where a number of its own would need a
+    copy of the whole table."""
+    parts = [c for column in columns for c in (column.isNull(), column)]
+    return [F.xxhash64(F.lit(seed), *parts).alias(name) for seed, name in ((1, "k1"), (2, "k2"))]
+
+
+def few(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def without(docs: DataFrame, key: list[Column], gone: DataFrame, once: DataFrame | None = None) -> DataFrame:
+    """``docs`` without the rows whose row_key is in ``gone(k1, k2)``, and with one row of each key in ``once(k1, k2)``."""
+    keyed = docs.select(F.struct("*").alias("doc_"), *key)
+    left = keyed.join(few(gone), KEY, "left_anti")
+    if once is None or once.isEmpty():
+        return unboxed(left)
+    once = few(once)
+    return unboxed(left.join(once, KEY, "left_anti").unionByName(left.join(once, KEY, "left_semi").dropDuplicates(KEY)))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; null counts as empty."""
     text = F.coalesce(text, F.lit(""))

@@ -17,15 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import KEY, ascii_lower, few, materialize, row_key, without
 
 #: Most keys that one filter is meant to hold; filters are split by digest so that each stays about this small.
 KEYS_PER_FILTER, LEAST_BUCKETS = 100_000, 256
-#: Id tables of at most this many rows (16 bytes each) are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 200_000
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -88,11 +86,15 @@ def might_contain(keys: np.ndarray, seed: int, segment: int, segments: int, tabl
     return np.bitwise_xor.reduce(np.frombuffer(table, np.uint8)[_places(h, segment, segments)], axis=0) == _prints(h)
 
 
-def digests(docs: DataFrame, batches: int) -> DataFrame:
-    """(doc_id, digest, row, batch) of each document, written to the shared folder; ``row`` tells repeats apart."""
-    return materialize(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.sha2(ascii_lower(F.col("text")).cast("binary"), 256).alias("digest"),
-        F.monotonically_increasing_id().alias("row"), F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch")))
+def digest_of(text: Column) -> Column:
+    """SHA-256 of a text after lower-casing A-Z."""
+    return F.sha2(ascii_lower(text).cast("binary"), 256)
+
+
+def digests(docs: DataFrame, batches: int, more: list[Column] | None = None) -> DataFrame:
+    """(doc_id, digest, row_, batch) and ``more`` of each document, written to the shared folder; ``row_`` tells repeats apart."""
+    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest"), F.monotonically_increasing_id().alias("row_"),
+                                   F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), *(more or [])))
 
 
 def build_filters(groups: DataFrame, buckets: int) -> DataFrame:
@@ -123,20 +125,17 @@ def screen(groups: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs(digest, a, b, new, old)`` whose documents ``new`` and ``old`` hold the same bytes."""
-    ids = materialize(pairs.select("digest", F.explode(F.array("new", "old")).alias("doc_id")).distinct())
-    few = ids.count() <= BROADCAST_ROWS
-    wanted = ids.select(F.col("doc_id").alias("wanted"), F.col("digest").alias("of"))
+    wanted = materialize(pairs.select(F.explode(F.array("new", "old")).alias("wanted"), F.col("digest").alias("of")).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ascii_lower(F.col("text")).alias("text"))
-    found = texts.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("wanted")))
+    found = texts.join(few(wanted), F.col("doc_id").eqNullSafe(F.col("wanted")))
     same = (found.filter(F.sha2(F.col("text").cast("binary"), 256) == F.col("of")).groupBy(F.col("of").alias("digest"))
             .agg((F.min("text") == F.max("text")).alias("same")).filter("same").select("digest"))
     return pairs.join(same, "digest", "left_semi")
 
 
-def exact_groups(docs: DataFrame, batches: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(digest rows, groups): ``groups(digest, batch, keep_id, keep_row, group_size)`` for each batch's digests."""
-    rows = digests(docs, batches)
-    groups = materialize(rows.groupBy("batch", "digest").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("n")))
+def exact_groups(docs: DataFrame, rows: DataFrame, batches: int = 2) -> DataFrame:
+    """groups(digest, batch, keep_id, keep_row, group_size) of each batch's digests, from ``docs`` and their digests()."""
+    groups = materialize(rows.groupBy("batch", "digest").agg(F.max(F.struct("doc_id", "row_")).alias("keep"), F.count("*").alias("n")))
     buckets = max(LEAST_BUCKETS, -(-groups.count() // KEYS_PER_FILTER))
     snapshots: list[tuple[int, DataFrame, DataFrame]] = []
     pairs = None
@@ -151,53 +150,36 @@ def exact_groups(docs: DataFrame, batches: int = 2) -> tuple[DataFrame, DataFram
         if b < batches - 1:
             snapshots.append((b, own, build_filters(own, buckets)))
     if pairs is None:
-        return rows, groups.select("digest", "batch", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row").alias("keep_row"), F.col("n").alias("group_size"))
+        return groups.select("digest", "batch", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row_").alias("keep_row"), F.col("n").alias("group_size"))
     linked = _verified(docs, materialize(pairs))
     members = materialize(linked.select("digest", F.explode(F.array("a", "b")).alias("batch")).distinct())
     merged = (groups.join(members, ["digest", "batch"], "left_semi").groupBy("digest")
               .agg(F.max("keep").alias("all_keep"), F.sum("n").alias("all_n"))
               .join(members, "digest").select("digest", "batch", "all_keep", "all_n"))
     out = groups.join(merged, ["digest", "batch"], "left").withColumn("best", F.coalesce("all_keep", "keep"))
-    return rows, materialize(out.select("digest", "batch", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"),
-                                        F.coalesce("all_n", "n").alias("group_size")))
+    return materialize(out.select("digest", "batch", F.col("best.doc_id").alias("keep_id"), F.col("best.row_").alias("keep_row"),
+                                  F.coalesce("all_n", "n").alias("group_size")))
 
 
 def exact_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
-    rows, groups = exact_groups(docs, batches)
-    many = groups.filter("group_size > 1")  # the rest need no join; AQE splits the hot digests of this one
+    rows = digests(docs, batches)
+    many = exact_groups(docs, rows, batches).filter("group_size > 1")  # the rest need no join; AQE splits the hot digests of this one
     joined = rows.join(many, ["digest", "batch"], "left")
     alone = F.col("group_size").isNull()
     return joined.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
                          F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-                         (alone | (F.col("row") == F.col("keep_row"))).alias("kept"), F.col("digest").alias("text_sha256"))
+                         (alone | (F.col("row_") == F.col("keep_row"))).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame, batches: int = 2) -> DataFrame:
-    """``docs`` without the rows that exact_dedup drops; all columns stay."""
-    rows, groups = exact_groups(docs, batches)
-    many = groups.filter("group_size > 1")
-    marked = rows.join(many, ["digest", "batch"], "left").withColumn("stays", F.col("group_size").isNull() | (F.col("row") == F.col("keep_row")))
-    # By (doc_id, digest), which the documents carry too: does any such row stay, and how many are there?
-    lost = materialize(marked.join(many.select("digest", "batch"), ["digest", "batch"], "left_semi").groupBy("doc_id", "digest")
-                       .agg(F.max("stays").alias("any_stays"), F.count("*").alias("n")).filter("not any_stays or n > 1"))
-    gone = lost.filter("not any_stays").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"))
-    repeated = lost.filter("any_stays").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"))
-    digest = F.sha2(ascii_lower(F.col("text")).cast("binary"), 256)
-
-    def match(df):
-        return F.col("doc_id").eqNullSafe(F.col("gone_id")) & (digest == F.col("gone_digest"))
-
-    def small(df):
-        return F.broadcast(df) if few else df
-
-    few = lost.count() <= BROADCAST_ROWS
-    out = docs.join(small(gone), match(docs), "left_anti")
-    if repeated.isEmpty():
-        return out
-    once = (out.join(small(repeated), match(out), "left_semi").withColumn("exact_digest_", digest)
-            .dropDuplicates(["doc_id", "exact_digest_"]).drop("exact_digest_"))
-    return out.join(small(repeated), match(out), "left_anti").unionByName(once)
+    """``docs`` without the rows that exact_dedup drops; all columns stay, whatever their names."""
+    key = row_key(F.col("doc_id").cast("long"), ascii_lower(F.col("text")))
+    rows = digests(docs, batches, key)
+    many = exact_groups(docs.select("doc_id", "text"), rows.drop(*KEY), batches).filter("group_size > 1")
+    # Rows of one key are equal in id and text: does one of them stay, and how many are there?
+    keys = materialize(rows.join(many, ["digest", "batch"]).groupBy(*KEY).agg(F.max(F.col("row_") == F.col("keep_row")).alias("stays"), F.count("*").alias("n")))
+    return without(docs, key, keys.filter("not stays").select(*KEY), keys.filter("stays and n > 1").select(*KEY))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -9,9 +9,9 @@ every stratum rejects at most ``alpha`` of its good documents. From there the cu
 catches ``power`` of the labelled bad documents that the strictest one catches. A rule that catches none, or a stratum
 with too few labels for the bound, rejects nothing.
 
-Defined results: null text has no words; a null language is a stratum of its own; the 16 most labelled languages are
-strata, the rest share one; labels with null fields are ignored; without labels only the base rules act; repeated
-rows are judged each; extra columns are ignored.
+Defined results: null text has no words; each labelled language is a stratum, null too; languages without labels have
+no cutoffs; labels with null fields are ignored, and of labels of one doc_id the worst counts, once; without labels only
+the base rules act; repeated rows are judged each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +21,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_of, let, materialize, table, words
+from .common import KEY, count_of, let, materialize, row_key, table, without, words
 
 ALPHA, DELTA, POWER = 0.05, 0.05, 98
-#: Languages that are strata of their own: bounds the cutoff table, which is broadcast.
-STRATA = 16
 WINDOW = 8
 RULES = ("symbols", "dup_lines", "repeats", "capitals", "bangs")
 
@@ -50,17 +48,18 @@ def repeated_words(w: Column) -> Column:
     return F.when(F.size(w) < WINDOW + 1, F.lit(0)).otherwise(let(let(hashes, windows), covered)).cast("long")
 
 
-def base_features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the contract's counts, base_failed, and the rule columns r_* on the grid 0..1000."""
+def base_features(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, lang, the contract's counts, base_failed, the rule columns r_* on the grid 0..1000, and ``keep``'s columns of ``docs``."""
+    keep = keep or []
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     of_words = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
     of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     counted = docs.select(
-        "doc_id", F.col("lang").cast("string").alias("lang"), of_words.alias("w"), of_lines.alias("l"),
+        *keep, "doc_id", F.col("lang").cast("string").alias("lang"), of_words.alias("w"), of_lines.alias("l"),
         (F.length(text) - count_of(text, r"\x20\x09-\x0D")).cast("long").alias("word_chars"), count_of(text, r"#*$%&|<>").alias("n_symbols"),
         count_of(text, "A-Z").alias("n_caps"), count_of(text, "!").alias("n_bangs")).select(
-        "doc_id", "lang", "w.*", "l.*", "word_chars", "n_symbols", "n_caps", "n_bangs")
+        *keep, "doc_id", "lang", "w.*", "l.*", "word_chars", "n_symbols", "n_caps", "n_bangs")
     grid = lambda a, b: F.least(F.lit(1000).cast("long"), F.expr(f"try_divide(1000 * {a} - 1000 * {a} % {b}, {b})").cast("long"))
     return counted.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")).select(
         "*", *[F.coalesce(grid(a, f"nullif({b}, 0)"), F.lit(0).cast("long")).alias(f"r_{rule}") for rule, a, b in (
@@ -84,19 +83,22 @@ def allowed_rejections(n: Column, alpha: float, log_delta: Column) -> Column:
     return F.when(zero > log_delta, F.lit(-1)).otherwise(F.aggregate(steps, first, add, lambda s: s["k"]))
 
 
-def cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, power: int = POWER) -> tuple[DataFrame, DataFrame]:
-    """(lang -> stratum for the strata of their own, stratum with one cutoff column c_<rule> per rule).
+def stratum_of(lang: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("lang:"), lang), F.lit("null"))
+
+
+def cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, power: int = POWER) -> DataFrame:
+    """A row per labelled language: stratum and a cutoff column c_<rule> per rule.
 
     All labels count; what leaves the cluster's partial sums is a histogram of at most 1001 bins per stratum and rule.
+    Labelled documents are trials, so of repeated labels or repeated rows of one doc_id one trial is made.
     """
-    marked = (labels.filter("doc_id is not null and quality in (0, 1)").select(F.col("doc_id"), F.col("quality").cast("int").alias("quality"))
-              .join(features, "doc_id").filter("not base_failed"))
+    once = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
+    marked = (features.filter("doc_id is not null").select("doc_id", "base_failed", F.struct("lang", *[f"r_{r}" for r in RULES]).alias("x")).join(once, "doc_id")
+              .groupBy("doc_id", "quality").agg(F.max("base_failed").alias("base_failed"), F.max("x").alias("x")).filter("not base_failed").select("quality", "x.*"))
     bins = materialize(marked.select("lang", "quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"r_{r}").alias("bin")) for r in RULES])).alias("x"))
                        .groupBy("lang", "x.rule", "x.bin").agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad")))
-    by_lang = bins.filter(F.col("rule") == RULES[0]).groupBy("lang").agg(F.sum(F.col("good") + F.col("bad")).alias("n"))
-    strata = by_lang.orderBy(F.desc("n"), F.asc_nulls_first("lang")).limit(STRATA).select("lang", F.coalesce(F.concat(F.lit("lang:"), "lang"), F.lit("null")).alias("stratum"))
-    placed = (bins.withColumnRenamed("lang", "of").join(F.broadcast(strata), F.col("of").eqNullSafe(F.col("lang")), "left")
-              .groupBy(F.coalesce("stratum", F.lit("other")).alias("stratum"), "rule", "bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
+    placed = bins.select(stratum_of(F.col("lang")).alias("stratum"), "rule", "bin", "good", "bad")
     whole = Window.partitionBy("stratum", "rule")
     above = whole.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
     tests = F.lit(math.log(delta)) - F.log(F.lit(len(RULES)) * F.col("n_strata"))
@@ -111,20 +113,23 @@ def cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     nxt = counted.select("stratum", "rule", "bin", F.lead("bin").over(whole.orderBy("bin")).alias("next"))
     chosen = (most.join(nxt, ["stratum", "rule", "bin"]).groupBy("stratum", "rule").agg(F.max(F.coalesce(F.col("next") - 1, F.col("bin"))).alias("cutoff")))
     wide = chosen.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
-    return strata, wide.select("stratum", *[F.coalesce(F.col(r), F.lit(1000)).alias(f"c_{r}") for r in RULES])
+    return wide.select("stratum", *[F.coalesce(F.col(r), F.lit(1000)).alias(f"c_{r}") for r in RULES])
 
 
-def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row per document with its counts, base_failed and kept (other columns of base_features stay)."""
-    features = materialize(base_features(docs))
-    strata, cuts = cutoffs(features, labels, alpha, delta)
-    strata, cuts = materialize(strata), materialize(cuts)  # at most STRATA and STRATA + 1 rows
-    placed = features.join(F.broadcast(strata.withColumnRenamed("lang", "of")), F.col("lang").eqNullSafe(F.col("of")), "left").withColumn("stratum", F.coalesce("stratum", F.lit("other")))
+def verdicts(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """``features`` (written) with kept."""
+    cuts = materialize(cutoffs(features, labels, alpha, delta))
     passes = [F.col(f"r_{r}") <= F.coalesce(F.col(f"c_{r}"), F.lit(1000)) for r in RULES]
     ok = passes[0]
     for p in passes[1:]:
         ok = ok & p
-    return placed.join(F.broadcast(cuts), "stratum", "left").withColumn("kept", ~F.col("base_failed") & ok).drop("of", "stratum", *[f"c_{r}" for r in RULES])
+    placed = features.withColumn("stratum", stratum_of(F.col("lang"))).join(cuts, "stratum", "left")
+    return placed.withColumn("kept", ~F.col("base_failed") & ok).drop("stratum", *[f"c_{r}" for r in RULES])
+
+
+def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """One row per document with its counts, base_failed and kept (other columns of base_features stay)."""
+    return verdicts(materialize(base_features(docs)), labels, alpha, delta)
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -135,9 +140,10 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rejected rows; a doc_id stays if any of its rows is kept."""
-    gone = materialize(judge(docs, labels).groupBy("doc_id").agg(F.max("kept").alias("any_kept")).filter("not any_kept").select(F.col("doc_id").alias("gone_id")))
-    return docs.join(F.broadcast(gone) if gone.count() <= 200_000 else gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    """``docs`` without the rejected rows, each judged by itself; all columns stay, whatever their names."""
+    key = row_key(F.col("lang").cast("string"), F.col("text").cast("string"))  # all that a verdict depends on
+    features = materialize(base_features(docs.select("doc_id", "lang", "text", *key), KEY))
+    return without(docs, key, materialize(verdicts(features, labels).filter("not kept").select(*KEY).distinct()))
 
 
 _W = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
@@ -157,11 +163,10 @@ f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
     CASE WHEN n_words > 0 THEN least(1000, 1000 * n_symbols // n_words) ELSE 0 END AS r1, CASE WHEN n_lines > 0 THEN least(1000, 1000 * n_dup_lines // n_lines) ELSE 0 END AS r2,
     CASE WHEN n_words > 0 THEN least(1000, 1000 * n_repeat_words // n_words) ELSE 0 END AS r3, CASE WHEN word_chars > 0 THEN least(1000, 1000 * n_caps // word_chars) ELSE 0 END AS r4,
     CASE WHEN n_words > 0 THEN least(1000, 1000 * n_bangs // n_words) ELSE 0 END AS r5 FROM b),
-m AS (SELECT lang, quality, unnest([1, 2, 3, 4, 5]) AS rule, unnest([r1, r2, r3, r4, r5]) AS bin
-    FROM f JOIN labels USING (doc_id) WHERE NOT base_failed AND quality IN (0, 1)),
-bl AS (SELECT lang, rule, bin, sum(quality) AS good, sum(1 - quality) AS bad FROM m GROUP BY ALL),
-st AS (SELECT lang, coalesce('lang:' || lang, 'null') AS stratum FROM (SELECT lang, sum(good + bad) AS n FROM bl WHERE rule = 1 GROUP BY lang ORDER BY n DESC, lang NULLS FIRST LIMIT {STRATA})),
-p AS (SELECT coalesce(stratum, 'other') AS stratum, rule, bin, sum(good) AS good, sum(bad) AS bad FROM bl LEFT JOIN st ON bl.lang IS NOT DISTINCT FROM st.lang GROUP BY ALL),
+ql AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IN (0, 1) GROUP BY doc_id),
+m AS (SELECT coalesce('lang:' || lang, 'null') AS stratum, quality, unnest([1, 2, 3, 4, 5]) AS rule, unnest([r1, r2, r3, r4, r5]) AS bin
+    FROM f JOIN ql USING (doc_id) WHERE NOT base_failed),
+p AS (SELECT stratum, rule, bin, sum(quality) AS good, sum(1 - quality) AS bad FROM m GROUP BY ALL),
 c AS (SELECT *, coalesce(sum(good) OVER a, 0) AS ga, coalesce(sum(bad) OVER a, 0) AS ba, sum(good) OVER (PARTITION BY stratum, rule) AS n,
     lead(bin) OVER (PARTITION BY stratum, rule ORDER BY bin) AS nx, (SELECT count(DISTINCT stratum) FROM p) AS ns
     FROM p WINDOW a AS (PARTITION BY stratum, rule ORDER BY bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -172,6 +177,6 @@ k AS (SELECT stratum, count(*) FILTER (cdf <= {DELTA} / ({len(RULES)} * ns)) - 1
 o AS (SELECT c.*, max(ba) OVER (PARTITION BY c.stratum, rule) AS best FROM c JOIN k ON c.stratum = k.stratum WHERE ga <= k),
 u AS (SELECT stratum, rule, max(coalesce(nx - 1, bin)) AS cutoff FROM o WHERE best > 0 AND 100 * ba >= {POWER} * best GROUP BY stratum, rule)
 SELECT f.doc_id, {', '.join(f'f.{x}' for x in COUNTS)}, f.base_failed,
-    NOT f.base_failed AND NOT EXISTS (SELECT 1 FROM u WHERE u.stratum = coalesce(st.stratum, 'other') AND CASE rule WHEN 1 THEN r1 WHEN 2 THEN r2 WHEN 3 THEN r3 WHEN 4 THEN r4 ELSE r5 END > cutoff) AS kept
-FROM f LEFT JOIN st ON f.lang IS NOT DISTINCT FROM st.lang
+    NOT f.base_failed AND NOT EXISTS (SELECT 1 FROM u WHERE u.stratum = coalesce('lang:' || f.lang, 'null') AND CASE rule WHEN 1 THEN r1 WHEN 2 THEN r2 WHEN 3 THEN r3 WHEN 4 THEN r4 ELSE r5 END > cutoff) AS kept
+FROM f
 """

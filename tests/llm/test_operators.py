@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 from rallyspark.llm import exact_dedup, html_extract, mixing, packing, pii, quality, range_coder, simhash, token_io, url_filter, warc
-from rallyspark.llm.common import components
+from rallyspark.llm.common import boxed, components
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -25,6 +25,36 @@ def lower(s):
 
 # ---- 1 WARC
 
+def test_zip64_fields_of_all_ones(monkeypatch):
+    import io
+    import struct
+
+    monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 0)  # sizes and offsets go to the ZIP64 extra field, beside another one
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        for name, body in ((warc.DATA, b"data bytes"), (warc.INDEX, b"index")):
+            info = zipfile.ZipInfo(name)
+            info.extra = struct.pack("<HH4s", 0x5455, 4, b"time")
+            z.writestr(info, body)
+    body = out.getvalue()
+    assert body.count(b"\xff\xff\xff\xff") >= 4
+    for name, want in ((warc.DATA, b"data bytes"), (warc.INDEX, b"index")):
+        at, n = warc.stored_members(lambda o, n: body[o: o + n], len(body))[name]
+        assert body[at: at + n] == want
+
+
+def test_archives_are_read_side_by_side(spark):
+    from pyspark.sql import functions as F
+
+    pages = spark.range(2000).selectExpr("id as page_id", "concat('http://x/', id) as url", "concat(sha2(string(id), 512), repeat(sha2(string(id), 256), 4)) as html").repartition(5)
+    manifest = warc.write_archives(warc.with_revisits(pages), warc.shared_dir(spark), archive_bytes=60_000)
+    rows = warc.read_archives(manifest, run_bytes=8_000).withColumn("task", F.spark_partition_id()).select("page_id", "task").collect()
+    per = defaultdict(int)
+    for r in rows:
+        per[r.task] += 1
+    assert sorted(r.page_id for r in rows) == list(range(2000)) and len(per) >= 8 and max(per.values()) < 1000
+
+
 def test_zip64_directories_and_damage(monkeypatch):
     monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 1)  # writes the ZIP64 end records
     body = warc.package(b"data bytes", b"index")
@@ -217,6 +247,11 @@ def test_range_coder_round_trip_and_checksum():
         assert (range_coder.decode(range_coder.encode(ids, lanes=7), lanes=5) == ids).all()
     blocks = range_coder.encode(np.arange(3000) % 7)
     assert sum(map(len, blocks)) < 2000
+    # Each order earns its weight: order 0 on skewed ids, order 1 on a cycle, order 2 where the last id alone doesn't tell.
+    size = lambda ids: 8 * sum(map(len, range_coder.encode(ids))) / len(ids)
+    cycle = rng.integers(0, 50_000, 40)
+    twice = np.concatenate([[7, a, 7, b] for a, b in rng.integers(0, 50_000, (20, 2))])
+    assert size(rng.choice([3, 300, 30_000], 20_000, p=[0.8, 0.1, 0.1])) < 3 and size(np.tile(cycle, 500)) < 1.5 and size(np.tile(twice, 250)) < 2
     with pytest.raises(ValueError):
         range_coder.decode([blocks[0][:14] + bytes([blocks[0][14] ^ 255]) + blocks[0][15:]])
 
@@ -234,8 +269,14 @@ def test_token_files_match_the_library(spark, odd_docs, no_docs):
         at += len(ids)
     assert got == want
     tokenize = token_io.Tokenize(path)
-    for text in ("a<|endoftext|>b", "  two  spaces\n\n x", "naïve ÷ × …", "don't I'll 123 4"):
-        assert tokenize(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    texts = [None, "", "a<|endoftext|>b", "  two  spaces\n\n x", "naïve ÷ × …", "don't I'll 123 4", "日本語"]
+    rng, bits = random.Random(5), ["'", "'s", "'re", "'ll", " ", "  ", "\n", "\t", "a", "é", "Zz", "12", ".", "!?", "'d", "v", "'v", "e", "\r", " '"]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    for _ in range(2):  # the second time from what is remembered
+        for text, ids in zip(texts, tokenize(texts)):
+            assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids
+    tokenize.cuts = False  # a vocabulary that cuts words by another rule
+    assert [x.tolist() for x in tokenize(texts[:9])] == [library.encode(t or "", add_special_tokens=False).ids for t in texts[:9]]
     assert token_io.round_trip(spark, no_docs, path).count() == 0
 
 
@@ -332,15 +373,64 @@ def test_hypergeometric_draws_have_the_right_law(spark):
 
 
 def test_shard_runs_are_exact(spark):
-    quotas = spark.createDataFrame([("a", 700), ("b", 31), (None, 5), ("d", 0)], "source string, draws long")
-    runs = mixing.split_quotas(quotas, 7).collect()
-    per = defaultdict(int)
-    for s, n in (("a", 700), ("b", 31), (None, 5), ("d", 0)):
-        own = sorted((r.shard, r.lo, r.hi) for r in runs if r.source == s)
-        assert own[0][1] == 0 and own[-1][2] == n and all(x[2] == y[1] for x, y in zip(own, own[1:]))
-        for shard, lo, hi in own:
-            per[shard] += hi - lo
-    assert max(per.values()) - min(per.values()) <= 3
+    for group, want in ((256, [700, 31, 5, 0]), (3, [(7 * i) % 23 for i in range(40)])):  # 40 sources: groups of groups of groups
+        mixing.GROUP = group
+        try:
+            runs = mixing.split_quotas(spark.createDataFrame(list(enumerate(want)), "i int, draws long"), 7, len(want)).collect()
+        finally:
+            mixing.GROUP = 256
+        per = defaultdict(int)
+        for i, n in enumerate(want):
+            own = sorted((r.shard, r.lo, r.hi) for r in runs if r.i == i)
+            assert own[0][1] == 0 and own[-1][2] == n and all(x[2] == y[1] for x, y in zip(own, own[1:]))
+            for shard, lo, hi in own:
+                per[shard] += hi - lo
+        assert max(per.values()) - min(per.values()) <= 3
+
+
+def test_many_sources_are_mixed_without_arrays_of_all(spark):
+    n = 10_000
+    docs = spark.range(2 * n).selectExpr("id as doc_id", f"concat('s', lpad(id % {n}, 5, '0')) as source", f"repeat('w ', cast(1 + id % {n} % 7 as int)) as text")
+    got = mixing.mix(docs, shards=4).groupBy("source").agg({"target": "max", "taken": "sum", "source_size": "max"}).collect()
+    sizes = [2 * (1 + i % 7) for i in range(n)]
+    weights = [(5, 2, 1)[i % 3] for i in range(n)]
+    low, high = 0.0, 100.0
+    for _ in range(60):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * s, level * w) for s, w in zip(sizes, weights)) < 1.5 * sum(sizes) else (low, level)
+    assert len(got) == n
+    for r in got:
+        i = int(r.source[1:])
+        assert r["max(target)"] == pytest.approx(min(2 * sizes[i], level * weights[i]), rel=1e-6) and abs(r["sum(taken)"] - r["max(target)"]) <= 1
+
+
+def test_shards_are_shuffled_and_written_together(spark):
+    rows = [(None if i % 2 else 7, f"t{i} " + "w " * (i % 9), "a" if i % 5 else "b") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key = {}
+    for r in mixing.mix(docs, shards=4, block_docs=4).collect():
+        for d in r.draws:
+            key.setdefault((d.shard, d.order_key), 0)
+    assert len({s for s, _ in key}) == 4
+    from pyspark.sql import functions as F
+    plan = mixing.mix(boxed(docs).select("row_", "doc_.*"), shards=4, block_docs=4, row=F.col("row_"))
+    of = {(r.row_, d.order_key): d.shard for r in plan.collect() for d in r.draws}
+    text = {r.row_: r.doc_.text for r in boxed(docs).collect()}
+    order = defaultdict(list)
+    for (row, k), shard in of.items():
+        order[shard].append((k, text[row].split()[0]))
+    got = mixing.mixed(docs, shards=4, block_docs=4).withColumn("p", F.spark_partition_id()).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.p].append(r.text.split()[0])
+    want = sorted([t for _, t in sorted(v)] for v in order.values())
+    pieces = []
+    for v in by.values():  # a task may hold several shards, one after the other
+        while v:
+            hit = next(w for w in want if v[: len(w)] == w)
+            pieces.append(hit)
+            v = v[len(hit):]
+    assert sorted(pieces) == want and any(w != sorted(w) for w in want)
 
 
 # ---- 10 html
@@ -357,14 +447,42 @@ def test_main_text_on_held_out_layouts(chain):
     assert html_extract.main_text(None, chain) == html_extract.main_text("", chain) == html_extract.main_text("<p>", chain) == ""
 
 
-def test_pages_give_their_articles(spark):
+def test_legal_pages_keep_their_articles(chain):
+    text = "The story began early. It was good, and then it was over."
+    for page in (
+            f"<html><head><title>T</title><style>p{{}}</style><body><article><p>{text}</p></article>",  # no end of the head
+            f"<html><head><title>T</title><meta charset=utf-8><article><p>{text}</article>",  # neither its end nor a body
+            f"<html><head><noscript><p>Enable JS</noscript></head><body><article><p>{text}</p></article>",
+            f"<body><noscript><p>Enable JS</noscript><svg><title>x</title><div></svg><object><p>old</object><video><p>no</video><article><p>{text}</p></article></body>",
+            f"<title>T</title><article><p>{text}",
+            f'<div class="unheard-of" id="zz9 qq8 xx7"><article class="never-seen-1 never-seen-2"><p>{text}</p></article></div>',
+            text, f"  {text}\n", f"<p>{text}</p>", f"{text[:30]}&#32;{text[30:]}".replace("&#32;", "" if text[30] != " " else "")):
+        assert html_extract.main_text(page, chain) == text, page
+    assert html_extract.main_text("<head>\n<title>t</title>\n</head>\n", chain) == ""
+    long = "One more sentence, as it were. " * 20_000
+    assert html_extract.main_text(f"<article><p>{long}</p></article>", chain) == long.strip()
+
+
+def test_extract_takes_odd_tables(spark):
+    rows = [(1, "u", None), (2, None, ""), (None, "u", "<article><p>A text of its own, and good. Then more of it.</p></article>"), (3, "v", "plain words, with a stop."), (3, "v", "plain words, with a stop.")]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    got = sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in html_extract.extract(spark, pages).collect())
+    assert [g[0] for g in got] == [0, 1, 2, 3, 3] and got[1][2] == got[2][2] == "" and all(len(g[2]) == g[3] for g in got)
+    assert got[3] == got[4] == (3, "v", "plain words, with a stop.", 25) and got[0][2] == "A text of its own, and good. Then more of it."
+    for none in (pages.filter("false"), pages.filter("html is null")):
+        assert [r.text for r in html_extract.extract(spark, none).collect()] == [""] * none.count()
+
+
+def test_pages_give_their_articles(spark, chain):
+    """Held out: the model is trained on the pages of another table, which are left out here."""
     import html as H
 
-    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
-    for r in html_extract.extract(spark, spark.read.parquet(f"{SF}/pages.parquet")).collect():
-        body = re.search(r"<article>(.*)</article>", pages[r.page_id], re.S).group(1)
-        want = " ".join(H.unescape(re.sub(r"<[^>]+>", "", re.sub(r"</?(p|h1|br)[^>]*>", " ", body))).split())
-        assert r.text == want and r.n_chars == len(want)
+    trained = {r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    held_out = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect() if r.html not in trained]
+    assert len(held_out) > 100
+    for page in held_out:
+        body = re.search(r"<article>(.*)</article>", page, re.S).group(1)
+        assert html_extract.main_text(page, chain) == " ".join(H.unescape(re.sub(r"<[^>]+>", "", re.sub(r"</?(p|h1|br)[^>]*>", " ", body))).split())
 
 
 # ---- pipeline

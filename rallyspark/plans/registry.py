@@ -289,8 +289,8 @@ _add("m18_heatmap", lambda get: M.heatmap(get("bounces"), "court_x_ft", "court_y
 _add("m19_player_block", lambda get: M.player_block(get("shots"), get("roles")).withColumn("mean_confidence", F.round(F.col("mean_confidence") + 1e-7, 5)), "SELECT clip_id, role, count(*) AS shots, count_if(is_serve) AS serves, count_if(seq = 2) AS returns, round(avg(CASE WHEN NOT is_serve THEN confidence END) + 1e-7, 5) AS mean_confidence FROM fx_shots JOIN fx_roles USING (clip_id, track_id) GROUP BY ALL")
 _add("m20_reconcile", lambda get: M.reconcile(get("shots"), get("roles")), """SELECT s.clip_id, count(*) AS shots, count(role) AS attributed, count(*) - count(role) AS unattributed, true AS balanced FROM fx_shots s LEFT JOIN (SELECT * FROM fx_roles WHERE role <> 'noise') r ON r.clip_id = s.clip_id AND r.track_id = s.track_id GROUP BY ALL""")
 _add("q2_score_categories", lambda get: _scored(get), _SCORES + " SELECT * FROM sc")
-_add("q4_overall_rating", lambda get: M.overall_rating(_scored(get)).withColumns({c: F.round(F.col(c) + 1e-7, 5) for c in ("rating", "low", "high")}), _SCORES + """, r AS (SELECT clip_id, role, sum(level * weight * confidence) / sum(weight * confidence) AS rating, sum(weight * confidence) AS confidence FROM sc GROUP BY ALL)
-    SELECT clip_id, role, round(rating + 1e-7, 5) AS rating, confidence, round_even(rating * 2, 0) / 2 AS band, round(rating - (0.25 + 1.25 * (1 - confidence)) + 1e-7, 5) AS low, round(rating + (0.25 + 1.25 * (1 - confidence)) + 1e-7, 5) AS high, least(5, round_even(rating * 2, 0) / 2 + 0.5) AS next_target FROM r""")
+_add("q4_overall_rating", lambda get: M.overall_rating(_scored(get)).withColumns({c: F.round(F.col(c) + 3e-9, 5) for c in ("rating", "low", "high")}), _SCORES + """, r AS (SELECT clip_id, role, sum(level * weight * confidence) / sum(weight * confidence) AS rating, sum(weight * confidence) AS confidence FROM sc GROUP BY ALL)
+    SELECT clip_id, role, round(rating + 3e-9, 5) AS rating, confidence, round_even(rating * 2, 0) / 2 AS band, round(rating - (0.25 + 1.25 * (1 - confidence)) + 3e-9, 5) AS low, round(rating + (0.25 + 1.25 * (1 - confidence)) + 3e-9, 5) AS high, least(5, round_even(rating * 2, 0) / 2 + 0.5) AS next_target FROM r""")
 _add("l1_focus_areas", lambda get: M.focus_areas(_scored(get)), _SCORES + """, f AS (SELECT clip_id, role, category, round((4.5 - level) * weight * (0.5 + 0.5 * confidence), 6) AS priority FROM sc WHERE level < 4.5)
     SELECT *, row_number() OVER (PARTITION BY clip_id, role ORDER BY priority DESC, category) AS rank FROM f QUALIFY rank <= 6""")
 

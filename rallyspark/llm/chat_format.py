@@ -126,12 +126,12 @@ def digests(back: DataFrame) -> DataFrame:
                        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
 
 
-#: A conversation of marks of this and of other templates.
-PLANTED = [(-7, turn, role, r"\### Assistant: </turn> ok") for turn, role in enumerate(("user", "assistant"))]
+#: What both turns of the planted conversation say: marks of this and of other templates.
+PLANTED_ID, PLANTED = -7, r"\### Assistant: </turn> ok"
 
 
 def op12(spark, sf_dir: str) -> DataFrame:
-    planted = spark.createDataFrame(PLANTED, "conv_id long, turn long, role string, text string")
+    planted = spark.range(2).select(F.lit(PLANTED_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(planted)
     return digests(read_chats(materialize(format_chats(turns.withColumn("parts", text_part(F.col("text")))))))
 
@@ -139,7 +139,7 @@ def op12(spark, sf_dir: str) -> DataFrame:
 _MARKED = "regexp_replace(replace({0}, '\\', '\\s'), '<(/?(turn|image|audio|document|file)\\b)', '\\\\l\\1', 'g')"
 SQL = f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-           UNION ALL SELECT -7, i, r, '\\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
+           UNION ALL SELECT {PLANTED_ID}, i, r, '{PLANTED}' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
 g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
       coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
       CAST(sum(length({_MARKED.format('text')}) + length(replace({_MARKED.format('role')}, '>', '\\g')) + 16) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id)

@@ -91,9 +91,14 @@ def digest_of(text: Column) -> Column:
     return F.sha2(ascii_lower(text).cast("binary"), 256)
 
 
+def short_hash(text: Column) -> Column:
+    return F.xxhash64(F.lit(11), text)
+
+
 def digests(docs: DataFrame, batches: int, more: list[Column] | None = None) -> DataFrame:
-    """(doc_id, digest, row_, batch) and ``more`` of each document, written to the shared folder; ``row_`` tells repeats apart."""
-    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest"), F.monotonically_increasing_id().alias("row_"),
+    """(doc_id, digest, h, row_, batch) and ``more`` of each document, written to the shared folder; ``row_`` tells repeats apart
+    and ``h``, a short hash of the normalised text, finds it again without its digest."""
+    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest"), short_hash(ascii_lower(F.col("text"))).alias("h"), F.monotonically_increasing_id().alias("row_"),
                                    F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), *(more or [])))
 
 
@@ -124,10 +129,13 @@ def screen(groups: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs(digest, a, b, new, old)`` whose documents ``new`` and ``old`` hold the same bytes."""
-    wanted = materialize(pairs.select(F.explode(F.array("new", "old")).alias("wanted"), F.col("digest").alias("of")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ascii_lower(F.col("text")).alias("text"))
-    found = texts.join(few(wanted), F.col("doc_id").eqNullSafe(F.col("wanted")))
+    """Those of ``pairs(digest, h, a, b, new, old)`` whose documents ``new`` and ``old`` hold the same bytes.
+
+    Texts are found by id and hash of the text together, so that many rows of one id (or of none) meet their own digests only."""
+    wanted = materialize(pairs.select(F.explode(F.array("new", "old")).alias("wanted"), "h", F.col("digest").alias("of")).distinct())
+    text = ascii_lower(F.col("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), short_hash(text).alias("h"))
+    found = texts.join(few(wanted), (texts["h"] == wanted["h"]) & F.col("doc_id").eqNullSafe(F.col("wanted")))
     same = (found.filter(F.sha2(F.col("text").cast("binary"), 256) == F.col("of")).groupBy(F.col("of").alias("digest"))
             .agg((F.min("text") == F.max("text")).alias("same")).filter("same").select("digest"))
     return pairs.join(same, "digest", "left_semi")
@@ -135,7 +143,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def exact_groups(docs: DataFrame, rows: DataFrame, batches: int = 2) -> DataFrame:
     """groups(digest, batch, keep_id, keep_row, group_size) of each batch's digests, from ``docs`` and their digests()."""
-    groups = materialize(rows.groupBy("batch", "digest").agg(F.max(F.struct("doc_id", "row_")).alias("keep"), F.count("*").alias("n")))
+    groups = materialize(rows.groupBy("batch", "digest").agg(F.max(F.struct("doc_id", "row_")).alias("keep"), F.max("h").alias("h"), F.count("*").alias("n")))
     buckets = max(LEAST_BUCKETS, -(-groups.count() // KEYS_PER_FILTER))
     snapshots: list[tuple[int, DataFrame, DataFrame]] = []
     pairs = None
@@ -143,9 +151,9 @@ def exact_groups(docs: DataFrame, rows: DataFrame, batches: int = 2) -> DataFram
         own = groups.filter(F.col("batch") == b)
         for a, old, filters in snapshots:
             hit = screen(own, filters, buckets)
-            found = (hit.join(own, "digest").select("digest", F.col("keep.doc_id").alias("new"))
+            found = (hit.join(own, "digest").select("digest", "h", F.col("keep.doc_id").alias("new"))
                      .join(old.select("digest", F.col("keep.doc_id").alias("old")), "digest")
-                     .select("digest", F.lit(a).alias("a"), F.lit(b).alias("b"), "new", "old"))
+                     .select("digest", "h", F.lit(a).alias("a"), F.lit(b).alias("b"), "new", "old"))
             pairs = found if pairs is None else pairs.unionByName(found)
         if b < batches - 1:
             snapshots.append((b, own, build_filters(own, buckets)))

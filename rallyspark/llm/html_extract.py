@@ -20,6 +20,7 @@ an article; repeated rows are extracted each; an empty table gives an empty resu
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -47,13 +48,28 @@ FURNITURE = frozenset("nav aside footer form button select textarea header ad ad
 ARTICLE = frozenset("article main content post entry story body-text".split())
 
 
+class Element:
+    """An open element; blocks point at the one that holds them, so ancestors are shared however deep a page is nested."""
+
+    __slots__ = ("tag", "marks", "parent", "in_furniture", "in_article")
+
+    def __init__(self, tag: str, marks: tuple[str, ...], parent: Element | None):
+        self.tag, self.marks, self.parent = tag, marks, parent
+        names = {tag, *marks}
+        self.in_furniture = bool(names & FURNITURE) or (parent is not None and parent.in_furniture)
+        self.in_article = bool(names & ARTICLE) or (parent is not None and parent.in_article)
+
+
 class _Blocks(HTMLParser):
-    """Collects (ancestors, words, link characters) of each leaf block."""
+    """Collects (element, words, link characters) of each leaf block. Every tag costs the same at any depth, but for the
+    elements that it closes."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
-        self.blocks: list[tuple[tuple[tuple[str, tuple[str, ...]], ...], str, int]] = []
+        self.stack: list[Element] = []
+        self.at: dict[str, list[int]] = defaultdict(list)  # places of open elements in the stack, by tag
+        self.block_at: list[int] = []
+        self.blocks: list[tuple[Element | None, str, int]] = []
         self.text: list[str] = []
         self.linked, self.hidden, self.links = 0, 0, 0
 
@@ -61,14 +77,17 @@ class _Blocks(HTMLParser):
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.blocks.append((tuple(self.stack), text, self.linked))
+                self.blocks.append((self.stack[-1] if self.stack else None, text, self.linked))
             self.text, self.linked = [], 0
 
     def _leave_head(self):
         """Ends a head whose end tag is missing, unless an element in it is still open."""
-        if self.stack and self.stack[-1][0] == "head":
+        if self.stack and self.stack[-1].tag == "head":
             self._cut(len(self.stack) - 1)
 
+    def _last(self, tag: str) -> int:
+        return self.at[tag][-1] if self.at.get(tag) else -1
+
     def handle_starttag(self, tag, attrs):
         if tag not in IN_HEAD:
             self._leave_head()
@@ -80,28 +99,31 @@ class _Blocks(HTMLParser):
             return
         if tag in BLOCKS:
             self.end_block()
-            if tag == "p" and any(t == "p" for t, _ in self.stack):
+            if tag == "p" and self._last("p") >= 0:
                 self.handle_endtag("p")
             if tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
                 self._close_until(tag, {"li": ("ul", "ol"), "dd": ("dl",), "dt": ("dl",)}.get(tag, ("table", "select")) if tag != "td" and tag != "th" else ("tr",))
         marks = tuple(w for k, v in attrs if k in ("class", "id", "role") and v for w in re.split(r"[^a-z0-9]+", v.lower()) if w)
-        self.stack.append((tag, marks))
+        self.at[tag].append(len(self.stack))
+        if tag in BLOCKS:
+            self.block_at.append(len(self.stack))
+        self.stack.append(Element(tag, marks, self.stack[-1] if self.stack else None))
         self.hidden += tag in HIDDEN
         self.links += tag == "a"
 
     def _close_until(self, tag, limits):
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in limits:
-                return
-            if self.stack[i][0] == tag:
-                self._cut(i)
-                return
+        i = self._last(tag)
+        if i > max(map(self._last, limits)):
+            self._cut(i)
 
     def _cut(self, i):
-        for tag, _ in self.stack[i:]:
+        while len(self.stack) > i:
+            tag = self.stack.pop().tag
+            self.at[tag].pop()
+            if tag in BLOCKS:
+                self.block_at.pop()
             self.hidden -= tag in HIDDEN
             self.links -= tag == "a"
-        del self.stack[i:]
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -111,12 +133,10 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self.end_block()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self._cut(i)
-                return
-            if tag not in BLOCKS and tag not in HIDDEN and self.stack[i][0] in BLOCKS:
-                return  # an inline end tag doesn't close a block
+        i = self._last(tag)
+        if i < 0 or (tag not in BLOCKS and tag not in HIDDEN and self.block_at and self.block_at[-1] > i):
+            return  # an inline end tag doesn't close a block
+        self._cut(i)
 
     def handle_data(self, data):
         if self.hidden == 1 and data.strip():
@@ -140,15 +160,27 @@ _NOT_CAPITAL = bytes(c for c in range(256) if not 65 <= c <= 90)
 
 def features(blocks: list, index: dict[str, int], grow: bool = False, dropped: np.ndarray | None = None) -> list[list[int]]:
     """Feature numbers of each block by ``index``, which grows while training; ``dropped`` marks blocks whose ancestors are hidden."""
-    out, memo = [], {}
+    out, known, lists = [], {None: frozenset()}, {}
     number = (lambda s: index.setdefault(s, len(index))) if grow else (lambda s: index.get(s, -1))
-    for i, (path, text, linked) in enumerate(blocks):
+
+    def ancestors(element: Element | None) -> frozenset:
+        """Numbers of all elements around a block: those of the parent, the same set if an element adds none."""
+        path = []
+        while element not in known:
+            path.append(element)
+            element = element.parent
+        for e in reversed(path):
+            above, own = known[e.parent], {k for k in map(number, [f"tag {e.tag}", *[f"class {m}" for m in e.marks]]) if k >= 0}
+            known[e] = above if own <= above else above | own
+        return known[path[0] if path else element]
+
+    for i, (element, text, linked) in enumerate(blocks):
         n, found = len(text), []
         if dropped is None or not dropped[i]:
-            found = memo.get(path)
+            key = (ancestors(element), element.tag if element else "")
+            found = lists.get(key)
             if found is None:
-                names = [f"tag {t}" for t in {t for t, _ in path}] + [f"class {m}" for m in {m for _, ms in path for m in ms}] + [f"leaf {path[-1][0] if path else ''}"]
-                found = memo[path] = [k for k in map(number, names) if k >= 0]
+                found = lists[key] = sorted(key[0]) + [k for k in [number(f"leaf {key[1]}")] if k >= 0]
         words = text.count(" ") + 1
         stops, caps = sum(map(text.count, ".,;!?")), len(text.encode("utf-8", "replace").translate(None, _NOT_CAPITAL))
         shape = [f"words {min(6, words.bit_length())}", f"links {min(4, 4 * linked // max(1, n))}", f"stops {min(4, 20 * stops // words)}", f"end {text[-1] in '.!?…'}",
@@ -157,12 +189,11 @@ def features(blocks: list, index: dict[str, int], grow: bool = False, dropped: n
     return out
 
 
-def label_of(path) -> int | None:
+def label_of(element: Element | None) -> int | None:
     """1 in an article, 0 in furniture, None where the page doesn't say."""
-    names = [{t, *ms} for t, ms in path]
-    if any(s & FURNITURE for s in names):
-        return 0
-    return 1 if any(s & ARTICLE for s in names) else None
+    if element is None:
+        return None
+    return 0 if element.in_furniture else 1 if element.in_article else None
 
 
 #: Furniture around an article, as (html before, html after); {0}..{2} are short texts of the sample, {3} is a whole one.

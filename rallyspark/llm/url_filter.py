@@ -26,12 +26,11 @@ from .common import ascii_lower, materialize, numbered, table
 
 #: (verdict, host, path): fixed values of the contract.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-ORDER, BITS, HELD_OUT = 4, 14, 5
+ORDER, HELD_OUT = 4, 5
 #: Scores are calibrated on a grid of so many steps per unit, from -SPAN to SPAN.
 STEPS, SPAN = 100, 5
 #: Valued 5-grams up to this many are broadcast; more are joined with so many salts, since some are in every url.
 BROADCAST_ROWS, SALTS = 200_000, 16
-_CHARS = 96  # a url's characters are folded into so many (by Model only)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -54,49 +53,6 @@ def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
     return placed.withColumn("rule", pick).withColumn("rule_verdict", verdict)
 
 
-def _grams(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ends, contexts, grams): bucket of each character's context and of context plus character, per order."""
-    coded = [(u or "").encode("utf-8", "replace") for u in urls]
-    lengths = np.array([len(c) for c in coded], np.int64)
-    text = np.frombuffer(b"".join(b"\n" * ORDER + c for c in coded), np.uint8).astype(np.uint64) % np.uint64(_CHARS)
-    starts = np.cumsum(lengths + ORDER) - lengths
-    at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-    contexts, grams, h = [], [], np.zeros(len(at), np.uint64)
-    mix = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
-    for k in range(ORDER + 1):
-        if k:
-            h = h * np.uint64(1_000_003) + text[at - k] + np.uint64(1)
-        contexts.append(mix(h + np.uint64(k)))
-        grams.append(mix((h * np.uint64(1_000_003) + text[at] + np.uint64(1)) * np.uint64(31) + np.uint64(k)))
-    return lengths, np.stack(contexts), np.stack(grams)
-
-
-class Model:
-    """Both models as hashed arrays of counts, [class, order, gram or context, bucket]: for small lists of urls in memory.
-
-    judge_urls doesn't use it; its counts are exact tables (gram_values)."""
-
-    def __init__(self, keys: np.ndarray, n: np.ndarray):
-        self.counts = np.zeros(2 * (ORDER + 1) * 2 << BITS, np.float32)
-        self.counts[keys] = n
-        self.counts = self.counts.reshape(2, ORDER + 1, 2, 1 << BITS)
-
-    def scores(self, urls: list[str | None]) -> np.ndarray:
-        """Log-likelihood under "allow" less that under "block", per character."""
-        lengths, contexts, grams = _grams(urls)
-        logs = []
-        for label in (1, 0):
-            p = np.full(contexts.shape[1], 1.0 / _CHARS)
-            for k in range(ORDER + 1):
-                seen, context = self.counts[label, k, 0, grams[k]], self.counts[label, k, 1, contexts[k]]
-                kinds = np.minimum(context, np.sqrt(context) * 2 + 1)  # an estimate of the different successors
-                trust = context / np.maximum(context + kinds, 1e-9)
-                p = trust * np.minimum(seen / np.maximum(context, 1), 1.0) + (1 - trust) * p
-            logs.append(np.log(p))
-        of = np.repeat(np.arange(len(lengths)), lengths)
-        return np.bincount(of, logs[0] - logs[1], len(lengths)) / np.maximum(lengths, 1)
-
-
 MODELS = [f"{c}_{part}" for part in ("part", "all") for c in ("block", "allow")]
 
 

@@ -60,6 +60,35 @@ def test_near_copies_match_brute_force(spark):
     assert near_copies.drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_recall_of_planted_copies(spark):
+    """Copies with similarities from 0.8 to 0.9, few words changed at random places: at least 0.99 are found; texts that share
+    half of their words with a template are left alone and don't make one cluster."""
+    rng, rows, pairs = random.Random(21), [], 0
+    for k in range(500):
+        n = rng.choice([40, 120, 400])
+        base = [f"k{k}w{rng.randrange(10 ** 6)}" for _ in range(n)]
+        other = list(base)
+        while True:
+            trial = list(other)
+            trial[rng.randrange(n)] = f"c{rng.randrange(10 ** 6)}"
+            a, b = shingles(" ".join(base)), shingles(" ".join(trial))
+            if 5 * len(a & b) < 4 * len(a | b):
+                break
+            other = trial
+        pairs += other != base
+        rows += [" ".join(base), " ".join(other)]
+    template = [f"t{i}" for i in range(60)]
+    alone = len(rows)
+    rows += [" ".join(template + [f"m{k}x{i}" for i in range(80)]) for k in range(800)]
+    kept = {r.doc_id for r in near_copies.drop_near_copies(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert sum(i in kept and i + 1 in kept for i in range(0, alone, 2)) <= 0.01 * pairs + (alone // 2 - pairs)
+    assert all(i in kept for i in range(0, alone, 2)) and all(i in kept for i in range(alone, len(rows)))
+    # Pairs of the templates have a similarity of 0.26; before they are compared, few of them meet.
+    docs = numbered(spark.createDataFrame([(r,) for r in rows[alone:]], "text string"))
+    keys = near_copies._per_text(docs, lambda texts: list(near_copies.band_keys([near_copies.shingle_set(t) for t in texts])), "keys")
+    assert keys.select(F.explode("keys").alias("k")).groupBy("k").count().agg(F.max("count")).first()[0] < 80
+
+
 def test_large_clusters_are_compared_in_parts(spark, monkeypatch):
     rng = random.Random(9)
     base = [f"b{i}" for i in range(120)]

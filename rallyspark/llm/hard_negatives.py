@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-CODES, PLANES = 4, 8
+CODES, PLANES = 6, 8
 #: Index rows and anchors that meet in one task at most, and pairs that are estimated at a time.
-TILE_ROWS, TILE_ANCHORS, PAIRS = 8192, 4096, 1 << 19
+TILE_ROWS, TILE_ANCHORS, PAIRS = 8192, 4096, 1 << 17
 #: Largest component, before quantisation.
 LARGEST = 2.0 ** 20
 SEED = 20
@@ -87,10 +87,11 @@ def intervals(codes: np.ndarray, aligned: np.ndarray, coded: np.ndarray, left: n
     estimate = np.zeros((len(codes), len(planes)))
     inner = estimate
     for k in range(codes.shape[1]):
-        weighted = np.zeros(estimate.shape, np.int64)
-        for b in range(planes.shape[1]):
+        weighted = np.zeros(estimate.shape, np.uint32)
+        for b in range(planes.shape[1] - 1, -1, -1):  # Horner's rule over the bit planes
+            weighted <<= 1
             for w in range(codes.shape[2]):
-                weighted += np.bitwise_count(codes[:, k, w, None] & planes[None, :, b, w]).astype(np.int64) << b
+                weighted += np.bitwise_count(codes[:, k, w, None] & planes[None, :, b, w])
         ones = np.bitwise_count(codes[:, k]).sum(axis=1, dtype=np.int64)
         inner = unit * (2 * (a.low[which] * ones[:, None] + a.step[which] * weighted) - a.total[which])
         estimate += aligned[:, k, None] * inner
@@ -99,22 +100,37 @@ def intervals(codes: np.ndarray, aligned: np.ndarray, coded: np.ndarray, left: n
     return estimate, coded[:, None] * off + left[:, None] * across + slack
 
 
-def best(estimate: np.ndarray, bound: np.ndarray, rows: np.ndarray, v: np.ndarray, q: np.ndarray, k: int, least: int | None = None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, scores) of those ``rows`` that can be among the first k with a score from ``least`` to ``most``, and all that tie with the k-th."""
+class Scores:
+    """Integer scores of one anchor, each made when it is first asked for."""
+
+    def __init__(self, v: np.ndarray, q: np.ndarray):
+        self.v, self.q = v, q
+        self.known, self.made = np.zeros(len(v), np.int64), np.zeros(len(v), bool)
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        new = rows[~self.made[rows]]
+        self.known[new] = self.v[new] @ self.q
+        self.made[new] = True
+        return self.known[rows]
+
+
+def best(low: np.ndarray, high: np.ndarray, rows: np.ndarray, scores: Scores, k: int, least: int | None = None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, scores) of those ``rows`` that can be among the first k with a score from ``least`` to ``most``, and all that tie
+    with the k-th. ``low`` and ``high`` are the ends of the intervals of all rows."""
     def scored(at):
-        s = v[at] @ q
+        s = scores.of(at)
         ok = np.ones(len(s), bool) if least is None else (s >= least) & (s <= most)
         return at[ok], s[ok]
 
-    e, b = estimate[rows], bound[rows]
     if least is not None:
-        near = (e + b >= least) & (e - b <= most)
-        rows, e, b = rows[near], e[near], b[near]
+        rows = rows[(high[rows] >= least) & (low[rows] <= most)]
     if len(rows) > 4 * k:  # a few good ones are scored first, and what can't reach the k-th of them is left out
-        likely = np.where(e <= most, e, -np.inf) if most is not None else e
+        likely = low[rows] + high[rows]
+        if most is not None:
+            likely[likely > 2 * most] = -np.inf
         _, s = scored(rows[np.argpartition(-likely, 2 * k)[: 2 * k]])
         if len(s) >= k:
-            rows = rows[e + b >= np.partition(s, -k)[-k]]
+            rows = rows[high[rows] >= np.partition(s, -k)[-k]]
     rows, s = scored(rows)
     if len(s) > k:
         keep = s >= np.partition(s, -k)[-k]
@@ -135,7 +151,8 @@ def build_index(rows: DataFrame, members: int) -> DataFrame:
     order = [F.col("vec_id").asc_nulls_last(), "row_"]
     first = rows.withColumn("place", F.row_number().over(W.partitionBy("label", "v").orderBy(*order))).filter(F.col("place") <= members)
     distinct = first.groupBy("label", "v").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "row_"))).alias("m"))
-    flat = distinct.select("label", "v", F.size("v").alias("d"), F.transform("m", lambda m: m.vec_id).alias("ids"), F.transform("m", lambda m: m.row_).alias("rows"))
+    flat = distinct.select("label", "v", F.size("v").alias("d"), F.transform("m", lambda m: F.coalesce(m.vec_id, F.lit(0).cast("long"))).alias("ids"),
+                           F.transform("m", lambda m: m.vec_id.isNull()).alias("none"), F.transform("m", lambda m: m.row_).alias("rows"))
 
     def coded(batches):
         for batch in batches:
@@ -143,7 +160,7 @@ def build_index(rows: DataFrame, members: int) -> DataFrame:
                 codes, aligned, known, left = encode(np.stack(part["v"]).astype(np.int64))
                 yield part.assign(codes=[c.tobytes() for c in codes], aligned=list(aligned), coded=known, rest=left)
 
-    return materialize(flat.mapInPandas(coded, "label long, v array<int>, d int, ids array<long>, rows array<long>, codes binary, aligned array<double>, coded double, rest double"))
+    return materialize(flat.mapInPandas(coded, "label long, v array<int>, d int, ids array<long>, none array<boolean>, rows array<long>, codes binary, aligned array<double>, coded double, rest double"))
 
 
 def _parts(n: int, size: int) -> int:
@@ -158,9 +175,13 @@ def _tiles(index: DataFrame, anchors: DataFrame, search, schema: str) -> DataFra
     key = ["d", "group", "block"]
 
     def tile(index: pd.DataFrame, anchors: pd.DataFrame) -> pd.DataFrame:
-        out = list(search(index, anchors)) if len(index) and len(anchors) else []
         names = [c.split()[0] for c in schema.split(", ")]
-        return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
+        found = list(search(index, anchors)) if len(index) and len(anchors) else []
+        if not found:
+            return pd.DataFrame(columns=names)
+        many = [len(f["row_"]) for f in found]
+        out = {c: np.concatenate([f[c] for f in found]) if c in ("vec_id", "none", "row_", "score") else np.repeat([f[c] for f in found], many) for c in found[0]}
+        return pd.DataFrame(out | {"vec_id": pd.arrays.IntegerArray(out["vec_id"], out.pop("none"))})[names]
 
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(tile, schema)
 
@@ -170,20 +191,34 @@ def _index_arrays(index: pd.DataFrame) -> tuple:
     return np.stack(index["v"]).astype(np.int64), (codes, np.stack(index["aligned"]), index["coded"].to_numpy(), index["rest"].to_numpy())
 
 
-def _found(index: pd.DataFrame, at: np.ndarray, scores: np.ndarray, k: int, not_row: int | None = None) -> pd.DataFrame:
-    """The first k members of index rows ``at``."""
-    many = index["ids"].iloc[at].map(len).to_numpy()
-    out = pd.DataFrame({"vec_id": pd.array(np.concatenate([[]] + [list(x) for x in index["ids"].iloc[at]]), "Float64").astype("Int64"), "row_": np.concatenate([[]] + [list(x) for x in index["rows"].iloc[at]]).astype(np.int64), "score": np.repeat(scores, many)})
-    if not_row is not None:
-        out = out[out["row_"] != not_row]
-    return out.sort_values(["score", "vec_id", "row_"], ascending=[False, True, True], na_position="last").head(k)
+class Members:
+    """The rows that index rows stand for, flat."""
+
+    def __init__(self, index: pd.DataFrame):
+        self.many = index["rows"].map(len).to_numpy()
+        self.start = np.cumsum(self.many) - self.many
+        self.none = np.concatenate([np.asarray(x, bool) for x in index["none"]])
+        self.ids = np.concatenate([np.asarray(x, np.int64) for x in index["ids"]])
+        self.rows = np.concatenate([np.asarray(x, np.int64) for x in index["rows"]])
+
+    def first(self, at: np.ndarray, scores: np.ndarray, k: int, not_row: int = -1, **more) -> dict:
+        """The first k members of index rows ``at``: vec_id, none (is it null), row_, score, and ``more`` that holds for all."""
+        many = self.many[at]
+        flat = np.repeat(self.start[at] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        scores = np.repeat(scores, many)
+        if not_row >= 0:
+            keep = self.rows[flat] != not_row
+            flat, scores = flat[keep], scores[keep]
+        order = np.lexsort((self.rows[flat], self.ids[flat], self.none[flat], -scores))[:k]
+        flat = flat[order]
+        return {"vec_id": self.ids[flat], "none": self.none[flat], "row_": self.rows[flat], "score": scores[order]} | more
 
 
 def _positives(k: int):
     def search(index, anchors):
         index = index.sort_values("label", kind="stable").reset_index(drop=True)
         v, arrays = _index_arrays(index)
-        labels = index["label"].to_numpy()
+        labels, members = index["label"].to_numpy(), Members(index)
         for label, own in anchors.groupby("label"):
             lo, hi = np.searchsorted(labels, [label, label + 1])
             if lo == hi:
@@ -193,27 +228,28 @@ def _positives(k: int):
             for start in range(0, len(own), step):
                 which = slice(start, min(start + step, len(own)))
                 e, b = intervals(*(x[lo:hi] for x in arrays), a, which)
+                low, high = (e - b).T.copy(), (e + b).T.copy()
                 for j, row in enumerate(own["row_"].iloc[which]):
-                    at, s = best(e[:, j], b[:, j], np.arange(hi - lo), v[lo:hi], a.v[start + j], k + 1)
-                    yield _found(index, at + lo, s, k, row).assign(anchor_row=row)
+                    at, s = best(low[j], high[j], np.arange(hi - lo), Scores(v[lo:hi], a.v[start + j]), k + 1)
+                    yield members.first(at + lo, s, k, row, anchor_row=row)
     return search
 
 
 def _negatives(k: int):
     def search(index, anchors):
         v, arrays = _index_arrays(index)
-        labels = index["label"].to_numpy()
+        labels, members = index["label"].to_numpy(), Members(index)
         a = Anchors(np.stack(anchors["v"]).astype(np.int64))
         step = max(1, PAIRS // len(index))
         for start in range(0, len(anchors), step):
             which = slice(start, min(start + step, len(anchors)))
             e, b = intervals(*arrays, a, which)
+            low, high = (e - b).T.copy(), (e + b).T.copy()
             for j, anchor in enumerate(anchors.iloc[which].itertuples()):
-                other = np.flatnonzero(labels != anchor.label)
+                other, scores = np.flatnonzero(labels != anchor.label), Scores(v, a.v[start + j])
                 for place, least, most in zip(anchor.places, anchor.least, anchor.most):
-                    at, s = best(e[:, j], b[:, j], other, v, a.v[start + j], k, least, most)
-                    if len(at):
-                        yield _found(index, at, s, k).assign(anchor_row=anchor.row_, place=place)
+                    at, s = best(low[j], high[j], other, scores, k, least, most)
+                    yield members.first(at, s, k, anchor_row=anchor.row_, place=place)
     return search
 
 

@@ -76,6 +76,21 @@ FIXTURES = {
     "fx_labels": """
         SELECT clip_id, frame, visible AS ball_visible, CASE WHEN visible THEN pixel_x + frame % 30 END AS label_x, CASE WHEN visible THEN pixel_y + frame % 17 END AS label_y
         FROM fx_ball WHERE frame % 4 = 0""",
+    # Clips of about 1,500 orders, so that their number grows with the tables: six people whose tracks break up, the fifth a
+    # third person on the far side, the sixth out of play.
+    "fx_people": """
+        SELECT clip_id, frame, person, track_id, CASE person WHEN 0 THEN 5 WHEN 1 THEN 14 WHEN 2 THEN 6 WHEN 3 THEN 15 WHEN 4 THEN 22 ELSE 40 END + CAST(pk % 21 - 10 AS DOUBLE) / 10 AS court_x_ft,
+          CASE person WHEN 0 THEN 8 WHEN 1 THEN 10 WHEN 2 THEN 37 WHEN 3 THEN 35 WHEN 4 THEN 41 ELSE 70 END + CAST(sk % 17 - 8 AS DOUBLE) / 8 AS court_y_ft,
+          100.0E0 AS bbox_y1, 100 + (5 + CAST(person * 7 % 6 AS DOUBLE) / 5 + CAST(pk % 5 AS DOUBLE) / 50) * CASE WHEN person < 2 THEN 50 WHEN person = 5 THEN 20 ELSE 27 END AS bbox_y2,
+          person = 0 AND clip_id % 2 = 0 AND frame < 150 AS is_user
+        FROM (SELECT clip_id, n % 6 AS person, CAST(floor(n / 6) AS BIGINT) AS frame, n % 6 * 1000 + CAST(floor(floor(n / 6) / (60 + 23 * (n % 6))) AS BIGINT) AS track_id, pk, sk
+          FROM (SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS n, l_partkey AS pk, l_suppkey AS sk
+            FROM (SELECT o_custkey % (SELECT CAST(floor(count(*) / 1500) + 1 AS BIGINT) FROM orders) AS clip_id, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey) AS a) AS b) AS c
+        WHERE pk % 23 <> 0 AND (track_id + person) % 7 <> 5""",
+    "fx_scene": "SELECT clip_id, 30.0E0 AS fps, CASE clip_id % 4 WHEN 1 THEN 'left' WHEN 3 THEN 'right' ELSE 'left' END AS user_corner, 60.0E0 AS near_px_per_ft, 20.0E0 AS far_px_per_ft FROM (SELECT DISTINCT clip_id FROM fx_people) AS c",
+    "fx_looks": """
+        SELECT clip_id, track_id, signature FROM (SELECT DISTINCT clip_id, track_id, (clip_id * 6 + person) % 97 AS sid FROM fx_people WHERE track_id % 5 <> 3) AS t JOIN (SELECT vec_id, embedding AS signature FROM embeddings) AS e ON vec_id = sid""",
+    "fx_clicks": "SELECT clip_id, CAST(floor(frame / 250) AS BIGINT) AS click_id, min(frame) AS frame, min(track_id) AS track_id FROM fx_people WHERE person = 0 AND frame % 250 >= 40 GROUP BY clip_id, floor(frame / 250)",
     "fx_members": "SELECT c_nationkey AS collection_id, c_custkey AS member_id, c_custkey AS captured_order, c_mktsegment AS content_hash, c_acctbal >= 0 AS supported, c_custkey % 7 AS pipeline_version FROM customer",
 }
 
@@ -110,4 +125,4 @@ def with_fixtures(body: str) -> str:
             needed(name, parts)
     head = ", ".join(f"{p} AS ({FIXTURES[p]})" for p in parts)
     body = body.strip()
-    return f"WITH {head}{', ' + body if re.match(r'\w+ AS [(]', body) else ' ' + body}"
+    return f"WITH RECURSIVE {head}{', ' + body if re.match(r'\w+ AS [(]', body) else ' ' + body}"

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import bbox_distance, in_rect, project, side_of_net, speed_change, turn_degrees
+from ..functions.geometry import NET, bbox_distance, in_rect, project, side_of_net, speed_change, turn_degrees
 from ..sources.readers import written
 from .ball import W, drop_teleports
 from .helpers import accept_serves, dedup_serves, same_track_repeats, suppress_neighbours
@@ -16,13 +16,15 @@ from .params import scaled_params
 
 #: Frames of a bucket in which events meet the frames around them.
 BUCKET = 60
+#: Feet beyond the net, and frames in a row, that prove that a reconstructed ball went over.
+CROSS_FT, CROSS_FRAMES = 5.0, 10
 
 
 def series(ball: DataFrame, params: DataFrame) -> DataFrame:
     """One row per frame: place, known, neighbours, turn and speed change, and the known run it lies in, after teleports went."""
     kept = drop_teleports(ball.join(params, "clip_id"), F.col("max_ball_speed"))
     known = F.expr("visible or interpolated") & ~F.col("dropped")
-    b = kept.select(*params.columns, "frame", "visible", known.alias("known"), F.when(known, F.col("pixel_x")).alias("x"), F.when(known, F.col("pixel_y")).alias("y"))
+    b = kept.select(*params.columns, "frame", "visible", "dropped", known.alias("known"), F.when(known, F.col("pixel_x")).alias("x"), F.when(known, F.col("pixel_y")).alias("y"))
     here = F.when(F.col("known"), F.struct("frame", "x", "y"))
     back = Window.partitionBy("clip_id").orderBy(F.desc("frame"))  # backwards, so that frames of windows only grow
     b = b.withColumn("p", F.last(here, ignorenulls=True).over(W().rowsBetween(Window.unboundedPreceding, -1))).withColumn(
@@ -65,9 +67,13 @@ def nearest_player(events: DataFrame, players: DataFrame, wrists: DataFrame | No
     return events.join(pick, ["clip_id", "frame"]).select(*events.columns, "b.track_id", "b.is_user", "b.d", "b.basis", "b.radius", F.round("b.court_x_ft", 2).alias("hitter_x"), F.round("b.court_y_ft", 2).alias("hitter_y"), side_of_net(F.col("b.court_y_ft")).alias("hitter_side"))
 
 
+def impulses(at: DataFrame) -> DataFrame:
+    return at.filter((F.col("fast") >= F.col("min_ball_speed")) & ((F.col("turn") >= 45) | (F.col("ratio") >= 0.35)))
+
+
 def shot_candidates(at: DataFrame) -> DataFrame:
     """The strongest impulses of the series, one in a window, and how they fare at the gates: kept, teleport or latch."""
-    found = at.filter((F.col("fast") >= F.col("min_ball_speed")) & ((F.col("turn") >= 45) | (F.col("ratio") >= 0.35)))
+    found = impulses(at)
     score = F.greatest(F.coalesce(F.col("turn") / 180, F.lit(0.0)), F.least(F.lit(1.0), F.col("ratio")))
     strongest = suppress_neighbours(found.select("clip_id", "frame", score.alias("score"), "impact_window"), "impact_window").select("clip_id", "frame", "score")
     rows = strongest.join(at, ["clip_id", "frame"])
@@ -101,9 +107,23 @@ def shot_rows(cands: DataFrame, players: DataFrame, at: DataFrame, court: DataFr
                        F.round("turn", 1).alias("turn"), F.round("ratio", 3).alias("ratio"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)), 3).alias("confidence"), "run_length")
 
 
-def drop_handling(shots: DataFrame, players: DataFrame, at: DataFrame, params: DataFrame) -> DataFrame:
+def crossings(pairs: DataFrame, ball_3d: DataFrame, feet: float = CROSS_FT, frames: int = CROSS_FRAMES) -> DataFrame:
+    """Those of ``pairs(clip_id, side, from, to)`` between whose frames the reconstructed ball stays beyond the net, as seen from
+    ``side``, for ``frames`` frames in a row. ``ball_3d(clip_id, frame, y)``; a frame without a place breaks a row of frames.
+
+    Rows of frames that long are few; they meet the pairs by clip, side and bucket of frames."""
+    far = ball_3d.filter("y is not null").withColumn("side", F.when(F.col("y") >= NET + feet, "near").when(F.col("y") <= NET - feet, "far")).filter("side is not null").select("clip_id", "side", "frame").distinct()
+    island = F.col("frame") - F.row_number().over(Window.partitionBy("clip_id", "side").orderBy("frame"))
+    stays = far.withColumn("island", island).groupBy("clip_id", "side", "island").agg(F.min("frame").alias("a"), F.max("frame").alias("b")).filter(F.col("b") - F.col("a") + 1 >= frames)
+    spread = lambda df, a, b: df.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(a) / BUCKET), F.floor(F.col(b) / BUCKET))))
+    both = spread(pairs, "from", "to").join(spread(stays.drop("island"), "a", "b"), ["clip_id", "side", "bucket"])
+    return both.filter(F.least("b", "to") - F.greatest("a", "from") + 1 >= frames).select("clip_id", "side", "from", "to").distinct()
+
+
+def drop_handling(shots: DataFrame, players: DataFrame, at: DataFrame, params: DataFrame, ball_3d: DataFrame | None = None) -> DataFrame:
     """Of impacts from one side with no long gap and without the ball having left in between, one stays: the last of a run
-    that lasts long, else the strongest (first on ties). Clips without a real ball keep all."""
+    that lasts long, else the strongest (first on ties). With ``ball_3d`` (crossings) a ball that went over the net has left
+    too. Clips without a real ball keep all."""
     side = players.filter("not transient").groupBy("clip_id", "track_id").agg(side_of_net(F.percentile("court_y_ft", F.lit(0.5))).alias("side"))
     w = Window.partitionBy("clip_id").orderBy("frame")
     rows = (shots.join(side, ["clip_id", "track_id"], "left").join(params.select("clip_id", "real", "handling_reset", "handling_spread", "excursion_px"), "clip_id")
@@ -116,6 +136,9 @@ def drop_handling(shots: DataFrame, players: DataFrame, at: DataFrame, params: D
             .filter("frame between `from` and `to`").groupBy("clip_id", F.col("to").alias("frame"), "excursion_px").agg(F.max(F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0"))).alias("far"))
             .select("clip_id", "frame", (F.col("far") >= F.col("excursion_px")).alias("left_")))
     joined = close.select("clip_id", "frame", F.lit(True).alias("close")).join(seen, ["clip_id", "frame"], "left").filter("not coalesce(left_, false)").select("clip_id", "frame", "close")
+    if ball_3d is not None:
+        over = crossings(close.select("clip_id", "side", F.col("prev.frame").alias("from"), F.col("frame").alias("to")), ball_3d)
+        joined = joined.join(over.select("clip_id", F.col("to").alias("frame")), ["clip_id", "frame"], "left_anti")
     runs = rows.join(joined, ["clip_id", "frame"], "left").withColumn("run", F.sum(F.when(F.col("close"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     r = Window.partitionBy("clip_id", "run")
     strength = F.greatest(F.coalesce(F.col("turn") / 180, F.lit(0.0)), F.least(F.lit(1.0), F.coalesce("ratio", F.lit(0.0))))
@@ -181,16 +204,57 @@ def point_structure(shots: DataFrame, params: DataFrame) -> DataFrame:
     return point.withColumn("is_between_point", F.col("real") & (F.col("point") > 0) & F.coalesce(F.col("frame") > last_end, F.lit(False))).select(*shots.columns, "is_between_point")
 
 
-def detect_shots(ball: DataFrame, players: DataFrame, court: DataFrame, wrists: DataFrame | None = None) -> DataFrame:
-    """The whole chain: ball, players and ``court`` (with ``real``) to numbered shots."""
+#: Steps of the chain in order: a candidate's fate is the first step that it doesn't reach.
+STEPS = ("candidate", "strongest", "no_teleport", "no_latch", "has_player", "no_handling", "single_serve", "no_repeat", "airborne")
+#: What a candidate is counted as when it goes at the next step.
+LOST = ("merged_duplicates", "rejected_teleport_in", "rejected_latch", "rejected_no_player", "rejected_handling", "rejected_serve_twice", "rejected_repeat", "rejected_ground_ball", "shots")
+
+
+def detect_steps(ball: DataFrame, players: DataFrame, court: DataFrame, wrists: DataFrame | None = None, ball_3d: DataFrame | None = None) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """(shots, the written table of each of STEPS, the series) of the whole chain: ball, players and ``court`` (with ``real``)."""
     params = written(scaled_params(court).join(court.select("clip_id", "real"), "clip_id"))
     at = written(series(ball, params))  # steps use what came before several times: each is written once
-    shots = written(shot_rows(written(shot_candidates(at)), players, at, court, wrists))
-    shots = written(drop_handling(shots, players, at, params))
-    shots = written(add_serves(shots, at, players, court, wrists))
-    shots = written(drop_double_serves(shots, params))
+    found = written(shot_candidates(at))
+    steps = {"candidate": impulses(at), "strongest": found, "no_teleport": found.filter("gate <> 'teleport'"), "no_latch": found.filter("gate = 'kept'")}
+    shots = steps["has_player"] = written(shot_rows(found, players, at, court, wrists))
+    shots = steps["no_handling"] = written(drop_handling(shots, players, at, params, ball_3d))
+    served = written(add_serves(shots, at, players, court, wrists))
+    steps["serves"] = served.filter("method = 'serve'")
+    shots = steps["single_serve"] = written(drop_double_serves(served, params))
     real = params.select("clip_id", "real", "rally_gap")
     held = same_track_repeats(shots.join(real.filter("real"), "clip_id").withColumn("shot_id", F.col("frame")).select("clip_id", "shot_id", "frame", "track_id", "is_serve", "rally_gap"), "rally_gap").select("clip_id", "frame")
-    shots = written(shots.join(real.filter("real").select("clip_id"), "clip_id", "left_anti").unionByName(shots.join(held, ["clip_id", "frame"], "left_semi")))
-    shots = point_structure(written(drop_ground_balls(shots, at, court)), params)
-    return shots.withColumn("shot_id", F.row_number().over(Window.partitionBy("clip_id").orderBy("frame")) - 1)
+    shots = steps["no_repeat"] = written(shots.join(real.filter("real").select("clip_id"), "clip_id", "left_anti").unionByName(shots.join(held, ["clip_id", "frame"], "left_semi")))
+    shots = steps["airborne"] = written(drop_ground_balls(shots, at, court))
+    shots = point_structure(shots, params)
+    return shots.withColumn("shot_id", F.row_number().over(Window.partitionBy("clip_id").orderBy("frame")) - 1), steps, at
+
+
+def detect_shots(ball: DataFrame, players: DataFrame, court: DataFrame, wrists: DataFrame | None = None, ball_3d: DataFrame | None = None) -> DataFrame:
+    """The whole chain: ball, players and ``court`` (with ``real``) to numbered shots."""
+    return detect_steps(ball, players, court, wrists, ball_3d)[0]
+
+
+def shot_fates(steps: dict[str, DataFrame]) -> DataFrame:
+    """(clip_id, frame, served, fate) of each candidate and of each serve that was added: one of LOST, from the furthest step
+    that it reached. The steps' keys are grouped once."""
+    reached = None
+    for k, name in enumerate(STEPS):
+        served = F.col("method") == "serve" if "method" in steps[name].columns else F.lit(False)
+        rows = steps[name].select("clip_id", "frame", F.lit(k).alias("step"), served.alias("served"))
+        reached = rows if reached is None else reached.unionByName(rows)
+    reached = reached.unionByName(steps["serves"].select("clip_id", "frame", F.lit(STEPS.index("no_handling")).alias("step"), F.lit(True).alias("served")))
+    fate = F.element_at(F.array(*[F.lit(x) for x in LOST]), F.max("step") + 1)
+    return reached.groupBy("clip_id", "frame", "served").agg(fate.alias("fate"))
+
+
+def rejection_stats(shots: DataFrame, steps: dict[str, DataFrame], at: DataFrame) -> DataFrame:
+    """One row per clip: candidates and added serves, what each of LOST took (these add up), impulses that were too slow or lie
+    in gaps, dropped teleports, serves, the share of frames with a ball, and the frames looked at."""
+    fates = shot_fates(steps).groupBy("clip_id").agg(F.count_if("served").alias("serves_added"), F.count_if(~F.col("served")).alias("candidates"), *[F.count_if(F.col("fate") == x).alias(x) for x in LOST])
+    impulse = (F.col("turn") >= 45) | (F.col("ratio") >= 0.35)
+    hidden = F.col("turn").isNull() & F.col("known") & F.col("before").isNotNull() & F.col("after").isNotNull() & (turn_degrees(*[rate("", "before", c) for c in "xy"], *[rate("after", "", c) for c in "xy"]) >= 45)
+    frames = at.groupBy("clip_id").agg(F.count_if((F.col("fast") < F.col("min_ball_speed")) & impulse).alias("rejected_low_speed"), F.count_if(hidden).alias("rejected_ball_gap"), F.count_if("dropped").alias("teleports_dropped"),
+                                       F.avg(F.col("visible").cast("int")).alias("ball_visible_share"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
+    kinds = shots.groupBy("clip_id").agg(F.count_if("is_serve").alias("serves"), F.count_if("is_between_point").alias("between_points"))
+    counted = [c for c in fates.columns + kinds.columns if c != "clip_id"]
+    return frames.join(fates, "clip_id", "left").join(kinds, "clip_id", "left").na.fill(0, counted)

@@ -71,23 +71,12 @@ def register(add, raw) -> None:
     # ---- the shot chain
     court = lambda get: get("court").withColumn("real", F.col("clip_id") % 4 != 0)
     wrists = lambda get: get("poses").select("clip_id", "frame", "track_id", F.explode(F.array(*[F.when(F.col(f"{s}wv") >= 0.5, F.struct(F.col(f"{s}wx").alias("wx"), F.col(f"{s}wy").alias("wy"))) for s in "lr"])).alias("w")).filter("w is not null").select("clip_id", "frame", "track_id", "w.*")
-    add("d5_detect_shots", lambda get: C.detect_shots(get("ball"), chasers(get), court(get), wrists(get)))
+    add("d5_detect_shots", lambda get: C.detect_shots(get("ball"), get("chasers"), court(get), wrists(get)))
     add("d13_event_timeline", lambda get: timeline(get))
-    add("b1_select_track", lambda get: H.select_track(candidates(get)))
+    add("b1_select_track", lambda get: H.select_track(get("candidates")))
     balls = lambda get: get("ball").filter("visible").select("clip_id", "frame", F.col("pixel_x").alias("x"), F.col("pixel_y").alias("y"))
     add("b20_follow_shot", lambda get: H.follow_shot(get("shots").select("clip_id", "shot_id", "frame").join(balls(get), ["clip_id", "frame"]), get("ball")))
 
-    def chasers(get):
-        """Four players per frame who run after the ball, two on either side of the net."""
-        at = get("ball").select("clip_id", "frame", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).withColumns(
-            {"px": F.expr("600 + abs(frame*9 % 1400 - 700) + (frame*(7 + 2*k) + k*150) % 400 - 200"), "py": F.expr("300 + abs(frame*13 % 400 - 200)*3 + k*9")})
-        return at.selectExpr("clip_id", "frame", "k as track_id", "k = 0 as is_user", "k = 3 and frame % 9 = 0 as transient", "cast(px - 20 as double) as bbox_x1", "cast(py - 40 as double) as bbox_y1", "cast(px + 20 as double) as bbox_x2",
-                             "cast(py + 50 as double) as bbox_y2", "cast(px as double) as foot_x", "cast(py + 50 as double) as foot_y", "cast(5 + 10 * (k % 2) as double) as court_x_ft", "cast(if(k < 2, frame % 21 - 2, 24 + frame % 22) as double) as court_y_ft")
-
-    def candidates(get):
-        ball = get("ball").filter("pixel_x is not null").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
-        return ball.select(F.col("clip_id").cast("long").alias("clip_id"), F.col("frame").cast("long").alias("frame"), F.col("k").cast("long").alias("k"), (F.col("pixel_x") + 400 * F.col("k")).alias("x"), (F.col("pixel_y") + 90 * F.col("k")).alias("y"), (F.coalesce("confidence", F.lit(0.2)) / (F.col("k") + 1)).alias("confidence"))
-
     def timeline(get):
         ball = get("ball")
         cands = D.impulse_candidates(ball).select("clip_id", "frame", "score").unionByName(D.bounce_candidates(ball).select("clip_id", "frame", (F.col("score") / 400).alias("score"))).groupBy("clip_id", "frame").agg(F.max("score").alias("score"))

@@ -76,6 +76,21 @@ FIXTURES = {
     "fx_labels": """
         SELECT clip_id, frame, visible AS ball_visible, CASE WHEN visible THEN pixel_x + frame % 30 END AS label_x, CASE WHEN visible THEN pixel_y + frame % 17 END AS label_y
         FROM fx_ball WHERE frame % 4 = 0""",
+    # Four players per frame who run after the ball, two on either side of the net; and three candidates per frame for the ball.
+    "fx_chasers": """
+        SELECT clip_id, frame, k AS track_id, k = 0 AS is_user, k = 3 AND frame % 9 = 0 AS transient, CAST(px - 20 AS DOUBLE) AS bbox_x1, CAST(py - 40 AS DOUBLE) AS bbox_y1, CAST(px + 20 AS DOUBLE) AS bbox_x2, CAST(py + 50 AS DOUBLE) AS bbox_y2,
+          CAST(px AS DOUBLE) AS foot_x, CAST(py + 50 AS DOUBLE) AS foot_y, CAST(5 + 10 * (k % 2) AS DOUBLE) AS court_x_ft, CAST(CASE WHEN k < 2 THEN frame % 21 - 2 ELSE 24 + frame % 22 END AS DOUBLE) AS court_y_ft
+        FROM (SELECT clip_id, frame, k, 600 + abs(frame*9 % 1400 - 700) + (frame*(7 + 2*k) + k*150) % 400 - 200 AS px, 300 + abs(frame*13 % 400 - 200)*3 + k*9 AS py
+          FROM fx_ball CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) AS four) AS c""",
+    "fx_candidates": """
+        SELECT clip_id, frame, CAST(k AS BIGINT) AS k, pixel_x + 400 * k AS x, pixel_y + 90 * k AS y, coalesce(confidence, 0.2E0) / (k + 1) AS confidence
+        FROM fx_ball CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) AS three WHERE pixel_x IS NOT NULL""",
+    "fx_ball_3d": "SELECT clip_id, frame, pixel_x / 60 - 3 AS x, CAST(abs(frame * 3 % 180 - 90) AS DOUBLE) / 2 - 1 AS y, CAST(abs(frame * 7 % 80 - 40) AS DOUBLE) / 10 AS z FROM fx_ball WHERE visible OR interpolated",
+    # The corners that each clip's homography maps to the court's, and kitchen lines clicked a known way off.
+    "fx_corners": """
+        SELECT clip_id, CASE WHEN clip_id % 3 = 0 THEN 'far' ELSE 'near' END AS user_baseline, X AS at_x, Y AS at_y, (m00 * X + m01 * Y + m02) / (m20 * X + m21 * Y + m22) AS px, (m10 * X + m11 * Y + m12) / (m20 * X + m21 * Y + m22) AS py
+        FROM (SELECT clip_id, h11*h22 - h12*h21 AS m00, h02*h21 - h01*h22 AS m01, h01*h12 - h02*h11 AS m02, h12*h20 - h10*h22 AS m10, h00*h22 - h02*h20 AS m11, h02*h10 - h00*h12 AS m12, h10*h21 - h11*h20 AS m20, h01*h20 - h00*h21 AS m21, h00*h11 - h01*h10 AS m22 FROM fx_court) AS m
+          CROSS JOIN (SELECT 0.0E0 AS X UNION ALL SELECT 20.0E0) AS xs CROSS JOIN (SELECT 0.0E0 AS Y UNION ALL SELECT 44.0E0 UNION ALL SELECT 15.0E0 UNION ALL SELECT 29.0E0) AS ys""",
     # Clips of about 1,500 orders, so that their number grows with the tables: six people whose tracks break up, the fifth a
     # third person on the far side, the sixth out of play.
     "fx_people": """

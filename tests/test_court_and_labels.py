@@ -89,7 +89,7 @@ def test_a_ball_that_went_over_the_net_is_no_handling_and_counters_add_up(spark)
 
 
 def test_impulses_too_slow_or_in_gaps_are_counted(spark):
-    points = [(100 + f * 0.5, 300) for f in range(30)] + [(114.5 - f * 0.5, 300) for f in range(1, 30)] + [None] * 5  # a slow turn
+    points = [(100 + f * 0.5, 300) for f in range(30)] + [(114.5 - f * 0.5, 300) for f in range(1, 30)] + [None] * 20  # a slow turn
     points += [(200 + 9 * f, 300) for f in range(20)] + [None] + [(389, 300)] + [None] + [(371 - 9 * f, 300) for f in range(20)]  # a turn beside missing frames
     court = court_of(spark)
     at = chain.series(ball_of(spark, points), params.scaled_params(court).join(court.select("clip_id", "real"), "clip_id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import in_receivers_kitchen, side_of_net
 from .ball import KNOWN
 
 
@@ -16,10 +17,25 @@ def ORDER():  # noqa: N802
     return CLIP().orderBy("frame", "shot_id")
 
 
-def segment_rallies(shots: DataFrame) -> DataFrame:
-    """Every serve starts a rally; shots before a clip's first serve are dropped."""
-    n = F.sum(F.col("is_serve").cast("int")).over(ORDER().rowsBetween(Window.unboundedPreceding, 0))
-    return shots.withColumn("rally_id", n - 1).filter("rally_id >= 0")
+#: Why a rally ends.
+REASONS = ("serve-fault", "double-bounce", "net-or-short", "ball-out", "ball-not-returned", "ball-off-frame", "unknown")
+#: Frames at 30 a second within which the next serve shows that a lone serve was a fault; and what a rally on a
+#: real ball has at least, in shots or in seconds.
+FAULT_FRAMES, LEAST_SHOTS, LEAST_S = 60, 3, 2.0
+
+
+def segment_rallies(shots: DataFrame, court: DataFrame | None = None) -> DataFrame:
+    """Every serve starts a rally; shots before a clip's first serve are dropped.
+
+    On clips whose ball is real (``court(clip_id, real)``) the first shot starts a rally too, since its serve may have been
+    missed, and shots between points (is_between_point) belong to none."""
+    if court is None:
+        n = F.sum(F.col("is_serve").cast("int")).over(ORDER().rowsBetween(Window.unboundedPreceding, 0))
+        return shots.withColumn("rally_id", n - 1).filter("rally_id >= 0")
+    rows = shots.join(court.select("clip_id", "real"), "clip_id").filter("not (real and coalesce(is_between_point, false))")
+    starts = F.coalesce("is_serve", F.lit(False)) | (F.col("real") & (F.row_number().over(ORDER()) == 1))
+    n = F.sum(starts.cast("int")).over(ORDER().rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("rally_id", n - 1).filter("rally_id >= 0")
 
 
 def apply_rally_ends(shots: DataFrame, ends: DataFrame, within: int = 900) -> DataFrame:
@@ -37,13 +53,53 @@ def drop_micro(rallies: DataFrame, shots: int = 3, span: int = 120) -> DataFrame
     return rallies.filter(~((F.col("n_shots") > 1) & (F.col("n_shots") < shots) & (F.col("end_frame") - F.col("start_frame") < span)))
 
 
-def rally_end_reason(rallies: DataFrame, linked: DataFrame) -> DataFrame:
-    """Reason from the bounces after a rally's last shot: how many, where the last fell."""
-    last = linked.select("clip_id", F.col("prev_shot").alias("last_shot"), "frame", "is_in", "zone")
-    b = rallies.select("clip_id", "rally_id", "last_shot").join(last, ["clip_id", "last_shot"], "left").groupBy("clip_id", "rally_id").agg(
-        F.count("frame").alias("n"), F.max_by("is_in", "frame").alias("last_in"), F.max_by("zone", "frame").alias("last_zone"))
-    reason = F.when(F.col("n") == 0, "unknown").when(F.col("n") >= 2, "double_bounce").when(~F.col("last_in"), "ball_out").when(F.col("last_zone") == "kitchen", "net_or_kitchen").otherwise("winner")
-    return b.select("clip_id", "rally_id", F.col("n").alias("bounces_after"), "last_in", reason.alias("reason"))
+def ends_of_rallies(spans: DataFrame, bounces: DataFrame) -> DataFrame:
+    """``spans`` with reason, confidence, ending_bounce_id, ending_frame and signals, by the bounces after a rally's last shot.
+
+    ``spans`` has clip_id, n_shots, last_shot, last_frame, hitter_side (of the last shot), server_side, next_start (of the
+    clip's next rally), fault_frames and real; ``bounces`` has clip_id, prev_shot, bounce_id, frame, is_in, out_side and y. The
+    first rule that fits decides; without any bounce a real ball leaves the reason unknown, since the bounce was missed rather."""
+    at = F.struct("frame", "bounce_id", "is_in", "out_side", side_of_net(F.col("y")).alias("side"), "y")
+    post = bounces.filter("prev_shot is not null").groupBy("clip_id", F.col("prev_shot").alias("last_shot")).agg(F.count("*").alias("post"), F.min(at).alias("first_"), F.max(at).alias("last_"))
+    rows = spans.join(post, ["clip_id", "last_shot"], "left").withColumn("post", F.coalesce("post", F.lit(0).cast("long")))
+    short = lambda which: F.coalesce(in_receivers_kitchen(F.col(f"{which}.y"), F.col("server_side")), F.lit(False))
+    wait, inside = F.col("next_start") - F.col("last_frame"), F.col("last_.is_in")
+    soon = F.coalesce((wait > 0) & (wait <= F.col("fault_frames")), F.lit(False))
+    lone = F.struct(F.lit(REASONS[0]).alias("reason"), F.when(~F.col("first_.is_in") | short("first_"), 0.9).when(soon, 0.7).otherwise(0.5).alias("confidence"), F.col("first_").alias("b"))
+    is_ = lambda k, sure, b=F.col("last_"): F.struct(F.lit(REASONS[k]).alias("reason"), F.lit(sure).alias("confidence"), b.alias("b"))
+    none = F.when(F.lit(False), F.col("last_"))
+    end = (F.when(F.col("n_shots") == 1, lone).when(F.col("post") >= 2, is_(1, 0.85)).when(inside & (F.col("last_.side") == F.col("hitter_side")), is_(2, 0.8)).when((F.col("post") == 1) & ~inside, is_(3, 0.85)).when(inside, is_(4, 0.75))
+           .when((F.col("post") == 0) & (wait > 0) & ~F.col("real"), is_(5, 0.5, none)).otherwise(is_(6, 0.3, none)))
+    signals = F.struct(F.col("post").alias("n_bounces_after_last_shot"), inside.alias("last_bounce_in_court"), F.col("last_.out_side").alias("last_bounce_out_side"), F.col("last_.side").alias("last_bounce_side"),
+                       F.when(F.col("last_").isNotNull(), in_receivers_kitchen(F.col("last_.y"), F.col("server_side"))).alias("last_bounce_in_kitchen"), "hitter_side", "server_side", wait.alias("frames_to_next_serve"))
+    return rows.withColumns({"end_": end, "signals": signals}).select(*spans.columns, F.col("end_.reason").alias("end_reason"), F.col("end_.confidence").alias("end_confidence"), F.col("end_.b.bounce_id").alias("ending_bounce_id"),
+                                                                      F.col("end_.b.frame").alias("ending_frame"), "signals")
+
+
+def rallies_of(shots: DataFrame, bounces: DataFrame, court: DataFrame) -> DataFrame:
+    """Rallies of classified shots: segmented, without micro rallies (real balls only), numbered, with their ends.
+
+    ``shots`` as in segment_rallies() with track_id, is_user and hitter_side; ``bounces`` as in ends_of_rallies(); ``court`` has
+    clip_id, fps and real. The end frame is that of the last shot or of the ending bounce, whichever is later; a start without a
+    serve is marked as inferred."""
+    at = F.struct("frame", "shot_id", "track_id", "is_user", "hitter_side", "is_serve")
+    groups = segment_rallies(shots, court).groupBy("clip_id", "rally_id").agg(F.min(at).alias("s"), F.max(at).alias("e"), F.count("*").alias("n_shots"), F.transform(F.sort_array(F.collect_list(F.struct("frame", "shot_id"))), lambda x: x["shot_id"]).alias("shot_ids"))
+    groups = groups.join(court.select("clip_id", "fps", "real"), "clip_id")
+    micro = F.col("real") & (F.col("n_shots") > 1) & (F.col("n_shots") < LEAST_SHOTS) & ((F.col("e.frame") - F.col("s.frame")) / F.col("fps") < LEAST_S)
+    w = CLIP().orderBy("s.frame", "rally_id")
+    spans = groups.filter(~micro).select("clip_id", (F.row_number().over(w) - 1).cast("long").alias("rally_id"), F.col("s.frame").alias("start_frame"), "n_shots", "shot_ids", F.col("s.shot_id").alias("serve_shot_id"), F.col("s.track_id").alias("server"),
+                                         F.col("s.is_user").alias("server_is_user"), (F.col("real") & ~F.coalesce("s.is_serve", F.lit(False))).alias("serve_is_inferred"), F.col("e.shot_id").alias("last_shot"), F.col("e.frame").alias("last_frame"),
+                                         F.col("e.hitter_side").alias("hitter_side"), F.col("s.hitter_side").alias("server_side"), F.lead("s.frame").over(w).alias("next_start"), F.greatest(F.lit(1), F.bround(FAULT_FRAMES * F.col("fps") / 30).cast("int")).alias("fault_frames"), "fps", "real")
+    ended = ends_of_rallies(spans, bounces).withColumn("end_frame", F.greatest("last_frame", "ending_frame"))
+    return ended.withColumn("seconds", F.round((F.col("end_frame") - F.col("start_frame")) / F.col("fps"), 3)).drop("last_frame", "ending_frame", "next_start", "fault_frames", "fps", "hitter_side", "server_side")
+
+
+def rally_counts(rallies: DataFrame, shots: DataFrame) -> DataFrame:
+    """Per clip: rallies in all and by reason, their shots and those in none, mean length and mean seconds."""
+    of = rallies.groupBy("clip_id").agg(F.count("*").alias("rallies"), *[F.count_if(F.col("end_reason") == r).alias(r.replace("-", "_")) for r in REASONS], F.sum("n_shots").alias("in_rallies"), F.round(F.avg("n_shots"), 3).alias("mean_length"), F.round(F.avg("seconds"), 3).alias("mean_seconds"))
+    counted = [c for c in of.columns if c != "clip_id"]
+    rows = shots.groupBy("clip_id").agg(F.count("*").alias("shots")).join(of, "clip_id", "left").na.fill(0, counted)
+    return rows.withColumn("unassigned", F.col("shots") - F.col("in_rallies")).drop("shots")
 
 
 def rally_rows(shots: DataFrame, fps: float = 60.0) -> DataFrame:

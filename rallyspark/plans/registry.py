@@ -236,14 +236,31 @@ _add("t9_classify_stats", lambda get: D.classify_stats(get("shots")), """SELECT
 # ---- rallies and views
 _SEG = "sg AS (SELECT * FROM (SELECT *, sum(CAST(is_serve AS INT)) OVER (PARTITION BY clip_id ORDER BY frame, shot_id ROWS UNBOUNDED PRECEDING)::BIGINT - 1 AS rally_id FROM fx_shots) WHERE rally_id >= 0)"
 _add("r1_segment_rallies", lambda get: R.segment_rallies(get("shots")).select("clip_id", "shot_id", "rally_id"), _SEG + " SELECT clip_id, shot_id, rally_id FROM sg")
+_add("r1_real_ball_rallies", lambda get: R.segment_rallies(get("played"), get("scene_court")).select("clip_id", "shot_id", "rally_id"), """s AS (SELECT p.*, real, row_number() OVER (PARTITION BY p.clip_id ORDER BY frame, shot_id) AS k FROM fx_played p JOIN fx_scene_court USING (clip_id) WHERE NOT (real AND is_between_point))
+    SELECT clip_id, shot_id, rally_id FROM (SELECT *, sum(CASE WHEN is_serve OR (real AND k = 1) THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id ORDER BY frame, shot_id)::BIGINT - 1 AS rally_id FROM s) WHERE rally_id >= 0""")
 _add("r2_apply_rally_ends", lambda get: R.apply_rally_ends(get("shots"), get("bounces").filter("court_x_ft > 15")), """e AS (SELECT clip_id, frame, NULL AS shot_id, false AS is_serve, true AS is_end FROM fx_bounces WHERE court_x_ft > 15 UNION ALL SELECT clip_id, frame, shot_id, is_serve, false FROM fx_shots),
     m AS (SELECT *, max(CASE WHEN is_end THEN frame END) OVER (PARTITION BY clip_id ORDER BY frame RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS en, max(CASE WHEN is_serve THEN frame END) OVER (PARTITION BY clip_id ORDER BY frame RANGE UNBOUNDED PRECEDING) AS sv FROM e)
     SELECT clip_id, shot_id, coalesce(frame - en <= 900 AND (sv IS NULL OR sv <= en), false) AS between_points FROM m WHERE NOT is_end""")
 _add("r3_drop_micro", lambda get: R.drop_micro(get("rallies")).select("clip_id", "rally_id", "n_shots"), "SELECT clip_id, rally_id, n_shots FROM fx_rallies WHERE NOT (n_shots > 1 AND n_shots < 3 AND end_frame - start_frame < 120)")
-_add("r4_rally_end_reason", lambda get: R.rally_end_reason(get("rallies"), D.between_shots(get("bounces"), get("shots")).join(D.bounce_rows(get("bounces")), ["clip_id", "bounce_id"])), _LINKED + ", " + _BROWS + """,
-    b AS (SELECT r.clip_id, r.rally_id, count(j.frame) AS n, arg_max(is_in, j.frame) AS last_in, arg_max(zone, j.frame) AS last_zone FROM fx_rallies r LEFT JOIN (SELECT lk.*, is_in, zone FROM lk JOIN br USING (clip_id, bounce_id)) j
-      ON j.clip_id = r.clip_id AND j.prev_shot = r.last_shot GROUP BY ALL)
-    SELECT clip_id, rally_id, n AS bounces_after, last_in, CASE WHEN n = 0 THEN 'unknown' WHEN n >= 2 THEN 'double_bounce' WHEN NOT last_in THEN 'ball_out' WHEN last_zone = 'kitchen' THEN 'net_or_kitchen' ELSE 'winner' END AS reason FROM b""")
+_PLAYED = lambda get: (get("played"), D.between_shots(get("bounces"), get("played")).join(D.bounce_rows(get("bounces")).select("clip_id", "bounce_id", "is_in", "out_side"), ["clip_id", "bounce_id"]).join(get("bounces").select("clip_id", "bounce_id", F.col("court_y_ft").alias("y")), ["clip_id", "bounce_id"]), get("scene_court"))
+_RALLIES = _LINKED.replace("FROM fx_shots)", "FROM fx_played)") + ", " + _BROWS + """,
+    ps AS (SELECT p.*, fps, real, row_number() OVER (PARTITION BY p.clip_id ORDER BY frame, shot_id) AS k FROM fx_played p JOIN fx_scene_court USING (clip_id) WHERE NOT (real AND is_between_point)),
+    pg AS (SELECT *, sum(CASE WHEN is_serve OR (real AND k = 1) THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id ORDER BY frame, shot_id)::BIGINT - 1 AS g FROM ps),
+    pr_ AS (SELECT clip_id, g, any_value(fps) AS fps, any_value(real) AS real, count(*) AS n_shots, min(frame) AS start_frame, max(frame) AS last_frame, list(shot_id ORDER BY frame, shot_id) AS shot_ids, first(struct_pack(i := shot_id, t := track_id, u := is_user, h := hitter_side, s := is_serve) ORDER BY frame, shot_id) AS a,
+      last(struct_pack(i := shot_id, h := hitter_side) ORDER BY frame, shot_id) AS z FROM pg WHERE g >= 0 GROUP BY clip_id, g),
+    pn AS (SELECT *, row_number() OVER w - 1 AS rally_id, lead(start_frame) OVER w - last_frame AS wait FROM pr_ WHERE NOT (real AND n_shots = 2 AND (last_frame - start_frame) / fps < 2) WINDOW w AS (PARTITION BY clip_id ORDER BY start_frame, g)),
+    pb AS (SELECT pn.clip_id, rally_id, count(j.bounce_id) AS post, arg_min(struct_pack(b := j.bounce_id, f := j.frame, i := is_in, y := court_y_ft), j.frame) AS f, arg_max(struct_pack(b := j.bounce_id, f := j.frame, i := is_in, o := out_side, y := court_y_ft, s := side), j.frame) AS l
+      FROM pn LEFT JOIN (SELECT lk.*, is_in, out_side, side, court_y_ft FROM lk JOIN br USING (clip_id, bounce_id) JOIN fx_bounces USING (clip_id, bounce_id)) j ON j.clip_id = pn.clip_id AND j.prev_shot = z.i GROUP BY pn.clip_id, rally_id),
+    pe AS (SELECT pn.*, post, f, l, CASE WHEN n_shots = 1 THEN 'serve-fault' WHEN post >= 2 THEN 'double-bounce' WHEN l.i AND l.s = z.h THEN 'net-or-short' WHEN post = 1 AND NOT l.i THEN 'ball-out' WHEN l.i THEN 'ball-not-returned' WHEN post = 0 AND wait > 0 AND NOT real THEN 'ball-off-frame' ELSE 'unknown' END AS end_reason,
+      CASE WHEN f.y IS NULL THEN false WHEN a.h = 'near' THEN f.y BETWEEN 22 AND 29 ELSE f.y BETWEEN 15 AND 22 END AS short FROM pn JOIN pb USING (clip_id, rally_id)),
+    pf AS (SELECT *, CAST(CASE end_reason WHEN 'serve-fault' THEN CASE WHEN NOT f.i OR short THEN 0.9 WHEN wait > 0 AND wait <= 2 * fps THEN 0.7 ELSE 0.5 END WHEN 'double-bounce' THEN 0.85 WHEN 'net-or-short' THEN 0.8 WHEN 'ball-out' THEN 0.85 WHEN 'ball-not-returned' THEN 0.75 WHEN 'ball-off-frame' THEN 0.5 ELSE 0.3 END AS DOUBLE) AS end_confidence,
+      CASE WHEN end_reason = 'serve-fault' THEN f.b WHEN end_reason IN ('ball-off-frame', 'unknown') THEN NULL ELSE l.b END AS ending_bounce_id, greatest(last_frame, CASE WHEN end_reason = 'serve-fault' THEN f.f WHEN end_reason IN ('ball-off-frame', 'unknown') THEN NULL ELSE l.f END) AS end_frame FROM pe)"""
+_add("r4_rally_end_reason", lambda get: R.rallies_of(*_PLAYED(get)).select("clip_id", "rally_id", "end_reason", "end_confidence", "ending_bounce_id", "signals.*"), _RALLIES + """ SELECT clip_id, rally_id, end_reason, end_confidence, ending_bounce_id, post AS n_bounces_after_last_shot, l.i AS last_bounce_in_court, l.o AS last_bounce_out_side, l.s AS last_bounce_side,
+    CASE WHEN l.y IS NULL THEN NULL WHEN a.h = 'near' THEN l.y BETWEEN 22 AND 29 ELSE l.y BETWEEN 15 AND 22 END AS last_bounce_in_kitchen, z.h AS hitter_side, a.h AS server_side, wait AS frames_to_next_serve FROM pf""")
+_add("r5_whole_rallies", lambda get: R.rallies_of(*_PLAYED(get)).drop("signals", "real"), _RALLIES + """ SELECT clip_id, rally_id, start_frame, end_frame, round((end_frame - start_frame) / fps, 3) AS seconds, n_shots, shot_ids, a.i AS serve_shot_id, a.t AS server, a.u AS server_is_user, real AND NOT a.s AS serve_is_inferred, z.i AS last_shot,
+    end_reason, end_confidence, ending_bounce_id FROM pf""")
+_add("r6_rally_counts", lambda get: R.rally_counts(R.rallies_of(*_PLAYED(get)), get("played")), _RALLIES + ", c AS (SELECT clip_id, count(*) AS rallies, " + ", ".join(f"count_if(end_reason = '{r}') AS {r.replace('-', '_')}" for r in R.REASONS) + """, CAST(sum(n_shots) AS BIGINT) AS in_rallies, round(avg(n_shots), 3) AS mean_length,
+    round(avg(round((end_frame - start_frame) / fps, 3)), 3) AS mean_seconds FROM pf GROUP BY clip_id) SELECT c.*, n - in_rallies AS unassigned FROM c JOIN (SELECT clip_id, count(*) AS n FROM fx_played GROUP BY clip_id) USING (clip_id)""")
 _add("r5_rally_rows", lambda get: R.rally_rows(R.segment_rallies(get("shots"))), _SEG + """ SELECT clip_id, rally_id, min(frame) AS start_frame, max(frame) AS end_frame, (max(frame) - min(frame)) / 60 AS seconds, list(shot_id ORDER BY frame, shot_id) AS shot_ids,
     first(track_id ORDER BY frame, shot_id) AS server, bool_or(is_serve) AS served FROM sg GROUP BY clip_id, rally_id""")
 _add("r6_rally_stats", lambda get: R.rally_stats(get("rallies")), "SELECT clip_id, end_reason, count(*) AS rallies, sum(n_shots)::BIGINT AS shots, avg(n_shots) AS mean_length, avg(end_frame - start_frame) AS mean_frames FROM fx_rallies GROUP BY clip_id, end_reason")

@@ -76,6 +76,9 @@ FIXTURES = {
     "fx_labels": """
         SELECT clip_id, frame, visible AS ball_visible, CASE WHEN visible THEN pixel_x + frame % 30 END AS label_x, CASE WHEN visible THEN pixel_y + frame % 17 END AS label_y
         FROM fx_ball WHERE frame % 4 = 0""",
+    # Shots with balls between points and some serves that were missed.
+    "fx_played": "SELECT clip_id, shot_id, seq, frame, track_id, track_id < 3 AS is_user, hitter_side, shot_type, is_volley, stroke_side, confidence, pk, is_serve AND pk % 7 <> 2 AS is_serve, NOT is_serve AND pk % 11 = 0 AS is_between_point FROM fx_shots",
+    "fx_scene_court": "SELECT *, clip_id % 4 <> 0 AS real FROM fx_court",
     # Four players per frame who run after the ball, two on either side of the net; and three candidates per frame for the ball.
     "fx_chasers": """
         SELECT clip_id, frame, k AS track_id, k = 0 AS is_user, k = 3 AND frame % 9 = 0 AS transient, CAST(px - 20 AS DOUBLE) AS bbox_x1, CAST(py - 40 AS DOUBLE) AS bbox_y1, CAST(px + 20 AS DOUBLE) AS bbox_x2, CAST(py + 50 AS DOUBLE) AS bbox_y2,
@@ -140,4 +143,5 @@ def with_fixtures(body: str) -> str:
             needed(name, parts)
     head = ", ".join(f"{p} AS ({FIXTURES[p]})" for p in parts)
     body = body.strip()
-    return f"WITH RECURSIVE {head}{', ' + body if re.match(r'\w+ AS [(]', body) else ' ' + body}"
+    recursive = "RECURSIVE " * bool(re.search(r"\b\w+\([\w, ]+\) AS \(", body))  # a CTE with a list of columns refers to itself
+    return f"WITH {recursive}{head}{', ' + body if re.match(r'\w+ AS [(]', body) else ' ' + body}"

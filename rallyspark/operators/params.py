@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Pixels at 1920 pixels of width, frames at 30 frames a second, and seconds.
 PIXELS = {"assoc_max_px": 120.0, "assoc_min_px": 30.0, "min_ball_speed": 1.5, "max_ball_speed": 400.0, "excursion_px": 600.0, "teleport_px": 40.0, "latch_px": 75.0,
-          "bounce_prominence_px": 9.0, "flip_px": 2.0, "rebound_px": 20.0, "descent_px": 14.0}
+          "bounce_prominence_px": 9.0, "flip_px": 2.0, "flip_floor": 0.3, "rebound_px": 20.0, "descent_px": 14.0}
 FRAMES = {"impact_window": 6, "velocity_window": 3, "exclusion_window": 3, "arc_frames": 45, "after_frames": 15}
 SECONDS = {"serve_gap": 0.7, "rally_gap": 6.0, "handling_reset": 3.0, "handling_spread": 8.0, "latch_window": 1.0, "serve_dedup": 2.0, "open_gap": 3.0, "return_frames": 2.5,
            "dead_gap": 3.0, "inter_serve": 10.0, "grounded_window": 1.0}

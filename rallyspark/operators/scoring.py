@@ -140,30 +140,40 @@ def rally_ends(shots: DataFrame, ball: DataFrame, bounces: DataFrame, fps: float
     """Ends of rallies: (clip_id, frame, reason, by_shot, hitter_side).
 
     For each shot, in the six seconds after it: the net, where the ball first is dead for half a second (65 % of samples at
-    most 1 ft high and 8 ft from the net, within 6 ft) before the next shot and half a second; else out, if the next bounce
-    lies over 1 ft outside; else not returned, if no shot follows that bounce for 2 seconds. Ends that aren't at the net need
+    most 1 ft high and 8 ft from the net, within 6 ft; all within the six seconds) before the next shot and half a second; else
+    out, if the next bounce lies over 1 ft outside, by the nearest sample; else not returned, if no shot follows that bounce for
+    2 seconds. Ends that aren't at the net need
     shots from both sides since the last serve; of ends less than 2 seconds apart the first stays. ``ball(clip_id, frame,
     x, y, z)`` in feet, a row per reconstructed frame; ``bounces(clip_id, frame)``."""
     look, half, pause = int(6 * fps), int(0.5 * fps), int(2 * fps)
     ahead = Window.partitionBy("clip_id").orderBy("frame").rangeBetween(0, half)
     low = ((F.col("z") <= 1) & (F.abs(F.col("y") - 22) <= 8)).cast("int")
     travel = F.greatest(F.max("x").over(ahead) - F.min("x").over(ahead), F.max("y").over(ahead) - F.min("y").over(ahead))
-    dead = (F.avg(low).over(ahead) >= 0.65) & (travel <= 6) & (F.col("frame") + half <= F.max("frame").over(Window.partitionBy("clip_id")))
+    dead = (F.avg(low).over(ahead) >= 0.65) & (travel <= 6)
     order = Window.partitionBy("clip_id").orderBy("frame", "shot_id")
     back = Window.partitionBy("clip_id").orderBy(F.desc("frame")).rangeBetween(Window.unboundedPreceding, -1)
+    # Samples, bounces and the ends of looks in one order of frames: bounces take the place of the nearest sample (of two the
+    # earlier one), looks the frame of their last sample.
+    marks = bounces.select("clip_id", F.col("frame").cast("long").alias("frame"), F.lit("bounce").alias("what")).distinct().unionByName(
+        shots.select("clip_id", (F.col("frame") + look).cast("long").alias("frame"), F.lit("look").alias("what")).distinct())
+    sample = F.when(F.col("what") == "sample", F.struct("frame", "x", "y"))
+    laid = ball.select("clip_id", F.col("frame").cast("long").alias("frame"), F.lit("sample").alias("what"), "x", "y").unionByName(marks, allowMissingColumns=True)
+    by = Window.partitionBy("clip_id")
+    laid = laid.withColumns({"p": F.max(sample).over(by.orderBy("frame").rangeBetween(Window.unboundedPreceding, 0)), "n": F.min(sample).over(by.orderBy(F.desc("frame")).rangeBetween(Window.unboundedPreceding, 0))}).filter("what <> 'sample'")
+    later = F.col("p").isNull() | F.coalesce(F.col("n.frame") - F.col("frame") < F.col("frame") - F.col("p.frame"), F.lit(False))
+    near = laid.filter("what = 'bounce'").withColumn("s", F.when(later, F.col("n")).otherwise(F.col("p"))).filter("s is not null")
+    ends_of_looks = laid.filter("what = 'look'").select("clip_id", (F.col("frame") - look).alias("frame"), F.col("p.frame").alias("last_sample"))
     # Shots, dead balls and bounces in one order of frames: each shot takes the first of either after it.
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     hits = shots.select("clip_id", F.col("frame").cast("long").alias("frame"), F.lit("shot").alias("what"), F.col("shot_id").cast("long").alias("shot_id"), "hitter_side", "is_serve", none("double", "x"), none("double", "y"), F.lead("frame").over(order).cast("long").alias("next_shot"))
+    hits = hits.join(ends_of_looks, ["clip_id", "frame"])
     rest = [F.lit(None).cast("long").alias("shot_id"), none("string", "hitter_side"), none("boolean", "is_serve")]
-    deads = ball.withColumn("dead", dead).filter("dead").select("clip_id", F.col("frame").cast("long").alias("frame"), F.lit("dead").alias("what"), *rest, "x", "y", none("long", "next_shot"))
-    # Of the samples nearest to a bounce the earlier one counts.
-    near = bounces.select("clip_id", F.col("frame").alias("at")).distinct().withColumn("frame", F.explode(F.expr(f"sequence(at - {half}, at + {half})"))).join(ball, ["clip_id", "frame"])
-    placed = near.groupBy("clip_id", "at").agg(F.min(F.struct(F.abs(F.col("frame") - F.col("at")).alias("d"), "frame", "x", "y")).alias("s"))
-    lands = placed.select("clip_id", F.col("at").cast("long").alias("frame"), F.lit("bounce").alias("what"), *rest, "s.x", "s.y", none("long", "next_shot"))
+    deads = ball.withColumn("dead", dead).filter("dead").select("clip_id", F.col("frame").cast("long").alias("frame"), F.lit("dead").alias("what"), *rest, "x", "y", none("long", "next_shot"), none("long", "last_sample"))
+    lands = near.select("clip_id", "frame", F.lit("bounce").alias("what"), *rest, "s.x", "s.y", none("long", "next_shot"), none("long", "last_sample"))
     events = hits.unionByName(deads).unionByName(lands)
     after = lambda what: F.min(F.when(F.col("what") == what, F.struct("frame", "x", "y"))).over(back)
     rows = events.withColumn("dead", after("dead")).withColumn("bounce", after("bounce")).filter("what = 'shot'")
-    net = F.coalesce((F.col("dead.frame") <= F.col("frame") + look) & (F.col("dead.frame") < F.coalesce("next_shot", F.lit(1 << 60)) + half), F.lit(False))
+    net = F.coalesce((F.col("dead.frame") + half <= F.col("last_sample")) & (F.col("dead.frame") < F.coalesce("next_shot", F.lit(1 << 60)) + half), F.lit(False))
     reached = F.coalesce(F.col("bounce.frame") <= F.col("frame") + look, F.lit(False))
     out = ~(F.col("bounce.x").between(-1, 21) & F.col("bounce.y").between(-1, 45))
     reason = F.when(net, "net").when(reached & out, "out").when(reached & (F.coalesce("next_shot", F.lit(1 << 60)) - F.col("bounce.frame") >= pause), "not-returned")

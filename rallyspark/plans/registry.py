@@ -14,7 +14,7 @@ from ..operators import rallies as R
 from ..operators import shots as D
 from ..operators import tracks as P
 from ..sources.adapters import fixture, with_fixtures
-from . import chain_plans, contact_plans, court_plans, review_plans, role_plans
+from . import bounce_plans, chain_plans, contact_plans, court_plans, review_plans, role_plans
 
 _Q: dict = {}
 _S: dict[str, str] = {}
@@ -360,6 +360,7 @@ def _raw(name: str, run, sql: str) -> None:
 chain_plans.register(_add, _raw)
 role_plans.register(_add)
 court_plans.register(_add)
+bounce_plans.register(_add)
 
 
 def flagship(spark, sf_dir: str):

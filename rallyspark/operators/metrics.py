@@ -66,9 +66,17 @@ def confidence_envelope(values: DataFrame, value: str, conf: str, n: str) -> Dat
 
 
 def in_rally(frames: DataFrame, rallies: DataFrame) -> DataFrame:
-    """Rows inside a rally with the first rally that holds their frame."""
-    spans = rallies.select("clip_id", "rally_id", F.explode(F.sequence("start_frame", "end_frame")).alias("frame")).groupBy("clip_id", "frame").agg(F.min("rally_id").alias("rally_id"))
-    return frames.join(spans, ["clip_id", "frame"])
+    """Rows inside a rally with the first rally that holds their frame. Rallies are numbered in the order of their starts.
+
+    Rallies are cut where an earlier one is still on; then their starts and the rows stand in one order of frames, and each row
+    takes the last start. Nothing is made per frame of a rally."""
+    earlier = Window.partitionBy("clip_id").orderBy("rally_id").rowsBetween(Window.unboundedPreceding, -1)
+    spans = rallies.select("clip_id", "rally_id", "end_frame", F.greatest(F.col("start_frame"), F.max("end_frame").over(earlier) + 1).alias("from")).filter(F.col("from") <= F.col("end_frame"))
+    marks = spans.select("clip_id", F.col("from").alias("at"), F.lit(0).alias("kind"), F.struct("rally_id", "end_frame").alias("rally"))
+    rows = frames.select("clip_id", F.col("frame").alias("at"), F.lit(1).alias("kind"), F.struct(*[c for c in frames.columns if c != "clip_id"]).alias("row"))
+    last = F.last("rally", ignorenulls=True).over(Window.partitionBy("clip_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    both = marks.unionByName(rows, allowMissingColumns=True).withColumn("rally", last).filter("kind = 1 and at <= rally.end_frame")
+    return both.select("clip_id", "row.*", F.col("rally.rally_id").alias("rally_id"))
 
 
 def role_positions(players: DataFrame, roles: DataFrame) -> DataFrame:

@@ -105,3 +105,44 @@ def detection_confusion(ball: DataFrame, labels: DataFrame, conf: float = 0.5, p
     near = F.coalesce(F.hypot(F.col("pixel_x") - F.col("label_x"), F.col("pixel_y") - F.col("label_y")) <= px, F.lit(False))
     seen = F.col("ball_visible")
     return j.groupBy("clip_id").agg(F.count_if(seen & said & near).alias("tp"), F.count_if(seen & ~(said & near)).alias("fn"), F.count_if(~seen & said).alias("fp"), F.count_if(~seen & ~said).alias("tn"))
+
+
+#: Steps in pixels of a picture 1280 wide between which a ball flies; steps that motion is judged by, and its least share.
+FLY_PX, MOST_PX, LEAST_STEPS, LEAST_MOVING = 2.0, 55.0, 20, 0.20
+
+
+def motion_signals(ball: DataFrame, court: DataFrame, least: float = 0.30) -> DataFrame:
+    """Steps of sure detections on neighbouring frames, per clip: how many, their median, the share that moves at all, and the
+    share that moves like a ball. Clips without steps have null shares."""
+    sure = ball.filter(F.coalesce(F.col("visible") & (F.col("confidence") >= least), F.lit(False))).join(court.select("clip_id", (1280 / F.col("frame_width")).alias("scale")), "clip_id")
+    w = Window.partitionBy("clip_id").orderBy("frame")
+    step = F.when(F.col("frame") - F.lag("frame").over(w) == 1, F.hypot(F.col("pixel_x") - F.lag("pixel_x").over(w), F.col("pixel_y") - F.lag("pixel_y").over(w)) * F.col("scale"))
+    rows = sure.withColumn("step", step)
+    return rows.groupBy("clip_id").agg(F.count("step").alias("n_steps"), F.percentile("step", F.lit(0.5)).alias("median_step"), F.avg((F.col("step") >= FLY_PX).cast("int")).alias("moving_share"),
+                                       F.avg(F.col("step").between(FLY_PX, MOST_PX).cast("int")).alias("continuity"))
+
+
+def venue_verdicts(signals: DataFrame, known: DataFrame, most: int = 1000) -> DataFrame:
+    """Whether a clip's venue can be analysed, why not, and the known clip it is most like: clip_id, verdict, reason, nearest,
+    nearest_recall.
+
+    ``signals(clip_id, p90_conf, det_rate, moving_share, n_steps)``; ``known(clip_id, p90_conf, det_rate, recall)`` are the clips
+    that the bars were fitted on, ``most`` at most, since each clip looks at all of them. Missing signals give ``unknown``.
+    Motion only counts where it could be measured. Of equally near clips the smallest number is taken."""
+    if known.count() > most:
+        raise ValueError(f"more than {most} known clips")
+    table = known.filter("p90_conf is not null and det_rate is not null").agg(F.collect_list(F.struct("p90_conf", "det_rate", "clip_id", "recall")).alias("known"))
+    parked = (F.col("n_steps") >= LEAST_STEPS) & (F.col("moving_share") < LEAST_MOVING)
+    missing = F.col("p90_conf").isNull() | F.col("det_rate").isNull()
+    reason = F.when(missing, "signals missing").when(F.col("p90_conf") < 0.470, "faint").when(F.col("det_rate") < 0.182, "rare").when(parked, "parked").otherwise("ok")
+    near = F.array_min(F.transform("known", lambda k: F.struct((F.abs(k["p90_conf"] - F.col("p90_conf")) + F.abs(k["det_rate"] - F.col("det_rate"))).alias("d"), k["clip_id"].alias("clip_id"), k["recall"].alias("recall"))))
+    rows = signals.crossJoin(F.broadcast(table)).withColumns({"reason": reason, "near": F.when(~missing, near)})  # one row of at most ``most`` entries
+    verdict = F.when(missing, "unknown").when(F.col("reason") == "ok", "ok").otherwise("not_supported")
+    return rows.select("clip_id", verdict.alias("verdict"), "reason", F.col("near.clip_id").alias("nearest"), F.col("near.recall").alias("nearest_recall"))
+
+
+def sample_labels(labels: DataFrame, n: int = 110, seed: int = 0) -> DataFrame:
+    """``n`` visible labels of each clip, those with the smallest hashes of seed, clip and frame: reruns agree."""
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("clip_id").cast("string"), F.col("frame").cast("string")).cast("binary"))
+    seen = labels.filter("ball_visible and label_x is not null and label_y is not null").withColumn("draw", draw)
+    return seen.withColumn("place", F.row_number().over(Window.partitionBy("clip_id").orderBy("draw", "frame"))).filter(F.col("place") <= n).drop("draw", "place")

@@ -14,7 +14,7 @@ from ..operators import rallies as R
 from ..operators import shots as D
 from ..operators import tracks as P
 from ..sources.adapters import fixture, with_fixtures
-from . import bounce_plans, chain_plans, contact_plans, court_plans, review_plans, role_plans, union_plans
+from . import bounce_plans, chain_plans, contact_plans, court_plans, report_plans, review_plans, role_plans, union_plans
 
 _Q: dict = {}
 _S: dict[str, str] = {}
@@ -362,6 +362,7 @@ role_plans.register(_add)
 court_plans.register(_add)
 bounce_plans.register(_add)
 union_plans.register(_add)
+report_plans.register(_add, _PLAYED, _RALLIES)
 
 
 def flagship(spark, sf_dir: str):

@@ -7,7 +7,7 @@ nodes and all totals.
 
 A level is one shuffle, added up before it, so hot prefixes meet as one row per task. Deep levels hold ever fewer rows, and most
 belong to small families: a prefix of 1, 2, 4, 8 ... turns (or none) under which at most ``FAMILY`` turns lie is peeled
-within one task, all levels at once, and goes on as one surviving node. Levels of the whole table are left only above the
+within one task, all levels at once and many families together, and goes on as one surviving node. Levels of the whole table are left only above the
 families, where more than ``FAMILY`` turns share a prefix; their number grows with the length of what so many share, not with
 that of the longest conversation. Equal conversations are merged first; their ids are hashed as a sorted stream.
 
@@ -104,27 +104,32 @@ def families(paths: DataFrame, family: int) -> DataFrame:
 
 
 def peel(rows: pd.DataFrame) -> pd.DataFrame:
-    """All nodes of a family from its prefixes ``rows``, those of its topmost depth included."""
-    kept, levels = {}, {d: part for d, part in rows.groupby("depth")}
-    top, done = min(levels), []
-    for depth in range(max(levels), top - 1, -1):
-        here = {}
-        for r in levels[depth].itertuples():
-            if r.node not in here:
-                here[r.node] = {"node": r.node, "parent": r.parent, "depth": depth, "chars": r.chars, "conv_id": None, "n_convs": 0, "n_children": 0, "n_leaves": 0, "saved": 0, "ends_sha256": EMPTY}
-            if r.ends:  # newly ended conversations
-                here[r.node] |= {"conv_id": r.conv_id, "n_convs": r.n, "ends_sha256": r.ends_sha256}
-        for child in kept.values():  # survivors whose last turn is stripped
-            node = here[child["parent"]]
-            node["conv_id"] = child["conv_id"] if node["conv_id"] is None else min(node["conv_id"], child["conv_id"])
-            for name, more in (("n_convs", child["n_convs"]), ("n_children", 1), ("n_leaves", child["n_leaves"]), ("saved", child["saved"])):
-                node[name] += more
-        for node in here.values():
-            node["n_leaves"] = node["n_leaves"] or 1
-            node["saved"] += (node["n_convs"] - 1) * node["chars"]
-        done += here.values()
+    """All nodes of the families in ``rows`` (their prefixes from the depth ``cut`` on); is_top marks those of that depth.
+
+    Families have no prefix in common, so many are peeled at once, each as far as it goes."""
+    levels: dict[int, list] = {}
+    for r in zip(*(rows[c].tolist() for c in ("depth", "node", "parent", "chars", "cut", "ends", "conv_id", "n", "ends_sha256"))):
+        levels.setdefault(r[0], []).append(r)
+    done, kept = [], {}
+    for depth in sorted(levels, reverse=True):
+        here: dict[bytes, list] = {}  # node: [parent, chars, cut, conv_id, n_convs, n_children, n_leaves, saved, ends_sha256]
+        for _, node, parent, chars, cut, ends, conv, n, sha in levels[depth]:
+            now = here.setdefault(node, [parent, chars, cut, None, 0, 0, 0, 0, EMPTY])
+            if ends:  # newly ended conversations
+                now[3], now[4], now[8] = conv, n, sha
+        for parent, _, cut, conv, n_convs, _, n_leaves, saved, _ in kept.values():
+            if cut > depth:  # a family's top goes on elsewhere
+                continue
+            now = here[parent]  # a survivor whose last turn is stripped
+            now[3] = conv if now[3] is None else min(now[3], conv)
+            for k, more in ((4, n_convs), (5, 1), (6, n_leaves), (7, saved)):
+                now[k] += more
+        for node, now in here.items():
+            now[6] = now[6] or 1
+            now[7] += (now[4] - 1) * now[1]
+            done.append((node, now[0], depth, now[1], *now[3:], depth == now[2]))
         kept = here
-    return pd.DataFrame(done, columns=[c.split()[0] for c in NODE.split(", ")])
+    return pd.DataFrame(done, columns=[c.split()[0] for c in (NODE + ", is_top boolean").split(", ")])
 
 
 def peel_level(ends: DataFrame, children: DataFrame | None, depth: int) -> DataFrame:
@@ -153,7 +158,8 @@ def trie(rows: DataFrame, family: int = FAMILY) -> DataFrame:
     paths = materialize(paths.join(families(paths, family), "conv_id", "left"))
     own = paths.filter("depth >= cut").join(paths.filter("depth = cut").select("conv_id", F.col("node").alias("top")), "conv_id")
     columns = ["node", "parent", "depth", "chars", "conv_id", "ends", "n", "ends_sha256"]
-    local = materialize(own.select("top", "cut", *columns).groupBy("top", "cut").applyInPandas(lambda key, rows: peel(rows).assign(is_top=lambda x: x["depth"] == key[1]), NODE + ", is_top boolean"))
+    buckets = max(1, -(-paths.count() // family))  # families are peeled in batches of about so many turns
+    local = materialize(own.select(F.pmod(F.xxhash64("top"), F.lit(buckets)).alias("bucket"), "cut", *columns).groupBy("bucket").applyInPandas(peel, NODE + ", is_top boolean"))
     survivors = local.filter("is_top").drop("is_top")
     above = paths.filter("cut is null or depth < cut").select(*columns)
     top = above.agg(F.max("depth")).first()[0]

@@ -185,8 +185,9 @@ def drop_ground_balls(shots: DataFrame, at: DataFrame, court: DataFrame, most: f
     return shots.join(share.filter((F.col("n") >= 6) & (F.col("share") >= most)), ["clip_id", "frame"], "left_anti")
 
 
-def point_structure(shots: DataFrame, params: DataFrame) -> DataFrame:
-    """Serves by the structure of points, and shots after a point's end before the next serve (is_between_point)."""
+def point_marks(shots: DataFrame, params: DataFrame) -> DataFrame:
+    """``shots`` with what points are made of: returned (the other side plays it in time; null where the side is unknown),
+    candidate (from behind the baseline after a pause: it may be a serve) and is_end (nobody returns it, and a pause follows)."""
     w = Window.partitionBy("clip_id").orderBy("frame")
     back = Window.partitionBy("clip_id").orderBy(F.desc("frame")).rangeBetween(Window.unboundedPreceding, -1)
     nxt = lambda side: F.min(F.when(F.col("hitter_side") == side, F.col("frame"))).over(back)
@@ -195,7 +196,13 @@ def point_structure(shots: DataFrame, params: DataFrame) -> DataFrame:
     rows = shots.join(p, "clip_id").withColumns({"next_near": nxt("near"), "next_far": nxt("far"), "gap_before": F.col("frame") - F.lag("frame").over(w), "gap_after": F.lead("frame").over(w) - F.col("frame")}).withColumns({
         "returned": F.when(F.col("hitter_side").isNotNull(), F.coalesce(other - F.col("frame") <= F.col("return_frames"), F.lit(False))),
         "candidate": (F.abs(F.coalesce("hitter_y", F.lit(22.0)) - 22) >= 21) & F.coalesce(F.col("gap_before") >= F.col("open_gap"), F.lit(True))})
-    rows = rows.withColumn("is_end", ~F.col("candidate") & F.coalesce(~F.col("returned"), F.lit(False)) & F.coalesce(F.col("gap_after") >= F.col("dead_gap"), F.lit(True)))
+    return rows.withColumn("is_end", ~F.col("candidate") & F.coalesce(~F.col("returned"), F.lit(False)) & F.coalesce(F.col("gap_after") >= F.col("dead_gap"), F.lit(True)))
+
+
+def point_structure(shots: DataFrame, params: DataFrame) -> DataFrame:
+    """Serves by the structure of points, and shots after a point's end before the next serve (is_between_point)."""
+    w = Window.partitionBy("clip_id").orderBy("frame")
+    rows = point_marks(shots, params)
     serves = accept_serves(rows.filter("real").select("clip_id", "frame", "candidate", "is_end", "returned", "inter_serve"))
     marked = rows.join(serves.select("clip_id", "frame", F.lit(True).alias("accepted")), ["clip_id", "frame"], "left")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)

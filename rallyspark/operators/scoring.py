@@ -118,6 +118,12 @@ def type_report(shots: DataFrame, labels: DataFrame) -> DataFrame:
     return sums.select("clip_id", "type", "n", "n_said", "right", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
 
 
+def type_confusion(shots: DataFrame, labels: DataFrame) -> DataFrame:
+    """How often each labelled type was said to be what, per clip: clip_id, truth, said, n. Labels that are no shots are counted by
+    type_accuracy(), so that false detections don't hide among wrong types."""
+    return typed_labels(shots, labels).filter("is_shot").groupBy("clip_id", "truth", "said").agg(F.count("*").alias("n"))
+
+
 def type_accuracy(shots: DataFrame, labels: DataFrame) -> DataFrame:
     """Per clip: labelled shots and non-shots, accuracy of types and of volley flags, non-shots that were detected."""
     rows = typed_labels(shots, labels)
@@ -136,6 +142,16 @@ def rally_report(rallies: DataFrame, truth: DataFrame, within: int = 6) -> DataF
         "clip_id", "n_truth", "found", (F.col("found") / F.col("n_truth")).alias("recovery"), F.try_divide("same_reason", "found").alias("reason_accuracy"))
 
 
+def bounce_report(bounces: DataFrame, truth: DataFrame, within: int = 6) -> DataFrame:
+    """Per clip: true bounces that are found (in truth order, the first unused detected one within reach), recall and precision,
+    and the share of those with the same call. Both are (clip_id, id, frame, is_in); an unknown call agrees with none."""
+    pairs = first_unused(truth.select("clip_id", "frame", F.col("id").alias("truth_id")), bounces.select("clip_id", "frame", F.col("id").alias("got_id")), within)
+    called = pairs.join(truth.select("clip_id", F.col("id").alias("truth_id"), F.col("is_in").alias("true_in")), ["clip_id", "truth_id"]).join(bounces.select("clip_id", F.col("id").alias("got_id"), F.col("is_in").alias("got_in")), ["clip_id", "got_id"])
+    hits = called.groupBy("clip_id").agg(F.count("*").alias("hits"), F.count_if(F.col("true_in") == F.col("got_in")).alias("same_call"))
+    n = truth.groupBy("clip_id").agg(F.count("*").alias("n_truth")).join(bounces.groupBy("clip_id").agg(F.count("*").alias("n_found")), "clip_id", "full").join(hits, "clip_id", "left").na.fill(0)
+    return n.select("clip_id", "n_truth", "n_found", "hits", F.try_divide("hits", "n_truth").alias("recall"), F.try_divide("hits", "n_found").alias("precision"), F.try_divide("same_call", "hits").alias("call_share"))
+
+
 def rally_ends(shots: DataFrame, ball: DataFrame, bounces: DataFrame, fps: float = 60.0) -> DataFrame:
     """Ends of rallies: (clip_id, frame, reason, by_shot, hitter_side).
 

@@ -50,16 +50,6 @@ def same_side_runs(shots: DataFrame, gap: int = 180, long_run: int = 480) -> Dat
     return spans.withColumn("place", F.row_number().over(order)).filter("place = 1").select("clip_id", "shot_id", "frame", "run", "span")
 
 
-def point_gaps(shots: DataFrame, returned: int = 150, gap: int = 180) -> DataFrame:
-    """Whether a shot is returned by the other side in time, whether it could be a serve, whether it could end a point."""
-    w = CLIP().orderBy("frame", "shot_id")
-    nxt, ahead = F.lead("hitter_side").over(w), F.lead("frame").over(w) - F.col("frame")
-    back = (nxt != F.col("hitter_side")) & (ahead <= returned)
-    before = F.col("frame") - F.lag("frame").over(w)
-    return shots.select("clip_id", "shot_id", F.coalesce(back, F.lit(False)).alias("returned"), (F.coalesce(before >= gap, F.lit(True))).alias("serve_candidate"),
-                        (~F.coalesce(back, F.lit(False)) & F.coalesce(ahead >= gap, F.lit(True))).alias("point_end"))
-
-
 # ---- bounces
 
 def bounce_candidates(ball: DataFrame, window: int = 4, prominence: float = 30.0) -> DataFrame:

@@ -113,10 +113,18 @@ def register(add, raw) -> None:
     add("e21_type_report", lambda get: S.type_report(get("shots"), sheet(get)), tl + """, x AS (SELECT clip_id, truth AS type, 1 AS t, 0 AS p, CAST(truth = said AS INT) AS ok FROM tl WHERE is_shot UNION ALL SELECT clip_id, said AS type, 0 AS t, 1 AS p, 0 AS ok FROM tl WHERE is_shot),
     g AS (SELECT clip_id, type, CAST(sum(t) AS BIGINT) AS n, CAST(sum(p) AS BIGINT) AS n_said, CAST(sum(ok) AS BIGINT) AS "right" FROM x GROUP BY clip_id, type), h AS (SELECT *, coalesce("right" / nullif(n_said, 0), 0) AS precision, coalesce("right" / nullif(n, 0), 0) AS recall FROM g)
     SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM h""")
+    add("e21_type_confusion", lambda get: S.type_confusion(get("shots"), sheet(get)), tl + " SELECT clip_id, truth, said, count(*) AS n FROM tl WHERE is_shot GROUP BY ALL")
     add("e21_type_accuracy", lambda get: S.type_accuracy(get("shots"), sheet(get)), tl + """ SELECT clip_id, count_if(is_shot) AS real_shots, count_if(NOT is_shot) AS not_shots, count_if(NOT is_shot AND said <> 'not-detected') AS not_shots_detected,
       avg(CASE WHEN is_shot THEN CAST(truth = said AS INT) END) AS type_accuracy, avg(CAST(volley_right AS INT)) AS volley_accuracy FROM tl GROUP BY clip_id""")
     add("e23_rally_report", lambda get: S.rally_report(get("rallies").select("clip_id", F.col("rally_id").alias("id"), F.col("start_frame").alias("frame"), F.col("end_reason").alias("reason")),
                                                        get("rallies").select("clip_id", F.col("rally_id").alias("id"), F.expr("start_frame + rally_id % 17 - 8").alias("frame"), F.expr("CASE WHEN rally_id % 4 = 0 THEN 'net' ELSE end_reason END").alias("reason"))))
+    lands = lambda get, e, c: get("bounces").select("clip_id", F.col("bounce_id").alias("id"), F.expr(e).alias("frame"), F.expr(c).alias("is_in"))
+    add("e23_bounce_report", lambda get: S.bounce_report(lands(get, "frame", "court_x_ft between 0 and 20 and court_y_ft between 0 and 44"), lands(get, "frame + bounce_id % 17 - 8", "court_x_ft between 0 and 20 and court_y_ft between 0 and 43")))
+    hits = lambda get: get("played").select("clip_id", "shot_id", "frame", "hitter_side", F.expr("cast(case when hitter_side = 'near' then pk % 20 - 3 else 47 - pk % 20 end as double)").alias("hitter_y"))
+    add("d11_point_gaps", lambda get: C.point_marks(hits(get), P.scaled_params(get("court")).withColumn("real", F.lit(True))).select("clip_id", "shot_id", "returned", "candidate", "is_end"), """s AS (SELECT clip_id, shot_id, frame, hitter_side, CASE WHEN hitter_side = 'near' THEN pk % 20 - 3 ELSE 47 - pk % 20 END AS y, fps FROM fx_played JOIN fx_court USING (clip_id)),
+    n AS (SELECT *, min(CASE WHEN hitter_side = 'near' THEN frame END) OVER w AS nn, min(CASE WHEN hitter_side = 'far' THEN frame END) OVER w AS nf, frame - lag(frame) OVER o AS gb, lead(frame) OVER o - frame AS ga FROM s WINDOW w AS (PARTITION BY clip_id ORDER BY frame RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), o AS (PARTITION BY clip_id ORDER BY frame)),
+    m AS (SELECT *, coalesce(CASE WHEN hitter_side = 'near' THEN nf ELSE nn END - frame <= 2.5 * fps, false) AS returned, abs(y - 22) >= 21 AND coalesce(gb >= 3 * fps, true) AS candidate FROM n)
+    SELECT clip_id, shot_id, returned, candidate, NOT candidate AND NOT returned AND coalesce(ga >= 3 * fps, true) AS is_end FROM m""")
     feet = lambda get: get("ball").filter("visible or interpolated").select("clip_id", "frame", (F.col("pixel_x") / 60 - 3).alias("x"), (F.col("pixel_y") / 20 - 5).alias("y"), (F.abs(F.col("frame") * 7 % 80 - 40) / 10).alias("z"))
     add("r8_rally_ends", lambda get: S.rally_ends(get("shots"), feet(get), get("bounces").select("clip_id", "frame")))
 

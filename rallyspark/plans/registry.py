@@ -210,8 +210,6 @@ _add("d3_associate", lambda get: D.associate(get("ball").filter(B.KNOWN()), get(
 _add("d6_same_side_runs", lambda get: D.same_side_runs(get("shots")), """c AS (SELECT *, CASE WHEN hitter_side <> lag(hitter_side) OVER w OR frame - lag(frame) OVER w > 180 THEN 1 ELSE 0 END AS cut FROM fx_shots WINDOW w AS (PARTITION BY clip_id ORDER BY frame, shot_id)),
     r AS (SELECT *, sum(cut) OVER (PARTITION BY clip_id ORDER BY frame, shot_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM c), s AS (SELECT *, max(frame) OVER w - min(frame) OVER w AS span FROM r WINDOW w AS (PARTITION BY clip_id, run))
     SELECT clip_id, shot_id, frame, run, span FROM s QUALIFY row_number() OVER (PARTITION BY clip_id, run ORDER BY CASE WHEN span >= 480 THEN -frame ELSE 0 END, confidence DESC, frame, shot_id) = 1""")
-_add("d11_point_gaps", lambda get: D.point_gaps(get("shots")), """n AS (SELECT clip_id, shot_id, frame, hitter_side, lead(hitter_side) OVER w AS nx, lead(frame) OVER w - frame AS ahead, frame - lag(frame) OVER w AS before FROM fx_shots WINDOW w AS (PARTITION BY clip_id ORDER BY frame, shot_id))
-    SELECT clip_id, shot_id, coalesce(nx <> hitter_side AND ahead <= 150, false) AS returned, coalesce(before >= 180, true) AS serve_candidate, NOT coalesce(nx <> hitter_side AND ahead <= 150, false) AND coalesce(ahead >= 180, true) AS point_end FROM n""")
 _add("d12_renumber", lambda get: D.renumber(get("shots")), "SELECT clip_id, shot_id, frame, row_number() OVER (PARTITION BY clip_id ORDER BY frame, shot_id) - 1 AS new_id FROM fx_shots")
 _add("d12_shot_stats", lambda get: D.shot_stats(get("shots")), "SELECT clip_id, count(*) AS shots, count_if(is_serve) AS serves, count_if(is_volley) AS volleys, count_if(hitter_side = 'near') AS near_shots, avg(confidence) AS mean_confidence FROM fx_shots GROUP BY clip_id")
 _BC = f"""ar AS (SELECT clip_id, frame, pixel_y, count(CASE WHEN {KNOWN} THEN 1 END) OVER ({_W} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS nk, max(pixel_y) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS top,

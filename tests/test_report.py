@@ -50,3 +50,14 @@ def test_envelopes(spark):
     assert (by[8].s.confidence, by[8].s.limited_by, by[8].p.confidence, by[8].o.limited_by) == (0.25, "sample_size", 0.5, "measurement")
     assert (by[0].s.confidence, by[0].p.confidence, by[0].k.confidence, by[0].x.confidence, by[0].o.confidence) == (0, 0, 1.0, 0.2, 0)
     assert by[1000].s.limited_by == "measurement" and by[1000].s.confidence == pytest.approx(0.4 * 1000 / 1008)
+
+
+def test_bounces_against_truth_and_confusions(spark):
+    from rallyspark.operators import scoring
+    rows = lambda xs: spark.createDataFrame([(1, i, f, inside) for i, (f, inside) in enumerate(xs)], "clip_id long, id long, frame long, is_in boolean")
+    r = scoring.bounce_report(rows([(102, True), (108, True), (300, False), (900, None)]), rows([(100, True), (104, False), (305, False), (600, True), (905, None)])).first()
+    assert (r.n_truth, r.n_found, r.hits, r.recall, r.precision, r.call_share) == (5, 4, 4, 0.8, 1.0, 0.5)  # the second takes what the first left over
+    shots = spark.createDataFrame([(1, 0, 100, "drive", False), (1, 1, 200, "dink", False), (1, 2, 300, "lob", False)], "clip_id long, shot_id long, frame long, shot_type string, is_volley boolean")
+    labels = spark.createDataFrame([(1, 0, 101, False, "Drive", None, "n"), (1, 1, 198, False, "drop", None, None), (1, 2, 400, False, "lob", None, None), (1, 3, 300, False, "between pts", None, None), (1, 4, 301, False, None, "a feed", None)],
+                                   "clip_id long, label_id long, frame long, by_clock boolean, true_type string, notes string, true_volley string")
+    assert {(x.truth, x.said, x.n) for x in scoring.type_confusion(shots, labels).collect()} == {("drive", "drive", 1), ("drop", "dink", 1), ("lob", "not-detected", 1)}

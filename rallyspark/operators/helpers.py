@@ -46,11 +46,11 @@ def suppress_neighbours(cands: DataFrame, window: int | str) -> DataFrame:
 
 
 def refractory(events: DataFrame, gap: float, time: str = "frame") -> DataFrame:
-    """In order of time, an event stays if it comes more than ``gap`` after the last one that stayed."""
+    """In order of time (ties: of the other columns), an event stays if it comes more than ``gap`` after the last one that stayed."""
     fields = events.schema
 
     def keep(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(time, ignore_index=True)
+        g = g.sort_values([time, *[c for c in fields.names if c != time]], ignore_index=True)
         last, mask = None, []
         for t in g[time]:
             ok = last is None or t - last > gap

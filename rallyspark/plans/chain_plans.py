@@ -126,7 +126,20 @@ def register(add, raw) -> None:
     m AS (SELECT *, coalesce(CASE WHEN hitter_side = 'near' THEN nf ELSE nn END - frame <= 2.5 * fps, false) AS returned, abs(y - 22) >= 21 AND coalesce(gb >= 3 * fps, true) AS candidate FROM n)
     SELECT clip_id, shot_id, returned, candidate, NOT candidate AND NOT returned AND coalesce(ga >= 3 * fps, true) AS is_end FROM m""")
     feet = lambda get: get("ball").filter("visible or interpolated").select("clip_id", "frame", (F.col("pixel_x") / 60 - 3).alias("x"), (F.col("pixel_y") / 20 - 5).alias("y"), (F.abs(F.col("frame") * 7 % 80 - 40) / 10).alias("z"))
-    add("r8_rally_ends", lambda get: S.rally_ends(get("shots"), feet(get), get("bounces").select("clip_id", "frame")))
+    add("r8_rally_ends", lambda get: S.rally_ends(get("shots"), feet(get), get("bounces").select("clip_id", "frame")), """sm AS (SELECT clip_id, frame, pixel_x / 60 - 3 AS x, pixel_y / 20 - 5 AS y, abs(frame * 7 % 80 - 40) / 10 AS z FROM fx_ball WHERE visible OR interpolated),
+    dw AS (SELECT *, avg(CAST(z <= 1 AND abs(y - 22) <= 8 AS INT)) OVER w >= 0.65 AND greatest(max(x) OVER w - min(x) OVER w, max(y) OVER w - min(y) OVER w) <= 6 AS dead FROM sm WINDOW w AS (PARTITION BY clip_id ORDER BY frame RANGE BETWEEN CURRENT ROW AND 30 FOLLOWING)),
+    dd AS (SELECT clip_id, frame FROM dw WHERE dead), bf AS (SELECT DISTINCT clip_id, frame FROM fx_bounces),
+    bn AS (SELECT b.clip_id, b.frame, p.frame AS pf, p.x AS px, p.y AS py, n.frame AS nf, n.x AS nx, n.y AS ny FROM bf b ASOF LEFT JOIN sm p ON p.clip_id = b.clip_id AND b.frame >= p.frame ASOF LEFT JOIN sm n ON n.clip_id = b.clip_id AND b.frame <= n.frame),
+    bp AS (SELECT clip_id, frame, CASE WHEN pf IS NULL OR nf - frame < frame - pf THEN nx ELSE px END AS x, CASE WHEN pf IS NULL OR nf - frame < frame - pf THEN ny ELSE py END AS y FROM bn WHERE pf IS NOT NULL OR nf IS NOT NULL),
+    sh AS (SELECT clip_id, shot_id, frame, hitter_side, coalesce(lead(frame) OVER (PARTITION BY clip_id ORDER BY frame, shot_id), 1000000000) AS nxt, frame + 360 AS lim FROM fx_shots),
+    sx AS (SELECT s.*, d.frame AS df, b.frame AS bf, b.x, b.y, l.frame AS lf FROM sh s ASOF LEFT JOIN dd d ON d.clip_id = s.clip_id AND s.frame < d.frame ASOF LEFT JOIN bp b ON b.clip_id = s.clip_id AND s.frame < b.frame ASOF LEFT JOIN sm l ON l.clip_id = s.clip_id AND s.lim >= l.frame),
+    en AS (SELECT *, CASE WHEN coalesce(df + 30 <= lf AND df < nxt + 30, false) THEN 'net' WHEN bf <= lim AND NOT (x BETWEEN -1 AND 21 AND y BETWEEN -1 AND 45) THEN 'out' WHEN bf <= lim AND nxt - bf >= 120 THEN 'not-returned' END AS reason FROM sx),
+    ee AS (SELECT clip_id, CASE WHEN reason = 'net' THEN df ELSE bf END AS frame, reason, shot_id AS by_shot, hitter_side FROM en WHERE reason IS NOT NULL),
+    sv AS (SELECT e.*, v.frame AS serve FROM ee e ASOF LEFT JOIN (SELECT clip_id, frame FROM fx_shots WHERE is_serve) v ON v.clip_id = e.clip_id AND e.frame >= v.frame),
+    cr AS (SELECT sv.clip_id, sv.frame, sv.reason, sv.by_shot, any_value(sv.hitter_side) AS hitter_side FROM sv LEFT JOIN fx_shots q ON q.clip_id = sv.clip_id AND q.frame BETWEEN serve AND sv.frame GROUP BY sv.clip_id, sv.frame, sv.reason, sv.by_shot, serve HAVING sv.reason = 'net' OR serve IS NULL OR count(DISTINCT q.hitter_side) = 2),
+    fr AS (SELECT * FROM cr QUALIFY row_number() OVER (PARTITION BY clip_id, frame ORDER BY by_shot) = 1), pt AS (SELECT f.clip_id, f.frame, n.frame AS next FROM fr f ASOF LEFT JOIN fr n ON n.clip_id = f.clip_id AND f.frame + 120 <= n.frame),
+    kp(clip_id, frame, next) AS (SELECT clip_id, frame, next FROM pt WHERE (clip_id, frame) IN (SELECT (clip_id, min(frame)) FROM fr GROUP BY clip_id) UNION ALL SELECT pt.* FROM kp JOIN pt ON pt.clip_id = kp.clip_id AND pt.frame = kp.next)
+    SELECT fr.clip_id, fr.frame, reason, by_shot, hitter_side FROM fr JOIN kp ON kp.clip_id = fr.clip_id AND kp.frame = fr.frame""")
 
     # ---- many clips, views
     add("a3_project_poses", lambda get: S.project_poses(get("poses"), get("court")).select("clip_id", "frame", "track_id", F.round("front_x", 6).alias("front_x"), F.round("front_y", 6).alias("front_y")), "p AS (SELECT clip_id, frame, track_id, " + ", ".join(

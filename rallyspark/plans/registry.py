@@ -225,7 +225,8 @@ _add("n8_cap_per_interval", lambda get: D.cap_per_interval(D.between_shots(get("
      _LINKED + """ SELECT lk.clip_id, bounce_id, prev_shot, next_shot, confidence FROM lk JOIN fx_bounces b USING (clip_id, bounce_id) QUALIFY row_number() OVER (PARTITION BY lk.clip_id, prev_shot, next_shot ORDER BY confidence DESC, lk.frame, bounce_id) = 1""")
 _add("n9_bounce_stats", lambda get: D.bounce_stats(D.bounce_rows(get("bounces"))), _BROWS + " SELECT clip_id, count(*) AS bounces, count_if(is_in) AS n_in, count_if(NOT is_in) AS n_out, " + ", ".join(
     f"count_if(zone = '{z}') AS {z}" for z in ("kitchen", "transition", "baseline")) + ", " + ", ".join(f"count_if(out_side = '{s}') AS out_{s}" for s in ("left", "right", "near", "far")) + " FROM br GROUP BY clip_id")
-_add("n10_refractory", lambda get: H.refractory(get("bounces").select(F.col("clip_id").cast("long").alias("clip_id"), F.col("bounce_id").cast("long").alias("bounce_id"), F.col("frame").cast("long").alias("frame")), 60))
+_add("n10_refractory", lambda get: H.refractory(get("bounces").select(F.col("clip_id").cast("long").alias("clip_id"), F.col("bounce_id").cast("long").alias("bounce_id"), F.col("frame").cast("long").alias("frame")), 60), """b AS (SELECT clip_id, frame, min(bounce_id) AS bounce_id FROM fx_bounces GROUP BY ALL), p AS (SELECT b.clip_id, b.frame, n.frame AS next FROM b ASOF LEFT JOIN b n ON n.clip_id = b.clip_id AND b.frame + 60 < n.frame),
+    k(clip_id, frame, next) AS (SELECT clip_id, frame, next FROM p WHERE (clip_id, frame) IN (SELECT (clip_id, min(frame)) FROM b GROUP BY clip_id) UNION ALL SELECT p.* FROM k JOIN p ON p.clip_id = k.clip_id AND p.frame = k.next) SELECT b.clip_id, b.bounce_id, b.frame FROM b JOIN k ON k.clip_id = b.clip_id AND k.frame = b.frame""")
 _add("t5_volley_flag", lambda get: D.volley_flag(get("shots"), D.between_shots(get("bounces"), get("shots"))), _LINKED + """, h AS (SELECT DISTINCT clip_id, next_shot AS shot_id FROM lk WHERE next_shot IS NOT NULL),
     f AS (SELECT clip_id, shot_id, is_serve OR row_number() OVER (PARTITION BY clip_id ORDER BY frame, shot_id) = 1 AS fixed FROM fx_shots)
     SELECT f.clip_id, f.shot_id, NOT fixed AND h.shot_id IS NULL AS volley, CASE WHEN fixed THEN 0.9 ELSE 0.4 END AS volley_confidence FROM f LEFT JOIN h ON h.clip_id = f.clip_id AND h.shot_id = f.shot_id""")

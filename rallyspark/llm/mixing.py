@@ -12,6 +12,10 @@
    that source's permuted blocks: runs are disjoint.
 4. Inside a shard, draws are ordered by a hash (``order_key``): mixed() writes each shard's rows together, in that order.
 
+Rows that are equal in id, text and source are numbered (``copy``) and dealt over the blocks by their number too, so a
+row that repeats a billion times is spread like any other rows. The numbering has two levels: inside a stretch of RUN
+rows as they were read, and over the stretches of a key.
+
 All draws are hashes of (seed, node, source), so reruns agree. Cumulative sums run over groups of blocks, blocks of a
 group and documents of a block, so no window holds more than about ``FAN`` rows of a source however hot it is. Tables
 of sources, blocks and runs are joined without hints: Spark broadcasts them while they are below its own threshold.
@@ -31,6 +35,7 @@ from .common import KEY, let, materialize, of_box, row_key, table, unboxed, word
 
 WEIGHTS, TOTAL, MAX_EPOCHS = (5, 2, 1), 1.5, 2
 BLOCK_DOCS, FAN, SEED = 64, 1024, 7
+RUN = 4096  # rows of a stretch in which repeats are numbered
 #: Words of a shard, fewest shards, sources split at once by a node, sources ranked by a task.
 SHARD_WORDS, LEAST_SHARDS, GROUP, RANKED = 4_000_000, 16, 256, 100_000
 SOURCE = ["source_", "no_source"]  # a null source has a name of its own
@@ -40,14 +45,30 @@ def named(source: Column) -> list[Column]:
     return [F.coalesce(source, F.lit("")).alias("source_"), source.isNull().alias("no_source")]
 
 
+def copies(rows: DataFrame) -> DataFrame:
+    """``rows(k1, k2, at_, ...)``, a written table, with ``copy`` (from 1) among the rows of its key instead of ``at_``.
+
+    ``at_`` is monotonically_increasing_id() as it was written: no stretch of a key has more than RUN rows, and a key has a
+    row per stretch in the window over stretches."""
+    stretched = rows.withColumn("run_", F.expr(f"at_ div {RUN}"))
+    over = Window.partitionBy(*KEY).orderBy("run_").rowsBetween(Window.unboundedPreceding, -1)
+    before = stretched.groupBy(*KEY, "run_").agg(F.count("*").alias("n")).withColumn("before_", F.sum("n").over(over)).filter("before_ > 0").drop("n")
+    inside = F.row_number().over(Window.partitionBy(*KEY, "run_").orderBy("at_"))
+    return (stretched.withColumn("copy", inside).join(before, [*KEY, "run_"], "left")
+            .withColumn("copy", F.col("copy") + F.coalesce("before_", F.lit(0).cast("long"))).drop("at_", "run_", "before_"))
+
+
 def sized(docs: DataFrame, row: Column | None = None) -> DataFrame:
-    """(row_, doc_id, source, source_, no_source, size, r) and row_key, written to the shared folder; ``r`` is the hash that permutes
-    the documents. It takes the text too, so that null and repeated ids are dealt over the blocks like any others."""
-    row = F.monotonically_increasing_id() if row is None else row
+    """(row_, doc_id, source, source_, no_source, size, copy, r) and row_key, written to the shared folder; ``r`` is the hash that
+    permutes the documents. It takes the text and the number of the copy too, so that null and repeated ids and repeated
+    rows are dealt over the blocks like any others."""
+    at = F.monotonically_increasing_id()
     source = F.col("source").cast("string")
-    return materialize(docs.select(
-        row.alias("row_"), F.col("doc_id"), source.alias("source"), *named(source), F.size(words(F.col("text"))).cast("long").alias("size"),
+    read = materialize(docs.select(
+        at.alias("at_"), (at if row is None else row).alias("row_"), F.col("doc_id"), source.alias("source"), *named(source),
+        F.size(words(F.col("text"))).cast("long").alias("size"),
         F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")).alias("r"), *row_key(F.col("doc_id"), F.col("text"), source)))
+    return materialize(copies(read).withColumn("r", F.when(F.col("copy") > 1, F.xxhash64("r", "copy")).otherwise(F.col("r"))))
 
 
 def ranked(df: DataFrame, order: list[Column], n: int) -> DataFrame:
@@ -151,7 +172,7 @@ def split_quotas(quotas: DataFrame, shards: int, n: int) -> DataFrame:
 
 def mix(docs: DataFrame, row: Column | None = None, **kw) -> DataFrame:
     """draws() of ``docs``; ``row`` is a column that tells rows apart, for row_."""
-    return draws(sized(docs, row), **kw).drop(*KEY)
+    return draws(sized(docs, row), **kw).drop(*KEY, "copy")
 
 
 def draws(sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, max_epochs: int = MAX_EPOCHS, shards: int | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -195,7 +216,7 @@ def draws(sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, max_
         t["shard"].alias("shard"), F.xxhash64(F.lit(SEED), t["shard"], t["epoch"], F.col("r")).alias("order_key"),
         F.when(t["epoch"] < F.col("epochs"), F.col("size")).otherwise(part_words).alias("words"))), lambda d: d["words"] > 0)
     return of_block.withColumn("draws", taken).select(
-        "row_", *KEY, "doc_id", "source", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("taken"), "draws")
+        "row_", *KEY, "copy", "doc_id", "source", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("taken"), "draws")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
@@ -206,17 +227,16 @@ def mixed(docs: DataFrame, shards: int | None = None, **kw) -> DataFrame:
     """The mix itself with the columns of ``docs``: a row per draw, the partial one cut to its first words.
 
     The rows of a shard are together, in the order of their keys, so writing the result writes shuffled shards. Plans
-    meet their documents by row_key: rows that are equal in id, text and source are numbered, on both sides alike."""
-    of_key = Window.partitionBy(*KEY)
-    plan = materialize(draws(sized(docs), shards=shards, **kw).select(*KEY, F.row_number().over(of_key.orderBy("row_")).alias("copy"), "size", "draws"))
-    n_shards, copies = plan.agg(F.max(F.array_max(F.transform("draws", lambda d: d["shard"]))), F.max("copy")).first()
+    meet their documents by row_key and number of the copy. Only rows that repeat are written once more to be numbered."""
+    sizes = sized(docs)
+    plan = materialize(draws(sizes, shards=shards, **kw).select(*KEY, "copy", "size", "draws"))
+    n_shards = plan.agg(F.max(F.array_max(F.transform("draws", lambda d: d["shard"])))).first()[0]
     n_shards, plan = shards or (n_shards or 0) + 1, plan.filter(F.size("draws") > 0)
+    repeated = materialize(sizes.filter("copy = 2").select(*KEY))
     rows = docs.select(F.struct("*").alias("doc_"), *row_key(F.col("doc_id"), F.col("text"), F.col("source").cast("string")))
-    if (copies or 1) > 1:
-        rows = rows.withColumn("nth", F.row_number().over(of_key.orderBy("k1")))
-        met = rows.join(plan.hint("shuffle_hash"), KEY).filter(F.col("nth") - F.col("copy") == 0)
-    else:
-        met = rows.join(plan.hint("shuffle_hash"), KEY)  # one way at every size
+    single = rows.join(repeated, KEY, "left_anti").withColumn("copy", F.lit(1).cast("long"))
+    again = copies(materialize(rows.join(repeated, KEY, "left_semi").withColumn("at_", F.monotonically_increasing_id())))
+    met = single.unionByName(again).join(plan.hint("shuffle_hash"), [*KEY, "copy"])
     drawn = met.withColumn("draw", F.explode("draws"))
     drawn = drawn.repartition(n_shards, "draw.shard").sortWithinPartitions("draw.shard", "draw.order_key")
     text = F.when(F.col("draw.words") >= F.col("size"), of_box("text")).otherwise(F.array_join(F.slice(words(of_box("text")), F.lit(1), F.col("draw.words").cast("int")), " "))

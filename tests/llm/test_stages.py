@@ -161,6 +161,21 @@ def brute_scores(urls, labels):
     return out
 
 
+def test_equal_rows_are_dealt_over_the_blocks(spark, monkeypatch):
+    """20,000 rows that are equal in everything: stretches of 100 are numbered, no block takes more than a few, none is lost."""
+    monkeypatch.setattr(mixing, "RUN", 100)
+    docs = spark.range(0, 20_000, 1, 4).selectExpr("CAST(NULL AS BIGINT) doc_id", "'five words are in here' text", "'s' source", "5 n_chars").unionByName(
+        spark.range(500).selectExpr("id doc_id", "concat('one of ', id) text", "if(id % 2 = 0, 't', NULL) source", "9 n_chars"))
+    sizes = mixing.sized(docs)
+    hot = sizes.filter("doc_id IS NULL")
+    assert sorted(r.copy for r in hot.select("copy").collect()) == list(range(1, 20_001))
+    assert hot.groupBy(F.pmod("r", F.lit(313))).count().agg({"count": "max"}).first()[0] < 130
+    assert sizes.filter("doc_id IS NOT NULL AND copy <> 1").isEmpty()
+    mixed = mixing.mixed(docs, shards=4).groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("words"), F.count("*").alias("n"))
+    got = {r.source: (r.words, r.n) for r in mixed.collect()}
+    assert got["t"][0] == got[None][0] == 1500 and abs(got["s"][0] - 149_250) < 10 and 29_850 <= got["s"][1] <= 29_860  # 250 rows twice, 20,000 rows 1.4925 times
+
+
 def test_url_scores_match_exact_counts_of_all_ruled_urls(spark, monkeypatch):
     rng = random.Random(12)
     urls = [f"http://{''.join(rng.choices('abcdé', k=6))}.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['es', 'en', 'x'])}/{rng.randrange(50)}" for _ in range(150)] + [None, ""]

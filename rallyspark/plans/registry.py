@@ -14,7 +14,7 @@ from ..operators import rallies as R
 from ..operators import shots as D
 from ..operators import tracks as P
 from ..sources.adapters import fixture, with_fixtures
-from . import bounce_plans, chain_plans, contact_plans, court_plans, report_plans, review_plans, role_plans, union_plans
+from . import bounce_plans, chain_plans, coaching_plans, contact_plans, court_plans, report_plans, review_plans, role_plans, union_plans
 
 _Q: dict = {}
 _S: dict[str, str] = {}
@@ -348,6 +348,7 @@ _add("e8_alternation_check", lambda get: E.alternation_check(get("shots"), get("
       count_if(k = 2 AND team = b) AS own_returns, round(quantile_cont(CASE WHEN team <> b THEN gap END, 0.5), 6) AS legal_gap, round(quantile_cont(CASE WHEN team = b THEN gap END, 0.5), 6) AS same_team_gap FROM p GROUP BY clip_id""")
 contact_plans.register(_add, _LINKED)
 review_plans.register(_add, _SCORES, _SIG, _scored)
+coaching_plans.register(_add, _SCORES, _LEVELS, _moves)
 
 
 def _raw(name: str, run, sql: str) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import in_receivers_kitchen, side_of_net
 from .ball import KNOWN
+from .shots import last_shot
 
 
 def CLIP():  # noqa: N802
@@ -115,9 +116,7 @@ def rally_stats(rallies: DataFrame) -> DataFrame:
 
 def longest_dead_run(shots: DataFrame, ball: DataFrame) -> DataFrame:
     """Longest run of unknown ball frames strictly between consecutive shots."""
-    spans = shots.select("clip_id", "shot_id", (F.col("frame") + 1).alias("lo"), (F.lead("frame").over(ORDER()) - 1).alias("hi")).filter("hi >= lo")
-    frames = spans.select("clip_id", "shot_id", F.explode(F.sequence("lo", "hi")).alias("frame"))
-    dead = ball.filter(~KNOWN()).select("clip_id", "frame").join(frames, ["clip_id", "frame"])
+    dead = last_shot(ball.filter(~KNOWN()).select("clip_id", "frame"), shots).filter("frame > at and frame < next_frame")
     island = F.col("frame") - F.row_number().over(Window.partitionBy("clip_id", "shot_id").orderBy("frame"))
     runs = dead.withColumn("island", island).groupBy("clip_id", "shot_id", "island").agg(F.count("*").alias("n"))
     return runs.groupBy("clip_id", "shot_id").agg(F.max("n").alias("dead_frames"))

@@ -28,6 +28,19 @@ def associate(events: DataFrame, players: DataFrame, court: DataFrame, least: fl
     return near.groupBy("clip_id", "frame").agg(pick.alias("p")).select("clip_id", "frame", F.col("p.track_id").alias("track_id"), F.col("p.d").alias("distance"))
 
 
+def last_shot(rows: DataFrame, shots: DataFrame) -> DataFrame:
+    """``rows(clip_id, frame, ...)`` with the last shot at or before them (ties: larger id) as shot_id and ``at``, and the one after
+    that as next_shot and next_frame. Rows before a clip's first shot go. Shots and rows meet in one ordered pass per clip, so that
+    long pauses cost nothing; shots after a clip's last row only bound the one before."""
+    w = CLIP().orderBy("frame", "shot_id")
+    ends = rows.groupBy("clip_id").agg(F.max("frame").alias("last_"))  # one row per clip
+    shot = F.struct("shot_id", F.col("frame").alias("at"), F.lead("shot_id").over(w).alias("next_shot"), F.lead("frame").over(w).alias("next_frame"))
+    marks = shots.select("clip_id", "frame", "shot_id").join(F.broadcast(ends), "clip_id").withColumn("shot_", shot).filter("frame <= last_").select("clip_id", "frame", "shot_", F.lit(True).alias("mark_"))
+    both = marks.unionByName(rows.withColumn("mark_", F.lit(False)), allowMissingColumns=True)
+    order = CLIP().orderBy("frame", F.desc("mark_"), "shot_.shot_id").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("shot_", F.last("shot_", ignorenulls=True).over(order)).filter("not mark_ and shot_ is not null").select(*rows.columns, "shot_.*")
+
+
 def renumber(shots: DataFrame) -> DataFrame:
     """Contiguous ids by frame per clip (ties: old id)."""
     return shots.select("clip_id", "shot_id", "frame", (F.row_number().over(CLIP().orderBy("frame", "shot_id")) - 1).alias("new_id"))

@@ -136,3 +136,10 @@ def test_image_of_undoes_project(spark):
     x, y = geo.image_of(*geo.project(F.col("px"), F.col("py")))
     got = df.select(x.alias("x"), y.alias("y")).first()
     assert abs(got.x - 700) < 1e-6 and abs(got.y - 300) < 1e-6
+
+
+def test_dead_runs_between_shots_far_apart(spark):
+    """Shots 10^9 frames apart, two on one frame, and dead frames on, before and after them."""
+    hits = [(1, 0, 10), (1, 1, 20), (1, 2, 20), (1, 3, 10**9), (2, 0, 5)]
+    got = rallies.longest_dead_run(spark.createDataFrame(hits, "clip_id long, shot_id long, frame long"), spark.createDataFrame([(1, f, False, False) for f in (3, 10, 11, 12, 14, 20, 22, 23, 24, 40)], "clip_id long, frame long, visible boolean, interpolated boolean"))
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 2), (1, 2, 3)]

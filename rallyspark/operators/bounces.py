@@ -25,7 +25,7 @@ _UNIT, _EDGE = 1_000_000, 10
 
 def within(length: str, before: int, after: int, own: bool = True):
     """Rows from ``before`` to ``after`` lengths away (-1, 0 or 1); without ``own`` not the row itself."""
-    w = Window.partitionBy("clip_id").orderBy(F.round(F.col("frame") * _UNIT / F.col(length)).cast("long"))
+    w = Window.partitionBy("clip_id").orderBy(F.round(F.col("frame").cast("long") * _UNIT / F.col(length)).cast("long"))
     edge = -_EDGE if own else _EDGE
     return w.rangeBetween(-_UNIT - _EDGE if before else edge, _UNIT + _EDGE if after else -edge)
 

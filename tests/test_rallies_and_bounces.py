@@ -135,3 +135,12 @@ def test_heights_touch_the_floor(spark):
     near = bounces.bounces_from_height(spark.createDataFrame(rows, "clip_id long, frame long, x double, y double, z double"), spark.createDataFrame([(1, 30.0 * 5)], "clip_id long, fps double"))
     assert sorted(r.frame for r in near.collect()) == want[:1]  # closer than 0.3 s at 150 frames a second
     assert got.filter(F.col("z_ft") > 0.35).count() == 0
+
+
+def test_windows_of_seconds_take_frames_beyond_2147(spark):
+    """Frames counted in ints, as row_number() gives them, in a clip of more than 2,147 frames."""
+    rows = spark.range(4000).select(F.lit(1).cast("long").alias("clip_id"), F.col("id").cast("int").alias("frame"), F.lit(True).alias("visible"), F.lit(False).alias("interpolated"), (600 - 30 * F.abs(F.col("id") % 40 - 20)).cast("double").alias("pixel_y"))
+    court_ = spark.createDataFrame([(1, 30.0, 1920)], "clip_id long, fps double, frame_width int")
+    series = bounces.smoothed(rows, scaled_params(court_))
+    assert sorted(r.frame for r in bounces.candidates(series).collect()) == list(range(20, 4000, 40))
+    assert sorted(r.frame for r in bounces.flips(series).filter("flip").collect()) == [f for f in range(3960) if f % 40 in (19, 20, 21)] + [3979, 3980, 3981]

@@ -13,7 +13,7 @@ from .ball import KNOWN, W
 from .chain import rate
 from .helpers import refractory, suppress_neighbours
 from .params import scaled_params
-from .shots import between_shots, cap_per_interval
+from .shots import between_shots, cap_per_interval, exclude_near
 
 #: Feet outside the court beyond which nothing bounces, and the factor of a bounce at a player's feet.
 MOST_OUT_FT, AT_FEET = 8.0, 0.7
@@ -102,8 +102,7 @@ def detect_bounces(ball: DataFrame, players: DataFrame, shots: DataFrame, court:
     series = smoothed(ball, params).withColumns({"x": F.when(F.col("known"), F.col("pixel_x")), "y": F.when(F.col("known"), F.col("pixel_y"))})
     series = written(_speeds(_impulse(series)).withColumn("quality", F.avg(F.coalesce("visible", F.lit(False)).cast("int")).over(within("impact_window", -1, 1))))
     widths = params.select("clip_id", "exclusion_window", "impact_window")
-    close = shots.join(widths, "clip_id").select("clip_id", F.explode(F.sequence(F.col("frame") - F.col("exclusion_window"), F.col("frame") + F.col("exclusion_window"))).alias("frame")).distinct()
-    free = candidates(series).join(close, ["clip_id", "frame"], "left_anti").join(widths.select("clip_id", "impact_window"), "clip_id")
+    free = exclude_near(candidates(series).join(widths, "clip_id"), shots, "exclusion_window").drop("exclusion_window")
     kept = written(suppress_neighbours(free, "impact_window").select("clip_id", "frame").join(series.filter("known"), ["clip_id", "frame"]))
     at = nearest_box(kept, players).withColumn("at_feet", F.coalesce(F.col("player_px") < F.col("radius"), F.lit(False))).join(flips(series), ["clip_id", "frame"])
     at = at.filter(F.coalesce("flip", F.lit(False)) | ~(F.col("at_feet") | F.col("real")))

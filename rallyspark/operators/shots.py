@@ -73,10 +73,18 @@ def bounce_candidates(ball: DataFrame, window: int = 4, prominence: float = 30.0
     return around.filter((F.col("pixel_y") == F.col("top")) & (fall >= prominence) & (rise >= prominence) & (F.col("near_known") > 0)).select("clip_id", "frame", F.least(fall, rise).alias("score"))
 
 
-def exclude_near(cands: DataFrame, shots: DataFrame, within: int = 10) -> DataFrame:
-    """Candidates further than ``within`` frames from every shot, by an anti join on exploded frames."""
-    close = shots.select("clip_id", F.explode(F.sequence(F.col("frame") - within, F.col("frame") + within)).alias("frame")).distinct()
-    return cands.join(close, ["clip_id", "frame"], "left_anti")
+def exclude_near(cands: DataFrame, shots: DataFrame, within: int | str = 10) -> DataFrame:
+    """Candidates further than ``within`` frames (a number, or a column of the candidates) from every shot, by the shots before and
+    after each in ordered passes per clip."""
+    reach = F.col(within) if isinstance(within, str) else F.lit(within)
+    ends = cands.groupBy("clip_id").agg(F.max(F.col("frame") + reach).alias("last_"))  # one row per clip
+    marks = shots.select("clip_id", "frame").join(F.broadcast(ends), "clip_id").filter("frame <= last_").select("clip_id", "frame", F.lit(True).alias("mark_"))
+    both = marks.unionByName(cands.withColumn("mark_", F.lit(False)), allowMissingColumns=True)
+    shot = F.when(F.col("mark_"), F.col("frame"))
+    near = lambda order: F.last(shot, ignorenulls=True).over(CLIP().orderBy(order, F.desc("mark_")).rowsBetween(Window.unboundedPreceding, 0))
+    far = lambda gap: F.coalesce(gap > reach, F.lit(True))
+    kept = both.withColumns({"p_": near(F.asc("frame")), "n_": near(F.desc("frame"))}).filter(~F.col("mark_") & far(F.col("frame") - F.col("p_")) & far(F.col("n_") - F.col("frame")))
+    return kept.select(*cands.columns)
 
 
 def ground_contact(cands: DataFrame, ball: DataFrame, half: int = 3) -> DataFrame:

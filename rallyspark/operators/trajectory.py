@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import KITCHEN, NET, local_px_per_ft, px_per_ft, zone
 from .ball import KNOWN
 from .poses import contact_height, front_feet
-from .shots import CLIP, between_shots
+from .shots import CLIP, between_shots, last_shot
 
 
 def ORDER():  # noqa: N802
@@ -45,11 +45,9 @@ def anchored_speed(shots: DataFrame, landed: DataFrame, feet: DataFrame, court:
 
 
 def flight_points(shots: DataFrame, ball: DataFrame, most: int = 90) -> DataFrame:
-    """Known ball points from a contact to the frame before the next, or ``most`` frames on if that is far: an equi-join on frames."""
-    nxt = F.lead("frame").over(ORDER())
-    end = F.when(nxt - F.col("frame") <= most, nxt - 1).otherwise(F.col("frame") + most)
-    spans = shots.withColumn("end_", end).select("clip_id", "shot_id", F.explode(F.sequence("frame", "end_")).alias("frame"))
-    return spans.join(ball.filter(KNOWN()).select("clip_id", "frame", "pixel_x", "pixel_y"), ["clip_id", "frame"])
+    """Known ball points from a contact to the frame before the next, or ``most`` frames on if that is far."""
+    points = last_shot(ball.filter(KNOWN()).select("clip_id", "frame", "pixel_x", "pixel_y"), shots).filter(F.col("frame") <= F.col("at") + most)
+    return points.select("clip_id", "shot_id", "frame", "pixel_x", "pixel_y")
 
 
 def arc_height(points: DataFrame) -> DataFrame:
@@ -65,12 +63,9 @@ def arc_height(points: DataFrame) -> DataFrame:
 
 
 def bounced_between(shots: DataFrame, ball: DataFrame, fall: float = 14.0, rise: float = 20.0, around: int = 4) -> DataFrame:
-    """Whether the ball comes down and rebounds between a shot and the one before; null under 5 known points.
-
-    The frames between two shots belong to one interval each, so the exploded frames grow with the clips' length.
-    """
-    spans = shots.withColumn("before_", F.lag("frame").over(ORDER())).filter("frame - before_ > 1").select("clip_id", "shot_id", F.explode(F.sequence(F.col("before_") + 1, F.col("frame") - 1)).alias("frame"))
-    points = spans.join(ball.filter(KNOWN()).select("clip_id", "frame", "pixel_y"), ["clip_id", "frame"])
+    """Whether the ball comes down and rebounds between a shot and the one before; null under 5 known points."""
+    between = last_shot(ball.filter(KNOWN()).select("clip_id", "frame", "pixel_y"), shots).filter("frame > at and next_shot is not null")
+    points = between.select("clip_id", F.col("next_shot").alias("shot_id"), "frame", "pixel_y")
     w = Window.partitionBy("clip_id", "shot_id").orderBy("frame")
     y = F.col("pixel_y")
     rows = points.select("clip_id", "shot_id", y, F.row_number().over(w).alias("place"), F.count("*").over(Window.partitionBy("clip_id", "shot_id")).alias("n"), F.max(y).over(w.rowsBetween(-around, around)).alias("top"),

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from rallyspark.operators import ball, collections_, helpers, metrics, rallies, shots
+from rallyspark.operators import ball, collections_, helpers, metrics, rallies, shots, trajectory
 from rallyspark.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -143,3 +143,21 @@ def test_dead_runs_between_shots_far_apart(spark):
     hits = [(1, 0, 10), (1, 1, 20), (1, 2, 20), (1, 3, 10**9), (2, 0, 5)]
     got = rallies.longest_dead_run(spark.createDataFrame(hits, "clip_id long, shot_id long, frame long"), spark.createDataFrame([(1, f, False, False) for f in (3, 10, 11, 12, 14, 20, 22, 23, 24, 40)], "clip_id long, frame long, visible boolean, interpolated boolean"))
     assert sorted(map(tuple, got.collect())) == [(1, 0, 2), (1, 2, 3)]
+
+
+def test_flights_and_bounces_of_shots_far_apart(spark):
+    """The ball after and between shots 10^9 frames apart, two of them on one frame: a flight ends 90 frames on, the first of the two has none."""
+    hits = spark.createDataFrame([(1, 0, 10), (1, 1, 40), (1, 2, 40), (1, 3, 10**9), (2, 0, 5)], "clip_id long, shot_id long, frame long")
+    frames = [9, 10, 15, 18, 20, 22, 25, 30, 40, 130, 131, *range(200, 211)]
+    seen = spark.createDataFrame([(1, f, True, False, 0.0, 100.0 - abs(f - 20) if f < 40 else 100.0 - 5 * abs(f - 205)) for f in frames], "clip_id long, frame long, visible boolean, interpolated boolean, pixel_x double, pixel_y double")
+    flights = trajectory.flight_points(hits, seen).collect()
+    assert sorted((r.shot_id, r.frame) for r in flights) == [(0, f) for f in (10, 15, 18, 20, 22, 25, 30)] + [(2, 40), (2, 130)]
+    assert sorted((r.shot_id, r.bounced) for r in trajectory.bounced_between(hits, seen).collect()) == [(1, False), (3, True)]
+
+
+def test_candidates_near_shots_by_a_column(spark):
+    """The nearest shot may lie before or after, beyond the last candidate, or be none."""
+    hits = spark.createDataFrame([(1, 0, 100), (1, 1, 100), (1, 2, 205), (1, 3, 10**9)], "clip_id long, shot_id long, frame long")
+    at = spark.createDataFrame([(c, f, 0.5, near) for c, near in ((1, 10), (2, 10)) for f in (89, 90, 100, 110, 111, 194, 195)], "clip_id long, frame long, score double, near long")
+    kept = lambda within: sorted((r.clip_id, r.frame) for r in shots.exclude_near(at, hits, within).collect())
+    assert kept("near") == kept(10) == [(1, 89), (1, 111), (1, 194)] + [(2, f) for f in (89, 90, 100, 110, 111, 194, 195)]

@@ -13,7 +13,7 @@ from ..operators import metrics as M
 from ..operators import rallies as R
 from ..operators import shots as D
 from ..operators import tracks as P
-from ..sources.adapters import fixture, with_fixtures
+from ..sources.adapters import fixtures, with_fixtures
 from . import bounce_plans, chain_plans, coaching_plans, contact_plans, court_plans, report_plans, review_plans, role_plans, union_plans
 
 _Q: dict = {}
@@ -22,7 +22,11 @@ _S: dict[str, str] = {}
 
 def _add(name: str, run, sql: str | None = None) -> None:
     """``run(get)`` builds the query from fixtures ``get(name)``."""
-    _Q[name] = lambda spark, sf_dir: run(lambda fx: fixture(spark, sf_dir, fx if fx.startswith("fx_") else f"fx_{fx}"))
+    def query(spark, sf_dir):
+        get = fixtures(spark, sf_dir)
+        return run(lambda fx: get(fx if fx.startswith("fx_") else f"fx_{fx}"))
+
+    _Q[name] = query
     if sql:
         _S[name] = with_fixtures(_counted(sql))
 
@@ -353,7 +357,7 @@ coaching_plans.register(_add, _SCORES, _LEVELS, _moves)
 
 def _raw(name: str, run, sql: str) -> None:
     """``run(spark, get)`` builds a query that writes and reads files on the way."""
-    _Q[name] = lambda spark, sf_dir: run(spark, lambda fx: fixture(spark, sf_dir, f"fx_{fx}"))
+    _Q[name] = lambda spark, sf_dir: run(spark, lambda fx, get=fixtures(spark, sf_dir): get(f"fx_{fx}"))
     _S[name] = with_fixtures(_counted(sql))
 
 

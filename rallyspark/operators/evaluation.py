@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .helpers import match_one_to_one
+from .tiles import tiled
 
 
 def score_matches(truth: DataFrame, got: DataFrame, tolerance: int = 12) -> DataFrame:
@@ -30,9 +31,16 @@ def score_types(shots: DataFrame, truth: DataFrame, within: int = 60) -> DataFra
 
 def score_rally_shots(shots: DataFrame, rallies: DataFrame, slack: int = 60) -> DataFrame:
     """Shots inside each truth window grown by ``slack``, against the truth's count."""
-    spans = rallies.select("clip_id", "rally_id", "n_shots", F.explode(F.sequence(F.col("start_frame") - slack, F.col("end_frame") + slack)).alias("frame"))
-    got = spans.join(shots.select("clip_id", "frame"), ["clip_id", "frame"]).groupBy("clip_id", "rally_id").agg(F.count("*").alias("got"))
-    return rallies.select("clip_id", "rally_id", "n_shots").join(got, ["clip_id", "rally_id"], "left").select("clip_id", "rally_id", F.col("n_shots").alias("truth"), F.coalesce("got", F.lit(0)).alias("got"), (F.coalesce("got", F.lit(0)) - F.col("n_shots")).alias("delta"))
+    first, last = F.col("start_frame").cast("long") - slack, F.col("end_frame").cast("long") + slack
+    spans = tiled(rallies.select("clip_id", "rally_id", "n_shots", first.alias("first_"), last.alias("last_")), F.col("first_"), F.col("last_"))
+    # A window's share in a tile is the shots up to its end less those before its start, in one ordered pass per tile.
+    mark = lambda sign, frame: F.struct(F.lit(sign).alias("sign_"), frame.alias("frame"))
+    marks = spans.withColumn("m_", F.explode(F.array(mark(-1, F.col("first_")), mark(1, F.col("last_"))))).select("clip_id", "tile_", "rally_id", "n_shots", "m_.*")
+    hits = tiled(shots.select("clip_id", F.col("frame").cast("long").alias("frame")), F.col("frame"), F.col("frame")).filter("tile_ is not null").withColumn("sign_", F.lit(0))
+    upto = Window.partitionBy("clip_id", "tile_").orderBy("frame", "sign_").rowsBetween(Window.unboundedPreceding, 0)
+    counted = marks.unionByName(hits, allowMissingColumns=True).withColumn("upto_", F.count_if(F.col("sign_") == 0).over(upto)).filter("sign_ <> 0")
+    got = counted.groupBy("clip_id", "rally_id", F.col("n_shots").alias("truth")).agg(F.sum(F.col("sign_") * F.col("upto_")).alias("got"))
+    return got.withColumn("delta", F.col("got") - F.col("truth"))
 
 
 def alternation_check(shots: DataFrame, roles: DataFrame, court: DataFrame) -> DataFrame:

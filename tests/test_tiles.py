@@ -2,7 +2,7 @@
 
 import random
 
-from rallyspark.operators import evaluation
+from rallyspark.operators import evaluation, review
 from rallyspark.operators.tiles import TILE
 
 LONG = 3_000_000_000
@@ -23,3 +23,17 @@ def test_shots_of_windows_by_tiles(spark):
     got = evaluation.score_rally_shots(spark.createDataFrame(shots, "clip_id long, frame long"), _rallies(spark, spans)).collect()
     want = {(c, i): sum(x == c and f is not None and s - 60 <= f <= e + 60 for x, f in shots) for c, i, s, e, _ in spans}
     assert {(r.clip_id, r.rally_id): r.got for r in got} == want and all(r.delta == r.got - r.truth for r in got) and sum(want.values())
+
+
+def test_impacts_near_tiles_ends(spark):
+    a, b = _frames(2), _frames(3)
+    truth = spark.createDataFrame([(*r, "serve" if i % 3 else "drive") for i, r in enumerate(a)], "clip_id long, frame long, true_type string")
+    shots = spark.createDataFrame([(*r, i % 2 == 0) for i, r in enumerate(b)], "clip_id long, frame long, is_serve boolean")
+    near = lambda x, others, n: x[1] is not None and any(o[1] is not None and o[0] == x[0] and abs(o[1] - x[1]) <= n for o in others)
+    for within in (0, 6, LONG):
+        got = {(r.clip_id, r.kind): (r.n_true, r.found, r.n_got, r.right) for r in review.impact_report(shots, truth, within).collect()}
+        for (clip, kind), values in got.items():
+            t = [r for i, r in enumerate(a) if r[0] == clip and (kind == "serve") == (i % 3 > 0)]
+            s = [r for i, r in enumerate(b) if r[0] == clip and (kind == "serve") == (i % 2 == 0)]
+            assert values == (len(t), sum(near(r, b, within) for r in t), len(s), sum(near(r, a, within) for r in s))
+        assert len(got) == 4

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import bbox_distance
 from .ball import KNOWN, W, grounded_fraction, max_jump
 from .shots import CLIP
-from .tiles import TILE, tiled
+from .tiles import TILE, in_spans, tiled
 
 
 # ---- gates
@@ -207,8 +207,7 @@ def training_manifest(labels: DataFrame, scale: float = 0.25, hold_out: int = 0)
 
 def in_play_bound(bounces: DataFrame, rallies: DataFrame) -> DataFrame:
     """Bounces inside the rallies' spans against their shots, which bound them, and bounces outside."""
-    spans = rallies.select("clip_id", F.explode(F.sequence("start_frame", "end_frame")).alias("frame")).distinct().withColumn("in_", F.lit(True))
-    sides = bounces.join(spans, ["clip_id", "frame"], "left").groupBy("clip_id").agg(F.count("in_").alias("inside"), F.count_if(F.col("in_").isNull()).alias("outside"))
+    sides = in_spans(bounces.select("clip_id", "frame"), rallies).groupBy("clip_id").agg(F.count_if("in_").alias("inside"), F.count_if(~F.col("in_")).alias("outside"))
     most = rallies.groupBy("clip_id").agg(F.sum("n_shots").alias("shots"))
     return sides.join(most, "clip_id").withColumn("within_bound", F.col("inside") <= F.col("shots"))
 

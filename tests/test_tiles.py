@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from rallyspark.operators import evaluation, review
 from rallyspark.operators.tiles import TILE
 
@@ -37,3 +39,18 @@ def test_impacts_near_tiles_ends(spark):
             s = [r for i, r in enumerate(b) if r[0] == clip and (kind == "serve") == (i % 2 == 0)]
             assert values == (len(t), sum(near(r, b, within) for r in t), len(s), sum(near(r, a, within) for r in s))
         assert len(got) == 4
+
+
+@pytest.fixture
+def spans():
+    return [(1, 0, TILE - 250, TILE - 200, 1), (1, 1, TILE - 230, TILE - 220, 1), (1, 2, TILE - 100, TILE + 50, 1), (1, 3, 3 * TILE + 10, 3 * TILE + 9, 1), (2, 0, TILE + 7, LONG, 1)]
+
+
+def _inside(row, spans):
+    return row[1] is not None and any(c == row[0] and s <= row[1] <= e for c, _, s, e, _ in spans)
+
+
+def test_bounces_in_long_spans(spark, spans):
+    rows = _frames(4)
+    got = {r.clip_id: (r.inside, r.outside) for r in review.in_play_bound(spark.createDataFrame(rows, "clip_id long, frame long"), _rallies(spark, spans)).collect()}
+    assert got == {c: tuple(sum(r[0] == c and _inside(r, spans) == yes for r in rows) for yes in (True, False)) for c in (1, 2)}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import in_rect, project, speed_change, turn_degrees
+from .tiles import in_spans
 
 
 def W():  # noqa: N802
@@ -144,5 +145,4 @@ def roi_filter(dets: DataFrame, court: DataFrame, least: float = 0.3, margin: fl
 
 def live_play_rate(ball: DataFrame, rallies: DataFrame) -> DataFrame:
     """Share of frames inside rallies where the ball is known."""
-    spans = rallies.select("clip_id", F.explode(F.sequence("start_frame", "end_frame")).alias("frame")).distinct()
-    return ball.join(spans, ["clip_id", "frame"], "left_semi").groupBy("clip_id").agg(F.count("*").alias("frames"), F.avg(KNOWN().cast("int")).alias("known_share"))
+    return in_spans(ball.select("clip_id", "frame", "visible", "interpolated"), rallies).filter("in_").groupBy("clip_id").agg(F.count("*").alias("frames"), F.avg(KNOWN().cast("int")).alias("known_share"))

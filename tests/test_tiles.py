@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from rallyspark.operators import evaluation, review
+from rallyspark.operators import ball, evaluation, review
 from rallyspark.operators.tiles import TILE
 
 LONG = 3_000_000_000
@@ -54,3 +54,10 @@ def test_bounces_in_long_spans(spark, spans):
     rows = _frames(4)
     got = {r.clip_id: (r.inside, r.outside) for r in review.in_play_bound(spark.createDataFrame(rows, "clip_id long, frame long"), _rallies(spark, spans)).collect()}
     assert got == {c: tuple(sum(r[0] == c and _inside(r, spans) == yes for r in rows) for yes in (True, False)) for c in (1, 2)}
+
+
+def test_known_frames_in_long_spans(spark, spans):
+    rows = [(*r, i % 3 == 0, False) for i, r in enumerate(_frames(5))]
+    got = {r.clip_id: (r.frames, r.known_share) for r in ball.live_play_rate(spark.createDataFrame(rows, "clip_id long, frame long, visible boolean, interpolated boolean"), _rallies(spark, spans)).collect()}
+    held = {c: [r[2] for r in rows if r[0] == c and _inside(r, spans)] for c in (1, 2)}
+    assert got == {c: (len(v), pytest.approx(sum(v) / len(v))) for c, v in held.items()}

@@ -47,6 +47,10 @@ def contact_front(hand: Column, y: Column, floor: float = 0.3) -> Column:
 def contact_height(y: Column, floor: float = 0.5) -> Column:
     """``high`` at or above the shoulders, ``low`` at or below the hips, else (or unseen) ``mid``."""
     shoulders, hips = (mean_of(point("l" + part, floor)[1], point("r" + part, floor)[1]) for part in "sh")
+    return height_among(y, shoulders, hips)
+
+
+def height_among(y: Column, shoulders: Column, hips: Column) -> Column:
     return F.when(y <= shoulders, "high").when(y >= hips, "low").otherwise("mid")
 
 
@@ -66,15 +70,44 @@ def stroke_side(x: Column, hand: Column, serve: Column, floor: float = 0.5, leas
     return F.struct(F.when(served, "forehand").otherwise(side).alias("side"), F.when(served, F.greatest(sure, F.lit(0.6))).otherwise(sure).alias("confidence"))
 
 
+def nearest_net(*spots: tuple[Column, Column]) -> Column:
+    """The spot (away, place, x, y) nearest the net (ties in their order), null if none is known."""
+    options = F.array(*[F.struct(F.abs(y - NET).alias("away"), F.lit(i).alias("place"), x.alias("x"), y.alias("y")) for i, (x, y) in enumerate(spots)])
+    return F.array_min(F.filter(options, lambda s: s["away"].isNotNull()))
+
+
 def front_feet(contacts: DataFrame, poses: DataFrame, court: DataFrame, floor: float = 0.3) -> DataFrame:
     """Court point nearest the net among the foot of the box and the ankles that are seen (ties in that order)."""
-    joined = contacts.select("clip_id", "frame", "track_id", "court_x_ft", "court_y_ft").distinct().join(court, "clip_id").join(poses.drop("court_y_ft"), ["clip_id", "frame", "track_id"], "left")
-    spots = [(F.col("court_x_ft"), F.col("court_y_ft")), *(project(*point(a, floor)) for a in ("la", "ra"))]
-    options = F.array(*[F.struct(F.abs(y - NET).alias("away"), F.lit(i).alias("place"), x.alias("x"), y.alias("y")) for i, (x, y) in enumerate(spots)])
-    best = F.array_min(F.filter(options, lambda s: s["away"].isNotNull()))
+    # Contacts go to their frame and track first, so that distinct rows need no move of their own.
+    spots = contacts.select("clip_id", "frame", "track_id", "court_x_ft", "court_y_ft").repartition("clip_id", "frame", "track_id").distinct()
+    joined = spots.join(court, "clip_id").join(poses.drop("court_y_ft"), ["clip_id", "frame", "track_id"], "left")
+    best = nearest_net((F.col("court_x_ft"), F.col("court_y_ft")), *(project(*point(a, floor)) for a in ("la", "ra")))
     return joined.withColumn("best", best).select("clip_id", "frame", "track_id", F.col("best.x").alias("front_x"), F.col("best.y").alias("front_y"))
 
 
+def scenes(shots: DataFrame, contacts: DataFrame, poses: DataFrame, court: DataFrame, foot_floor: float = 0.3, body_floor: float = 0.5) -> DataFrame:
+    """Shots with their clip's court and what stands on their frame: the hitter's contact and height of contact, front feet of the
+    hitter (front_x, front_y; standing: whether a contact shows the hitter) and of ``next_track`` (receiver_y).
+
+    Shots, contacts and poses go to their frame once; tracks are compared inside it. Rows multiply as left joins by clip, frame and track would."""
+    keys = ["clip_id", "frame"]
+    people = contacts.select(*keys, F.struct("track_id", "court_x_ft", "court_y_ft").alias("s"), F.when(F.col("part") == "hitter", F.struct("track_id", "impact_y", "speed_pre", "speed_post", "court_y_ft")).alias("h"))
+    people = people.repartition(*keys).groupBy(*keys).agg(F.collect_set("s").alias("spots_"), F.collect_list("h").alias("hits_"))
+    ankles = [c.alias(n) for foot in ("la", "ra") for c, n in zip(point(foot, foot_floor), (f"{foot}x", f"{foot}y"))]
+    middles = [mean_of(point("l" + part, body_floor)[1], point("r" + part, body_floor)[1]).alias(name) for part, name in (("s", "shoulders"), ("h", "hips"))]
+    bodies = poses.select(*keys, F.struct("track_id", *ankles, *middles).alias("b")).repartition(*keys).groupBy(*keys).agg(F.collect_list("b").alias("bodies_"))
+    rows = shots.join(people, keys, "left").join(bodies, keys, "left").join(court, "clip_id")
+    of = lambda entries, track: F.filter(entries, lambda e: e["track_id"] == F.col(track))
+    rows = rows.withColumn("hit_", F.explode_outer(of("hits_", "track_id"))).withColumn("body_", F.explode_outer(of("bodies_", "track_id")))
+    for track, name in (("track_id", "front_"), ("next_track", "receiver_")):
+        rows = rows.withColumn("spot_", F.explode_outer(of("spots_", track))).withColumn("pose_", F.explode_outer(F.when(F.col("spot_").isNotNull(), of("bodies_", track))))
+        feet = [project(F.col(f"pose_.{foot}x"), F.col(f"pose_.{foot}y")) for foot in ("la", "ra")]
+        rows = rows.withColumns({name: nearest_net((F.col("spot_.court_x_ft"), F.col("spot_.court_y_ft")), *feet), "standing": F.col("spot_").isNotNull() if name == "front_" else F.col("standing")})
+    height = height_among(F.col("hit_.impact_y"), F.col("body_.shoulders"), F.col("body_.hips"))
+    keep = [c for c in rows.columns if not c.endswith("_")]
+    return rows.select(*keep, "hit_.impact_y", "hit_.speed_pre", "hit_.speed_post", "hit_.court_y_ft", height.alias("height"), F.col("front_.x").alias("front_x"), F.col("front_.y").alias("front_y"), F.col("receiver_.y").alias("receiver_y"))
+
+
 def body_measures(poses: DataFrame, contacts: DataFrame, shots: DataFrame, roles: DataFrame, roster: DataFrame, court: DataFrame) -> DataFrame:
     """Knee angle, contact front, contact height and stroke of every shot whose hitter has a pose."""
     rows = (contacts.filter("part = 'hitter'").select("clip_id", "frame", "track_id", "shot_id", "impact_x", "impact_y").join(poses, ["clip_id", "frame", "track_id"])

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.geometry import KITCHEN, NET, local_px_per_ft, px_per_ft, zone
 from .ball import KNOWN
-from .poses import contact_height, front_feet
+from .poses import scenes
 from .shots import CLIP, between_shots, last_shot
 
 
@@ -23,25 +23,32 @@ def landing(bounces: DataFrame, shots: DataFrame) -> DataFrame:
     return first.select("clip_id", "shot_id", F.col("b.frame").alias("land_frame"), F.col("b.court_x_ft").alias("land_x"), F.col("b.court_y_ft").alias("land_y"))
 
 
-def anchored_speed(shots: DataFrame, landed: DataFrame, feet: DataFrame, court: DataFrame, most_s: float = 1.5, least_s: float = 0.1, most_ft: float = 44.0, slack: float = 2.0) -> DataFrame:
-    """Ground speed from the hitter's front foot to the landing, else to the next contact unless that is a serve.
-
-    The first end point with enough airtime, a range within the court and a crossing of the net counts.
-    """
-    at = shots.join(feet, ["clip_id", "frame", "track_id"]).select("clip_id", "shot_id", "frame", "is_serve", "front_x", "front_y")
-    nxt = lambda c: F.lead(c).over(ORDER())
-    rows = (at.withColumn("next_", F.when(~nxt("is_serve"), nxt(F.struct(F.col("frame").alias("f"), F.col("front_x").alias("x"), F.col("front_y").alias("y")))))
-            .join(landed, ["clip_id", "shot_id"], "left").join(court.select("clip_id", "fps"), "clip_id"))
-
+def speed_to_anchor(most_s: float = 1.5, least_s: float = 0.1, most_ft: float = 44.0, slack: float = 2.0) -> Column:
+    """Struct (anchor, speed, confidence) by frame, front_x, front_y, land_frame, land_x, land_y, fps and next_ (f, x, y), as anchored_speed() says."""
     def end(frame: Column, x: Column, y: Column, kind: str, base: float, longest: float | None) -> Column:
         air, far = (frame - F.col("frame")) / F.col("fps"), F.hypot(x - F.col("front_x"), y - F.col("front_y"))
         low, high = F.least(y, F.col("front_y")), F.greatest(y, F.col("front_y"))
         ok = (air >= least_s) & (far <= most_ft) & (low <= NET + slack) & (high >= NET - slack)
         sure = base * F.when((low < -3) | (high > 47), 0.5).otherwise(1.0) * F.when(air < 0.15, 0.5).otherwise(1.0)
-        return F.when(ok & (air <= longest) if longest else ok, F.struct(F.lit(kind).alias("anchor"), (far / air).alias("speed"), sure.alias("confidence")))
+        return F.when(ok & (air <= longest) if longest else ok, F.struct(F.lit(kind).alias("anchor"), F.round(far / air, 6).alias("speed"), sure.alias("confidence")))
 
-    best = F.coalesce(end(F.col("land_frame"), F.col("land_x"), F.col("land_y"), "bounce", 0.85, None), end(F.col("next_.f"), F.col("next_.x"), F.col("next_.y"), "contact", 0.6, most_s))
-    return rows.withColumn("best", best).filter("best is not null").select("clip_id", "shot_id", "best.anchor", F.round("best.speed", 6).alias("speed"), F.col("best.confidence").alias("confidence"))
+    return F.coalesce(end(F.col("land_frame"), F.col("land_x"), F.col("land_y"), "bounce", 0.85, None), end(F.col("next_.f"), F.col("next_.x"), F.col("next_.y"), "contact", 0.6, most_s))
+
+
+def next_contact(order: WindowSpec) -> Column:
+    """The next shot's frame and front foot (f, x, y), null if that is a serve."""
+    nxt = lambda c: F.lead(c).over(order)
+    return F.when(~nxt("is_serve"), nxt(F.struct(F.col("frame").alias("f"), F.col("front_x").alias("x"), F.col("front_y").alias("y"))))
+
+
+def anchored_speed(shots: DataFrame, landed: DataFrame, feet: DataFrame, court: DataFrame) -> DataFrame:
+    """Ground speed from the hitter's front foot to the landing, else to the next contact unless that is a serve.
+
+    The first end point with enough airtime, a range within the court and a crossing of the net counts.
+    """
+    at = shots.join(feet, ["clip_id", "frame", "track_id"]).select("clip_id", "shot_id", "frame", "is_serve", "front_x", "front_y")
+    rows = at.withColumn("next_", next_contact(ORDER())).join(landed, ["clip_id", "shot_id"], "left").join(court.select("clip_id", "fps"), "clip_id")
+    return rows.withColumn("best", speed_to_anchor()).filter("best is not null").select("clip_id", "shot_id", "best.anchor", "best.speed", "best.confidence")
 
 
 def flight_points(shots: DataFrame, ball: DataFrame, most: int = 90) -> DataFrame:
@@ -74,29 +81,30 @@ def bounced_between(shots: DataFrame, ball: DataFrame, fall: float = 14.0, rise:
     return rows.groupBy("clip_id", "shot_id").agg(F.when(F.max("n") >= 5, F.bool_or(hit)).alias("bounced"))
 
 
-def shot_context(shots: DataFrame, contacts: DataFrame, poses: DataFrame, court: DataFrame, landed: DataFrame) -> DataFrame:
-    """Per shot what its type rests on: zones of hitter and receiver on this frame, landing, return, pixel speeds, contact height."""
-    feet = front_feet(contacts, poses, court)
-    hitter = contacts.filter("part = 'hitter'").select("clip_id", "frame", "track_id", "impact_y", "speed_pre", "speed_post", "court_y_ft")
-    receiver = feet.select("clip_id", "frame", F.col("track_id").alias("next_track"), F.col("front_y").alias("receiver_y"))
-    body = poses.select("clip_id", "frame", "track_id", *[f"{s}{p}{c}" for s in "lr" for p in "sh" for c in "xyv"])
-    rows = shots.select("clip_id", "shot_id", "frame", "track_id", "is_serve", "hitter_side", F.lead("track_id").over(ORDER()).alias("next_track"),
+def scenes_landed(shots: DataFrame, contacts: DataFrame, poses: DataFrame, court: DataFrame, landed: DataFrame) -> DataFrame:
+    """Shots with returns, what stands on their frame and their landing."""
+    rows = shots.select("clip_id", "shot_id", "frame", "track_id", "is_serve", F.lead("track_id").over(ORDER()).alias("next_track"),
                         F.coalesce(F.lag("is_serve").over(ORDER()) & (F.lag("hitter_side").over(ORDER()) != F.col("hitter_side")), F.lit(False)).alias("is_return"))
-    keys = ["clip_id", "frame", "track_id"]
-    rows = (rows.join(hitter, keys, "left").join(feet.select(*keys, "front_y"), keys, "left").join(body, keys, "left").join(receiver, ["clip_id", "frame", "next_track"], "left")
-            .join(landed, ["clip_id", "shot_id"], "left").join(court, "clip_id"))
+    return scenes(rows, contacts, poses, court).join(landed, ["clip_id", "shot_id"], "left")
+
+
+def context_columns() -> list[Column]:
     ppf = px_per_ft(F.coalesce("court_y_ft", F.lit(NET)), F.col("near_px_per_ft"), F.col("far_px_per_ft"))
     same = ((F.col("court_y_ft") >= NET) == (F.col("land_y") >= NET)) & (F.abs(F.col("land_y") - NET) > KITCHEN)
-    return rows.select("clip_id", "shot_id", "is_serve", "is_return", zone(F.coalesce("front_y", F.lit(NET))).alias("zone"), zone(F.col("receiver_y")).alias("receiver_zone"), F.when(~F.coalesce(same, F.lit(False)), F.col("land_y")).alias("landing_y"),
-                       F.round(F.col("speed_pre") * F.col("fps") / ppf, 6).alias("pre_ftps"), F.round(F.col("speed_post") * F.col("fps") / ppf, 6).alias("post_ftps"), contact_height(F.col("impact_y")).alias("height"))
+    return [*map(F.col, ("clip_id", "shot_id", "is_serve", "is_return")), zone(F.coalesce("front_y", F.lit(NET))).alias("zone"), zone(F.col("receiver_y")).alias("receiver_zone"), F.when(~F.coalesce(same, F.lit(False)), F.col("land_y")).alias("landing_y"),
+            F.round(F.col("speed_pre") * F.col("fps") / ppf, 6).alias("pre_ftps"), F.round(F.col("speed_post") * F.col("fps") / ppf, 6).alias("post_ftps"), F.col("height")]
+
+
+def shot_context(shots: DataFrame, contacts: DataFrame, poses: DataFrame, court: DataFrame, landed: DataFrame) -> DataFrame:
+    """Per shot what its type rests on: zones of hitter and receiver on this frame, landing, return, pixel speeds, contact height."""
+    return scenes_landed(shots, contacts, poses, court, landed).select(*context_columns())
 
 
-def speed_for_type(context: DataFrame, speeds: DataFrame, least: float = 0.6) -> DataFrame:
-    """Adds the speed and its two thresholds: the anchored one if sure and not a volley that rests on a bounce, else the pixel speed."""
-    rows = context.join(speeds.select("clip_id", "shot_id", "anchor", F.col("speed").alias("anchored"), F.col("confidence").alias("anchored_confidence")), ["clip_id", "shot_id"], "left")
-    use = F.coalesce((F.col("anchored_confidence") >= least) & ~(F.col("volley") & (F.col("anchor") == "bounce")), F.lit(False))
+def speed_for_type(rows: DataFrame, least: float = 0.6) -> DataFrame:
+    """Adds the speed and its two thresholds: the anchored one (``best``) if sure and not a volley that rests on a bounce, else the pixel speed."""
+    use = F.coalesce((F.col("best.confidence") >= least) & ~(F.col("volley") & (F.col("best.anchor") == "bounce")), F.lit(False))
     pick = lambda a, b: F.when(use, a).otherwise(b)
-    return rows.withColumn("speed", pick(F.col("anchored"), F.col("post_ftps"))).withColumn("drive_min", pick(26.0, 25.0)).withColumn("dink_max", pick(23.0, 16.0)).drop("anchored", "anchored_confidence", "anchor")
+    return rows.withColumn("speed", pick(F.col("best.speed"), F.col("post_ftps"))).withColumn("drive_min", pick(26.0, 25.0)).withColumn("dink_max", pick(23.0, 16.0)).drop("best")
 
 
 #: fixed values: arc shares of a lob and of a lofted ball, speed of an incoming ball that is reset
@@ -125,14 +133,16 @@ def classify_type(rows: DataFrame) -> DataFrame:
 
 def typed_shots(shots: DataFrame, ball: DataFrame, bounces: DataFrame, contacts: DataFrame, poses: DataFrame, court: DataFrame, linked: DataFrame) -> DataFrame:
     """The whole typing: context, volleys by the flight before (else by the listed bounces), speeds, arcs, then the rules."""
-    landed = landing(bounces, shots)
-    context = shot_context(shots, contacts, poses, court, landed)
+    # Speeds run over the shots whose hitter a contact shows, on the same rows as the context.
+    rows = scenes_landed(shots, contacts, poses, court, landing(bounces, shots))
+    best = F.when(F.col("standing"), speed_to_anchor()).alias("best")
+    context = rows.withColumn("next_", next_contact(Window.partitionBy("clip_id", "standing").orderBy("frame", "shot_id"))).select(*context_columns(), best)
     listed = linked.filter("next_shot is not null").select("clip_id", F.col("next_shot").alias("shot_id")).distinct().withColumn("listed", F.lit(True))
     first = shots.groupBy("clip_id").agg(F.min_by("shot_id", F.struct("frame", "shot_id")).alias("first_shot"))
     volley = ~F.coalesce("bounced", "listed", F.lit(False)) & ~F.col("is_serve") & (F.col("shot_id") != F.col("first_shot"))
     rows = (context.join(bounced_between(shots, ball), ["clip_id", "shot_id"], "left").join(listed, ["clip_id", "shot_id"], "left").join(first, "clip_id").withColumn("volley", volley)
             .join(arc_height(flight_points(shots, ball)), ["clip_id", "shot_id"], "left"))
-    return classify_type(speed_for_type(rows, anchored_speed(shots, landed, front_feet(contacts, poses, court), court)))
+    return classify_type(speed_for_type(rows))
 
 
 # ---- the ball's size and height

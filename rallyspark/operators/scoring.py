@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import project
 from .helpers import first_unused, match_one_to_one, merge_ends
 from .poses import point
+from .tiles import tiled
 
 
 def _matched(review: DataFrame, kind: str, shots: DataFrame, tolerance: int) -> DataFrame:
@@ -101,11 +102,20 @@ def typed_labels(shots: DataFrame, labels: DataFrame) -> DataFrame:
     names no shot, or a note without a type, is not a shot; a row without both is no label."""
     kind = F.lower(F.trim(F.coalesce("true_type", F.lit(""))))
     rows = labels.withColumn("truth", kind).withColumn("is_shot", F.when(kind.isin(*NOT_A_SHOT) | ((kind == "") & (F.trim(F.coalesce("notes", F.lit(""))) != "")), False).when(kind != "", True)).filter("is_shot is not null")
-    near = rows.select("clip_id", "label_id", F.col("frame").alias("at"), F.when(F.col("by_clock"), 4).otherwise(3).alias("reach")).withColumn("frame", F.explode(F.expr("sequence(at - reach, at + reach)")))
-    hit = near.join(shots.select("clip_id", "frame", "shot_id", "shot_type", "is_volley"), ["clip_id", "frame"]).groupBy("clip_id", "label_id").agg(
-        F.min(F.struct(F.abs(F.col("frame") - F.col("at")).alias("d"), "frame", "shot_id", "shot_type", "is_volley")).alias("s"))
+    # Labels and shots meet in the label's tile of frames; shots near a tile's end are in both.
+    frame = F.col("frame").cast("long")
+    asked = rows.select("clip_id", frame.alias("frame"), F.when(F.col("by_clock"), 4).otherwise(3).alias("reach"), F.struct("label_id", "is_shot", "truth", "true_volley").alias("label"))
+    hits = shots.select("clip_id", frame.alias("frame"), "shot_id", "shot_type", "is_volley").filter("frame is not null").withColumn("hit_", F.lit(True))
+    both = tiled(asked, F.col("frame"), F.col("frame")).unionByName(tiled(hits, F.col("frame") - 4, F.col("frame") + 4), allowMissingColumns=True)
+    side = lambda order: Window.partitionBy("clip_id", "tile_").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    shot = lambda *by: F.when(F.col("hit_"), F.struct(*by, "shot_type", "is_volley"))
+    before = F.max(shot("frame", (-F.col("shot_id")).alias("place"))).over(side(F.asc("frame")))  # of shots on a frame the smallest id
+    after = F.min(shot("frame", F.col("shot_id").alias("place"))).over(side(F.desc("frame")))
+    met = both.withColumns({"b_": before, "a_": after}).filter("label is not null")
+    found = lambda s: F.when(F.abs(F.col(f"{s}.frame") - F.col("frame")) <= F.col("reach"), F.struct(F.abs(F.col(f"{s}.frame") - F.col("frame")).alias("d"), f"{s}.frame", f"{s}.shot_type", f"{s}.is_volley"))
+    hit = met.select("clip_id", "label.*", F.array_min(F.array_compact(F.array(found("b_"), found("a_")))).alias("s"))
     right = F.when(F.col("is_shot") & F.lower("true_volley").isin("y", "n"), (F.lower("true_volley") == "y") == F.coalesce(F.col("s.is_volley"), F.lit(False)))
-    return rows.join(hit, ["clip_id", "label_id"], "left").select("clip_id", "label_id", "is_shot", "truth", F.coalesce(F.lower("s.shot_type"), F.lit("not-detected")).alias("said"), right.alias("volley_right"))
+    return hit.select("clip_id", "label_id", "is_shot", "truth", F.coalesce(F.lower("s.shot_type"), F.lit("not-detected")).alias("said"), right.alias("volley_right"))
 
 
 def type_report(shots: DataFrame, labels: DataFrame) -> DataFrame:

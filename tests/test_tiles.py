@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from rallyspark.operators import ball, evaluation, review
+from rallyspark.operators import ball, evaluation, review, scoring
 from rallyspark.operators.tiles import TILE
 
 LONG = 3_000_000_000
@@ -61,3 +61,20 @@ def test_known_frames_in_long_spans(spark, spans):
     got = {r.clip_id: (r.frames, r.known_share) for r in ball.live_play_rate(spark.createDataFrame(rows, "clip_id long, frame long, visible boolean, interpolated boolean"), _rallies(spark, spans)).collect()}
     held = {c: [r[2] for r in rows if r[0] == c and _inside(r, spans)] for c in (1, 2)}
     assert got == {c: (len(v), pytest.approx(sum(v) / len(v))) for c, v in held.items()}
+
+
+def test_labels_find_shots_near_tiles_ends(spark):
+    rnd = random.Random(6)
+    shots = [(c, i, f, rnd.choice(("dink", "Drive")), i % 2 == 0) for i, (c, f) in enumerate((c, TILE + rnd.randrange(-30, 30)) for c in (1, 2) for _ in range(25))] + [(1, 99, None, "lob", True)]
+    labels = [(c, i, None if i == 3 else TILE + rnd.randrange(-30, 30), i % 3 == 0, rnd.choice(("dink", "drive", "")), rnd.choice((None, "a feed")), rnd.choice(("y", "N", None))) for c in (1, 2) for i in range(40)]
+    df = scoring.typed_labels(spark.createDataFrame(shots, "clip_id long, shot_id long, frame long, shot_type string, is_volley boolean"),
+                              spark.createDataFrame(labels, "clip_id long, label_id long, frame long, by_clock boolean, true_type string, notes string, true_volley string"))
+    want = {}
+    for c, i, at, clock, kind, notes, volley in labels:
+        if kind or notes:
+            near = min(((abs(s[2] - at), s[2], s[1], s) for s in shots if s[0] == c and None not in (at, s[2]) and abs(s[2] - at) <= 3 + clock), default=None)
+            said, flew = (near[3][3].lower(), near[3][4]) if near else ("not-detected", False)
+            want[c, i] = (bool(kind), kind, said, (volley == "y") == flew if kind and volley else None)
+    assert {(r.clip_id, r.label_id): (r.is_shot, r.truth, r.said, r.volley_right) for r in df.collect()} == want
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan  # labels aren't spread over frames and joined

@@ -112,8 +112,8 @@ class Person:
         tall = 0.5 if np.isnan(self.height) or np.isnan(t["height"]) else max(0.0, 1 - abs(t["height"] - self.height) / HEIGHT_FT)
         follows = 0.0
         for before, after in [(u, t) for u in self.tracks] + [(t, u) for u in self.tracks]:
-            gap, far = (after["a"] - before["b"]) / fps, np.hypot(*(np.array(before["last"]) - after["first"]))
-            if 0 <= gap <= GAP_S and far <= GAP_FT:
+            gap = (after["a"] - before["b"]) / fps
+            if 0 <= gap <= GAP_S and (far := np.hypot(before["last"][0] - after["first"][0], before["last"][1] - after["first"][1])) <= GAP_FT:
                 follows = max(follows, (1 - gap / GAP_S) * (1 - far / GAP_FT))
         return look, tall, follows
 

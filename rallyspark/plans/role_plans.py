@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import roles as L
+from ..sources.readers import written
 
 _TRACKS = """tk AS (SELECT p.clip_id, track_id, any_value(fps) AS fps, count(*) AS n, min(frame) AS fa, max(frame) AS fb, arg_min(court_x_ft, frame) AS ax, arg_min(court_y_ft, frame) AS ay, arg_max(court_x_ft, frame) AS bx, arg_max(court_y_ft, frame) AS by_,
       quantile_cont(court_x_ft, 0.5) AS mx, quantile_cont(court_y_ft, 0.5) AS my, avg(CAST(is_user AS INT)) AS us, avg(CAST(coalesce(court_x_ft BETWEEN -5 AND 25 AND court_y_ft BETWEEN -15 AND 59, false) AS INT)) AS inside, list(frame) AS frames,
@@ -64,9 +65,13 @@ def register(add) -> None:
     k AS (SELECT *, max(lost) OVER (PARTITION BY clip_id, segment ORDER BY frame) AS gone FROM l), s AS (SELECT clip_id, segment, any_value(f0) AS f0, any_value(f1) AS f1, max(CASE WHEN gone = 0 THEN frame END) AS seen FROM k GROUP BY clip_id, segment)
     SELECT clip_id, segment, coalesce(seen, f0) AS last_user_frame, coalesce(seen, f0) + 31 AS resumes_at_or_after FROM s WHERE coalesce(seen, f0) + 31 < f1""")
     tracks = lambda get: L.track_rows(get("people"), get("scene"), get("looks"))
-    seeds = lambda get: L.seed_user(tracks(get), get("people"), get("scene"))
-    roles = lambda get: L.assign_roles(tracks(get), seeds(get))
-    add("p8_seed_user_tracks", lambda get: seeds(get).withColumn("confidence", F.round("confidence", 6)), _TRACKS + ", " + _SEEDS + " SELECT clip_id, track_id, round(confidence, 6) AS confidence, basis FROM sd")
+    seeds = lambda get, of: L.seed_user(of, get("people"), get("scene"))
+
+    def roles(get):
+        of = written(tracks(get))  # held against one another in several steps
+        return L.assign_roles(of, seeds(get, of))
+
+    add("p8_seed_user_tracks", lambda get: seeds(get, written(tracks(get))).withColumn("confidence", F.round("confidence", 6)), _TRACKS + ", " + _SEEDS + " SELECT clip_id, track_id, round(confidence, 6) AS confidence, basis FROM sd")
     add("p11_assign_roles", roles, ROLES_SQL + " SELECT * FROM ro")
     add("p12_role_coverage", lambda get: L.role_coverage(get("people"), roles(get)), ROLES_SQL + """ SELECT p.clip_id, count(DISTINCT p.track_id) AS tracks, count(DISTINCT CASE WHEN role <> 'noise' THEN p.track_id END) AS assigned, count(DISTINCT CASE WHEN role = 'noise' THEN p.track_id END) AS noise,
       count(DISTINCT CASE WHEN role = 'user' THEN frame END) / (max(frame) + 1) AS user_coverage, count(DISTINCT CASE WHEN is_user THEN frame END) / (max(frame) + 1) AS click_coverage FROM fx_people p LEFT JOIN ro ON ro.clip_id = p.clip_id AND ro.track_id = p.track_id GROUP BY p.clip_id""")

@@ -212,6 +212,10 @@ def assign_roles(tracks: DataFrame, seeds: DataFrame) -> DataFrame:
 def role_coverage(players: DataFrame, roles: DataFrame) -> DataFrame:
     """Per clip: tracks in all, with a role and noise; the share of frames in which the user is known by role, and by clicks."""
     rows = players.join(roles.select(*TRACK, "role"), TRACK, "left")
-    return rows.groupBy("clip_id").agg(
-        F.count_distinct("track_id").alias("tracks"), F.count_distinct(F.when(F.col("role") != "noise", F.col("track_id"))).alias("assigned"), F.count_distinct(F.when(F.col("role") == "noise", F.col("track_id"))).alias("noise"),
-        (F.count_distinct(F.when(F.col("role") == "user", F.col("frame"))) / (F.max("frame") + 1)).alias("user_coverage"), (F.count_distinct(F.when(F.col("is_user"), F.col("frame"))) / (F.max("frame") + 1)).alias("click_coverage"))
+    any_ = lambda c: F.bool_or(F.coalesce(c, F.lit(False)))
+    named = rows.filter("track_id is not null").groupBy(*TRACK).agg(any_(F.col("role") != "noise").alias("assigned"), any_(F.col("role") == "noise").alias("noise"))
+    seen = rows.groupBy("clip_id", "frame").agg(any_(F.col("role") == "user").alias("user"), any_(F.col("is_user")).alias("clicked"))
+    of_tracks = named.groupBy("clip_id").agg(F.count("*").alias("tracks"), F.count_if("assigned").alias("assigned"), F.count_if("noise").alias("noise"))
+    share = lambda c: F.count(F.when(F.col(c), F.col("frame"))) / (F.max("frame") + 1)
+    of_frames = seen.groupBy("clip_id").agg(share("user").alias("user_coverage"), share("clicked").alias("click_coverage"))
+    return of_frames.join(of_tracks, "clip_id", "left").na.fill(0, ["tracks", "assigned", "noise"]).select("clip_id", "tracks", "assigned", "noise", "user_coverage", "click_coverage")

@@ -111,3 +111,11 @@ def test_clicks_follow_a_track_until_it_is_lost(spark):
         assert len(have) == len(there) or there[len(have)] - seen > 31
         assert (k in gaps) == (seen + 31 < until) and gaps.get(k, (seen, seen + 31)) == (seen, seen + 31)
     assert got.filter(F.col("frame").isNull()).count() == 0 and gaps
+
+
+def test_coverage_counts_without_a_copy_of_each_row_per_count(spark):
+    players = spark.createDataFrame([(1, 7, 0, True), (1, 7, 1, None), (1, 8, 1, False), (1, 9, 3, False), (1, None, 3, True), (2, 7, 0, False)], "clip_id long, track_id long, frame long, is_user boolean")
+    known = spark.createDataFrame([(1, 7, "user"), (1, 8, "noise")], "clip_id long, track_id long, role string")
+    got = roles.role_coverage(players, known)
+    assert [tuple(r) for r in got.orderBy("clip_id").collect()] == [(1, 3, 1, 1, 0.5, 0.5), (2, 1, 0, 0, 0.0, 0.0)]
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.readers import written
 from . import metrics as M
 from .report import positioned, role_confidence, sampled, sourced
 
@@ -79,8 +80,9 @@ def categories(drivers: DataFrame, proofs: DataFrame, clips: DataFrame) -> DataF
     """One row per clip, role and category: level, weight, confidence, limited_by, data_source, coverage, events, and the drivers.
 
     ``drivers`` is rating_drivers of positions inside rallies, ``proofs`` is evidence(); ``clips`` has clip_id and synthetic. The third
-    shots that count are those of ``proofs``. A category with a count is at least partly covered."""
-    d = drivers.drop("thirds", "drop_rate").join(proofs, ["clip_id", "role"]).withColumn("fault_rate", F.try_divide("faults", "serves"))
+    shots that count are those of ``proofs``. A category with a count is at least partly covered. What they are rated by, a row per
+    clip and role, is written once: levels and plans come back to it, not to the shots."""
+    d = written(drivers.drop("thirds", "drop_rate").join(proofs, ["clip_id", "role"]).withColumn("fault_rate", F.try_divide("faults", "serves")))
     none = F.struct(F.lit(0.0).alias("confidence"), F.lit("measurement").alias("limited_by"))
     proof = lambda name: F.coalesce(F.col(f"{name}_e"), none)
     weakest = lambda names: F.array_min(F.array(*[F.struct(proof(n)["confidence"].alias("c"), F.lit(i).alias("at"), proof(n)["limited_by"].alias("why")) for i, n in enumerate(names)]))

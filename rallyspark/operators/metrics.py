@@ -92,9 +92,15 @@ def position_summary(positions: DataFrame) -> DataFrame:
 
 
 def movement(positions: DataFrame, rallies: DataFrame, court: DataFrame, seconds: float = 0.2, least: float = 0.3, speed: float = 24.0) -> DataFrame:
+    """movement_inside of the positions that lie in a rally."""
+    return movement_inside(in_rally(positions, rallies), court, seconds, least, speed)
+
+
+def movement_inside(rows: DataFrame, court: DataFrame, seconds: float = 0.2, least: float = 0.3, speed: float = 24.0) -> DataFrame:
     """Distance between the mean positions of neighbouring time buckets of one rally, in all, per rally present and per
-    minute of frames in rallies; steps below ``least`` feet or faster than ``speed`` feet a second don't count."""
-    rows = in_rally(positions, rallies).join(court.select("clip_id", "fps"), "clip_id").withColumn("win", F.greatest(F.lit(1), F.round(seconds * F.col("fps")).cast("int")))
+    minute of frames in rallies; steps below ``least`` feet or faster than ``speed`` feet a second don't count.
+    ``rows`` is in_rally of the positions."""
+    rows = rows.join(court.select("clip_id", "fps"), "clip_id").withColumn("win", F.greatest(F.lit(1), F.round(seconds * F.col("fps")).cast("int")))
     b = rows.groupBy("clip_id", "role", "rally_id", "fps", "win", F.floor(F.col("frame") / F.col("win")).alias("bucket")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
     w = Window.partitionBy("clip_id", "role").orderBy("bucket", "rally_id")
     next_to = (F.col("bucket") - F.lag("bucket").over(w) == 1) & (F.col("rally_id") == F.lag("rally_id").over(w))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import coaching as C
 from ..operators import metrics as M
+from ..sources.readers import written
 
 _DEEP = "seq = 3 AND NOT is_serve AND shot_type IN ('drop', 'drive') AND pk % 3 <> 0"
 
@@ -19,14 +20,17 @@ def _positioned(name: str) -> str:
     return f"share * frames / (frames + 8) AS {name}_c, CASE WHEN share <= frames / (frames + 8) THEN 'measurement' ELSE 'sample_size' END AS {name}_w"
 
 
-def register(add, scores: str, levels: dict, moves) -> None:
+def register(add, scores: str, levels: dict, slowed) -> None:
     """``scores`` are the CTEs of the ratings (positions, ways, shots with stand-ins for contact and knees, drivers), ``levels`` the
-    SQL of each category's level, ``moves(get)`` the ways."""
+    SQL of each category's level, ``slowed(positions)`` the positions that ways are measured between."""
     def rated(get):
-        shots = get("shots").withColumns({"front": F.expr("CASE WHEN pk % 7 <> 0 THEN CAST(pk % 61 - 20 AS DOUBLE) / 20 END"), "knee": F.expr("CASE WHEN pk % 5 <> 0 THEN pk % 60 END"), "contact_zone": F.expr("CASE pk % 3 WHEN 0 THEN 'kitchen' WHEN 1 THEN 'transition' ELSE 'baseline' END")})
-        inside = M.in_rally(M.role_positions(get("players"), get("roles")), get("rallies")).drop("rally_id")
-        drivers = M.rating_drivers(shots, get("roles"), inside, moves(get), get("rallies"))
-        return C.categories(drivers, C.evidence(shots, get("roles"), get("players"), get("rallies")), get("court").select("clip_id", (F.col("clip_id") % 4 == 0).alias("synthetic")))
+        shots = get("shots", again=True).withColumns({"front": F.expr("CASE WHEN pk % 7 <> 0 THEN CAST(pk % 61 - 20 AS DOUBLE) / 20 END"), "knee": F.expr("CASE WHEN pk % 5 <> 0 THEN pk % 60 END"), "contact_zone": F.expr("CASE pk % 3 WHEN 0 THEN 'kitchen' WHEN 1 THEN 'transition' ELSE 'baseline' END")})
+        # Players, rallies and positions inside them serve several metrics: each is written once.
+        players = written(get("players").select("clip_id", "track_id", "frame", "transient", "court_x_ft", "court_y_ft"))
+        rallies, roles, court = written(get("rallies")), get("roles"), get("court")
+        inside = written(M.in_rally(M.role_positions(players, roles), rallies))
+        drivers = M.rating_drivers(shots, roles, inside.drop("rally_id"), M.movement_inside(slowed(inside), court), rallies)
+        return C.categories(drivers, C.evidence(shots, roles, players, rallies), court.select("clip_id", (F.col("clip_id") % 4 == 0).alias("synthetic")))
 
     weakest, why = {}, {}
     for k, names in C.EVIDENCE.items():

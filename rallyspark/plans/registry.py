@@ -24,7 +24,7 @@ def _add(name: str, run, sql: str | None = None) -> None:
     """``run(get)`` builds the query from fixtures ``get(name)``."""
     def query(spark, sf_dir):
         get = fixtures(spark, sf_dir)
-        return run(lambda fx: get(fx if fx.startswith("fx_") else f"fx_{fx}"))
+        return run(lambda fx, **more: get(fx if fx.startswith("fx_") else f"fx_{fx}", **more))
 
     _Q[name] = query
     if sql:
@@ -65,8 +65,12 @@ _MOVE = """mf AS (SELECT p.clip_id, role, frame, min(rally_id) AS rally_id, any_
     mt AS (SELECT clip_id, role, count_if(step BETWEEN 0.3 AND 24.0 * win / fps) AS steps, coalesce(sum(CASE WHEN step BETWEEN 0.3 AND 24.0 * win / fps THEN step END), 0) AS feet, count(DISTINCT rally_id) AS rallies, CAST(sum(n) AS DOUBLE) / max(fps) / 60 AS minutes FROM ms GROUP BY clip_id, role)"""
 
 
+def _slowed(positions):
+    return positions.withColumns({"x": F.col("x") / 8, "y": F.col("y") / 8})
+
+
 def _moves(get):
-    return M.movement(M.role_positions(get("players"), get("roles")).withColumns({"x": F.col("x") / 8, "y": F.col("y") / 8}), get("rallies"), get("court"))
+    return M.movement(_slowed(M.role_positions(get("players"), get("roles"))), get("rallies"), get("court"))
 
 
 def _scored(get):
@@ -352,7 +356,7 @@ _add("e8_alternation_check", lambda get: E.alternation_check(get("shots"), get("
       count_if(k = 2 AND team = b) AS own_returns, round(quantile_cont(CASE WHEN team <> b THEN gap END, 0.5), 6) AS legal_gap, round(quantile_cont(CASE WHEN team = b THEN gap END, 0.5), 6) AS same_team_gap FROM p GROUP BY clip_id""")
 contact_plans.register(_add, _LINKED)
 review_plans.register(_add, _SCORES, _SIG, _scored)
-coaching_plans.register(_add, _SCORES, _LEVELS, _moves)
+coaching_plans.register(_add, _SCORES, _LEVELS, _slowed)
 
 
 def _raw(name: str, run, sql: str) -> None:

@@ -8,6 +8,7 @@ from ..operators import evaluation as E
 from ..operators import review as V
 from ..operators import shots as D
 from ..operators import unions as U
+from ..sources.readers import written
 
 _RALLIES = "ur AS (SELECT clip_id, rally_no AS rally_id, min(frame) AS start_frame, max(frame) AS end_frame, count(*) AS n_shots, 'unknown' AS end_reason, list(shot_id ORDER BY frame, shot_id) AS shot_ids, arg_min(shot_id, frame) AS serve_shot_id, arg_min(track_id, frame) AS server FROM fx_shots GROUP BY clip_id, rally_no)"
 _OFFSETS = _RALLIES + """,
@@ -24,7 +25,7 @@ _BETWEEN = """, ub AS (SELECT b.clip_id, b.bounce_id, b.frame, [p, n] AS between
 
 def _streams(get):
     """(members, the five streams and the courts) of the stand-in clips: collections are clip numbers modulo 8."""
-    shots = get("shots")
+    shots = get("shots", again=True)
     at = F.struct("frame", "shot_id")
     rallies = shots.groupBy("clip_id", F.col("rally_no").alias("rally_id")).agg(F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), F.count("*").alias("n_shots"), F.lit("unknown").alias("end_reason"),
                                                                                 F.transform(F.sort_array(F.collect_list(at)), lambda s: s["shot_id"]).alias("shot_ids"), F.min_by("shot_id", at).alias("serve_shot_id"), F.min_by("track_id", at).alias("server"))
@@ -37,8 +38,9 @@ def register(add) -> None:
     offsets = lambda get: U.all_offsets(*_streams(get))
 
     def union(get, poses=False):
-        _, *streams, court = _streams(get)
-        return U.union_all(offsets(get), *streams, court, get("poses") if poses else None)
+        members, *streams, court = _streams(get)
+        placed = written(U.all_offsets(members, *streams, court))  # one row per member, which every stream meets
+        return U.union_all(placed, *streams, court, get("poses") if poses else None)
 
     add("a1_all_offsets", lambda get: offsets(get).withColumns({c: F.round(c, 6) for c in ("span_sec", "sec_before")}), _OFFSETS + " SELECT * REPLACE (round(span_sec, 6) AS span_sec, round(sec_before, 6) AS sec_before) FROM uo")
     add("a2_union_shots", lambda get: union(get)["shots"].drop("t_sec"), _OFFSETS + " SELECT collection_id, video_id, shot_type, hitter_side, is_serve, shot_id + shots_before AS shot_id, track_id + tracks_before AS track_id, frame AS video_frame, frame + frames_before AS frame FROM fx_shots JOIN uf USING (clip_id)")

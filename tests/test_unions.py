@@ -62,3 +62,11 @@ def test_label_samples_agree_between_reruns(spark):
     assert one == take(labels.repartition(7), 1) and one != take(labels, 2) and take(labels, 1, 20) < one
     assert all(sum(c == k for c, _ in one) == 50 for k in range(3)) and all(f % 5 and f % 7 for _, f in one)
     assert len(take(labels, 1, 10_000)) == 3 * sum(1 for f in range(300) if f % 5 and f % 7)
+
+
+def test_offsets_and_shots_are_derived_once(spark):
+    from rallyspark.plans import registry
+
+    got = registry.queries()["a5_check_references"](spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in " ".join(got.inputFiles()) and "AS span_sec" not in plan and "AS end_frame" not in plan

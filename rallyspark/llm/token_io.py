@@ -1,8 +1,8 @@
 """Token-id output: documents tokenized, written as coded id files in doc_id order, and read back.
 
-File format (little-endian): the magic, the coded blocks of range_coder back to back, the block lengths (u32), the
-documents' ids (i64), a null flag each (u8) and id counts (u64), then a foot with the three counts and the magic. Files hold
-whole documents; any block, and so any run of ids, can be decoded alone.
+File format (little-endian): the magic, the blocks of range_coder (its model, then the coded ones) back to back, the
+block lengths (u32), the documents' ids (i64), a null flag each (u8) and id counts (u64), then a foot with the three counts
+and the magic. Files hold whole documents; any coded block, and so any run of ids, can be decoded with the model alone.
 
 Defined results: null text counts as empty and has its end id only; null doc_ids come first; repeated doc_ids are
 documents of their own, in the order of a hash of their texts; an empty table gives no files; extra columns are
@@ -15,13 +15,14 @@ import functools
 import itertools
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,57 +34,31 @@ MAGIC, FOOT = b"RSIDS\x001\n", np.dtype([("blocks", "<u8"), ("docs", "<u8"), ("i
 END_ID = 0
 #: A file is closed at so many ids or soon after: a writing task holds them (2 bytes each) and their coded form.
 FILE_IDS = 4_000_000
-#: Words that a worker remembers (about 150 bytes each), and bytes of text that it cuts at once.
-CACHE_WORDS, SLICE_BYTES = 1_000_000, 4 << 20
-#: Texts of these characters only are cut into words here; their classes are the same in every Unicode version.
-_PLAIN = regex.compile(r"[\t\n\r -~À-ÖØ-öø-ž]*+")
-#: Byte classes of such texts: space, letter, digit, other (bytes above 127 are parts of letters).
-_CLASS = np.array([0 if c in b" \t\n\r" else 1 if c >= 128 or chr(c).isalpha() else 2 if 48 <= c < 58 else 3 for c in range(256)], np.uint8)
-#: Powers of an odd number modulo 2 ** 64 and of its inverse: hashes of words are differences of running sums.
-_ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 1 << 64)
-_SALT = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)
-
-
-def word_starts(data: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """Where the words of plain texts start, in bytes; ``heads`` are the starts of the texts.
-
-    The rule is that of the byte-level vocabularies: contractions ('s 't 're 've 'm 'll 'd) by themselves; runs of
-    letters, of digits and of other characters, each with one space before it; a run of white space without that
-    space or, before anything else, without its last character."""
-    kind, n = _CLASS[data], len(data)
-    head = np.zeros(n + 1, bool)
-    head[heads] = head[n] = True
-    new = np.ones(n, bool)
-    new[1:] = kind[1:] != kind[:-1]
-    new |= head[:n]
-    space = kind == 0
-    last = space & np.append(~space[1:], True) & ~head[1:]  # ends a run of white space that something follows
-    starts = new.copy()
-    starts[1:] &= ~((data[:-1] == 32) & last[:-1])  # the word has the space before it
-    starts |= last
-    quote = np.flatnonzero((data == 39) & new)  # a word starts here unless a space stands before it
-    quote = quote[starts[quote]]
-    if len(quote):
-        end = np.append(np.flatnonzero(head[1:]) + 1, n)
-        room = end[np.searchsorted(end, quote, "right")] - quote
-        at = lambda k: data[np.minimum(quote + k, n - 1)]
-        one = (room > 1) & np.isin(at(1), np.frombuffer(b"stmd", np.uint8))
-        pair = at(1).astype(np.int64) << 8 | at(2)
-        two = (room > 2) & np.isin(pair, [b[0] << 8 | b[1] for b in (b"re", b"ve", b"ll")])
-        size = np.where(two, 3, np.where(one, 2, 0))
-        starts[quote[size > 0] + 1] = False
-        after = (quote + size)[(size > 0) & (size < room)]
-        starts[after] |= ~space[after] | starts[after]
-    return np.flatnonzero(starts)
+#: Pieces that a worker remembers (some 200 bytes each), and bytes of text that it cuts at once.
+CACHE_PIECES, SLICE_BYTES = 1_200_000, 4 << 20
+#: Texts of these characters only are cut into pieces here; their classes are the same in every Unicode version.
+_ASCII = bytes([9, 10, 13, *range(32, 127)])
+_LATIN = re.compile(rb"(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xbf]|\xc5[\x80-\xbe])*+")
+#: A space between white space, or between white space and the end, doesn't start a word.
+_RUN = re.compile(rb"[\t\n\r ] (?:[\t\n\r ]|\Z)")
+_PAIRS = b"  ", b"\n ", b"\t ", b"\r "
+#: Starts each text, and what follows without a space, so that a piece with no space before it is remembered as another one.
+_HEAD = b"\0"
+
+
+#: Letters and digits of such texts, and signs but the apostrophe, by byte.
+_WORD = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
+_SIGN = ~_WORD & np.array([c > 32 and c != 39 for c in range(256)])
 
 
 class Tokenize:
-    """Ids of whole texts by the tokenizers library; words of plain texts are encoded once and remembered.
+    """Ids of whole texts by the tokenizers library; pieces of plain texts are encoded once and remembered.
 
-    Merges never cross the vocabulary's word boundaries, so a text's ids are its words' ids in a row. The file must say
-    that it cuts words as word_starts does. Texts with other characters, or with the string of a special token, go
-    through the library whole."""
+    A piece is a space and what follows up to the next one; a sign (but the apostrophe) after a letter or
+    digit starts another one. Merges never cross the vocabulary's word boundaries, and such a vocabulary starts a word there and
+    at every space that isn't inside a run of white space, so a text's ids are its pieces' ids in a row. The file must say that it
+    cuts words so. Texts with other characters, with the string of a special token or with spaces inside runs of white space
+    go through the library whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
@@ -94,22 +69,50 @@ class Tokenize:
         rule = json.loads(self.library.to_str())
         before = rule["pre_tokenizer"] or {}
         self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not rule["normalizer"] and rule["model"]["type"] == "BPE"
-        self.forget()
+        # Whether an id starts with a space: in pieces in a row, only their first ids do.
+        self.starts = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(1 << 16)])
+        self.seen: dict[bytes, int] = {}
+        self.used, self.pool = 0, np.zeros(1 << 20, np.uint16)
+        self.from_, self.size, self.uses = (np.zeros(CACHE_PIECES, np.int64) for _ in range(3))
 
     def forget(self) -> None:
-        self.seen: dict[bytes, int] = {}
-        self.pool, self.from_, self.size, self.used = np.zeros(1 << 20, np.uint16), np.zeros(CACHE_WORDS, np.int64), np.zeros(CACHE_WORDS, np.int64), 0
-
-    def remember(self, words: list[bytes]) -> None:
-        ids = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        sizes, k = np.fromiter(map(len, ids), np.int64, len(ids)), len(self.seen)
-        upto = self.used + np.cumsum(sizes)
-        if len(ids):
-            while upto[-1] > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.used: upto[-1]] = np.fromiter(itertools.chain.from_iterable(ids), np.uint16, upto[-1] - self.used)
-            self.from_[k: k + len(ids)], self.size[k: k + len(ids)], self.used = upto - sizes, sizes, int(upto[-1])
-            self.seen.update(zip(words, range(k, k + len(ids))))
+        """Forgets the pieces used once, and all but the most used if half the room is not enough for the others."""
+        n = len(self.seen)
+        kept = np.flatnonzero(self.uses[:n] > 1)
+        if len(kept) > CACHE_PIECES // 2:
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[: CACHE_PIECES // 2]])
+        pieces, size = list(self.seen), self.size[kept]
+        upto = np.cumsum(size)
+        pool = self.pool[np.repeat(self.from_[kept] - upto + size, size) + np.arange(size.sum())]
+        self.seen, self.used = {}, len(pool)
+        self.seen.update((pieces[i], k) for k, i in enumerate(kept.tolist()))
+        self.pool[: len(pool)], self.from_[: len(kept)], self.size[: len(kept)] = pool, upto - size, size
+        self.uses[: len(kept)] = self.uses[kept] // 2
+        self.uses[len(kept):] = 0
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16)
+
+    def remember(self, pieces: list[bytes]) -> None:
+        """Numbers new pieces and remembers their ids."""
+        # Pieces in a row are encoded at once; those that white space ends, and those without a space, one by one.
+        row = np.fromiter([p > _HEAD and p[0] > 0 and p[-1] > 32 for p in pieces], bool, len(pieces))
+        flat, sizes = np.zeros(0, np.uint16), np.zeros(len(pieces), np.int64)
+        if row.any():
+            flat = np.array(self.library.encode_batch_fast([" " + b" ".join(itertools.compress(pieces, row.tolist())).decode()], add_special_tokens=False)[0].ids, np.uint16)
+            sizes[row] = np.diff(np.append(np.flatnonzero(self.starts[flat]), len(flat)))
+        one = np.flatnonzero(~row)
+        texts = [pieces[i][1:].decode() if pieces[i][:1] == _HEAD else " " + pieces[i].decode() for i in one.tolist()]
+        ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes[one] = np.fromiter(map(len, ids), np.int64, len(ids))
+        n, k = self.used + int(sizes.sum()), len(self.seen)
+        while n > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used: n] = np.concatenate([flat, *[np.array(x, np.uint16) for x in ids]])
+        order = np.append(np.flatnonzero(row), one)  # as their ids stand in the pool
+        self.from_[k + order] = self.used + np.cumsum(sizes[order]) - sizes[order]
+        self.size[k: k + len(pieces)], self.used = sizes, n
+        self.seen.update(zip(pieces, range(k, k + len(pieces))))
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -127,47 +130,45 @@ class Tokenize:
 
         for i, text in enumerate(texts):
             text = text or ""
-            if self.cuts and text and _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            body = text.encode()
+            if self.cuts and _LATIN.fullmatch(body.translate(None, _ASCII)) and not (any(s in body for s in _PAIRS) and _RUN.search(body)) and not any(s in text for s in self.special):
                 plain.append(i)
-                held.append(text.encode())
-                waiting += len(held[-1])
+                held.append(_HEAD + body)
+                waiting += len(body)
                 if waiting >= SLICE_BYTES:
                     cut()
             else:
-                out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16)
+                out[i] = self.whole(text)
         if held:
             cut()
         return out
 
     def plain(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of plain texts, none of them empty."""
-        body = b"".join(texts)
-        data, ends = np.frombuffer(body, np.uint8), np.cumsum([len(t) for t in texts])
-        starts = word_starts(data, np.concatenate([[0], ends[:-1]]))
-        stops = np.append(starts[1:], len(data))
-        power = np.full(len(data), _ODD, np.uint64)
-        power[0] = 1
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_SALT[data] * np.cumprod(power))])
-        power[1:] = _INVERSE
-        hashed = (sums[stops] - sums[starts]) * np.cumprod(power)[starts]
-        _, first, which = np.unique(hashed, return_index=True, return_inverse=True)
-        # Equal hashes must be equal words: all bytes are compared with those of the word's first place.
-        sizes = stops - starts
-        if not np.array_equal(sizes, sizes[first][which]) or not np.array_equal(data, data[np.repeat(starts[first][which] - starts, sizes) + np.arange(len(data))]):
-            return [np.array(self.library.encode(t.decode(), add_special_tokens=False).ids, np.uint16) for t in texts]
-        words = [body[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist())]
-        new = [w for w in words if w not in self.seen]
-        if len(self.seen) + len(new) > CACHE_WORDS:
+        """Ids of plain texts, each with _HEAD before it."""
+        # Equal pieces of a slice meet in Arrow first.
+        body = b" ".join(texts)
+        data = np.frombuffer(body, np.uint8)
+        ends = np.flatnonzero(_SIGN[data[1:]] & _WORD[data[:-1]]) + 1
+        body = np.insert(data, np.repeat(ends, 2), np.tile(np.frombuffer(b" " + _HEAD, np.uint8), len(ends))).tobytes()
+        cut = pc.split_pattern(pa.array([body], pa.large_binary()), " ").values.dictionary_encode()
+        pieces, which = cut.dictionary.to_numpy(zero_copy_only=False).tolist(), cut.indices.to_numpy()
+        if len(pieces) > CACHE_PIECES // 2:
+            return [self.whole(t[1:].decode()) for t in texts]
+        if len(self.seen) + len(pieces) > CACHE_PIECES:
             self.forget()
-            new = words
-        if len(new) > CACHE_WORDS:
-            return [np.array(self.library.encode(t.decode(), add_special_tokens=False).ids, np.uint16) for t in texts]
-        self.remember(new)
-        place = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))[which]
+        place = np.fromiter(map(self.seen.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = len(self.seen) + np.arange(len(new))
+            self.remember([pieces[i] for i in new.tolist()])
+        self.uses[place] += np.bincount(which, minlength=len(pieces))
+        place = place[which]
         n = self.size[place]
         upto = np.cumsum(n)
         ids = self.pool[np.repeat(self.from_[place] - upto + n, n) + np.arange(upto[-1])]
-        return np.split(ids, upto[np.searchsorted(starts, ends[:-1]) - 1])
+        cuts = np.searchsorted(ends, np.cumsum([len(t) + 1 for t in texts]))
+        last = np.cumsum([t.count(b" ") + 1 for t in texts]) + cuts - 1
+        return np.split(ids, upto[last[:-1]])
 
 
 @functools.cache

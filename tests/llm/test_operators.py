@@ -268,6 +268,25 @@ def test_range_coder_round_trip_and_checksum():
         range_coder.decode([blocks[0][:14] + bytes([blocks[0][14] ^ 255]) + blocks[0][15:]])
 
 
+def test_range_coder_learns_over_blocks():
+    # No block holds an id of the cycle twice: only what is learned over blocks predicts it.
+    ids = np.tile(np.random.default_rng(2).permutation(50_000)[:3000], 30)
+    blocks = range_coder.encode(ids)
+    assert 8 * sum(map(len, blocks)) / len(ids) < 5 and (range_coder.decode(blocks) == ids).all()
+    assert (range_coder.decode(blocks[:1] + blocks[7:9]) == ids[6 * range_coder.BLOCK_IDS: 8 * range_coder.BLOCK_IDS]).all()
+
+
+def test_pieces_match_the_library():
+    P = pytest.importorskip("public_tokenizers")
+    tokenize = token_io.Tokenize(P.path("byte_bpe_50k.json"))
+    rng, bits = random.Random(8), ["a", "Zz", "é", "7", ",", ".", "!?", "'", "'s", "$$", "-", " ", "  ", "\n", " \n", "\n ", "\t", "ž, ", "x. "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
+    want = [tokenize.whole(t).tolist() for t in texts]
+    assert [x.tolist() for x in tokenize(texts)] == want
+    tokenize.forget()  # what was used once
+    assert 0 < len(tokenize.seen) < tokenize.used and [x.tolist() for x in tokenize(texts)] == want
+
+
 def test_token_files_match_the_library(spark, odd_docs, no_docs):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

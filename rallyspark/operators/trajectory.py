@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.geometry import KITCHEN, NET, local_px_per_ft, px_per_ft, zone
+from ..sources.readers import written
 from .ball import KNOWN
 from .poses import scenes
 from .shots import CLIP, between_shots, last_shot
+from .tile_scenes import scene, scenes_by_tile
 
 
 def ORDER():  # noqa: N802
@@ -51,6 +53,19 @@ def anchored_speed(shots: DataFrame, landed: DataFrame, feet: DataFrame, court:
     return rows.withColumn("best", speed_to_anchor()).filter("best is not null").select("clip_id", "shot_id", "best.anchor", "best.speed", "best.confidence")
 
 
+def speed_by_tile(shots: DataFrame, bounces: DataFrame, contacts: DataFrame, poses: DataFrame, court: DataFrame) -> DataFrame:
+    """anchored_speed() with landing() and front_feet() of the tables, in one pass per tile of frames."""
+    speed = lambda rows: with_speed(rows.withColumns({"front_x": F.col("front_.x"), "front_y": F.col("front_.y")}))
+    columns = [F.col(c) for c in ("clip_id", "shot_id", "best.anchor", "best.speed", "best.confidence")]
+    return scenes_by_tile(shots, contacts, poses, bounces.filter("court_y_ft is not null"), court, speed, columns, F.col("best").isNotNull(), hits=False, speeds=True)
+
+
+def with_speed(rows: DataFrame) -> DataFrame:
+    """Adds the best speed to scenes with contact_, the next shot whose hitter a contact shows."""
+    ahead = F.when(~F.col("contact_.is_serve"), F.struct(F.col("contact_.frame").alias("f"), F.col("contact_.x").alias("x"), F.col("contact_.y").alias("y")))
+    return rows.withColumn("next_", ahead).withColumn("best", F.when(F.col("stand_").isNotNull(), speed_to_anchor()))
+
+
 def flight_points(shots: DataFrame, ball: DataFrame, most: int = 90) -> DataFrame:
     """Known ball points from a contact to the frame before the next, or ``most`` frames on if that is far."""
     points = last_shot(ball.filter(KNOWN()).select("clip_id", "frame", "pixel_x", "pixel_y"), shots).filter(F.col("frame") <= F.col("at") + most)
@@ -88,11 +103,15 @@ def scenes_landed(shots: DataFrame, contacts: DataFrame, poses: DataFrame, court
     return scenes(rows, contacts, poses, court).join(landed, ["clip_id", "shot_id"], "left")
 
 
-def context_columns() -> list[Column]:
+def context_measures() -> list[Column]:
     ppf = px_per_ft(F.coalesce("court_y_ft", F.lit(NET)), F.col("near_px_per_ft"), F.col("far_px_per_ft"))
     same = ((F.col("court_y_ft") >= NET) == (F.col("land_y") >= NET)) & (F.abs(F.col("land_y") - NET) > KITCHEN)
-    return [*map(F.col, ("clip_id", "shot_id", "is_serve", "is_return")), zone(F.coalesce("front_y", F.lit(NET))).alias("zone"), zone(F.col("receiver_y")).alias("receiver_zone"), F.when(~F.coalesce(same, F.lit(False)), F.col("land_y")).alias("landing_y"),
-            F.round(F.col("speed_pre") * F.col("fps") / ppf, 6).alias("pre_ftps"), F.round(F.col("speed_post") * F.col("fps") / ppf, 6).alias("post_ftps"), F.col("height")]
+    return [zone(F.coalesce("front_y", F.lit(NET))).alias("zone"), zone(F.col("receiver_y")).alias("receiver_zone"), F.when(~F.coalesce(same, F.lit(False)), F.col("land_y")).alias("landing_y"),
+            F.round(F.col("speed_pre") * F.col("fps") / ppf, 6).alias("pre_ftps"), F.round(F.col("speed_post") * F.col("fps") / ppf, 6).alias("post_ftps")]
+
+
+def context_columns() -> list[Column]:
+    return [*map(F.col, ("clip_id", "shot_id", "is_serve", "is_return")), *context_measures(), F.col("height")]
 
 
 def shot_context(shots: DataFrame, contacts: DataFrame, poses: DataFrame, court: DataFrame, landed: DataFrame) -> DataFrame:
@@ -100,6 +119,11 @@ def shot_context(shots: DataFrame, contacts: DataFrame, poses: DataFrame, court:
     return scenes_landed(shots, contacts, poses, court, landed).select(*context_columns())
 
 
+def context_by_tile(shots: DataFrame, bounces: DataFrame, contacts: DataFrame, poses: DataFrame, court: DataFrame) -> DataFrame:
+    """shot_context() with landing() of the bounces, in one pass per tile of frames."""
+    return scenes_by_tile(shots, contacts, poses, bounces.filter("court_y_ft is not null"), court, scene, context_columns())
+
+
 def speed_for_type(rows: DataFrame, least: float = 0.6) -> DataFrame:
     """Adds the speed and its two thresholds: the anchored one (``best``) if sure and not a volley that rests on a bounce, else the pixel speed."""
     use = F.coalesce((F.col("best.confidence") >= least) & ~(F.col("volley") & (F.col("best.anchor") == "bounce")), F.lit(False))
@@ -111,7 +135,7 @@ def speed_for_type(rows: DataFrame, least: float = 0.6) -> DataFrame:
 LOB_ARC, LOFT_ARC, RESET_SPEED = 0.35, 0.15, 25.0
 
 
-def classify_type(rows: DataFrame) -> DataFrame:
+def type_columns() -> list[Column]:
     """Type and confidence by the first rule that fits; without a landing the confidences are low."""
     c = F.col
     fast, slow = F.coalesce(c("speed") >= c("drive_min"), F.lit(False)), F.coalesce(c("speed") <= c("dink_max"), F.lit(False))
@@ -128,7 +152,11 @@ def classify_type(rows: DataFrame) -> DataFrame:
         value = confidence if isinstance(confidence, Column) else F.lit(confidence)
         kind = F.when(when, name) if kind is None else kind.when(when, name)
         sure = F.when(when, value) if sure is None else sure.when(when, value)
-    return rows.select("clip_id", "shot_id", kind.otherwise("unknown").alias("shot_type"), sure.otherwise(0.20).alias("confidence"))
+    return [kind.otherwise("unknown").alias("shot_type"), sure.otherwise(0.20).alias("confidence")]
+
+
+def classify_type(rows: DataFrame) -> DataFrame:
+    return rows.select("clip_id", "shot_id", *type_columns())
 
 
 def typed_shots(shots: DataFrame, ball: DataFrame, bounces: DataFrame, contacts: DataFrame, poses: DataFrame, court: DataFrame, linked: DataFrame) -> DataFrame:
@@ -145,6 +173,31 @@ def typed_shots(shots: DataFrame, ball: DataFrame, bounces: DataFrame, contacts:
     return classify_type(speed_for_type(rows))
 
 
+def in_reach(shots: DataFrame, ball: DataFrame) -> DataFrame:
+    """Shots up to the first after a clip's last known ball, which bounds the one before."""
+    ends = F.broadcast(ball.filter(KNOWN()).groupBy("clip_id").agg(F.max("frame").alias("last_")))  # one row per clip
+    stops = F.broadcast(shots.join(ends, "clip_id").filter("frame > last_").groupBy("clip_id").agg(F.min("frame").alias("stop_")))
+    return shots.join(ends, "clip_id").join(stops, "clip_id", "left").filter("frame <= coalesce(stop_, last_)").select("clip_id", "frame", "shot_id")
+
+
+def typed_by_tile(shots: DataFrame, ball: DataFrame, bounces: DataFrame, contacts: DataFrame, poses: DataFrame, court: DataFrame) -> DataFrame:
+    """typed_shots() in one pass per tile of frames, which only the shots in the ball's reach bring their flights to."""
+    near, keys = written(in_reach(shots, ball)), ["clip_id", "shot_id"]
+    flights = near.join(arc_height(flight_points(near, ball)), keys, "left").join(bounced_between(near, ball), keys, "left").filter("arc is not null or bounced is not null")
+
+    def of_flight(name: str) -> Column:
+        return F.array_max(F.transform(F.filter("flights_", lambda f: f["shot_id"] == F.col("shot_id")), lambda f: f[name]))
+
+    def typed(rows: DataFrame) -> DataFrame:
+        rows = with_speed(scene(rows.withColumns({"arc": of_flight("arc"), "bounced": of_flight("bounced")})))
+        listed = F.col("fell_").isNotNull() & (F.col("earlier_").isNull() | (F.col("fell_") >= F.col("earlier_.frame")))
+        volley = ~F.coalesce("bounced", listed, F.lit(False)) & ~F.col("is_serve") & F.col("earlier_").isNotNull()
+        return speed_for_type(rows.withColumn("volley", volley).select("*", *context_measures()))
+
+    columns = [F.col("clip_id"), F.col("shot_id"), *type_columns()]
+    return scenes_by_tile(shots, contacts, poses, bounces, court, typed, columns, speeds=True, flights=flights)
+
+
 # ---- the ball's size and height
 
 def camera_ground(contacts: DataFrame, every: int = 4, least: int = 20, height: float = 5.6) -> DataFrame:

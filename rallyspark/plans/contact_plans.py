@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import poses as S
-from ..operators import shots as D
 from ..operators import trajectory as T
 
 
@@ -107,11 +106,12 @@ def register(add, linked: str) -> None:
       FROM fx_poses p JOIN fx_roles ro ON ro.clip_id = p.clip_id AND ro.track_id = p.track_id WHERE role <> 'noise' AND NOT EXISTS (SELECT 1 FROM fx_shots s WHERE s.clip_id = p.clip_id AND s.track_id = p.track_id AND NOT s.is_serve AND abs(s.frame - p.frame) <= 2))
     SELECT *, CASE WHEN n_rows >= 30 THEN kitchen > baseline + 0.05 END AS rises_at_net FROM (SELECT role, count(*) AS n_rows, {med('kitchen')} AS kitchen, {med('transition')} AS transition, {med('baseline')} AS baseline FROM r WHERE ready IS NOT NULL GROUP BY role)""")
     add("t1_landing", landed, f"{linked}, {_LAND} SELECT * FROM ld")
+    seen = lambda get: {name: get(name, tiled=True) for name in ("shots", "contacts", "poses")} | {name: get(name) for name in ("bounces", "court")}
     add("t2_anchored_speed", lambda get: T.anchored_speed(get("shots"), landed(get), feet(get), get("court")), _speed_sql(linked) + " SELECT * FROM sp")
     add("t3_arc_height", lambda get: T.arc_height(T.flight_points(get("shots"), get("ball"))), _ARC + " SELECT * FROM ar")
     add("t4_bounced_between", lambda get: T.bounced_between(get("shots"), get("ball")), _BOUNCED + " SELECT * FROM bo")
     add("t6_shot_context", lambda get: T.shot_context(get("shots"), get("contacts"), get("poses"), get("court"), landed(get)), f"{linked}, {_LAND}, {_FEET}, {_context_sql()} SELECT * FROM cx")
-    add("t8_classify_type", lambda get: T.typed_shots(get("shots"), get("ball"), get("bounces"), get("contacts"), get("poses"), get("court"), D.between_shots(get("bounces"), get("shots"))),
+    add("t8_classify_type", lambda get: T.typed_by_tile(**seen(get), ball=get("ball")),
         f"{_speed_sql(linked)}, {_ARC}, {_BOUNCED}, {_context_sql()}, {_TYPES}")
     add("b13_camera_ground", lambda get: T.camera_ground(get("contacts").withColumns({c: F.col(c) + F.col("n") % 7 for c in ("bbox_x1", "bbox_x2")})).select("clip_id", "n_rows", *[F.round(c, 3).alias(c) for c in ("ground_x", "ground_y", "k", "camera_ft")]), """l AS (SELECT clip_id, foot_x AS fx, foot_y AS fy, (bbox_x1 + bbox_x2) / 2 + n % 7 AS hx, bbox_y1 AS hy FROM fx_contacts WHERE in_court AND frame % 4 = 0),
     u AS (SELECT *, (hx - fx) / sqrt((hx-fx)*(hx-fx) + (hy-fy)*(hy-fy)) AS ux, (hy - fy) / sqrt((hx-fx)*(hx-fx) + (hy-fy)*(hy-fy)) AS uy FROM l),

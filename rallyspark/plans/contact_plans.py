@@ -110,7 +110,7 @@ def register(add, linked: str) -> None:
     add("t2_anchored_speed", lambda get: T.anchored_speed(get("shots"), landed(get), feet(get), get("court")), _speed_sql(linked) + " SELECT * FROM sp")
     add("t3_arc_height", lambda get: T.arc_height(T.flight_points(get("shots"), get("ball"))), _ARC + " SELECT * FROM ar")
     add("t4_bounced_between", lambda get: T.bounced_between(get("shots"), get("ball")), _BOUNCED + " SELECT * FROM bo")
-    add("t6_shot_context", lambda get: T.shot_context(get("shots"), get("contacts"), get("poses"), get("court"), landed(get)), f"{linked}, {_LAND}, {_FEET}, {_context_sql()} SELECT * FROM cx")
+    add("t6_shot_context", lambda get: T.context_by_tile(**seen(get)), f"{linked}, {_LAND}, {_FEET}, {_context_sql()} SELECT * FROM cx")
     add("t8_classify_type", lambda get: T.typed_by_tile(**seen(get), ball=get("ball")),
         f"{_speed_sql(linked)}, {_ARC}, {_BOUNCED}, {_context_sql()}, {_TYPES}")
     add("b13_camera_ground", lambda get: T.camera_ground(get("contacts").withColumns({c: F.col(c) + F.col("n") % 7 for c in ("bbox_x1", "bbox_x2")})).select("clip_id", "n_rows", *[F.round(c, 3).alias(c) for c in ("ground_x", "ground_y", "k", "camera_ft")]), """l AS (SELECT clip_id, foot_x AS fx, foot_y AS fy, (bbox_x1 + bbox_x2) / 2 + n % 7 AS hx, bbox_y1 AS hy FROM fx_contacts WHERE in_court AND frame % 4 = 0),

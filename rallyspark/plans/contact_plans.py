@@ -107,7 +107,7 @@ def register(add, linked: str) -> None:
     SELECT *, CASE WHEN n_rows >= 30 THEN kitchen > baseline + 0.05 END AS rises_at_net FROM (SELECT role, count(*) AS n_rows, {med('kitchen')} AS kitchen, {med('transition')} AS transition, {med('baseline')} AS baseline FROM r WHERE ready IS NOT NULL GROUP BY role)""")
     add("t1_landing", landed, f"{linked}, {_LAND} SELECT * FROM ld")
     seen = lambda get: {name: get(name, tiled=True) for name in ("shots", "contacts", "poses")} | {name: get(name) for name in ("bounces", "court")}
-    add("t2_anchored_speed", lambda get: T.anchored_speed(get("shots"), landed(get), feet(get), get("court")), _speed_sql(linked) + " SELECT * FROM sp")
+    add("t2_anchored_speed", lambda get: T.speed_by_tile(**seen(get)), _speed_sql(linked) + " SELECT * FROM sp")
     add("t3_arc_height", lambda get: T.arc_height(T.flight_points(get("shots"), get("ball"))), _ARC + " SELECT * FROM ar")
     add("t4_bounced_between", lambda get: T.bounced_between(get("shots"), get("ball")), _BOUNCED + " SELECT * FROM bo")
     add("t6_shot_context", lambda get: T.context_by_tile(**seen(get)), f"{linked}, {_LAND}, {_FEET}, {_context_sql()} SELECT * FROM cx")

@@ -60,13 +60,13 @@ def events(shots: DataFrame, contacts: DataFrame, poses: DataFrame, bounces: Dat
         parts.append(_rows(flights, OTHER, none, "flight_", F.struct("shot_id", "arc", "bounced")))
     # Tables that come by tile stay where they are; the others go to them.
     by_tile = ["tile_" in rows.columns for rows in (shots, bounces, contacts, poses)] + [False]
-    if any(by_tile):
-        n = int(shots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        parts = [part if there else part.repartition(n, "clip_id", "tile_") for part, there in zip(parts, by_tile)]
+    buckets = shots.schema["tile_"].metadata.get("buckets") if by_tile[0] else None
+    if buckets:
+        parts = [part if there else part.repartition(buckets, "clip_id", "tile_") for part, there in zip(parts, by_tile)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
-    return out if any(by_tile) else out.repartition("clip_id", "tile_")
+    return out if buckets else out.repartition("clip_id", "tile_")
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -94,15 +94,16 @@ def _some(entries: Column) -> Column:
 
 
 def _feet(people: Column, bodies: Column) -> Column:
-    """Front feet (x, y) by a track's contacts and poses on a frame: one for each pair of a spot and a pose, none without a contact."""
+    """Front feet (x, y, last: whether it is the list's last) by a track's contacts and poses on a frame: one for each pair of a spot and a pose, none without a contact."""
     off = lambda at: F.abs(at["y"] - NET)
 
     def front(s: Column, p: Column) -> Column:
         box = s["y"].isNotNull() & (p["y"].isNull() | (off(s) <= off(p)))  # ties: the box
-        return F.struct(*[F.when(box, s[at]).otherwise(p[at]).alias(at) for at in "xy"])
+        return F.struct(*[F.when(box, s[at]).otherwise(p[at]).alias(at) for at in "xy"], F.lit(True).alias("last"))
 
     spots = F.array_distinct(F.transform(people, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
     pairs = F.flatten(F.transform(spots, lambda s: F.transform(_some(bodies), lambda p: front(s, p))))
+    pairs = F.transform(pairs, lambda f, i: F.struct(f["x"].alias("x"), f["y"].alias("y"), (i == F.size(pairs) - 1).alias("last")))
     return F.when((F.size(people) == 1) & (F.size(bodies) <= 1), F.array(front(people[0], F.get(bodies, F.lit(0))))).otherwise(pairs)
 
 
@@ -112,9 +113,10 @@ def _hitters(rows: DataFrame) -> DataFrame:
 
 
 def standing(rows: DataFrame) -> DataFrame:
-    """Adds the hitter's front_ foot and, where a contact shows the hitter, the next such shot of the tile as contact_, and whether there is one before (stood_)."""
-    rows = _hitters(rows).withColumn("front_", F.explode_outer(_feet(F.col("people_"), F.col("poses_")))).drop("people_", "poses_")
-    rows = rows.withColumn("stand_", F.when((F.col("kind_") == SHOT) & F.col("front_").isNotNull(), F.struct("frame", "id_", "shot_.is_serve", "front_.x", "front_.y")))
+    """Adds the hitter's feet_ and, where a contact shows the hitter, the next such shot of the tile as contact_, and whether there is one before (stood_)."""
+    rows = _hitters(rows).withColumn("feet_", _feet(F.col("people_"), F.col("poses_"))).drop("people_", "poses_")
+    foot = F.get("feet_", F.lit(0))
+    rows = rows.withColumn("stand_", F.when((F.col("kind_") == SHOT) & (F.size("feet_") > 0), F.struct("frame", "id_", "shot_.is_serve", foot["x"].alias("x"), foot["y"].alias("y"))))
     return rows.withColumns({"contact_": F.expr(f"lead(stand_) IGNORE NULLS {_ORDER}"), "stood_": F.expr(f"lag(stand_) IGNORE NULLS {_ORDER}").isNotNull()})
 
 
@@ -135,7 +137,7 @@ def _settle(ends: DataFrame) -> DataFrame:
 def scenes_by_tile(shots: DataFrame, contacts: DataFrame, poses: DataFrame, bounces: DataFrame, court: DataFrame, scene: Callable[[DataFrame], DataFrame], columns: list[Column], where: Column | None = None,
                    hits: bool = True, speeds: bool = False, flights: DataFrame | None = None) -> DataFrame:
     """``columns`` of what ``scene`` adds to the shots, written once. Its rows have clip_id, frame, shot_id, track_id, is_serve, hitter_side, later_ and earlier_ shot, land_frame, land_x, land_y
-    (the first bounce with a place after the shot and up to the next), fell_, the clip's court, the lists persons_ and bodys_ (flights_) and, with ``speeds``, front_ and contact_; it may multiply them."""
+    (the first bounce with a place after the shot and up to the next), fell_, the clip's court, the lists persons_ and bodys_ (flights_) and, with ``speeds``, feet_ and contact_; it may multiply them."""
     c, shot, number = F.col, F.col("kind_") == SHOT, shots.schema["shot_id"].dataType
     rows = neighbours(events(shots, contacts, poses, bounces, court, hits, flights))
     end = ~shot | c("later_").isNull() | c("earlier_").isNull()
@@ -149,7 +151,7 @@ def scenes_by_tile(shots: DataFrame, contacts: DataFrame, poses: DataFrame, boun
         return scene(rows.withColumns(of_shot | {"land_frame": land["frame"], "land_x": land["x"], "land_y": land["y"]}).join(F.broadcast(court), "clip_id"))
 
     # Rows at the ends wait, without lists, so that they stay one row each.
-    lists = [n for n in rows.columns if n in ("persons_", "bodys_", "flights_")]
+    lists = [n for n in rows.columns if n in ("persons_", "bodys_", "feet_", "flights_")]
     rows = rows.withColumns({"at_end_": end, "end_": F.when(end, F.struct(*rows.columns))}).withColumns({n: F.when(~end, c(n)).otherwise(F.array()) for n in lists})
     first = made(rows)
     first = written((first if where is None else first.filter(c("at_end_") | where)).select(*columns, "at_end_", "end_"))
@@ -162,8 +164,8 @@ def scene(rows: DataFrame) -> DataFrame:
     """Adds to shots of a tile what context and type rest on: is_return, the hitter's contact and height of contact, front feet of hitter and receiver."""
     c, ahead = F.col, F.col("later_.track_id")
     rows = _hitters(rows).withColumns({"people2_": _of("persons_", ahead), "poses2_": _of("bodys_", ahead)})
-    rows = rows.withColumns({"hits_": F.filter("people_", lambda p: p["hit"]), "feet2_": _feet(c("people2_"), c("poses2_"))} | ({} if "front_" in rows.columns else {"feet_": _feet(c("people_"), c("poses_"))}))
-    sides = {"hit_": "hits_", "body_": "poses_", "receiver_": "feet2_"} | ({"front_": "feet_"} if "feet_" in rows.columns else {})
+    rows = rows.withColumns({"hits_": F.filter("people_", lambda p: p["hit"]), "feet2_": _feet(c("people2_"), c("poses2_"))} | ({} if "feet_" in rows.columns else {"feet_": _feet(c("people_"), c("poses_"))}))
+    sides = {"hit_": "hits_", "body_": "poses_", "receiver_": "feet2_", "front_": "feet_"}
 
     def crossed(left: list[str], *got: Column) -> Column:
         """The left joins with the lists, one after another."""

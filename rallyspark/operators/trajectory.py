@@ -55,14 +55,14 @@ def anchored_speed(shots: DataFrame, landed: DataFrame, feet: DataFrame, court:
 
 def speed_by_tile(shots: DataFrame, bounces: DataFrame, contacts: DataFrame, poses: DataFrame, court: DataFrame) -> DataFrame:
     """anchored_speed() with landing() and front_feet() of the tables, in one pass per tile of frames."""
-    speed = lambda rows: with_speed(rows.withColumns({"front_x": F.col("front_.x"), "front_y": F.col("front_.y")}))
+    speed = lambda rows: with_speed(rows.withColumn("front_", F.explode_outer("feet_")).withColumns({"front_x": F.col("front_.x"), "front_y": F.col("front_.y")}))
     columns = [F.col(c) for c in ("clip_id", "shot_id", "best.anchor", "best.speed", "best.confidence")]
     return scenes_by_tile(shots, contacts, poses, bounces.filter("court_y_ft is not null"), court, speed, columns, F.col("best").isNotNull(), hits=False, speeds=True)
 
 
 def with_speed(rows: DataFrame) -> DataFrame:
-    """Adds the best speed to scenes with contact_, the next shot whose hitter a contact shows."""
-    ahead = F.when(~F.col("contact_.is_serve"), F.struct(F.col("contact_.frame").alias("f"), F.col("contact_.x").alias("x"), F.col("contact_.y").alias("y")))
+    """Adds the best speed to scenes with contact_, the next shot whose hitter a contact shows; of several front feet only the last is followed by it."""
+    ahead = F.when(F.col("front_.last") & ~F.col("contact_.is_serve"), F.struct(F.col("contact_.frame").alias("f"), F.col("contact_.x").alias("x"), F.col("contact_.y").alias("y")))
     return rows.withColumn("next_", ahead).withColumn("best", F.when(F.col("stand_").isNotNull(), speed_to_anchor()))
 
 

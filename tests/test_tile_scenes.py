@@ -73,13 +73,18 @@ def test_shots_in_reach_bound_the_last_flight(spark):
     _same(trajectory.bounced_between(near, ball), trajectory.bounced_between(t["shots"], ball))
 
 
-def test_tables_by_tile_stay_where_they_are(spark):
+@pytest.mark.parametrize("per_bucket", [adapters.BUCKET_ROWS, 700])
+def test_tables_by_tile_stay_where_they_are(spark, monkeypatch, per_bucket):
+    monkeypatch.setattr(adapters, "BUCKET_ROWS", per_bucket)
     get = adapters.fixtures(spark, SF)
     t = {name: get(f"fx_{name}", tiled=True) for name in ("shots", "contacts", "poses")}
     for name, rows in t.items():
         want = adapters.fixture(spark, SF, f"fx_{name}")
         assert rows.drop("tile_").dtypes == want.dtypes and rows.count() == want.count() and not rows.drop("tile_").exceptAll(want).count()
         assert not rows.filter(f"tile_ <> floor(frame / {TILE})").count()
-    plan = tile_scenes.neighbours(tile_scenes.events(**t, bounces=get("fx_bounces"), court=get("fx_court"), hits=True, flights=None))._jdf.queryExecution().executedPlan().toString()
+    events = tile_scenes.events(**t, bounces=get("fx_bounces"), court=get("fx_court"), hits=True, flights=None)
+    plan = tile_scenes.standing(tile_scenes.neighbours(events))._jdf.queryExecution().executedPlan().toString()
     moves = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "tile_" in line]
     assert len(moves) == 1 and "SortMergeJoin" not in plan  # the bounces'
+    assert len([line for line in plan.splitlines() if "Sort [" in line and "kind_" in line]) == 1
+    assert t["shots"].schema["tile_"].metadata["buckets"] == max(4, adapters.fixture(spark, SF, "fx_shots").count() // per_bucket)
